@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import warc
+from . import exact, warc
 
 
 def _table(spark, sf_dir, name):
@@ -16,9 +16,21 @@ def op10_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-QUERIES = {"op10_warc": op10_warc}
+def op4_exact_dedup(spark, sf_dir):
+    return exact.dedup(_table(spark, sf_dir, "documents")).drop("_row")
+
+
+QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op10_warc": op10_warc,
+}
 
 ORACLE_SQL = {
+    "op4_exact_dedup": """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_points, sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256 FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d
+      WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
     "op10_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, url, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),

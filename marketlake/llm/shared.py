@@ -60,3 +60,52 @@ def blocks(lengths: np.ndarray, size: int = TEXT_BLOCK) -> Iterator[tuple[int, i
         stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield start, stop
         start = stop
+
+
+#: A bitmap never takes more bits than this (16 MB).
+BITMAP_BITS = 1 << 27
+_MIX = 0x9E3779B97F4A7C15
+
+
+class Bitmap:
+    """A one-hash filter over 64-bit keys, of a size that doesn't grow beyond BITMAP_BITS.
+
+    It may let foreign keys pass, never holds a key back; what passes is checked
+    by a join afterwards.  Each task sets bits, Spark ORs the words, and at most
+    BITMAP_BITS / 64 words reach the driver.
+    """
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.shift = np.uint64(64 - int(len(words) * 64).bit_length() + 1)
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str, per_key: int = 64) -> Bitmap:
+        n = keys.count()
+        bits = 1 << 16
+        while bits < min(n * per_key, BITMAP_BITS):
+            bits *= 2
+        shift = 64 - bits.bit_length() + 1
+
+        def place(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                key = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+                at = (key * np.uint64(_MIX)) >> np.uint64(shift)
+                word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+                order = np.argsort(word, kind="stable")
+                word, bit = word[order], bit[order]
+                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+                ored = np.bitwise_or.reduceat(bit, first).view(np.int64) if len(word) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(ored)], names=["word", "bits"])
+
+        rows = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(place, "word long, bits long")
+        found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        words = np.zeros(bits // 64, np.uint64)
+        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+        return cls(words)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys.astype(np.uint64, copy=False) * np.uint64(_MIX)) >> self.shift
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
