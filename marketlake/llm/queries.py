@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, warc
+from . import exact, secrets, shared, warc
 
 
 def _table(spark, sf_dir, name):
@@ -20,8 +20,14 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.dedup(_table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op7_secrets(spark, sf_dir):
+    found = secrets.scan(_table(spark, sf_dir, "documents"), shared.new_path(spark, "secret-ledger"))
+    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "blob")
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_secrets": op7_secrets,
     "op10_warc": op10_warc,
 }
 
