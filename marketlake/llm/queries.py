@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, secrets, shared, warc
+from . import exact, secrets, shared, simhash, warc
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,11 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.dedup(_table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op6_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_secrets(spark, sf_dir):
     found = secrets.scan(_table(spark, sf_dir, "documents"), shared.new_path(spark, "secret-ledger"))
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "blob")
@@ -27,6 +32,7 @@ def op7_secrets(spark, sf_dir):
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op10_warc": op10_warc,
 }
