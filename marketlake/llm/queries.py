@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, secrets, shared, simhash, warc
+from . import decontaminate, exact, packing, secrets, shared, simhash, warc
 
 
 def _table(spark, sf_dir, name):
@@ -24,6 +24,17 @@ def op1_decontaminate(spark, sf_dir):
     )
 
 
+def pieces_of(docs):
+    import public_tokenizers
+
+    tokens = packing.tokenized(docs, 1024, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(tokens, 1024).drop("part", "row")
+
+
+def op2_packing(spark, sf_dir):
+    return pieces_of(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact.dedup(_table(spark, sf_dir, "documents")).drop("_row")
 
@@ -40,6 +51,7 @@ def op7_secrets(spark, sf_dir):
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
