@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, packing, secrets, shared, simhash, warc
+from . import decontaminate, exact, packing, quality, secrets, shared, simhash, toxicity, warc
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_warc(spark, sf_dir):
     records = warc.round_trip(_table(spark, sf_dir, "pages"), payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -39,6 +44,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.dedup(_table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op5_quality(spark, sf_dir):
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark, sf_dir):
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,8 +62,10 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
+    "op8_toxicity": op8_toxicity,
     "op10_warc": op10_warc,
 }
 
