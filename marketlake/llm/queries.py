@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, packing, quality, secrets, shared, simhash, toxicity, warc
+from . import chat, decontaminate, exact, lines, packing, quality, secrets, shared, simhash, toxicity, warc
 
 
 def _table(spark, sf_dir, name):
@@ -16,6 +16,11 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.classify(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_line_dedup(spark, sf_dir):
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_warc(spark, sf_dir):
     records = warc.round_trip(_table(spark, sf_dir, "pages"), payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -40,6 +45,12 @@ def op2_packing(spark, sf_dir):
     return pieces_of(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark, sf_dir):
+    rows = chat.rotate(_table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.start.cast("string"), s.stop.cast("string"))), ",")
+    return rows.select("conv_id", "perspective", "chunk", F.size("messages").cast("long").alias("n_turns"), "text", spans.alias("mask_spans"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact.dedup(_table(spark, sf_dir, "documents")).drop("_row")
 
@@ -61,11 +72,13 @@ def op7_secrets(spark, sf_dir):
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
+    "op3_chat": op3_chat,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
 
@@ -87,11 +100,38 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op3_chat": """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
+c AS (SELECT *, coalesce(CAST(floor(turn / 64) AS BIGINT), 0) AS chunk, lower(speaker) = 'system' AS is_system FROM t),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM c WHERE NOT is_system),
+m AS (SELECT c.*, perspective, NOT is_system AND speaker = perspective AS own,
+             '<|' || CASE WHEN is_system THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || regexp_replace(speaker, '[^a-zA-Z0-9_.-]', '_', 'g') END || '|>' || chr(10) AS head
+      FROM c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, coalesce(sum(length(head) + length(content) + 8) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn NULLS FIRST, speaker, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM m)
+SELECT conv_id, perspective, chunk, count(*) AS n_turns,
+       string_agg(head || content || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, speaker, content) AS text,
+       coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(content) AS BIGINT), ',' ORDER BY turn NULLS FIRST, speaker, content) FILTER (WHERE own), '') AS mask_spans
+FROM o GROUP BY conv_id, perspective, chunk""",
     "op4_exact_dedup": """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_points, sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256 FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d
       WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id))
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op9_line_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS all_lines FROM documents),
+l AS (SELECT doc_id, i AS line, regexp_replace(all_lines[i], '^[ \t-\r]+|[ \t-\r]+$', '', 'g') AS body FROM d, unnest(range(1, len(all_lines) + 1)) AS u(i)),
+n AS (SELECT *, len(regexp_extract_all(body, '[^ \t-\r]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM l WHERE body <> ''),
+s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS total FROM n),
+w AS (SELECT a.doc_id, a.pos AS first, min(b.pos) AS last FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.total - a.total + a.words >= 50 GROUP BY 1, 2
+      UNION
+      SELECT b.doc_id, max(a.pos) AS first, b.pos AS last FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.total - a.total + a.words >= 50 GROUP BY 1, 3),
+k AS (SELECT w.doc_id, first, last, string_agg(body, chr(10) ORDER BY pos) AS content FROM w JOIN s ON s.doc_id = w.doc_id AND s.pos BETWEEN first AND last GROUP BY 1, 2, 3),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS copy FROM k) WHERE copy > 1),
+gone AS (SELECT DISTINCT s.doc_id, s.line FROM later JOIN s ON s.doc_id = later.doc_id AND s.pos BETWEEN first AND last)
+SELECT d.doc_id, len(all_lines) AS n_lines, count(gone.line) AS n_deleted,
+       sha256(coalesce(string_agg(all_lines[i], chr(10) ORDER BY i) FILTER (WHERE gone.line IS NULL), '')) AS text_sha256
+FROM d LEFT JOIN LATERAL (SELECT unnest(range(1, len(d.all_lines) + 1)) AS i) ON true LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.line = i
+GROUP BY d.doc_id, d.all_lines""",
     "op10_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, url, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
