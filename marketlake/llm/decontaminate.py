@@ -148,10 +148,10 @@ def prefixes(wins: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, prefix: DataFrame, sizes: list[int], window: int, shingle: int, text: str = "text") -> DataFrame:
-    """_row, doc_id, n_words and found (token, word position, words around it) of every document, stored."""
+    """_row, doc_id, _h (hash of the text), n_words and found (token, word position, words around it) of every document, stored."""
     bitmap = docs.sparkSession.sparkContext.broadcast(shared.Bitmap.of(prefix.select("token").distinct(), "token"))
-    schema = "_row long, doc_id long, n_words long, found array<struct<token:long,pos:int,first:int,around:string>>"
-    arrow = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("found", pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32()), ("first", pa.int32()), ("around", pa.string())])))])
+    schema = "_row long, doc_id long, _h long, n_words long, found array<struct<token:long,pos:int,first:int,around:string>>"
+    arrow = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("_h", pa.int64()), ("n_words", pa.int64()), ("found", pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32()), ("first", pa.int32()), ("around", pa.string())])))])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +168,9 @@ def candidates(docs: DataFrame, prefix: DataFrame, sizes: list[int], window: int
                         first = max(low, p - reach)
                         found[i].append({"token": token, "pos": p - low, "first": first - low, "around": words.text(first, min(high, p + size + reach))})
                 head = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([head.column("_row"), head.column("doc_id"), pa.array(np.diff(words.bounds).astype(np.int64)), pa.array(found, arrow.field("found").type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([head.column("_row"), head.column("doc_id"), head.column("_h"), pa.array(np.diff(words.bounds).astype(np.int64)), pa.array(found, arrow.field("found").type)], schema=arrow)
 
-    rows = _bodies(docs, text, F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = _bodies(docs, text, F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(shared.text_or_empty(text)).alias("_h"))
     return shared.stored(rows.mapInArrow(scan, schema), "candidates")
 
 
@@ -184,7 +184,7 @@ def hits(found: DataFrame, prefix: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, text: str = "text") -> DataFrame:
-    """_row, doc_id, n_words, n_hit, items (sorted list of item ids) for every document."""
+    """_row, doc_id, _h, n_words, n_hit, items (sorted list of item ids) for every document."""
     wins = windows(items, window, shingle, text)
     sizes = sorted(int(r[0]) for r in wins.select(F.least("n_words", F.lit(shingle))).distinct().collect())  # at most ``shingle`` rows
     tokens = wins.select(F.explode("tokens").alias("token")).distinct()
@@ -196,5 +196,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     n_hit = covered.groupBy("_row").agg(F.sum("new").alias("n_hit"))
     per_item = hit.select("_row", "window").distinct().join(wins.select("item_id", "window"), "window").groupBy("_row", "item_id").agg(F.count("*").alias("n"))
     named = per_item.groupBy("_row").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    out = found.select("_row", "doc_id", "n_words").join(n_hit, "_row", "left").join(named, "_row", "left")
-    return out.select("_row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = found.select("_row", "doc_id", "_h", "n_words").join(n_hit, "_row", "left").join(named, "_row", "left")
+    return out.select("_row", "doc_id", "_h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any item window, in their own columns."""
+    found = shared.stored(decontaminate(docs, items, window, shingle, text).where("n_hit > 0").select("doc_id", "_h"), "contaminated")
+    return shared.without(docs, found, text)

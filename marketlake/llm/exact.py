@@ -43,10 +43,10 @@ def normalised(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, code points of the original text, pseudo-key and SHA-256 of the normalised text."""
+    """doc_id, hash _h and code points of the original text, pseudo-key and SHA-256 of the normalised text."""
     whole = shared.text_or_empty(text)
     bare = normalised(whole)
-    return docs.select("doc_id", F.length(whole).alias("n_points"), F.xxhash64(bare).alias("key"), F.sha2(bare, 256).alias("sha"))
+    return docs.select("doc_id", F.xxhash64(whole).alias("_h"), F.length(whole).alias("n_points"), F.xxhash64(bare).alias("key"), F.sha2(bare, 256).alias("sha"))
 
 
 @dataclass
@@ -175,7 +175,7 @@ def verify(index: Index, docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def dedup(docs: DataFrame, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and the row number ``_row`` for every row.
+    """doc_id, keep_id, group_size, kept, text_sha256 and the text's hash ``_h`` for every row.
 
     Of equal texts the row with the most code points stays, then the smallest
     doc_id.  Two texts of one SHA-256 digest would stop the job.
@@ -185,4 +185,18 @@ def dedup(docs: DataFrame, text: str = "text", capacity: int = CAPACITY) -> Data
     checked = index.entries.join(verify(index, docs, text), ["key", "sha"], "left")
     sound = F.when(F.coalesce("n_texts", F.lit(1)) > 1, F.raise_error(F.lit("different texts have one SHA-256 digest"))).otherwise(F.col("group_size"))
     checked = checked.select("key", "sha", "keep_id", "keep_row", sound.alias("group_size"))
-    return rows.join(checked, ["key", "sha"]).select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), "_row")
+    return rows.join(checked, ["key", "sha"]).select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), "_h")
+
+
+def deduped(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, in their own columns."""
+    rows = shared.stored(dedup(docs, text).groupBy("doc_id", "_h").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "exact-identities")
+    out = shared.without(docs, rows.where("NOT kept"), text)
+    repeated = rows.where("kept AND n > 1").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"))
+    if repeated.isEmpty():
+        return out
+    # the very same row more than once: only these are grouped whole
+    here = docs.withColumn("_h", F.xxhash64(shared.text_or_empty(text))).join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
+    once = here.dropDuplicates(["doc_id", "_h"]).select(docs.columns)
+    return shared.without(out, rows.where("kept AND n > 1"), text).unionByName(once)
+

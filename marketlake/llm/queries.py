@@ -52,7 +52,7 @@ def op3_chat(spark, sf_dir):
 
 
 def op4_exact_dedup(spark, sf_dir):
-    return exact.dedup(_table(spark, sf_dir, "documents")).drop("_row")
+    return exact.dedup(_table(spark, sf_dir, "documents")).drop("_h")
 
 
 def op5_quality(spark, sf_dir):

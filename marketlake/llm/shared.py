@@ -13,6 +13,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +111,34 @@ class Bitmap:
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = (keys.astype(np.uint64, copy=False) * np.uint64(_MIX)) >> self.shift
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def maybe_in(bitmap: Broadcast, key: Column) -> Column:
+    """Whether the broadcast bitmap lets the 64-bit key pass; only keys go to Python."""
+
+    @F.pandas_udf("boolean")
+    def has(keys: pd.Series) -> pd.Series:
+        return pd.Series(bitmap.value.has(keys.to_numpy(np.int64).view(np.uint64)))
+
+    return has(key)
+
+
+def identified(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, _h (hash of the text) and text: what tells rows apart across two reads of a table."""
+    return docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("_h"), F.col(text).alias("text"))
+
+
+def without(docs: DataFrame, losers: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``losers`` (doc_id, _h) doesn't name, in the columns of ``docs``.
+
+    Only rows that a bitmap of bounded size lets pass take part in the join, so
+    the texts of most documents stay where they are.
+    """
+    key = F.xxhash64("doc_id", "_h")
+    losers = losers.select("doc_id", "_h").distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap.of(losers.select(key.alias("key")), "key", 16))
+    marked = docs.withColumn("_h", F.xxhash64(text_or_empty(text))).withColumn("_touched", maybe_in(bitmap, key))
+    same = marked.where("NOT _touched").select(docs.columns)
+    out = losers.select(F.col("doc_id").alias("_out_id"), F.col("_h").alias("_out_h"))
+    cut = marked.where("_touched").join(out, (F.col("_h") == F.col("_out_h")) & F.col("doc_id").eqNullSafe(F.col("_out_id")), "left_anti")
+    return same.unionByName(cut.select(docs.columns))

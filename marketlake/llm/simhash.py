@@ -15,7 +15,7 @@ repeated rows each get their row; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -53,15 +53,16 @@ def fingerprint(text: bytes, words_each: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words_each: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
-    """doc_id and the fingerprint ``fp`` as a signed long, stored."""
+    """doc_id, hash _h of the text and its fingerprint ``fp`` as a signed long, stored."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py(), words_each, seed) for x in batch.column("body")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_h"), pa.array(found.view(np.int64))], names=["doc_id", "_h", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty(text).cast("binary").alias("body"))
-    return shared.stored(rows.mapInArrow(scan, "doc_id long, fp long"), "fingerprints")
+    whole = shared.text_or_empty(text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole).alias("_h"), whole.cast("binary").alias("body"))
+    return shared.stored(rows.mapInArrow(scan, "doc_id long, _h long, fp long"), "fingerprints")
 
 
 def ball(width: int, radius: int) -> np.ndarray:
@@ -69,8 +70,8 @@ def ball(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)], np.uint64)
 
 
-def star_edges(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what chains of links within ``fps`` connect.
+def local_components(fps: np.ndarray, distance: int) -> np.ndarray:
+    """A label for each fingerprint, equal where chains of links within ``fps`` connect.
 
     Pivots are compared with all; afterwards only what lies outside the largest
     component has to be, for a link that is still unknown has an end there.
@@ -103,36 +104,42 @@ def star_edges(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             if i not in pivots:
                 meet(i, label[i])
         roots = np.array([root(x) for x in range(len(parent))])
-    of = roots[label]
-    order = np.lexsort((fps, of))
-    first = np.r_[True, of[order][1:] != of[order][:-1]]
-    head = fps[order][np.maximum.accumulate(np.where(first, np.arange(n), 0))]
-    return head[~first], fps[order][~first]
+    return roots[label]
 
 
-def link_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified edges among the fingerprints of equal keys; ``keys`` are sorted."""
+def link_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
+    """Rows (a, b, in_pairs) of verified links among the fingerprints of equal, sorted keys.
+
+    Up to FEW linked fingerprints give all their pairs; more are tied to one of
+    theirs (in_pairs 0), which may be further than ``distance`` away.
+    """
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    a, b = [], []
+    found = []
+
+    def pairs(group: np.ndarray, values: np.ndarray, at: np.ndarray) -> None:
+        for step in range(1, FEW):
+            at = at[at + step < len(group)]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                return
+            linked = at[np.bitwise_count(values[at] ^ values[at + step]) <= distance]
+            found.append(np.stack([values[linked], values[linked + step], np.ones(len(linked), np.uint64)], 1))
+
     size_at = np.repeat(sizes, sizes)
-    at = np.flatnonzero((size_at > 1) & (size_at <= FEW))
-    for step in range(1, FEW):
-        at = at[at + step < len(keys)]
-        at = at[keys[at] == keys[at + step]]
-        if not len(at):
-            break
-        linked = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= distance]
-        a.append(fps[linked])
-        b.append(fps[linked + step])
+    pairs(keys, fps, np.flatnonzero((size_at > 1) & (size_at <= FEW)))
     for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-        x, y = star_edges(fps[start : start + size], distance)
-        a.append(x)
-        b.append(y)
-    if not a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    return both[:, 0], both[:, 1]
+        label = local_components(fps[start : start + size], distance)
+        order = np.argsort(label, kind="stable")
+        own, values = label[order], fps[start : start + size][order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        count = np.diff(np.r_[first, size])
+        count_at = np.repeat(count, count)
+        pairs(own, values, np.flatnonzero((count_at > 1) & (count_at <= FEW)))
+        head = np.repeat(values[first], count)
+        many = (count_at > FEW) & (head != values)
+        found.append(np.stack([head[many], values[many], np.zeros(int(many.sum()), np.uint64)], 1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.uint64)
 
 
 def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -150,7 +157,7 @@ def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 def links(unique: DataFrame, distance: int = 4, segments: int = 2) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints ``fp`` whose components are those of all links within ``distance``."""
+    """Edges (a, b, in_pairs) over distinct fingerprints ``fp`` whose components are those of all links within ``distance``."""
     n = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width, radius = 64 // segments, distance // segments
     near = ball(width, (radius + 1) // 2)  # half the radius on either side
@@ -166,20 +173,76 @@ def links(unique: DataFrame, distance: int = 4, segments: int = 2) -> DataFrame:
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, fps in whole_runs(batches):
-            a, b = link_runs(keys, fps, distance)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            edges = link_runs(keys, fps, distance).view(np.int64)
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(edges[:, 2] == 1)], names=["a", "b", "in_pairs"])
 
     table = unique.select("fp").mapInArrow(spread, "key long, fp long")
-    return table.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    return table.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, in_pairs boolean")
+
+
+def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float, words_each: int, text: str = "text") -> DataFrame:
+    """The edges whose texts' word shingles have a Jaccard similarity of at least ``least``.
+
+    For each fingerprint one text is read, that of its smallest doc_id; a bitmap
+    of bounded size picks those texts, only their shingles' hashes move.
+    """
+    ends = shared.stored(edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(unique, "fp").select("fp", "first_id"), "fingerprints-asked")
+    bitmap = docs.sparkSession.sparkContext.broadcast(shared.Bitmap.of(ends, "first_id"))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pydict({"doc_id": [doc_id], "set": [shingle_set(body, words_each).view(np.int64)]}, pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))]))
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty(text).cast("binary").alias("body"))
+    sets = rows.where(shared.maybe_in(bitmap, F.col("doc_id"))).mapInArrow(scan, "doc_id long, set array<long>")
+    sets = shared.stored(ends.join(sets, ends.first_id == sets.doc_id).select("fp", "set"), "fingerprints-shingles")
+    left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return edges.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, find_links: Callable[..., DataFrame] = links) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id that chains of links reach) for every row."""
-    rows = fingerprints(docs, words_each)
+def shingle_set(text: bytes, words_each: int) -> np.ndarray:
+    words = text.translate(_LOWER).split()
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + words_each])) for i in range(max(1, len(words) - words_each + 1))} if words else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, sure: int | None = None, least: float = 0.8, least_words: int = 5, text: str = "text") -> DataFrame:
+    """doc_id, _h, fp, root and component_id (smallest doc_id that chains of links reach) for every row.
+
+    Links of more than ``sure`` bits, where that is given, must also have a
+    similarity of ``least`` over shingles of ``least_words`` words; fingerprints
+    of which more than FEW hang together are taken to be copies without that.
+    """
+    rows = fingerprints(docs, words_each, text=text)
     unique = shared.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints-distinct")
-    nodes = graph.components(find_links(unique, distance, segments))
+    edges = links(unique, distance, segments)
+    if sure is not None and sure < distance:
+        edges = shared.stored(edges.distinct(), "links")
+        far = F.col("in_pairs") & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > sure)
+        edges = edges.where(~far).select("a", "b").union(similar(edges.where(far).select("a", "b").distinct(), unique, docs, least, least_words, text).select("a", "b"))
+    nodes = graph.components(edges)
     linked = unique.join(nodes, unique.fp == nodes.node).select("fp", "root", "first_id")
-    named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    unique = unique.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(unique, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    unique = unique.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return rows.join(unique, "fp").select("doc_id", "_h", "fp", "root", "component_id")
+
+
+def deduped(docs: DataFrame, distance: int = 8, words_each: int = 4, segments: int = 3, sure: int = 4, least: float = 0.8, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each near-duplicate group, in their own columns."""
+    found = shared.stored(near_duplicates(docs, distance, words_each, segments, sure, least, text=text).select("doc_id", "_h", "root"), "near-groups")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")
+    first = shared.stored(found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "near-first")
+    losers = found.join(first, "root").where(place != F.col("first")).select("doc_id", "_h")
+    return shared.without(docs, shared.stored(losers, "near-losers"), text)
