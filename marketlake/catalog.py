@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import market
+from .plans import indicators, market, marts
 
-_PLANS = [market]
+_PLANS = [market, marts, indicators]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,7 +18,8 @@ def compute_window(ticks: DataFrame, every: str, period: str | None = None) -> D
     out = found.select("symbol", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count", "price", "first_ts")
     if period != every:
         first = F.min("first_ts").over(Window.partitionBy("symbol"))
-        out = out.withColumn("first_slot", F.window(first, every).start).where("window_start >= first_slot").drop("first_slot")
+        # starts are whole slots, so those after the slot before the first tick's
+        out = out.withColumn("first_ts", first).where(F.col("window_start") > F.col("first_ts") - F.expr(f"INTERVAL {every}"))
     return out.drop("first_ts")
 
 
@@ -32,3 +33,17 @@ def compute_delta(windows: DataFrame, threshold: float = 50.0) -> DataFrame:
     }).withColumn(
         "delta_pct", F.try_divide(F.col("delta"), F.when(F.col("prev_price") != 0, F.col("prev_price"))) * 100,
     ).withColumn("trending_up", F.coalesce(F.col("delta_pct") > threshold, F.lit(False)))
+
+
+def trending_rank(windows: DataFrame, limit: int = 100) -> DataFrame:
+    """Change of the row count from the symbol's previous window, ranked densely by percent.
+
+    The rank of the first ``limit`` rows needs those rows only, so the global
+    order is over them.
+    """
+    w = Window.partitionBy("symbol").orderBy("window_start")
+    rows = windows.withColumn("previous", F.lag("count").over(w)).withColumn("delta", F.col("count") - F.col("previous"))
+    rows = rows.withColumn("delta_pct", F.try_divide(F.col("delta"), F.when(F.col("previous") != 0, F.col("previous"))) * 100).where("delta_pct IS NOT NULL")
+    rows = rows.select(F.coalesce("symbol", F.lit("GLOBAL")).alias("source"), "window_start", "window_end", F.col("count").alias("value"), "delta", "delta_pct")
+    top = rows.orderBy(F.desc("delta_pct"), F.desc("value"), "source", "window_start").limit(limit)
+    return top.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("delta_pct"))))
