@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import indicators, market, marts
+from .plans import indicators, lake, market, marts
 
-_PLANS = [market, marts, indicators]
+_PLANS = [market, marts, indicators, lake]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 _STRICT = "yyyy-MM-dd'T'HH:mm:ss"
 #: Formats of the lenient time parser, in order.
-_LENIENT = [
-    _STRICT + "XXX", _STRICT + "XX", _STRICT + ".[SSSSSSSSS][SSSSSSSS][SSSSSSS][SSSSSS][SSSSS][SSSS][SSS][SS][S]XXX", _STRICT,
-    _STRICT + ".[SSSSSSSSS][SSSSSSSS][SSSSSSS][SSSSSS][SSSSS][SSSS][SSS][SS][S]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.[SSSSSS][SSS]",
-    "yyyy-MM-dd HH:mm", "EEE, d MMM yyyy HH:mm:ss XX", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss XX", "dd-MM-yyyy HH:mm", "MMM d, yyyy", "yyyy/MM/dd", "yyyy-MM-dd",
-]
+_LENIENT = ["yyyy-MM-dd['T'][ ]HH:mm[:ss][.SSSSSSSSS][XXX][XX]", "d MMM yyyy HH:mm:ss XX", "dd-MM-yyyy HH:mm", "MMM d, yyyy", "yyyy/MM/dd", "yyyy-MM-dd"]
 
 
 def col(c: Column | str) -> Column:
@@ -75,7 +71,8 @@ def parse_strict_utc(c: Column | str) -> Column:
 
 def parse_flexible_utc(c: Column | str, fallback: Column | str | None = None) -> Column:
     """ISO forms, mail dates and loose dates in turn, then ``fallback``."""
-    text = F.trim(col(c).cast("string"))
+    # mail dates: the day's name says nothing new, and zone names become offsets
+    text = F.regexp_replace(F.regexp_replace(F.trim(col(c).cast("string")), "^[A-Za-z]{3}, ", ""), " (GMT|UTC|UT)$", " +0000")
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in _LENIENT]
     return F.coalesce(*tries, *([F.lit(fallback).cast("timestamp")] if fallback is not None else []))
 
