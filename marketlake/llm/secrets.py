@@ -8,7 +8,8 @@ findings, and joins them back to all paths that ever held the blob.
 
 Defined cases: a null text is the empty blob and has no findings; repeated rows
 share their blob's findings; null path ids are kept; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored.  One scan at a time may append to a
+ledger, so that each blob has one row for each rule version.
 """
 
 from __future__ import annotations
@@ -134,4 +135,4 @@ def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, pa
         ledger = None
     scan_unseen(docs, ledger, rule_version, text).write.mode("append").option("compression", "zstd").parquet(ledger_path)
     ledger = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path).where(F.col("rule_version") == rule_version)
-    return versions(docs, path, text).join(ledger.dropDuplicates(["blob"]), "blob")
+    return versions(docs, path, text).join(ledger, "blob")
