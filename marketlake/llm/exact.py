@@ -184,7 +184,8 @@ def dedup(docs: DataFrame, text: str = "text", capacity: int = CAPACITY) -> Data
     index = build_index(rows, capacity)
     checked = index.entries.join(verify(index, docs, text), ["key", "sha"], "left")
     sound = F.when(F.coalesce("n_texts", F.lit(1)) > 1, F.raise_error(F.lit("different texts have one SHA-256 digest"))).otherwise(F.col("group_size"))
-    checked = checked.select("key", "sha", "keep_id", "keep_row", sound.alias("group_size"))
+    # stored, so that the last join stands alone and Spark can split its hot keys
+    checked = shared.stored(checked.select("key", "sha", "keep_id", "keep_row", sound.alias("group_size")), "exact-checked")
     return rows.join(checked, ["key", "sha"]).select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), "_h")
 
 
