@@ -235,8 +235,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, seg
     nodes = graph.components(edges)
     linked = unique.join(nodes, unique.fp == nodes.node).select("fp", "root", "first_id")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    # stored, so that the last join stands alone and Spark can split its hot keys
     unique = unique.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(unique, "fp").select("doc_id", "_h", "fp", "root", "component_id")
+    return rows.join(shared.stored(unique, "components"), "fp").select("doc_id", "_h", "fp", "root", "component_id")
 
 
 def deduped(docs: DataFrame, distance: int = 8, words_each: int = 4, segments: int = 3, sure: int = 4, least: float = 0.8, text: str = "text") -> DataFrame:
