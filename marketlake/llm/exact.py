@@ -193,11 +193,12 @@ def deduped(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, in their own columns."""
     rows = shared.stored(dedup(docs, text).groupBy("doc_id", "_h").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "exact-identities")
     out = shared.without(docs, rows.where("NOT kept"), text)
-    repeated = rows.where("kept AND n > 1").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"))
+    repeated = rows.where("kept AND n > 1").select("doc_id", "_h")
     if repeated.isEmpty():
         return out
     # the very same row more than once: only these are grouped whole
-    here = docs.withColumn("_h", F.xxhash64(shared.text_or_empty(text))).join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    once = here.dropDuplicates(["doc_id", "_h"]).select(docs.columns)
-    return shared.without(out, rows.where("kept AND n > 1"), text).unionByName(once)
-
+    marked, h = shared.identity(docs, text)
+    out_id, out_h = shared.free_name(marked, "_out_id"), shared.free_name(marked, "_out_hash")
+    names = repeated.select(F.col("doc_id").alias(out_id), F.col("_h").alias(out_h))
+    once = marked.join(names, F.col("doc_id").eqNullSafe(F.col(out_id)) & (F.col(h) == F.col(out_h)), "left_semi").dropDuplicates(["doc_id", h])
+    return shared.without(out, repeated, text).unionByName(once.select(docs.columns))

@@ -123,9 +123,22 @@ def maybe_in(bitmap: Broadcast, key: Column) -> Column:
     return has(key)
 
 
-def identified(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _h (hash of the text) and text: what tells rows apart across two reads of a table."""
-    return docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("_h"), F.col(text).alias("text"))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with more underscores where the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def identity(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """The rows of ``docs`` with a hash of their text, and that column's free name.
+
+    doc_id and this hash tell rows apart across two reads of a table, in which
+    row numbers need not agree.
+    """
+    name = free_name(docs, "_text_hash")
+    return docs.withColumn(name, F.xxhash64(text_or_empty(text))), name
 
 
 def without(docs: DataFrame, losers: DataFrame, text: str = "text") -> DataFrame:
@@ -134,11 +147,13 @@ def without(docs: DataFrame, losers: DataFrame, text: str = "text") -> DataFrame
     Only rows that a bitmap of bounded size lets pass take part in the join, so
     the texts of most documents stay where they are.
     """
-    key = F.xxhash64("doc_id", "_h")
     losers = losers.select("doc_id", "_h").distinct()
-    bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap.of(losers.select(key.alias("key")), "key", 16))
-    marked = docs.withColumn("_h", F.xxhash64(text_or_empty(text))).withColumn("_touched", maybe_in(bitmap, key))
-    same = marked.where("NOT _touched").select(docs.columns)
-    out = losers.select(F.col("doc_id").alias("_out_id"), F.col("_h").alias("_out_h"))
-    cut = marked.where("_touched").join(out, (F.col("_h") == F.col("_out_h")) & F.col("doc_id").eqNullSafe(F.col("_out_id")), "left_anti")
+    bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap.of(losers.select(F.xxhash64("doc_id", "_h").alias("key")), "key", 16))
+    marked, h = identity(docs, text)
+    touched = free_name(marked, "_touched")
+    marked = marked.withColumn(touched, maybe_in(bitmap, F.xxhash64(F.col("doc_id"), F.col(h))))
+    same = marked.where(~F.col(touched)).select(docs.columns)
+    out_id, out_h = free_name(marked, "_out_id"), free_name(marked, "_out_hash")
+    out = losers.select(F.col("doc_id").alias(out_id), F.col("_h").alias(out_h))
+    cut = marked.where(F.col(touched)).join(out, (F.col(h) == F.col(out_h)) & F.col("doc_id").eqNullSafe(F.col(out_id)), "left_anti")
     return same.unionByName(cut.select(docs.columns))

@@ -184,9 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
     return Model(wanted, w, cuts)
 
 
-def _scan(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    """The rows of ``docs`` with _p_toxic and _severity."""
-    fields = StructType([*docs.schema.fields, StructField("_p_toxic", DoubleType()), StructField("_severity", DoubleType())])
+def _scan(docs: DataFrame, model: Model, text: str) -> tuple[DataFrame, str, str]:
+    """The rows of ``docs`` with two more columns, and their names: P(grade >= 1) and the expected grade."""
+    p_toxic, severity = shared.free_name(docs, "_p_toxic"), shared.free_name(docs, "_severity")
+    fields = StructType([*docs.schema.fields, StructField(p_toxic, DoubleType()), StructField(severity, DoubleType())])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counts(model.wanted)
@@ -197,19 +198,20 @@ def _scan(docs: DataFrame, model: Model, text: str) -> DataFrame:
                 found, _, _ = count(raw if isinstance(raw, bytes) else (raw or "").encode())
                 sums[i] = sum(model.weights[k] * v for k, v in found.items())
             above = model.above(sums)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(1))], names=[*batch.schema.names, "_p_toxic", "_severity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(1))], names=[*batch.schema.names, p_toxic, severity])
 
-    return docs.mapInArrow(scan, fields)
+    return docs.mapInArrow(scan, fields), p_toxic, severity
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, p_toxic, severity (expected grade, 0 to GRADES), grade (its nearest), rejected."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty(text).cast("binary").alias("body"))
-    scored = _scan(rows, model, "body").drop("body")
-    grade = F.round("_severity").cast("int").alias("grade")
-    return scored.select("doc_id", F.col("_p_toxic").alias("p_toxic"), F.col("_severity").alias("severity"), grade, (F.col("_p_toxic") >= 0.5).alias("rejected"))
+    scored, p_toxic, severity = _scan(rows, model, "body")
+    grade = F.round(severity).cast("int").alias("grade")
+    return scored.select("doc_id", F.col(p_toxic).alias("p_toxic"), F.col(severity).alias("severity"), grade, (F.col(p_toxic) >= 0.5).alias("rejected"))
 
 
 def filtered(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with their own columns."""
-    return _scan(docs, model, text).where("_p_toxic < 0.5").select(docs.columns)
+    scored, p_toxic, _ = _scan(docs, model, text)
+    return scored.where(F.col(p_toxic) < 0.5).select(docs.columns)
