@@ -61,6 +61,17 @@ def load_ticks(spark: SparkSession, path: str, symbol: str | None = None) -> Dat
     return usable_ticks(spark.read.parquet(path), symbol)
 
 
+def load_ticks_jdbc(spark: SparkSession, url: str, table: str, partitions: int = 16, bounds: tuple[str, str] | None = None, symbol: str | None = None) -> DataFrame:
+    """Ticks of a database table, read in ``partitions`` ranges of fetched_at; filters reach the database.
+
+    Needs the database's driver on the class path.
+    """
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    if bounds:
+        reader = reader.options(partitionColumn="fetched_at", lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
+    return usable_ticks(reader.load(), symbol)
+
+
 def overwrite_result(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
