@@ -20,26 +20,26 @@ def pair_series(bucketed: DataFrame, a: str, b: str) -> DataFrame:
     return side(a, "price_a").join(side(b, "price_b"), "t")
 
 
-def _statistics():
-    r4 = lambda c: F.round(c, 4)
+def _statistics(places: int):
+    rounded = lambda c: F.round(c, places)
     return [
-        r4(F.corr("price_a", "price_b")).alias("correlation_pearson"), F.count("*").alias("n_points"),
-        r4(F.avg("price_a")).alias("mean_a"), r4(F.avg("price_b")).alias("mean_b"), r4(F.stddev_samp("price_a")).alias("std_a"), r4(F.stddev_samp("price_b")).alias("std_b"),
+        rounded(F.corr("price_a", "price_b")).alias("correlation_pearson"), F.count("*").alias("n_points"),
+        rounded(F.avg("price_a")).alias("mean_a"), rounded(F.avg("price_b")).alias("mean_b"), rounded(F.stddev_samp("price_a")).alias("std_a"), rounded(F.stddev_samp("price_b")).alias("std_b"),
     ]
 
 
-def pearson_pair(bucketed: DataFrame, a: str, b: str, least: int = 3) -> DataFrame:
-    out = pair_series(bucketed, a, b).agg(*_statistics()).where(F.col("n_points") >= least)
+def pearson_pair(bucketed: DataFrame, a: str, b: str, least: int = 3, places: int = 4) -> DataFrame:
+    out = pair_series(bucketed, a, b).agg(*_statistics(places)).where(F.col("n_points") >= least)
     return out.withColumn("strength", correlation_strength("correlation_pearson", "pearson"))
 
 
-def pearson_matrix(bucketed: DataFrame, least: int = 3, top: int = 300) -> DataFrame:
+def pearson_matrix(bucketed: DataFrame, least: int = 3, top: int = 300, places: int = 4) -> DataFrame:
     """Every pair of the ``top`` symbols by points: the report's limit, so a bucket holds ``top`` rows at most."""
     known = bucketed.groupBy("symbol").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol").limit(top).select("symbol")
     rows = bucketed.join(F.broadcast(known), "symbol")
     left = rows.select("t", F.col("symbol").alias("symbol_a"), F.col("price").alias("price_a"))
     right = rows.select("t", F.col("symbol").alias("symbol_b"), F.col("price").alias("price_b"))
-    pairs = left.join(right, "t").where("symbol_a < symbol_b").groupBy("symbol_a", "symbol_b").agg(*_statistics())
+    pairs = left.join(right, "t").where("symbol_a < symbol_b").groupBy("symbol_a", "symbol_b").agg(*_statistics(places))
     return pairs.where(F.col("n_points") >= least).withColumn("strength", correlation_strength("correlation_pearson", "pearson"))
 
 

@@ -73,11 +73,11 @@ def drop_repeated_values(spark, sf_dir):
 
 
 def pearson_pair(spark, sf_dir):
-    return correlate.pearson_pair(_hourly(spark, sf_dir), "S1", "S2")
+    return correlate.pearson_pair(_hourly(spark, sf_dir), "S1", "S2", places=6)
 
 
 def pearson_matrix(spark, sf_dir):
-    return correlate.pearson_matrix(_hourly(spark, sf_dir))
+    return correlate.pearson_matrix(_hourly(spark, sf_dir), places=6)
 
 
 def cross_correlation(spark, sf_dir):
@@ -134,7 +134,7 @@ def _ema(name, span, rows="p", value="price", first=1, start=None):
 
 _P = ", p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fetched_at, id) AS i FROM ticks WHERE price IS NOT NULL)"
 _HOURS = ", h AS (SELECT symbol, date_trunc('hour', fetched_at) AS t, avg(price) AS price FROM ticks WHERE price IS NOT NULL GROUP BY 1, 2)"
-_PEARSON = """round(corr(a.price, b.price), 4) AS correlation_pearson, count(*) AS n_points, round(avg(a.price), 4) AS mean_a, round(avg(b.price), 4) AS mean_b, round(stddev_samp(a.price), 4) AS std_a, round(stddev_samp(b.price), 4) AS std_b"""
+_PEARSON = """round(corr(a.price, b.price), 6) AS correlation_pearson, count(*) AS n_points, round(avg(a.price), 6) AS mean_a, round(avg(b.price), 6) AS mean_b, round(stddev_samp(a.price), 6) AS std_a, round(stddev_samp(b.price), 6) AS std_b"""
 _STRENGTH = "CASE WHEN abs(correlation_pearson) >= 0.9 THEN 'very strong' WHEN abs(correlation_pearson) >= 0.7 THEN 'strong' WHEN abs(correlation_pearson) >= 0.5 THEN 'moderate' WHEN abs(correlation_pearson) >= 0.3 THEN 'weak' ELSE 'very weak' END AS strength"
 _CCF = """, z0 AS (SELECT symbol, price, volume_24h, row_number() OVER (PARTITION BY symbol ORDER BY fetched_at, id) AS i, count(*) OVER s AS n, avg(price) OVER s AS mp, stddev_samp(price) OVER s AS sp, avg(volume_24h) OVER s AS mv, stddev_samp(volume_24h) OVER s AS sv
   FROM ticks WHERE price IS NOT NULL AND volume_24h IS NOT NULL WINDOW s AS (PARTITION BY symbol)),
