@@ -139,10 +139,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     each = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(each, lambda _, i: ~F.array_contains("gone", i)), "\n")
     # texts that lose nothing stay where they are
-    bitmap = docs.sparkSession.sparkContext.broadcast(shared.Bitmap.of(gone, "_row", 16))
-
+    marked, touched = shared.maybe_in(rows, F.col("_row"), gone.select(F.col("_row").alias("key")))
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.size(each)).cast("long").alias("n_lines")
-    marked = rows.withColumn("touched", shared.maybe_in(bitmap, F.col("_row")))
-    same = marked.where("NOT touched").select("doc_id", "text", n_lines, F.lit(0).cast("long").alias("n_deleted"))
-    cut = marked.where("touched").join(gone, "_row", "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), n_lines, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    same = marked.where(~touched).select("doc_id", "text", n_lines, F.lit(0).cast("long").alias("n_deleted"))
+    cut = marked.where(touched).join(gone, "_row", "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), n_lines, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
     return same.unionByName(cut)

@@ -13,11 +13,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Small rows for one task and file.
+ROWS_EACH = 100_000
 #: Text bytes that a Python task works on at once.
 TEXT_BLOCK = 4 << 20
 
@@ -36,10 +36,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marketlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage.
+
+    Where ``rows`` says about how many there are, the last stage has a task for
+    each ROWS_EACH of them instead of one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_EACH + 1)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -113,14 +119,22 @@ class Bitmap:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def maybe_in(bitmap: Broadcast, key: Column) -> Column:
-    """Whether the broadcast bitmap lets the 64-bit key pass; only keys go to Python."""
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, per_key: int = 16) -> tuple[DataFrame, Column]:
+    """``df`` with helper columns, and a condition on it: may ``key`` be among the 64-bit ``keys`` (column key).
 
-    @F.pandas_udf("boolean")
-    def has(keys: pd.Series) -> pd.Series:
-        return pd.Series(bitmap.value.has(keys.to_numpy(np.int64).view(np.uint64)))
-
-    return has(key)
+    The same filter as a Bitmap, within the JVM: its words are at most
+    BITMAP_BITS / 64 rows, which is what is broadcast however many keys there are.
+    """
+    n, size = keys.count(), 16
+    while (1 << size) < min(n * per_key, BITMAP_BITS):
+        size += 1
+    placed = lambda k: (F.shiftrightunsigned(F.xxhash64(k), 64 - size + 6), F.shiftrightunsigned(F.xxhash64(k), 64 - size).bitwiseAND(F.lit(63)).cast("int"))
+    word, bit, bits = (free_name(df, c) for c in ("_word", "_bit", "_bits"))
+    own_word, own_bit = placed(F.col("key"))
+    words = keys.select(own_word.alias(word), own_bit.alias(bit)).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias(bits))
+    key_word, key_bit = placed(key)
+    joined = df.withColumn(word, key_word).withColumn(bit, key_bit).join(F.broadcast(words), word, "left")
+    return joined, F.coalesce(F.expr(f"shiftrightunsigned({bits}, {bit}) & 1") == 1, F.lit(False))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -148,12 +162,10 @@ def without(docs: DataFrame, losers: DataFrame, text: str = "text") -> DataFrame
     the texts of most documents stay where they are.
     """
     losers = losers.select("doc_id", "_h").distinct()
-    bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap.of(losers.select(F.xxhash64("doc_id", "_h").alias("key")), "key", 16))
     marked, h = identity(docs, text)
-    touched = free_name(marked, "_touched")
-    marked = marked.withColumn(touched, maybe_in(bitmap, F.xxhash64(F.col("doc_id"), F.col(h))))
-    same = marked.where(~F.col(touched)).select(docs.columns)
+    marked, touched = maybe_in(marked, F.xxhash64(F.col("doc_id"), F.col(h)), losers.select(F.xxhash64("doc_id", "_h").alias("key")))
+    same = marked.where(~touched).select(docs.columns)
     out_id, out_h = free_name(marked, "_out_id"), free_name(marked, "_out_hash")
     out = losers.select(F.col("doc_id").alias(out_id), F.col("_h").alias(out_h))
-    cut = marked.where(F.col(touched)).join(out, (F.col(h) == F.col(out_h)) & F.col("doc_id").eqNullSafe(F.col(out_id)), "left_anti")
+    cut = marked.where(touched).join(out, (F.col(h) == F.col(out_h)) & F.col("doc_id").eqNullSafe(F.col(out_id)), "left_anti")
     return same.unionByName(cut.select(docs.columns))

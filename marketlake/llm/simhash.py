@@ -188,7 +188,6 @@ def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float,
     of bounded size picks those texts, only their shingles' hashes move.
     """
     ends = shared.stored(edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(unique, "fp").select("fp", "first_id"), "fingerprints-asked")
-    bitmap = docs.sparkSession.sparkContext.broadcast(shared.Bitmap.of(ends, "first_id"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +195,8 @@ def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float,
                 yield pa.RecordBatch.from_pydict({"doc_id": [doc_id], "set": [shingle_set(body, words_each).view(np.int64)]}, pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))]))
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty(text).cast("binary").alias("body"))
-    sets = rows.where(shared.maybe_in(bitmap, F.col("doc_id"))).mapInArrow(scan, "doc_id long, set array<long>")
+    marked, asked = shared.maybe_in(rows, F.col("doc_id"), ends.select(F.col("first_id").alias("key")).where("key IS NOT NULL"), 64)
+    sets = marked.where(asked).select("doc_id", "body").mapInArrow(scan, "doc_id long, set array<long>")
     sets = shared.stored(ends.join(sets, ends.first_id == sets.doc_id).select("fp", "set"), "fingerprints-shingles")
     left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b"))
 

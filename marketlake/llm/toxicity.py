@@ -32,7 +32,9 @@ BEGINNINGS = (4, 5, 6, 7)
 GRADES = 3
 #: A feature must stand in so many toxic rows, and be so many deviations more usual there.
 LEAST_ROWS, LEAST_Z, LEAST_ODDS = 3, 3.0, 1.5
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Names that a counting task holds before it passes them on.
+HELD = 100_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -118,12 +120,15 @@ def select_features(rows: DataFrame) -> dict[str, int]:
     """The features that toxic rows (y = 1) favour most, numbered; what reaches the driver is bounded by the sample."""
 
     def toxic_names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
         for batch in batches:
-            counts: Counter[str] = Counter()
             for body in batch.column("body"):
                 counts.update({x for w in set(words_of(body.as_py())) for x in names_of(w)})
-            if counts:
-                yield pa.RecordBatch.from_pydict({"name": list(counts), "n": list(counts.values())})
+                if len(counts) > HELD:
+                    yield pa.RecordBatch.from_pydict({"name": list(counts), "n": list(counts.values())})
+                    counts = Counter()
+        if counts:
+            yield pa.RecordBatch.from_pydict({"name": list(counts), "n": list(counts.values())})
 
     hits = rows.where("y > 0").select("body").mapInArrow(toxic_names, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS)
     in_toxic = {r[0]: r[1] for r in hits.toLocalIterator()}
