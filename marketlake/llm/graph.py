@@ -28,11 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
         # every larger neighbour moves to the smallest neighbour
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        least = shared.stored(least, "least")  # so that the join stands alone and a hub's edges can be split
+        least = shared.stored(least, "least", 2 * now[0])  # so that the join stands alone and a hub's edges can be split
         edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # every smaller neighbour, and the node itself, moves to the smallest neighbour
-        edges = shared.stored(edges, "edges")
-        least = shared.stored(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+        edges = shared.stored(edges, "edges", now[0])
+        least = shared.stored(edges.groupBy("a").agg(F.min("b").alias("m")), "least", now[0])
         moved = edges.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        edges = shared.stored(moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        edges = shared.stored(moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges", now[0])
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
