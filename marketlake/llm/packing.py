@@ -23,11 +23,11 @@ no pieces.
 from __future__ import annotations
 
 import base64
+import re
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+#: A space that has other white space beside it.
+_SPACE_FIRST, _SPACE_LAST = re.compile(r" \s"), re.compile(r"[^\S ] ")
 END_ID = 0
 #: Words that a task remembers the ids of; later new ones are encoded each time.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: So many cut documents at most are broadcast; more are joined by a shuffle.
 BROADCAST_CUT = 100_000
 SWEEPS = 25
@@ -56,9 +58,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None) -> None:
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer_path, self.tokenizer = tokenizer_path, None
         self.known: dict[str, bytes] = {}
         self.fast = None
         if ranks_path and pattern:
@@ -68,9 +68,17 @@ class Encoder:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def whole(self, text: str) -> list[int]:
+        """By the tokenizer file, which is read when it is first needed."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.tokenizer_path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _encode(self, text: str) -> bytes:
         if self.fast is None or "<|" in text:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
+            ids = self.whole(text)
         else:
             ids = self.fast.encode_ordinary(text)
         return np.array(ids, np.uint32).tobytes()
@@ -86,9 +94,8 @@ class Encoder:
     @staticmethod
     def words(text: str) -> list[str]:
         """The text cut before single spaces between two characters that aren't white space."""
-        parts = text.replace(" ", "\0 ").split("\0")
-        if parts[0] and not any(len(p) < 2 or p[1].isspace() or p[-1].isspace() for p in parts[1:]) and not parts[0][-1].isspace() and "\0" not in text:
-            return parts
+        if text and text[0] != " " and text[-1] != " " and "\0" not in text and not _SPACE_FIRST.search(text) and not _SPACE_LAST.search(text):
+            return text.replace(" ", "\0 ").split("\0")
         cut, parts = [], text.split(" ")
         glue = True
         for i, part in enumerate(parts):
