@@ -38,9 +38,17 @@ def _start(values: pd.Series, span: int, seed: str) -> tuple[int, np.ndarray]:
     return span - 1, _average(rest, span, None)
 
 
-def with_ema(df: DataFrame, spans: dict[str, int], value: str = "price", seed: str = "first", by: str = "symbol", block_rows: int = series.BLOCK_ROWS) -> DataFrame:
+def last_block(df: DataFrame, by: str = "symbol", block_rows: int = series.BLOCK_ROWS) -> int:
+    """The last block's number of the longest series: a grouped count, best taken before costly columns are added."""
+    longest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    return max(0, longest - 1) // block_rows
+
+
+def with_ema(df: DataFrame, spans: dict[str, int], value: str = "price", seed: str = "first", by: str = "symbol", block_rows: int = series.BLOCK_ROWS, n_blocks: int | None = None) -> DataFrame:
     """Add a column for each of ``spans`` (name -> span) over rows that have ``_i`` and no null ``value``.
 
+    ``n_blocks`` is the result of last_block, where the caller knows it.
+
     seed "first" starts at the first value; "sma" at the mean of the first span
     rows, with null before.
     """
@@ -51,7 +59,8 @@ def with_ema(df: DataFrame, spans: dict[str, int], value: str = "price", seed: s
     names = list(spans)
     rows = df.withColumn("_block", F.floor(F.col("_i") / block_rows))
     out = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in names)])
-    n_blocks = rows.agg(F.max("_block")).first()[0] or 0
+    if n_blocks is None:
+        n_blocks = last_block(df, by, block_rows)
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
@@ -78,7 +87,7 @@ def with_ema(df: DataFrame, spans: dict[str, int], value: str = "price", seed: s
         return pdf[[f.name for f in out.fields]]
 
     if n_blocks == 0:
-        filled = rows.groupBy(by, "_block").applyInPandas(lambda pdf: apply(pdf), out)
+        filled = rows.groupBy(by, "_block").applyInPandas(apply, out)
     else:
         kind = df.schema[by].dataType.simpleString()
         schema = f"{by} {kind}, _block long, " + ", ".join(f"a_{n} double, b_{n} double" for n in names)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_or_zero, ieee_div, percent
 
-from .ema import with_ema
+from .ema import last_block, with_ema
 from .series import last, rolling
 
 
@@ -109,7 +109,9 @@ def with_averages(df: DataFrame, window: int, types: Iterable[str] = ("sma", "wm
         return rows
 
     out = rolling(df.where(F.col(value).isNotNull()), window, compute, order=order)
-    return with_ema(out, {"ema": window}, value, seed) if "ema" in types else out
+    if "ema" not in types:
+        return out
+    return with_ema(out, {"ema": window}, value, seed, n_blocks=last_block(df.where(F.col(value).isNotNull())))
 
 
 def moving_averages(bucketed: DataFrame, window: int, types: Iterable[str] = ("sma", "wma", "ema"), places: int = 4) -> DataFrame:
@@ -145,9 +147,10 @@ def technical_features(ticks: DataFrame) -> DataFrame:
         df = df.withColumn("rsi", F.coalesce(100 - 100 / (1 + F.try_divide(gain, loss)), F.lit(50.0)))
         return df.withColumns({"bb_std": F.stddev_samp("price").over(last(w, 20)), "volatility": F.stddev_samp("price").over(last(w, 10))}).drop("_gain", "_loss")
 
-    out = with_ema(rolling(priced(ticks), 60, compute), {"ema_12": 12, "ema_26": 26})
+    n_blocks = last_block(priced(ticks))
+    out = with_ema(rolling(priced(ticks), 60, compute), {"ema_12": 12, "ema_26": 26}, n_blocks=n_blocks)
     out = out.withColumn("macd", F.col("ema_12") - F.col("ema_26"))
-    out = with_ema(out, {"macd_signal": 9}, "macd").withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
+    out = with_ema(out, {"macd_signal": 9}, "macd", n_blocks=n_blocks).withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
     lower, upper = F.col("price_ma_20") - 2 * F.col("bb_std"), F.col("price_ma_20") + 2 * F.col("bb_std")
     out = out.withColumns({
         "bb_middle": F.col("price_ma_20"), "bb_upper": upper, "bb_lower": lower, "bb_position": F.try_divide(F.col("price") - lower, upper - lower),
@@ -188,7 +191,7 @@ def ma_signals(ticks: DataFrame, rsi_period: int = 14) -> DataFrame:
         leaves = F.when((rsi_before <= 30) & (rsi > 30), "buy").when((rsi_before >= 70) & (rsi < 70), "sell").otherwise("none")
         return df.withColumn("rsi_exit", leaves).drop("_gain", "_loss")
 
-    out = with_ema(rolling(priced(ticks), 202, compute), {"ema_10": 10, "ema_50": 50}).withColumn("signal", (F.col("ema_10") > F.col("ema_50")).cast("int"))
+    out = with_ema(rolling(priced(ticks), 202, compute), {"ema_10": 10, "ema_50": 50}, n_blocks=last_block(priced(ticks))).withColumn("signal", (F.col("ema_10") > F.col("ema_50")).cast("int"))
 
     def crosses(df: DataFrame, w: WindowSpec) -> DataFrame:
         return df.withColumn("crossover", F.coalesce(F.col("signal") != F.lag("signal").over(w), F.lit(False)))
