@@ -8,6 +8,10 @@ enumerated half on the stored and half on the asking side, so one table of
 all bits.  A key's many fingerprints are linked through pivots instead of in all
 pairs, which leaves the same components.
 
+``deduped`` also links texts of more differing bits whose shingle sets are similar.  Texts that share one of their KEYS smallest shingle
+hashes meet, signatures of SIGNATURE one-bit min-hashes sort out what cannot be
+similar, and what is left is compared exactly.
+
 Defined cases: a null or wordless text has fingerprint 0 and links like any
 other; a null doc_id takes part but never names a component that has another;
 repeated rows each get their row; an empty table gives an empty result.
@@ -31,6 +35,15 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _AT_ONCE = 1 << 16
 #: Up to so many fingerprints under a key are compared in all pairs.
 FEW = 16
+#: Shingle hashes under which a text is found; two texts of similarity j share none of them in (1 - j) ** KEYS of all cases at most.
+KEYS = 12
+#: Bits of a signature; a bit differs in (1 - j) / 2 of all cases.
+SIGNATURE = 512
+#: Standard deviations that a signature may differ more than expected.
+SPREAD = 6
+#: Rows under a key that are compared in one group.
+BLOCK = 512
+_FACTORS = np.random.default_rng(42).integers(0, 2**63, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, words_each: int = 4, seed: int = 42) -> int:
@@ -181,23 +194,25 @@ def links(unique: DataFrame, distance: int = 4, segments: int = 2) -> DataFrame:
     return table.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, in_pairs boolean")
 
 
-def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float, words_each: int, text: str = "text") -> DataFrame:
+def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float, words_each: int, text: str = "text", by_text: bool = False) -> DataFrame:
     """The edges whose texts' word shingles have a Jaccard similarity of at least ``least``.
 
-    For each fingerprint one text is read, that of its smallest doc_id; a bitmap
-    of bounded size picks those texts, only their shingles' hashes move.
+    For each end one text is read, that of its ``first_id``: a doc_id, or with
+    ``by_text`` a hash of the text.  A bitmap of bounded size picks those texts,
+    only their shingles' hashes move.
     """
     ends = shared.stored(edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(unique, "fp").select("fp", "first_id"), "fingerprints-asked")
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pydict({"doc_id": [doc_id], "set": [shingle_set(body, words_each).view(np.int64)]}, pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))]))
+            for key, body in zip(batch.column("text_key").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pydict({"text_key": [key], "set": [shingle_set(body, words_each).view(np.int64)]}, pa.schema([("text_key", pa.int64()), ("set", pa.list_(pa.int64()))]))
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty(text).cast("binary").alias("body"))
-    marked, asked = shared.maybe_in(rows, F.col("doc_id"), ends.select(F.col("first_id").alias("key")).where("key IS NOT NULL"), 64)
-    sets = marked.where(asked).select("doc_id", "body").mapInArrow(scan, "doc_id long, set array<long>")
-    sets = shared.stored(ends.join(sets, ends.first_id == sets.doc_id).select("fp", "set"), "fingerprints-shingles")
+    whole = shared.text_or_empty(text)
+    rows = docs.select((F.xxhash64(whole) if by_text else F.col("doc_id").cast("long")).alias("text_key"), whole.cast("binary").alias("body")).where("text_key IS NOT NULL")
+    marked, asked = shared.maybe_in(rows, F.col("text_key"), ends.select(F.col("first_id").alias("key")).where("key IS NOT NULL"), 64)
+    sets = marked.where(asked).select("text_key", "body").mapInArrow(scan, "text_key long, set array<long>")
+    sets = shared.stored(ends.join(sets, ends.first_id == sets.text_key).select("fp", "set").dropDuplicates(["fp"]), "fingerprints-shingles")
     left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,25 +228,154 @@ def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float,
 
 
 def shingle_set(text: bytes, words_each: int) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, sorted."""
     words = text.translate(_LOWER).split()
-    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + words_each])) for i in range(max(1, len(words) - words_each + 1))} if words else set()
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - words_each + 1)
+    found = np.zeros(n, np.uint64)
+    for i in range(min(words_each, len(words))):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n]
+    found = (found ^ found >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(found ^ found >> np.uint64(32))
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """A bit of each of SIGNATURE min-hashes."""
+    bits = np.zeros(SIGNATURE, bool)
+    for at in range(0, SIGNATURE, 64):
+        least = np.full(64, np.iinfo(np.uint64).max)
+        for start in range(0, len(shingles), _AT_ONCE):
+            least = np.minimum(least, (shingles[start : start + _AT_ONCE, None] * _FACTORS[None, at : at + 64]).min(0))
+        bits[at : at + 64] = (least >> np.uint64(31) & np.uint64(1)).astype(bool)
+    return np.packbits(bits).tobytes()
+
+
+def sketches(docs: DataFrame, rows: DataFrame, words_each: int, text: str = "text") -> DataFrame:
+    """_h, fp, number n of shingles, keys and signature ``sig`` of each distinct text, stored."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), words_each) for x in batch.column("body")]
+            keys = pa.array([x[:KEYS].view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array([len(x) for x in sets], pa.int64()), keys, pa.array([signature(x) for x in sets], pa.binary())], names=["_h", "n", "keys", "sig"])
+
+    whole = shared.text_or_empty(text)
+    found = docs.select(F.xxhash64(whole).alias("_h"), whole.cast("binary").alias("body")).mapInArrow(scan, "_h long, n long, keys array<long>, sig binary")
+    return shared.stored(found.dropDuplicates(["_h"]).join(rows.select("_h", "fp").distinct(), "_h"), "sketches")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, sure: int | None = None, least: float = 0.8, least_words: int = 5, text: str = "text") -> DataFrame:
+def in_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of batches sorted by ``key``, cut so that no key is split."""
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = held.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if cut:
+            yield held.slice(0, cut)
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def promising(found: pa.Table, least: float):
+    """A function of row numbers a, b of ``found``: which pairs may have a similarity of ``least``."""
+    n, sig = found.column("n").to_numpy(), np.frombuffer(b"".join(found.column("sig").to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
+    differs = (1 - least) / 2
+    most = SIGNATURE * differs + SPREAD * (SIGNATURE * differs * (1 - differs)) ** 0.5
+
+    def ask(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        of_size = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])
+        a, b = np.broadcast_arrays(a, b)
+        of_size[of_size] = np.bitwise_count(sig[a[of_size]] ^ sig[b[of_size]]).sum(1, dtype=np.int64) <= most
+        return of_size
+
+    return ask
+
+
+def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, sure: int, most: int, least: float, words_each: int, text: str = "text") -> DataFrame:
+    """Edges (a, b) of fingerprints whose components, with those of ``edges``, are those of all texts of similarity ``least`` that differ in ``most`` bits at most.
+
+    Up to FEW texts under a key are compared in all pairs.  Those of a fuller key
+    are dealt to blocks, and neighbours of a random order are compared first.
+    What then still lies in different components is compared in all pairs, block
+    by block, so that no key is one task.
+    """
+    n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = sketched.select("_h", "fp", "n", "sig", F.explode("keys").alias("key"))
+    full = shared.stored(each.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > FEW), "full-keys")
+    cuts = F.ceil(F.coalesce("size", F.lit(1)) / F.lit(BLOCK))
+    each = each.join(full, "key", "left").withColumn("cuts", cuts).withColumn("block", F.pmod(F.xxhash64("key", "_h"), "cuts"))
+
+    def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in in_runs(batches, "group"):
+            h, group, fp, crowded = (found.column(c).to_numpy() for c in ("_h", "group", "fp", "crowded"))
+            ask, at = promising(found, least), np.arange(len(h))
+            for step in range(1, FEW):
+                at = at[at + step < len(h)]
+                at = at[(group[at] == group[at + step]) & ((step <= 4) | ~crowded[at])]
+                if not len(at):
+                    break
+                bits = np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64))
+                near = at[(bits > sure) & (bits <= most)]
+                near = near[ask(near, near + step)]
+                x, y = h[near], h[near + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def crossing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in in_runs(batches, "group"):
+            h, group, root, block, fp = (found.column(c).to_numpy() for c in ("_h", "group", "root", "block", "fp"))
+            same = found.column("same").to_numpy()
+            ask = promising(found, least)
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
+                for i in range(start, stop - 1):
+                    other = np.arange(i + 1, stop)
+                    other = other[(root[other] != root[i]) & (same[i] | (block[other] != block[i]))]
+                    other = other[np.bitwise_count(fp[other].view(np.uint64) ^ fp[i : i + 1].view(np.uint64)) <= most]
+                    if len(other):
+                        other = other[ask(np.full(len(other), i), other)]
+                        x, y = np.full(len(other), h[i]), h[other]
+                        if len(other):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    texts = sketched.select(F.col("_h").alias("fp"), F.col("_h").alias("first_id"))
+    of_a, of_b = sketched.select(F.col("_h").alias("a"), F.col("fp").alias("fp_a")), sketched.select(F.col("_h").alias("b"), F.col("fp").alias("fp_b"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = shared.stored(pairs.distinct(), "pairs-asked")
+        known = similar(pairs, texts, docs, least, words_each, text, by_text=True)
+        return shared.stored(known.join(of_a, "a").join(of_b, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "pairs-similar")
+
+    columns = ["_h", "fp", "n", "sig", "group"]
+    first = each.withColumn("group", F.xxhash64("key", "block", "block")).select(*columns, F.col("size").isNotNull().alias("crowded"))
+    found = checked(first.repartition(n, "group").sortWithinPartitions("group", F.xxhash64("group", "_h")).mapInArrow(neighbours, "a long, b long"))
+    if full.isEmpty():
+        return found
+    nodes = shared.stored(graph.components(edges.select("a", "b").union(found)), "components-before")
+    rest = each.where("size IS NOT NULL").join(nodes, each.fp == nodes.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    mixed = shared.stored(rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "mixed-keys")
+    rest = rest.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    rest = rest.withColumn("group", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    rest = rest.select(*columns, "root", "block", (F.col("block") == F.col("other")).alias("same"))
+    return found.union(checked(rest.repartition(n, "group").sortWithinPartitions("group").mapInArrow(crossing, "a long, b long")))
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, most: int = 8, least: float | None = None, least_words: int = 5, text: str = "text") -> DataFrame:
     """doc_id, _h, fp, root and component_id (smallest doc_id that chains of links reach) for every row.
 
-    Links of more than ``sure`` bits, where that is given, must also have a
-    similarity of ``least`` over shingles of ``least_words`` words; fingerprints
-    of which more than FEW hang together are taken to be copies without that.
+    With ``least``, texts that have such a similarity over shingles of
+    ``least_words`` words are linked too where their fingerprints differ in ``most`` bits at most.
     """
     rows = fingerprints(docs, words_each, text=text)
     unique = shared.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints-distinct")
     edges = links(unique, distance, segments)
-    if sure is not None and sure < distance:
-        edges = shared.stored(edges.distinct(), "links")
-        far = F.col("in_pairs") & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > sure)
-        edges = edges.where(~far).select("a", "b").union(similar(edges.where(far).select("a", "b").distinct(), unique, docs, least, least_words, text).select("a", "b"))
+    if least is not None:
+        edges = shared.stored(edges.select("a", "b").distinct(), "links")
+        edges = edges.union(linked_texts(sketches(docs, rows, least_words, text), docs, edges, distance, most, least, least_words, text))
     nodes = graph.components(edges)
     linked = unique.join(nodes, unique.fp == nodes.node).select("fp", "root", "first_id")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
@@ -240,9 +384,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, seg
     return rows.join(shared.stored(unique, "components"), "fp").select("doc_id", "_h", "fp", "root", "component_id")
 
 
-def deduped(docs: DataFrame, distance: int = 8, words_each: int = 4, segments: int = 3, sure: int = 4, least: float = 0.8, text: str = "text") -> DataFrame:
+def deduped(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, most: int = 8, least: float = 0.8, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each near-duplicate group, in their own columns."""
-    found = shared.stored(near_duplicates(docs, distance, words_each, segments, sure, least, text=text).select("doc_id", "_h", "root"), "near-groups")
+    found = shared.stored(near_duplicates(docs, distance, words_each, segments, most, least, text=text).select("doc_id", "_h", "root"), "near-groups")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")
     first = shared.stored(found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "near-first")
     losers = found.join(first, "root").where(place != F.col("first")).select("doc_id", "_h")

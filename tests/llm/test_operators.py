@@ -274,6 +274,36 @@ def test_distant_links_need_similar_texts(spark):
     assert [(r.a, r.b) for r in simhash.similar(edges, unique, docs, 0.8, 5).collect()] == [(10, 20)]
 
 
+def brute_kept(docs, sure=4, most=64, least=0.8):
+    """The smallest doc_id of each chain of links of ``sure`` bits, or of similarity ``least`` and ``most`` bits; and the bits of the latter."""
+    ids, texts = zip(*docs, strict=True)
+    fps = np.array([brute_fingerprint(t) for t in texts], np.uint64)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    bits = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(int)
+    alike = np.array([[len(x & y) >= least * len(x | y) for y in sets] for x in sets])
+    near = (bits <= sure) | (alike & (bits <= most))
+    label = np.arange(len(ids))
+    while (label != (new := np.array([label[n].min() for n in near]))).any():
+        label = new
+    return sorted({min(i for i, c in zip(ids, label, strict=True) if c == k) for k in label}), bits[alike]
+
+
+def test_documents_that_share_a_passage_stay(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    passage = word(300)
+    docs = [(i, " ".join(passage + word(150))) for i in range(300)]
+    base = passage + word(150)
+    for i in range(300, 360):  # near copies that share the passage too
+        own = base.copy()
+        for at in rng.integers(0, 450, int(rng.integers(1, 4))).tolist():
+            own[at] = f"e{i}"
+        docs.append((i, " ".join(own)))
+    want, _ = brute_kept(docs, most=8)
+    assert 280 < len(want) < 310
+    assert sorted(r.doc_id for r in simhash.deduped(make_docs(spark, docs)).select("doc_id").collect()) == want
+
+
 # 7 secrets
 
 
