@@ -8,7 +8,8 @@ enumerated half on the stored and half on the asking side, so one table of
 all bits.  A key's many fingerprints are linked through pivots instead of in all
 pairs, which leaves the same components.
 
-``deduped`` also links texts of more differing bits whose shingle sets are similar.  Texts that share one of their KEYS smallest shingle
+``deduped`` also links texts whose shingle sets are similar, however far apart
+their fingerprints are.  Texts that share one of their KEYS smallest shingle
 hashes meet, signatures of SIGNATURE one-bit min-hashes sort out what cannot be
 similar, and what is left is compared exactly.
 
@@ -296,8 +297,8 @@ def promising(found: pa.Table, least: float):
     return ask
 
 
-def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, sure: int, most: int, least: float, words_each: int, text: str = "text") -> DataFrame:
-    """Edges (a, b) of fingerprints whose components, with those of ``edges``, are those of all texts of similarity ``least`` that differ in ``most`` bits at most.
+def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, sure: int, least: float, words_each: int, text: str = "text") -> DataFrame:
+    """Edges (a, b) of fingerprints whose components, with those of ``edges``, are those of all texts of similarity ``least``.
 
     Up to FEW texts under a key are compared in all pairs.  Those of a fuller key
     are dealt to blocks, and neighbours of a random order are compared first.
@@ -319,15 +320,14 @@ def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, sure: i
                 at = at[(group[at] == group[at + step]) & ((step <= 4) | ~crowded[at])]
                 if not len(at):
                     break
-                bits = np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64))
-                near = at[(bits > sure) & (bits <= most)]
+                near = at[np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) > sure]
                 near = near[ask(near, near + step)]
                 x, y = h[near], h[near + step]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def crossing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in in_runs(batches, "group"):
-            h, group, root, block, fp = (found.column(c).to_numpy() for c in ("_h", "group", "root", "block", "fp"))
+            h, group, root, block = (found.column(c).to_numpy() for c in ("_h", "group", "root", "block"))
             same = found.column("same").to_numpy()
             ask = promising(found, least)
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -335,7 +335,6 @@ def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, sure: i
                 for i in range(start, stop - 1):
                     other = np.arange(i + 1, stop)
                     other = other[(root[other] != root[i]) & (same[i] | (block[other] != block[i]))]
-                    other = other[np.bitwise_count(fp[other].view(np.uint64) ^ fp[i : i + 1].view(np.uint64)) <= most]
                     if len(other):
                         other = other[ask(np.full(len(other), i), other)]
                         x, y = np.full(len(other), h[i]), h[other]
@@ -364,18 +363,18 @@ def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, sure: i
     return found.union(checked(rest.repartition(n, "group").sortWithinPartitions("group").mapInArrow(crossing, "a long, b long")))
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, most: int = 8, least: float | None = None, least_words: int = 5, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, least: float | None = None, least_words: int = 5, text: str = "text") -> DataFrame:
     """doc_id, _h, fp, root and component_id (smallest doc_id that chains of links reach) for every row.
 
     With ``least``, texts that have such a similarity over shingles of
-    ``least_words`` words are linked too where their fingerprints differ in ``most`` bits at most.
+    ``least_words`` words are linked too, at any distance of their fingerprints.
     """
     rows = fingerprints(docs, words_each, text=text)
     unique = shared.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints-distinct")
     edges = links(unique, distance, segments)
     if least is not None:
         edges = shared.stored(edges.select("a", "b").distinct(), "links")
-        edges = edges.union(linked_texts(sketches(docs, rows, least_words, text), docs, edges, distance, most, least, least_words, text))
+        edges = edges.union(linked_texts(sketches(docs, rows, least_words, text), docs, edges, distance, least, least_words, text))
     nodes = graph.components(edges)
     linked = unique.join(nodes, unique.fp == nodes.node).select("fp", "root", "first_id")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
@@ -384,9 +383,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, seg
     return rows.join(shared.stored(unique, "components"), "fp").select("doc_id", "_h", "fp", "root", "component_id")
 
 
-def deduped(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, most: int = 8, least: float = 0.8, text: str = "text") -> DataFrame:
+def deduped(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, least: float = 0.8, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each near-duplicate group, in their own columns."""
-    found = shared.stored(near_duplicates(docs, distance, words_each, segments, most, least, text=text).select("doc_id", "_h", "root"), "near-groups")
+    found = shared.stored(near_duplicates(docs, distance, words_each, segments, least, text=text).select("doc_id", "_h", "root"), "near-groups")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")
     first = shared.stored(found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "near-first")
     losers = found.join(first, "root").where(place != F.col("first")).select("doc_id", "_h")

@@ -304,6 +304,20 @@ def test_documents_that_share_a_passage_stay(spark):
     assert sorted(r.doc_id for r in simhash.deduped(make_docs(spark, docs)).select("doc_id").collect()) == want
 
 
+def test_similar_texts_of_distant_fingerprints_go(spark):
+    rng = np.random.default_rng(3)
+    docs = []
+    for i in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        near = base.copy()
+        near[int(rng.integers(5, 55))] = "changed"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    want, bits = brute_kept(docs)
+    assert (bits > 8).sum() >= 6 and want == list(range(0, 80, 2))
+    docs += [(None, docs[0][1] + " more")]  # a text without an id is compared too
+    assert sorted((r.doc_id is None, r.doc_id) for r in simhash.deduped(make_docs(spark, docs)).select("doc_id").collect()) == [(False, i) for i in want]
+
+
 # 7 secrets
 
 
