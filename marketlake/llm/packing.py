@@ -23,6 +23,7 @@ no pieces.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: A space that has other white space beside it.
-_SPACE_FIRST, _SPACE_LAST = re.compile(r" \s"), re.compile(r"[^\S ] ")
+#: A single space between two other characters: no token reaches over the place before it.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Characters that are encoded at once, so that memory doesn't grow with a text.
+STRETCH = 1 << 20
 END_ID = 0
-#: Words that a task remembers the ids of; later new ones are encoded each time.
-REMEMBERED = 250_000
 #: So many cut documents at most are broadcast; more are joined by a shuffle.
 BROADCAST_CUT = 100_000
 SWEEPS = 25
@@ -50,17 +51,13 @@ _PER_TASK = 1 << 32
 class Encoder:
     """Little-endian 32-bit ids of texts, as the ``tokenizers`` file gives them.
 
-    The byte-level pattern never joins what stands on either side of a single
-    space between two other characters, but for the space that opens the next
-    word, so a text is the sum of such words and each is encoded once.  New words
-    go through the same vocabulary in ``ranks``; texts with a special token's
-    brackets go to the tokenizer whole.
+    Texts go through the same vocabulary as ``ranks``, long ones in stretches cut
+    before a single space between two other characters, over which no token
+    reaches; texts with a special token's brackets go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None) -> None:
-        self.tokenizer_path, self.tokenizer = tokenizer_path, None
-        self.known: dict[str, bytes] = {}
-        self.fast = None
+        self.tokenizer_path, self.tokenizer, self.fast = tokenizer_path, None, None
         if ranks_path and pattern:
             import tiktoken
 
@@ -76,45 +73,24 @@ class Encoder:
             self.tokenizer = Tokenizer.from_file(self.tokenizer_path)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode(self, text: str) -> bytes:
-        if self.fast is None or "<|" in text:
-            ids = self.whole(text)
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.array(ids, np.uint32).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = self._encode(word)
-            if len(self.known) < REMEMBERED and len(word) < 64:
-                self.known[word] = found
-        return found
-
     @staticmethod
-    def words(text: str) -> list[str]:
-        """The text cut before single spaces between two characters that aren't white space."""
-        if text and text[0] != " " and text[-1] != " " and "\0" not in text and not _SPACE_FIRST.search(text) and not _SPACE_LAST.search(text):
-            return text.replace(" ", "\0 ").split("\0")
-        cut, parts = [], text.split(" ")
-        glue = True
-        for i, part in enumerate(parts):
-            piece = " " + part if i else part
-            if cut and (glue or not part or part[0].isspace()):
-                cut[-1] += piece
-            else:
-                cut.append(piece)
-            glue = not part or part[-1].isspace()
-        return cut
+    def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+        start = 0
+        while len(text) - start > size and (cut := _BETWEEN.search(text, start + size)):
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:]
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._encode(text)
-        words = self.words(text)
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = list(map(self._word, words))
-        return b"".join(found)
+        if self.fast is None or "<|" in text:
+            return np.array(self.whole(text), np.uint32).tobytes()
+        return b"".join(np.array(self.fast.encode_ordinary(x), np.uint32).tobytes() for x in self.stretches(text))
+
+
+@functools.cache
+def encoder(*files: str | None) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(*files)
 
 
 def tokenized(docs: DataFrame, window: int, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
@@ -122,7 +98,7 @@ def tokenized(docs: DataFrame, window: int, tokenizer_path: str, ranks_path: str
     names = ["part", "row", "doc_id", "ids", "n_tokens", "tail", "rank", "block_base"]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, ranks_path, pattern)
+        encode = encoder(tokenizer_path, ranks_path, pattern).encode
         part, row, block = TaskContext.get().partitionId(), 0, 0
         ranks = [0] * window
         end = np.array([END_ID], np.uint32).tobytes()
@@ -130,7 +106,7 @@ def tokenized(docs: DataFrame, window: int, tokenizer_path: str, ranks_path: str
             doc_ids = batch.column("doc_id")
             lengths = np.array([len(x.as_buffer()) for x in batch.column("body")], np.int64) if batch.num_rows else np.zeros(0, np.int64)
             for start, stop in shared.blocks(lengths):
-                ids = [encoder.encode(x.as_py()) + end for x in batch.column("body").slice(start, stop - start)]
+                ids = [encode(x.as_py()) + end for x in batch.column("body").slice(start, stop - start)]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 tails = n % window
                 rank = []

@@ -53,6 +53,16 @@ def test_edge_texts(spark):
     assert queries.pieces_of(docs.where("false")).count() == 0
 
 
+def test_stretches_change_no_id():
+    encode = packing.Encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    text = "it's  we'll 12 3,4 \n é漢字 🙂 's x\t y  z 'll end " * 40
+    for size in (1, 7, 50, 10_000):
+        parts = list(packing.Encoder.stretches(text, size))
+        assert "".join(parts) == text and (size > len(text) or len(parts) > 1)
+        assert [i for x in parts for i in encode.fast.encode_ordinary(x)] == whole([text])[0][:-1]
+    assert np.frombuffer(encode.encode(text), np.uint32).tolist() == whole([text])[0][:-1]
+
+
 @pytest.mark.parametrize("histogram", [{600: 1000}, {1: 7}, {1023: 5, 1: 5}, {341: 100, 342: 50}, {512: 3}, {700: 11, 300: 4, 25: 9, 3: 2}])
 def test_plan_places_every_token_once(histogram):
     window = 1024
