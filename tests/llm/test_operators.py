@@ -139,11 +139,35 @@ def test_exact_on_edges_and_small_buckets(spark, edges, nothing):
     kept = exact.deduped(edges)
     assert kept.columns == edges.columns and kept.count() == len(groups)
     assert exact.dedup(nothing).count() == 0 and exact.deduped(nothing).count() == 0
-    rows = shared.stored(shared.with_row_id(exact.keyed(edges)), "t")
-    found = exact.build_index(rows).find(make_docs(spark, [(99, "x"), (98, "new")])).collect()
+    index = exact.build_index(exact.scanned(edges).where("NOT is_row").drop("is_row", "h"))
+    found = index.find(make_docs(spark, [(99, "x"), (98, "new")])).collect()
     assert {r.doc_id: r.keep_id for r in found} == {99: 6, 98: None}
 
 
+def test_owners_make_the_groups(spark, monkeypatch):
+    """All keys collide, more tasks than FAN send each text, and owners still separate the texts."""
+    monkeypatch.setattr(exact, "FAN", 3)
+    texts = [f"text {i % 5}" + " " * (i % 3) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(20)
+    same = lambda bare: F.lit(7).cast("long")
+    entries = exact.scanned(docs, key=same).where("NOT is_row").drop("is_row", "h")
+    merged, moved = exact.premerged(entries)
+    assert moved and merged.count() < entries.count() and merged.agg(F.sum("n")).first()[0] == 60
+    index = exact.build_index(entries, capacity=1)
+    assert sorted(r.chain for r in index.found.where("head").collect()) == [0, 1, 2, 3, 4]
+    for r in exact.dedup(docs, capacity=1, key=same).collect():
+        own = [i for i, t in enumerate(texts) if t.split() == texts[r.doc_id].split()]
+        assert r.group_size == len(own) and r.keep_id == min(own, key=lambda i: (-len(texts[i]), i)) and r.kept == (r.doc_id == r.keep_id)
+
+
+def test_many_buckets_have_many_owners(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 150).cast("string")).alias("text"))
+    index = exact.build_index(exact.scanned(docs).where("NOT is_row").drop("is_row", "h"), capacity=1)
+    assert index.directory.depth > 4
+    buckets = index.found.groupBy("bucket").agg(F.countDistinct(F.col("_metadata.file_path")).alias("files")).collect()
+    assert len(buckets) > 60 and {r.files for r in buckets} == {1}
+
+
 # 5 quality and 8 toxicity
 
 
