@@ -1,25 +1,25 @@
-"""Line dedup: suffix ranks over line-ID sequences by distributed prefix doubling.
-
-A document is the sequence of its non-blank lines; a line's id comes from its
-trimmed text.  Round k ranks the suffixes by their first 2 ** k lines: the pair
-of a suffix's rank and the rank 2 ** (k - 1) lines on is sorted and numbered, and
-only suffixes that still share their rank go on.  The ranks name any window:
-suffixes that share a window of n lines share both ranks that cover it, which is
-the LCP interval at that depth.
-
-A run counts as repeated from ``least_words`` words on.  Every line of a maximal
-repeated run lies in the shortest such window that starts at a line of the run,
-or in the shortest that ends at one, so those windows are looked up; where an
-interval's first suffix is an earlier one, the window's lines are deleted.  The
-earliest copy, by doc_id and line, stays.
-
-A window has ``least_words`` lines at most, so there are about log2 of that many
-rounds, however long the runs are.
+"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
+
+A document is the sequence of its non-blank lines; a line's id is a 128-bit
+digest of its trimmed text, and every line has a position, so that a document is
+a range of positions.  Round k ranks the suffixes by their first 2 ** k lines: the
+pair of a suffix's rank and the rank 2 ** (k - 1) lines on is sorted and numbered,
+and only suffixes that still share their rank go on, until none does.  A suffix
+that is alone needs no further rank: the order of all is then known.
+
+Suffixes that share their first d lines are an interval of the suffix array, in
+which the longest common prefix is nowhere below d.  Intervals are found from
+``least_words`` words on, and from the highest power of two down each suffix goes
+on to the deepest interval in which it has an earlier copy that doesn't overlap
+its own lines.  Where the suffix one line before doesn't reach as far, this is a
+maximal repeated run.  Later copies are deleted; the earliest, by doc_id and
+line, stays, and so does a copy that overlaps it.
 
 Defined cases: null and empty texts have no lines and come back as empty; blank
 lines never match, and stay; of repeated rows the later ones lose their runs; a
-null doc_id comes after all others; an empty table gives an empty result; extra
-columns are ignored.
+null doc_id comes after all others; of equal lines one below another the first
+``least_words`` words stay; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,113 +29,156 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 LEAST_WORDS = 50
+#: Neighbouring positions meet in blocks of 2 ** BLOCK.
+BLOCK = 13
+#: A task numbers its lines from here on.
+_PER_TASK = 1 << 38
 
 
 def line_table(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """_row, doc_id, at (index among non-blank lines), line (index among all), id, ahead, behind; stored.
+    """pos, row, doc_id, line (index among all), left (lines to the end), id, id2, n; stored.
 
-    ``ahead`` and ``behind`` are the lines of the shortest window of
-    ``least_words`` words that starts or ends here, null where there is none.
+    ``n`` is the number of lines of the shortest run of ``least_words`` words
+    from here on, 0 where there is none.
     """
-    names = ["_row", "doc_id", "at", "line", "id", "ahead", "behind"]
-
-    def reach(words: np.ndarray) -> list[int | None]:
-        total = np.concatenate([[0], np.cumsum(words)])
-        stop = np.searchsorted(total, total[:-1] + least_words)
-        return [int(s - i) if s < len(total) else None for i, s in enumerate(stop)]
+    kinds = {"pos": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "left": pa.int32(), "id": pa.int64(), "id2": pa.int64(), "n": pa.int32()}
+    schema = pa.schema(list(kinds.items()))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos = TaskContext.get().partitionId() * _PER_TASK
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in names}
+            out: dict[str, list] = {c: [] for c in kinds}
             for row, doc_id, body in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("body"), strict=True):
                 kept = [(i, bare) for i, line in enumerate(body.as_py().split(b"\n")) if (bare := line.strip())]
-                words = np.array([len(line.split()) for _, line in kept], np.int64)
-                n = len(kept)
-                out["_row"] += [row] * n
-                out["doc_id"] += [doc_id] * n
-                out["at"] += range(n)
-                out["line"] += [i for i, _ in kept]
-                out["id"] += [xxhash.xxh64_intdigest(line) - (1 << 63) for _, line in kept]
-                out["ahead"] += reach(words)
-                out["behind"] += reach(words[::-1])[::-1]
-                if len(out["at"]) > 100_000:
+                m = len(kept)
+                total = np.concatenate([[0], np.cumsum([len(line.split()) for _, line in kept], dtype=np.int64)])
+                stop = np.searchsorted(total, total[:-1] + least_words)
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(line) for _, line in kept), np.int64).reshape(-1, 2)
+                out["pos"].append(np.arange(pos, pos + m))
+                out["row"].append(np.full(m, row))
+                out["doc_id"] += [doc_id] * m
+                out["line"].append(np.fromiter((i for i, _ in kept), np.int32, m))
+                out["left"].append(np.arange(m, 0, -1))
+                out["id"].append(digests[:, 0])
+                out["id2"].append(digests[:, 1])
+                out["n"].append(np.where(stop <= m, stop - np.arange(m), 0))
+                pos += m
+                if len(out["doc_id"]) > 100_000:
                     yield _batch(out)
-                    out = {c: [] for c in names}
-            if out["at"]:
+                    out = {c: [] for c in kinds}
+            if out["doc_id"]:
                 yield _batch(out)
 
     def _batch(out: dict[str, list]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_pydict(out, pa.schema(list(zip(names, kinds, strict=True))))
+        return pa.RecordBatch.from_arrays([pa.array(x if c == "doc_id" else np.concatenate(x), kinds[c]) for c, x in out.items()], schema=schema)
 
     bodies = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().cast("binary").alias("body"))
-    return shared.stored(bodies.mapInArrow(scan, "_row long, doc_id long, at int, line int, id long, ahead int, behind int"), "lines")
+    return shared.stored(bodies.mapInArrow(scan, "pos long, row long, doc_id long, line int, left int, id long, id2 long, n int"), "lines")
 
 
 def _numbered(keys: DataFrame, *columns: str) -> DataFrame:
     """The distinct rows that occur more than once, with a number that rises with their order."""
     shared_keys = keys.groupBy(*columns).count().where("count > 1").drop("count")
-    return shared_keys.orderBy(*columns).withColumn("rank", F.monotonically_increasing_id())
-
+    return shared.stored(shared_keys.orderBy(*columns).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
-def suffix_ranks(lines: DataFrame, longest: int) -> list[DataFrame]:
-    """For k = 0, 1, ...: (_row, at, rank) of the suffixes that share their first 2 ** k lines with another.
 
-    Suffixes in the order of (rank, next rank, ...) are in suffix-array order;
-    a suffix that is alone in its first 2 ** k lines needs no further rank.
-    """
-    ranked = shared.stored(lines.select("_row", "at", "id").join(shared.stored(_numbered(lines, "id"), "line-ranks"), "id").select("_row", "at", "rank"), "suffixes")
-    levels, reach = [ranked], 1
-    while 2 * reach <= longest:
-        here = Window.partitionBy("_row").orderBy("at").rangeBetween(reach, reach)
-        pairs = ranked.select("_row", "at", F.col("rank").alias("first"), F.max("rank").over(here).alias("second")).where("second IS NOT NULL")
-        pairs = shared.stored(pairs, "suffix-pairs")
-        ranked = shared.stored(pairs.join(shared.stored(_numbered(pairs, "first", "second"), "pair-ranks"), ["first", "second"]).select("_row", "at", "rank"), "suffixes")
+def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
+    """For k = 0, 1, ...: (pos, left, rank) of the suffixes that share their first 2 ** k lines with another."""
+    ranked = shared.stored(lines.select("pos", "left", "id", "id2").join(_numbered(lines, "id", "id2"), ["id", "id2"]).select("pos", "left", "rank"), "suffixes")
+    levels, reach = [], 1
+    while not ranked.isEmpty():
         levels.append(ranked)
+        # a position meets the one ``reach`` lines on in its own block
+        block = F.array_distinct(F.array(F.shiftright("pos", BLOCK), F.shiftright(F.col("pos") - reach, BLOCK)))
+        here = Window.partitionBy("block").orderBy("pos").rangeBetween(reach, reach)
+        rows = ranked.select("pos", "left", F.col("rank").alias("first"), F.explode(block).alias("block")).withColumn("second", F.max("first").over(here))
+        pairs = rows.where((F.col("left") >= 2 * reach) & F.col("second").isNotNull() & (F.col("block") == F.shiftright("pos", BLOCK)))
+        pairs = shared.stored(pairs.select("pos", "left", "first", "second"), "suffix-pairs")
+        ranked = shared.stored(pairs.join(_numbered(pairs, "first", "second"), ["first", "second"]).select("pos", "left", "rank"), "suffixes")
         reach *= 2
     return levels
 
 
-def repeated_windows(lines: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """_row, at, n: every window of the table that has an earlier copy."""
-    ahead = lines.where("ahead IS NOT NULL").select("_row", "doc_id", "at", F.col("ahead").alias("n"))
-    behind = lines.where("behind IS NOT NULL").select("_row", "doc_id", (F.col("at") - F.col("behind") + 1).alias("at"), F.col("behind").alias("n"))
-    windows = ahead.union(behind).distinct()
-    found = None
-    for k, ranked in enumerate(levels):
-        own = windows.where(F.col("n").between(1 << k, (2 << k) - 1))
-        left = own.join(ranked.select("_row", "at", F.col("rank").alias("left")), ["_row", "at"])
-        right = ranked.select("_row", F.col("at").alias("right_at"), F.col("rank").alias("right"))
-        both = left.withColumn("right_at", F.col("at") + F.col("n") - (1 << k)).join(right, ["_row", "right_at"]).drop("right_at")
-        found = both if found is None else found.union(both)
-    found = shared.stored(found, "windows-named")
-    key = ["n", "left", "right"]
-    first = found.groupBy(*key).agg(F.min(_place()).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = found.join(shared.stored(first, "windows-first"), key).where(_place() != F.col("first"))
-    return later.select("_row", "at", "n")
+def _earliest() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos"))
+
 
+def _apart(length: Column) -> Column:
+    """Does the run of ``length`` lines at first.pos not overlap the one at pos?  (A position in between is of the same document.)"""
+    return (F.col("first.pos") > F.col("pos")) | (F.col("first.pos") + length <= F.col("pos"))
 
-def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "at")
 
+def window_intervals(lines: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """pos, row, doc_id, left, source, depth, real: the intervals of the shortest runs, by their first position and depth.
 
-def deletions(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """_row, gone: the line numbers to delete, for each row that loses any."""
-    later = repeated_windows(lines, suffix_ranks(lines, least_words))
-    at = later.select("_row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct()
-    return at.join(lines.select("_row", "at", "line"), ["_row", "at"]).groupBy("_row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    Members with an earlier copy apart from theirs are real; the others stand for
+    what later members are compared with.
+    """
+    found = None
+    for k, ranked in enumerate(levels):
+        own = lines.where(F.col("n").between(1 << k, (2 << k) - 1)).select("pos", "row", "doc_id", "left", "n")
+        ahead = own.join(ranked.select("pos", F.col("rank").alias("a")), "pos")
+        behind = ranked.select(F.col("pos").alias("at"), F.col("rank").alias("b"))
+        both = ahead.withColumn("at", F.col("pos") + F.col("n") - (1 << k)).join(behind, "at").drop("at")
+        found = both if found is None else found.unionByName(both)
+    found = shared.stored(found, "windows")
+    key = ["n", "a", "b"]
+    first = found.groupBy(*key).agg(_earliest().alias("first"), F.count("*").alias("copies")).where("copies > 1").select(*key, "first")
+    members = found.join(shared.stored(first, "windows-first"), key)
+    return shared.stored(members.select("pos", "row", "doc_id", "left", F.col("first.pos").alias("source"), F.col("n").alias("depth"), _apart(F.col("n")).alias("real")), "intervals")
+
+
+def deepest_intervals(state: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The same columns, real rows only: each position in the deepest interval in which it is real."""
+    for k in range(len(levels) - 1, -1, -1):
+        ranked = levels[k].select(F.col("pos").alias("at"), "rank")
+        end = F.when(F.col("depth") < F.col("left"), F.col("pos") + F.col("depth"))
+        # what has no such rank gets a key of its own, so that it meets nothing
+        asked = state.withColumn("at", F.coalesce(end, -1 - F.col("pos"))).join(ranked, "at", "left").withColumn("rank", F.coalesce("rank", -1 - F.col("pos"))).drop("at")
+        asked = shared.stored(asked, "intervals-asked")
+        key = ["source", "depth", "rank"]
+        first = asked.where("rank >= 0").groupBy(*key).agg(_earliest().alias("first"), F.count("*").alias("n")).where("n > 1").select(*key, "first")
+        met = asked.join(shared.stored(first, "intervals-first"), key, "left")
+        deeper = F.col("depth") + (1 << k)
+        accepted = F.col("real") & _apart(deeper)
+        old = F.struct("source", "depth", "real")
+        new = F.struct(F.col("first.pos").alias("source"), deeper.alias("depth"), accepted.alias("real"))
+        both = F.when(F.col("first").isNull(), F.array(old)).when(accepted, F.array(new)).otherwise(F.array(old, new))
+        state = shared.stored(met.select("pos", "row", "doc_id", "left", F.explode(both).alias("in")).select("pos", "row", "doc_id", "left", "in.*"), "intervals")
+    return state.where("real")
+
+
+def repeated_runs(lines: DataFrame) -> DataFrame:
+    """row, doc_id, pos, depth (lines), source (position of the earliest copy) of every maximal later copy."""
+    levels = suffix_ranks(lines)
+    if not levels:
+        return lines.where("false").select("row", "doc_id", "pos", F.col("left").alias("depth"), F.col("pos").alias("source"))
+    found = shared.stored(deepest_intervals(window_intervals(lines, levels), levels), "runs")
+    before = found.select((F.col("pos") + 1).alias("pos"), F.col("depth").alias("before"))
+    starts = found.join(before, "pos", "left").where("before IS NULL OR before <> depth + 1")
+    return starts.select("row", "doc_id", "pos", "depth", "source")
+
+
+def deletions(lines: DataFrame) -> DataFrame:
+    """row, gone: the line numbers to delete, for each row that loses any."""
+    end = F.col("pos") + F.col("depth")
+    before = Window.partitionBy("row").orderBy("pos", "depth").rowsBetween(Window.unboundedPreceding, -1)
+    runs = repeated_runs(lines).withColumn("begin", F.greatest("pos", F.coalesce(F.max(end).over(before), F.lit(0)))).where(F.col("begin") < end)
+    at = runs.select(F.explode(F.sequence("begin", end - 1)).alias("pos"))
+    return at.join(lines.select("row", "pos", "line"), "pos").groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text without later copies, n_lines, n_deleted for every document."""
     rows = shared.stored(shared.with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().alias("text"))), "line-docs")
-    gone = shared.stored(deletions(line_table(rows, least_words), least_words), "line-deletions")
+    gone = shared.stored(deletions(line_table(rows, least_words)).withColumnRenamed("row", "_row"), "line-deletions")
     each = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(each, lambda _, i: ~F.array_contains("gone", i)), "\n")
     # texts that lose nothing stay where they are

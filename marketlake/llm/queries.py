@@ -126,7 +126,8 @@ w AS (SELECT a.doc_id, a.pos AS first, min(b.pos) AS last FROM s a JOIN s b ON a
       UNION
       SELECT b.doc_id, max(a.pos) AS first, b.pos AS last FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.total - a.total + a.words >= 50 GROUP BY 1, 3),
 k AS (SELECT w.doc_id, first, last, string_agg(body, chr(10) ORDER BY pos) AS content FROM w JOIN s ON s.doc_id = w.doc_id AND s.pos BETWEEN first AND last GROUP BY 1, 2, 3),
-later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS copy FROM k) WHERE copy > 1),
+f AS (SELECT *, first_value(doc_id) OVER copies AS in_doc, first_value(last) OVER copies AS until FROM k WINDOW copies AS (PARTITION BY content ORDER BY doc_id, first)),
+later AS (SELECT * FROM f WHERE in_doc <> doc_id OR until < first),
 gone AS (SELECT DISTINCT s.doc_id, s.line FROM later JOIN s ON s.doc_id = later.doc_id AND s.pos BETWEEN first AND last)
 SELECT d.doc_id, len(all_lines) AS n_lines, count(gone.line) AS n_deleted,
        sha256(coalesce(string_agg(all_lines[i], chr(10) ORDER BY i) FILTER (WHERE gone.line IS NULL), '')) AS text_sha256

@@ -395,6 +395,50 @@ def test_line_dedup_on_edges(spark, edges, nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def brute_lines(docs, least=50):
+    """Deleted line numbers of each document: runs of any length that have an earlier copy apart from them."""
+    texts = [[(i, x.strip()) for i, x in enumerate((t or "").split("\n")) if x.strip()] for _, t in docs]
+    seen, gone = {}, [set() for _ in docs]
+    for d in sorted(range(len(docs)), key=lambda d: (docs[d][0] is None, docs[d][0], d)):
+        own = texts[d]
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                run = tuple(x for _, x in own[a:b])
+                if sum(len(x.split()) for x in run) >= least:
+                    at = seen.setdefault(run, (d, a, b))
+                    if at[0] != d or at[2] <= a:
+                        gone[d] |= {i for i, _ in own[a:b]}
+    return gone
+
+
+def test_line_runs_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    pool = [words(int(n)) for n in rng.integers(5, 30, 12)]
+    same = "one line of ten words that stands again and again"
+    docs = [(1, "\n".join([same] * 8)), (2, "\n".join(["own " + same] * 21)), (3, "\n".join([pool[0], pool[1]] * 9 + [pool[2]]))]
+    for i in range(25):
+        parts, at = [], int(rng.integers(0, 12))
+        for _ in range(int(rng.integers(1, 40))):
+            at = (at + 1) % 12 if rng.random() < 0.8 else int(rng.integers(0, 12))
+            parts.append(pool[at] if rng.random() < 0.95 else words(8))
+            if rng.random() < 0.1:
+                parts.append("  ")
+        docs.append((100 - i, "\n".join(parts)))
+    docs += [docs[5], (None, docs[7][1]), (None, words(60))]
+    want = sorted((str(d), len(g), "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)) for (d, t), g in zip(docs, brute_lines(docs), strict=True))
+    got = lines.dedup_lines(make_docs(spark, docs).coalesce(2)).collect()
+    assert sorted((str(r.doc_id), r.n_deleted, r.text) for r in got) == want
+    assert ("1", 0, docs[0][1]) in want and {n for d, n, _ in want if d == "2"} == {16}
+
+
+def test_line_runs_are_maximal(spark):
+    run = [f"line {i} with a few more words in it than before" for i in range(40)]
+    docs = [(1, "\n".join(run)), (2, "\n".join(["start", *run[3:30], "end"])), (3, "\n".join(run[10:]))]
+    rows = shared.stored(shared.with_row_id(make_docs(spark, docs).coalesce(1)), "t")
+    assert sorted((r.doc_id, r.depth) for r in lines.repeated_runs(lines.line_table(rows)).collect()) == [(2, 27), (3, 30)]
+
+
 # 10 warc
 
 
