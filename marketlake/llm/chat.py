@@ -2,16 +2,18 @@
 
 For every participant the dialogue is rendered with that speaker as the
 assistant, the others as named users and system turns as they are; the mask
-marks the assistant's words.  A row holds the turns of one span of turn numbers
-(``span``), so that a conversation of any length is cut into rows of bounded
-size; an ordinary dialogue is one row for each participant.
+marks the assistant's words.  A dialogue is one row for each participant.  Where
+turn numbers reach beyond SPAN, further rows (``chunk``) go on where the one
+before ends: their texts, laid end to end in order of the chunk, are the whole
+dialogue, and no row grows without bound.
 
 Rendered text: ``<|role name=speaker|>`` line break, content, ``<|end|>`` line
 break for each turn.  ``<|`` in a content is written ``< |`` so that no content
-opens a turn.
+opens a turn; in a name ``% < > |`` and line breaks are written ``%25 %3C %3E %7C
+%0A %0D``, so different speakers always have different names.
 
 Defined cases: a null or blank role is the speaker "unknown"; a null text is
-empty; a null turn sorts before all others, in the first span; equal turn
+empty; a null turn sorts before all others, in the first row; equal turn
 numbers are ordered by speaker and content; repeated rows are one turn; a
 conversation with system turns alone has no perspective; null conv_ids are one
 conversation; an empty table gives no rows; extra columns are ignored.
@@ -19,10 +21,15 @@ conversation; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = 64
+#: Turn numbers of one row.
+SPAN = 1024
+#: What a name may not hold as it is.
+ESCAPES = {"%": "%25", "<": "%3C", ">": "%3E", "|": "%7C", "\n": "%0A", "\r": "%0D"}
 
 
 def turns(conversations: DataFrame, span: int = SPAN) -> DataFrame:
@@ -35,7 +42,7 @@ def turns(conversations: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def _named(speaker: Column) -> Column:
-    return F.regexp_replace(speaker, r"[^\w.-]", "_")
+    return reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(ESCAPES[x])), ESCAPES, speaker)
 
 
 def rotate(conversations: DataFrame, span: int = SPAN) -> DataFrame:

@@ -65,7 +65,12 @@ def op6_simhash(spark, sf_dir):
 
 
 def op7_secrets(spark, sf_dir):
-    found = secrets.scan(_table(spark, sf_dir, "documents"), shared.new_path(spark, "secret-ledger"))
+    """Documents come to one ledger in two increments, then all of them under a second rule version, which skips what it has."""
+    docs, ledger = _table(spark, sf_dir, "documents"), shared.new_path(spark, "secret-ledger")
+    half = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2, F.lit(0))
+    for increment, rule_version in ((half == 0, "base-1"), (half == 1, "base-1"), (half == 0, "more-1"), (half == 1, "more-1")):
+        secrets.update(docs.where(increment), ledger, rule_version)
+    found = secrets.findings(docs, ledger, "more-1")
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "blob")
 
 
@@ -102,10 +107,10 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op3_chat": """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
-c AS (SELECT *, coalesce(CAST(floor(turn / 64) AS BIGINT), 0) AS chunk, lower(speaker) = 'system' AS is_system FROM t),
+c AS (SELECT *, coalesce(CAST(floor(turn / 1024) AS BIGINT), 0) AS chunk, lower(speaker) = 'system' AS is_system FROM t),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM c WHERE NOT is_system),
 m AS (SELECT c.*, perspective, NOT is_system AND speaker = perspective AS own,
-             '<|' || CASE WHEN is_system THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || regexp_replace(speaker, '[^a-zA-Z0-9_.-]', '_', 'g') END || '|>' || chr(10) AS head
+             '<|' || CASE WHEN is_system THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || replace(replace(replace(replace(replace(replace(speaker, '%', '%25'), '<', '%3C'), '>', '%3E'), '|', '%7C'), chr(10), '%0A'), chr(13), '%0D') END || '|>' || chr(10) AS head
       FROM c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (SELECT *, coalesce(sum(length(head) + length(content) + 8) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn NULLS FIRST, speaker, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM m)
 SELECT conv_id, perspective, chunk, count(*) AS n_turns,

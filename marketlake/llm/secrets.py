@@ -1,26 +1,28 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 A version of a path is addressed by the SHA-256 of its text.  The ledger is a
-table of (blob, rule_version, findings); a scan sends only blobs that have no
-entry for the rule version to the owners of their addresses, each body
-compressed and at most once per scan task, scans each once, appends the
-findings, and joins them back to all paths that ever held the blob.
+table of (blob, rule_version, findings).  An update picks one path for each blob
+that has no entry for the rule version, scans those texts where they are read,
+and appends the findings; a join on the address gives them to all paths that
+ever held the blob.  Texts never move: addresses and findings do.
+
+A bitmap of bounded size tells a scan task which texts are picked.  Where so many
+are that it lets others pass, these are scanned for nothing; the findings are
+then joined with the picked addresses, so the ledger never has a blob twice.
 
 Defined cases: a null text is the empty blob and has no findings; repeated rows
 share their blob's findings; null path ids are kept; an empty table gives an
-empty result; extra columns are ignored.  One scan at a time may append to a
+empty result; extra columns are ignored.  One update at a time may append to a
 ledger, so that each blob has one row for each rule version.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -32,10 +34,13 @@ RULES = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
 }
+#: What later rule versions find besides: spans of private keys, signed tokens and personal access tokens.
+MORE_KINDS = ("pem", "jwt", "pat")
+MORE_RULES = {"pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "pat": r"gh[pousr]_[A-Za-z0-9]{36,}"}
+#: Rule versions and the kinds that each of them has beyond the base rules.
+RULE_VERSIONS = {"base-1": (), "more-1": MORE_KINDS}
 RULE_VERSION = "base-1"
 LEDGER_SCHEMA = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_spans string, spans string"
-#: Addresses that a scan task remembers in order not to send a body twice.
-REMEMBERED = 1_000_000
 
 _ASSIGN = re.compile(RULES["assign"][0], re.ASCII | re.IGNORECASE)
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -56,83 +61,71 @@ def find(text: str) -> list[tuple[int, str, int]]:
     return [(start, KINDS[kind], end) for start, kind, end in sorted(found)]
 
 
+def find_more(text: str, kinds: Iterable[str]) -> list[tuple[int, str, int]]:
+    return [(m.start(), kind, m.end()) for kind in kinds for m in re.finditer(MORE_RULES[kind], text)]
+
+
+def _address(text: str) -> Column:
+    return F.sha2(shared.text_or_empty(text), 256)
+
+
 def versions(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """path and blob of each version; no text moves."""
-    return docs.select(F.col(path).alias("path"), F.sha2(shared.text_or_empty(text), 256).alias("blob"))
-
-
-def scan_unseen(docs: DataFrame, ledger: DataFrame | None, rule_version: str = RULE_VERSION, text: str = "text") -> DataFrame:
-    """New ledger rows: every blob that has none for this rule version, scanned once."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = shared.text_or_empty(text)
-    address_key = F.xxhash64(F.sha2(whole, 256))
-    bitmap, old = None, None
-    if ledger is not None:
-        # bodies that the ledger holds stay where they are: a bitmap of the unseen addresses tells them
-        old = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
-        unseen = versions(docs, path=docs.columns[0], text=text).select("blob").distinct().join(old, "blob", "left_anti")
-        bitmap = spark.sparkContext.broadcast(shared.Bitmap.of(unseen.select(F.xxhash64("blob").alias("key")), "key"))
-
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        sent: set[bytes] = set()
-        for batch in batches:
-            out: dict[str, list] = {"blob": [], "body": []}
-            size = 0
-            if bitmap is not None:
-                batch = batch.filter(pa.array(bitmap.value.has(batch.column("key").to_numpy().view("uint64"))))
-            for body in batch.column("body"):
-                raw = body.as_py()
-                address = hashlib.sha256(raw)
-                if address.digest() in sent:
-                    continue
-                if len(sent) >= REMEMBERED:
-                    sent.clear()
-                sent.add(address.digest())
-                out["blob"].append(address.hexdigest())
-                out["body"].append(pack.compress(raw))
-                size += len(out["body"][-1])
-                if size > shared.TEXT_BLOCK:
-                    yield pa.RecordBatch.from_pydict(out)
-                    out, size = {"blob": [], "body": []}, 0
-            if out["blob"]:
-                yield pa.RecordBatch.from_pydict(out)
+    return docs.select(F.col(path).alias("path"), _address(text).alias("blob"))
+
+
+def _read(docs: DataFrame, ledger_path: str, rule_version: str) -> DataFrame | None:
+    try:
+        ledger = docs.sparkSession.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
+    except Exception as absent:
+        if "PATH_NOT_FOUND" not in str(absent):
+            raise
+        return None
+    return ledger.where(F.col("rule_version") == rule_version)
+
+
+def scan_unseen(docs: DataFrame, old: DataFrame | None, rule_version: str = RULE_VERSION, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """New ledger rows: every blob that ``old`` hasn't, scanned at one of its paths."""
+    kinds = RULE_VERSIONS.get(rule_version, ())
+    rank = {kind: i for i, kind in enumerate(KINDS + MORE_KINDS)}
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        seen: set[bytes] = set()
+        names = ["blob", "rule_version", "n_assign", "n_access", "n_hex", "base_spans", "spans"]
+        shown = lambda found: ",".join(f"{kind}:{start}:{end}" for start, kind, end in found)
         for batch in batches:
             rows = []
             for blob, body in zip(batch.column("blob").to_pylist(), batch.column("body"), strict=True):
-                address = bytes.fromhex(blob)
-                if address in seen:
-                    continue
-                seen.add(address)
-                found = find(unpack.decompress(body.as_py()).decode("utf-8", "replace"))
-                spans = ",".join(f"{kind}:{start}:{end}" for start, kind, end in found)
-                count = [sum(kind == x for _, kind, _ in found) for x in KINDS]
-                rows.append((blob, rule_version, *count, spans, spans))
+                raw = body.as_py()
+                base = find(raw)
+                count = [sum(kind == x for _, kind, _ in base) for x in KINDS]
+                more = find_more(raw, kinds)
+                rows.append((blob, rule_version, *count, shown(base), shown(sorted(base + more, key=lambda x: (x[0], rank[x[1]], x[2])))))
             if rows:
-                names = ["blob", "rule_version", "n_assign", "n_access", "n_hex", "base_spans", "spans"]
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    columns = [whole.cast("binary").alias("body")] + ([address_key.alias("key")] if old is not None else [])
-    bodies = docs.select(columns).mapInArrow(send, "blob string, body binary")
+    one = F.xxhash64(F.col(path))
+    unseen = docs.select(one.alias("one"), _address(text).alias("blob")).groupBy("blob").agg(F.min("one").alias("one"))
     if old is not None:
-        bodies = bodies.join(old, "blob", "left_anti")
-    return bodies.repartition(n, "blob").mapInArrow(scan, LEDGER_SCHEMA)
+        unseen = unseen.join(old.select("blob"), "blob", "left_anti")
+    unseen = shared.stored(unseen, "secret-unseen")
+    bodies = docs.select(one.alias("one"), _address(text).alias("blob"), shared.text_or_empty(text).alias("body"))
+    marked, picked = shared.maybe_in(bodies, F.xxhash64("one", "blob"), unseen.select(F.xxhash64("one", "blob").alias("key")))
+    found = marked.where(picked).select("blob", "body").mapInArrow(scan, LEDGER_SCHEMA)
+    return found.dropDuplicates(["blob"]).join(unseen.select("blob"), "blob", "left_semi")
+
+
+def update(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, path: str = "doc_id", text: str = "text") -> None:
+    """Bring the ledger up to date with these versions of paths: scan the blobs that it hasn't for this rule version."""
+    new = scan_unseen(docs, _read(docs, ledger_path, rule_version), rule_version, path, text)
+    new.write.mode("append").option("compression", "zstd").parquet(ledger_path)
+
+
+def findings(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """path, blob and what the ledger has for it, for every version in ``docs``."""
+    return versions(docs, path, text).join(_read(docs, ledger_path, rule_version), "blob")
 
 
 def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Bring the ledger at ``ledger_path`` up to date and return path, blob and findings for every version."""
-    spark = docs.sparkSession
-    try:
-        ledger = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
-    except Exception as absent:
-        if "PATH_NOT_FOUND" not in str(absent):
-            raise
-        ledger = None
-    scan_unseen(docs, ledger, rule_version, text).write.mode("append").option("compression", "zstd").parquet(ledger_path)
-    ledger = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path).where(F.col("rule_version") == rule_version)
-    return versions(docs, path, text).join(ledger, "blob")
+    """Update the ledger, then the findings for every version."""
+    update(docs, ledger_path, rule_version, path, text)
+    return findings(docs, ledger_path, rule_version, path, text)

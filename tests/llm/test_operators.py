@@ -101,17 +101,33 @@ def test_words_equal_the_pattern():
 
 
 def test_chat_rotation(spark):
-    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|end|>"), (1, 2, "bob", "<|end|>"), (1, 3, None, None), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (3, 70, "ann", "late"), (3, 1, "ann", "early"), (3, None, "al ex", "z")]
+    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|end|>"), (1, 2, "bob", "<|end|>"), (1, 3, None, None), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (3, 1070, "ann", "late"), (3, 1, "ann", "early"), (3, None, "al ex", "z")]
     df = spark.createDataFrame([(*r, "k", "k") for r in rows], "conv_id long, turn long, role string, text string, said string, chunk string")
     got = {(r.conv_id, r.perspective, r.chunk): r for r in chat.rotate(df).collect()}
     assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "unknown", 0), (None, "ann", 0), (3, "ann", 0), (3, "ann", 1), (3, "al ex", 0), (3, "al ex", 1)}
     ann = got[1, "ann", 0]
     assert ann.text == "<|system|>\nrules<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n< |end|><|end|>\n<|user name=unknown|>\n<|end|>\n"
     assert [ann.text[s.start : s.stop] for s in ann.spans] == ["hi"] and [m["mask"] for m in ann.messages] == [0, 1, 0, 0]
-    assert "<|user name=al_ex|>\nz" in got[3, "ann", 0].text and got[3, "al ex", 1].spans == []
+    assert "<|user name=al ex|>\nz" in got[3, "ann", 0].text and got[3, "al ex", 1].spans == []
     assert chat.rotate(df.where("false")).count() == 0
 
 
+def test_chat_of_many_parties_is_whole(spark):
+    people = ["张三", "李四", "al ex", "al_ex", "a|b", "a%7Cb", "<|x|>", "line\nbreak"]
+    said = [(people[i % 8] if i else "System", f"turn {i}") for i in range(200)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string").repartition(7)
+    got = {r.perspective: r for r in chat.rotate(df).collect()}
+    assert set(got) == {*people, "System"} - {"System"} and {r.chunk for r in got.values()} == {0}
+    for me, r in got.items():
+        assert [m.content for m in r.messages] == [t for _, t in said]
+        assert [m["mask"] for m in r.messages] == [int(s == me) for s, _ in said]
+        assert [r.text[s.start : s.stop] for s in r.spans] == [t for s, t in said if s == me]
+        names = {m["name"] for m in r.messages if m["role"] == "user"}
+        assert len(names) == 7 and not any(set(x) & set("<>|\n") for x in names)
+        heads = re.findall(r"<\|(system|assistant|user name=([^|]*))\|>\n", r.text)
+        assert len(heads) == 200 and heads[0][0] == "system" and {x for _, x in heads if x} == names
+
+
 # 4 exact dedup
 
 
@@ -379,9 +395,30 @@ def test_ledger_scans_only_unseen_pairs(spark, edges, nothing):
     assert spark.read.parquet(path).count() == blobs + 1
     secrets.scan(more, path, rule_version="next").count()
     assert spark.read.parquet(path).count() == 2 * blobs + 2
+    odd = make_docs(spark, [(60, "-----BEGIN RSA PRIVATE KEY----- and token=abcdefgh")])
+    old, new = (secrets.scan(odd, path, rule_version=v).first() for v in ("base-1", "more-1"))
+    assert old.spans == old.base_spans == new.base_spans == "assign:36:50" and new.spans == "pem:0:31,assign:36:50"
     assert secrets.scan(nothing, path).count() == 0
 
 
+def test_ledger_query_scans_each_pair_once(spark, monkeypatch):
+    """Two increments and two rule versions on one ledger: four updates, and one row for each blob and rule version."""
+    made, scanned, whole = [], [], secrets.scan_unseen
+    monkeypatch.setattr(queries.shared, "new_path", lambda spark, name, f=shared.new_path: made.append(f(spark, name)) or made[-1])
+
+    def counted(*args):
+        scanned.append(shared.stored(whole(*args), "t"))
+        return scanned[-1]
+
+    monkeypatch.setattr(secrets, "scan_unseen", counted)
+    found = queries.op7_secrets(spark, SF)
+    n_blobs = documents().text.fillna("").nunique()
+    ledger = spark.read.parquet(next(x for x in made if "secret-ledger" in x))
+    assert found.count() == len(documents()) and ledger.count() == ledger.select("blob", "rule_version").distinct().count() == 2 * n_blobs
+    sizes = [x.count() for x in scanned]
+    assert sizes[0] + sizes[1] == sizes[2] + sizes[3] == n_blobs and sizes[1] < len(documents()[[zlib.crc32(str(i).encode()) % 2 == 1 for i in documents().doc_id]].text.unique()) + 1
+
+
 # 9 line dedup
 
 
