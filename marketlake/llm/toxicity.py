@@ -2,10 +2,15 @@
 
 Features are words and word beginnings.  From a bounded sample of labelled rows
 (``sample``, by hash of the doc_id) those are kept that toxic texts favour most.
-Grades are 0 for texts not marked toxic and 1 to 3 for thirds of the marked
-ones, by how much of the text the kept features make up.  The model has one
-weight for each feature, shared by the ordered thresholds between the grades:
-P(grade >= k) = sigmoid(w x - t_k).  Expected severity is the sum of these.
+Labels say only toxic or not, so the grades' order comes from a second opinion:
+the sample has two folds, and a model of each, with features of its own, says
+how strongly it finds the toxic rows of the other, whose labels it never saw.
+Grade 0 are texts not marked toxic, grades 1 to 3 are thirds of the marked ones
+by that log-odds; marked rows in which nothing speaks for it are grade 1.
+
+The final model has one weight for each feature, shared by the ordered
+thresholds between the grades: P(grade >= k) = sigmoid(w x - t_k).  Expected
+severity is the sum of these.
 
 Defined cases: null, empty and wordless texts have no features and get the
 severity of the thresholds alone; if no labelled row is toxic nothing is
@@ -62,40 +67,40 @@ class Counts:
                 self.known[word] = found
         return found
 
-    def __call__(self, text: bytes) -> tuple[dict[int, float], float, int]:
-        """({feature: log(1 + its percent of words)}, share of words with a feature, words)."""
+    def __call__(self, text: bytes) -> dict[int, float]:
+        """{feature: log(1 + its percent of words)}"""
         words = words_of(text)
         found = list(map(self.known.get, words))
         if None in found:
             found = list(map(self._features, words))
         marked = [x for x in found if x]
         if not marked:
-            return {}, 0.0, len(words)
+            return {}
         counts = Counter(i for x in marked for i in x)
-        return {i: float(np.log1p(100 * n / len(words))) for i, n in counts.items()}, len(marked) / len(words), len(words)
+        return {i: float(np.log1p(100 * n / len(words))) for i, n in counts.items()}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, weights: np.ndarray, ridge: float = 2.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and rising thresholds by Adam on the cumulative-link likelihood."""
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, weights: np.ndarray, most: int = GRADES, ridge: float = 2.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights and rising thresholds below the grades 1 to ``most``, by Adam on the cumulative-link likelihood."""
     n_features = x.shape[1]
-    w, first, gaps = np.zeros(n_features), 2.0, np.zeros(GRADES - 1)
+    w, first, gaps = np.zeros(n_features), 2.0, np.zeros(most - 1)
     theta = np.concatenate([w, [first], gaps])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     total = weights.sum()
     for step in range(1, steps + 1):
         w, cuts = theta[:n_features], theta[n_features] + np.concatenate([[0], np.cumsum(np.exp(theta[n_features + 1 :]))])
-        above = _sigmoid((x @ w)[:, None] - cuts)  # P(grade >= 1..GRADES)
+        above = _sigmoid((x @ w)[:, None] - cuts)  # P(grade >= 1..most)
         full = np.hstack([np.ones((len(x), 1)), above, np.zeros((len(x), 1))])
         at = np.arange(len(x))
         p = np.maximum(full[at, grades] - full[at, grades + 1], 1e-9)
         slope = full * (1 - full)
         scale = weights / p
         by_score = (slope[at, grades] - slope[at, grades + 1]) * scale
-        by_cut = np.zeros((len(x), GRADES + 2))
+        by_cut = np.zeros((len(x), most + 2))
         by_cut[at, grades] -= slope[at, grades] * scale
         by_cut[at, grades + 1] += slope[at, grades + 1] * scale
         cut_sums = by_cut[:, 1:-1].sum(0)
@@ -116,76 +121,118 @@ class Model:
         return _sigmoid(totals[:, None] - self.cuts)
 
 
-def select_features(rows: DataFrame) -> dict[str, int]:
-    """The features that toxic rows (y = 1) favour most, numbered; what reaches the driver is bounded by the sample."""
+def best_features(names: list[str], in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: int, n_clean: int) -> list[str]:
+    """The names that stand in toxic rows beyond chance, most telling first."""
+    a, b = in_toxic + 0.5, in_clean + 0.5
+    odds = np.log(a / (n_toxic + 1 - a + 0.5)) - np.log(b / (n_clean + 1 - b + 0.5))
+    z = odds / np.sqrt(1 / a + 1 / b)
+    good = np.flatnonzero((in_toxic >= LEAST_ROWS) & (z >= LEAST_Z) & (odds >= LEAST_ODDS)).tolist()
+    return [names[i] for i in sorted(good, key=lambda i: (-z[i], names[i]))[:FEATURES]]
+
+
+def select_features(rows: DataFrame) -> list[list[str]]:
+    """The features that toxic rows (y = 1) favour most: in fold 0, in fold 1 and in both.
+
+    What reaches the driver are names that stand in LEAST_ROWS toxic rows of the
+    sample at least: no more than the sample's toxic text has words, times five.
+    """
 
     def toxic_names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: list[Counter[str]] = [Counter(), Counter()]
+
+        def held() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"name": [x for c in counts for x in c], "fold": [f for f, c in enumerate(counts) for _ in c], "n": [n for c in counts for n in c.values()]}, pa.schema([("name", pa.string()), ("fold", pa.int64()), ("n", pa.int64())]))
+
         for batch in batches:
-            for body in batch.column("body"):
-                counts.update({x for w in set(words_of(body.as_py())) for x in names_of(w)})
-                if len(counts) > HELD:
-                    yield pa.RecordBatch.from_pydict({"name": list(counts), "n": list(counts.values())})
-                    counts = Counter()
-        if counts:
-            yield pa.RecordBatch.from_pydict({"name": list(counts), "n": list(counts.values())})
-
-    hits = rows.where("y > 0").select("body").mapInArrow(toxic_names, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS)
-    in_toxic = {r[0]: r[1] for r in hits.toLocalIterator()}
-    if not in_toxic:
-        return {}
-    number = rows.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(sorted(in_toxic))})
+            for body, fold in zip(batch.column("body"), batch.column("fold").to_pylist(), strict=True):
+                counts[fold].update({x for w in set(words_of(body.as_py())) for x in names_of(w)})
+                if sum(map(len, counts)) > HELD:
+                    yield held()
+                    counts = [Counter(), Counter()]
+        yield held()
+
+    of = lambda f: F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0))
+    hits = rows.where("y > 0").select("body", "fold").mapInArrow(toxic_names, "name string, fold long, n long").groupBy("name").agg(of(0).alias("n0"), of(1).alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_ROWS)
+    in_toxic = {r[0]: (r[1], r[2]) for r in hits.toLocalIterator()}
+    names = sorted(in_toxic)
+    number = rows.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
 
     def clean_names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[int] = Counter()
-            for body in batch.column("body"):
-                counts.update({number.value[x] for w in set(words_of(body.as_py())) for x in names_of(w) if x in number.value})
+            counts: Counter[tuple[int, int]] = Counter()
+            for body, fold in zip(batch.column("body"), batch.column("fold").to_pylist(), strict=True):
+                counts.update({(number.value[x], fold) for w in set(words_of(body.as_py())) for x in names_of(w) if x in number.value})
             if counts:
-                yield pa.RecordBatch.from_pydict({"i": list(counts), "n": list(counts.values())})
-
-    clean = {r[0]: r[1] for r in rows.where("y = 0").select("body").mapInArrow(clean_names, "i long, n long").groupBy("i").agg(F.sum("n")).toLocalIterator()}
-    n_clean, n_toxic = (rows.where(f"y {sign} 0").count() for sign in ("=", ">"))
-    names = sorted(in_toxic)
-    a = np.array([in_toxic[x] for x in names]) + 0.5
-    b = np.array([clean.get(i, 0) for i in range(len(names))]) + 0.5
-    odds = np.log(a / (n_toxic + 1 - a + 0.5)) - np.log(b / (n_clean + 1 - b + 0.5))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    best = sorted(np.flatnonzero((z >= LEAST_Z) & (odds >= LEAST_ODDS)).tolist(), key=lambda i: (-z[i], names[i]))[:FEATURES]
-    return {names[i]: k for k, i in enumerate(best)}
+                yield pa.RecordBatch.from_pydict({"i": [i for i, _ in counts], "fold": [f for _, f in counts], "n": list(counts.values())})
+
+    seen = rows.where("y = 0").select("body", "fold").mapInArrow(clean_names, "i long, fold long, n long").groupBy("i").agg(of(0).alias("n0"), of(1).alias("n1"))
+    clean = np.zeros((len(names), 2))
+    for i, n0, n1 in seen.toLocalIterator():
+        clean[i] = n0, n1
+    toxic = np.array([in_toxic[x] for x in names], float).reshape(-1, 2)
+    sizes = {(y > 0, fold): n for y, fold, n in rows.groupBy("y", "fold").count().collect()}  # four rows
+    n = {y: np.array([sizes.get((y, f), 0) for f in (0, 1)]) for y in (True, False)}
+    folds = [best_features(names, toxic[:, f], clean[:, f], int(n[True][f]), int(n[False][f])) for f in (0, 1)]
+    return [*folds, best_features(names, toxic.sum(1), clean.sum(1), int(n[True].sum()), int(n[False].sum()))]
+
+
+def second_opinion(x: np.ndarray, toxic: np.ndarray, folds: np.ndarray, weights: np.ndarray, columns: list[list[int]]) -> np.ndarray:
+    """For each row the log-odds that a binary model of the other fold, with that fold's features, gives it."""
+    opinion = np.zeros(len(x))
+    for f in (0, 1):
+        others = folds == 1 - f
+        if weights[others & toxic].sum() and weights[others & ~toxic].sum():
+            w, cut = fit_ordinal(x[others][:, columns[1 - f]], toxic[others].astype(int), weights[others], most=1)
+            opinion[folds == f] = x[folds == f][:, columns[1 - f]] @ w - cut[0]
+    return opinion
+
+
+def grades_of(opinion: np.ndarray, toxic: np.ndarray, known: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """0 for rows not toxic, 1 to GRADES for equal parts of the toxic ones of a fold by the other fold's opinion; 1 where none is known."""
+    grades = toxic.astype(int)
+    for f in (0, 1):
+        own = toxic & known & (folds == f)
+        if own.any():
+            levels = np.quantile(opinion[own], np.arange(1, GRADES) / GRADES)
+            grades[own] = 1 + np.searchsorted(levels, opinion[own], side="right")
+    return grades
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE, text: str = "text") -> Model:
-    chosen = F.broadcast(quality.training_labels(labels, column, sample))  # ``sample`` rows of 16 bytes at most
+    chosen = F.broadcast(quality.training_labels(labels, column, sample))  # two numbers for each of ``sample`` rows at most
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty(text).cast("binary").alias("body"))
-    rows = shared.stored(rows.join(chosen, "doc_id").select("body", "y"), "toxicity-training")
-    wanted = select_features(rows)
+    rows = shared.stored(rows.join(chosen, "doc_id").select("body", "y", fold), "toxicity-training")
+    chosen_names = select_features(rows)
+    wanted = {x: i for i, x in enumerate(chosen_names[2])}
+    every = wanted | {x: len(wanted) + i for i, x in enumerate(sorted({*chosen_names[0], *chosen_names[1]} - wanted.keys()))}
     none = Model(wanted, np.zeros(len(wanted)), np.full(GRADES, 30.0))
     if not wanted:
         return none
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counts(wanted)
+        count = Counts(every)
         for batch in batches:
             found = [count(x.as_py()) for x in batch.column("body")]
-            out = {"at": [list(f) for f, _, _ in found], "value": [list(f.values()) for f, _, _ in found], "share": [s for _, s, _ in found], "y": batch.column("y")}
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())), ("share", pa.float64()), ("y", pa.float64())]))
-
-    # rows without features differ in their label alone, so they come as counts
-    made = shared.stored(rows.mapInArrow(vectors, "at array<int>, value array<double>, share double, y double"), "toxicity-vectors")
-    blank = dict(made.where("share = 0").groupBy("y").count().collect())
-    marked = made.where("share > 0").orderBy("share", F.xxhash64("at", "value"), "y").collect()  # within the sample's bound
-    x = np.zeros((len(marked) + 2, len(wanted)))
+            out = {"at": [list(f) for f in found], "value": [list(f.values()) for f in found], "y": batch.column("y"), "fold": batch.column("fold")}
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())), ("y", pa.float64()), ("fold", pa.int64())]))
+
+    # rows without features differ in their label and fold alone, so they come as counts
+    made = shared.stored(rows.mapInArrow(vectors, "at array<int>, value array<double>, y double, fold long"), "toxicity-vectors")
+    blank = {(y > 0, f): n for y, f, n in made.where("size(at) = 0").groupBy("y", "fold").count().collect()}
+    marked = made.where("size(at) > 0").orderBy(F.xxhash64("at", "value"), "y", "fold").collect()  # within the sample's bound
+    x = np.zeros((len(marked) + 4, len(every)))
     for i, row in enumerate(marked):
         x[i, row["at"]] = row["value"]
-    toxic = np.array([r["y"] > 0 for r in marked] + [False, True])
-    share = np.array([r["share"] for r in marked] + [0.0, 0.0])
-    weights = np.array([1.0] * len(marked) + [blank.get(0.0, 0), blank.get(1.0, 0)])
+    sorts = [(False, 0), (False, 1), (True, 0), (True, 1)]
+    toxic = np.array([r["y"] > 0 for r in marked] + [y for y, _ in sorts])
+    folds = np.array([r["fold"] for r in marked] + [f for _, f in sorts])
+    weights = np.array([1.0] * len(marked) + [blank.get(s, 0) for s in sorts])
     if not (weights[toxic].sum() and weights[~toxic].sum()):
         return none
-    levels = np.quantile(share[toxic & (share > 0)], [1 / 3, 2 / 3]) if (toxic & (share > 0)).any() else np.zeros(2)
-    grades = np.where(toxic, 1 + np.searchsorted(levels, share, side="right"), 0)
-    w, cuts = fit_ordinal(x, grades, weights)
+    opinion = second_opinion(x, toxic, folds, weights, [[every[n] for n in names] for names in chosen_names[:2]])
+    grades = grades_of(opinion, toxic, x.any(1), folds)
+    w, cuts = fit_ordinal(x[:, : len(wanted)], grades, weights)
     return Model(wanted, w, cuts)
 
 
@@ -200,7 +247,7 @@ def _scan(docs: DataFrame, model: Model, text: str) -> tuple[DataFrame, str, str
             sums = np.zeros(batch.num_rows)
             for i, x in enumerate(batch.column(text)):
                 raw = x.as_py()
-                found, _, _ = count(raw if isinstance(raw, bytes) else (raw or "").encode())
+                found = count(raw if isinstance(raw, bytes) else (raw or "").encode())
                 sums[i] = sum(model.weights[k] * v for k, v in found.items())
             above = model.above(sums)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(1))], names=[*batch.schema.names, p_toxic, severity])

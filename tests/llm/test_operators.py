@@ -207,6 +207,25 @@ def test_quality_on_edges(spark, edges, nothing):
     assert quality.classify(nothing, labels).count() == 0
 
 
+def test_quality_against_plain_numpy(spark):
+    """The summed normal equations and the calibration, over all rows at once."""
+    docs, labels = documents("/root/testdata/sf0.01"), pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    model = quality.fit(quality.features(table("documents").repartition(5)), table("labels"))
+    x = np.stack([quality.statistics((t or "").encode()) for t in docs.text])
+    kernel = quality.Kernel(x.mean(0), x.std(0))
+    known = labels[labels.quality.notna() & np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in labels.doc_id])].set_index("doc_id").quality
+    own = docs.doc_id.isin(known.index).to_numpy()
+    z, y = kernel(x[own]), known[docs.doc_id[own]].to_numpy(float)
+    penalty = np.diag([1e-3 * len(y)] * quality.COMPONENTS + [1e-9])
+    weights = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.abs(kernel(x) @ weights - model.raw(x)).max() < 1e-6
+    # the calibrated means are the best rising fit of the bins: no neighbour pair falls, and each block is the mean of its labels
+    bins = np.floor((np.clip(z @ weights, -0.5, 1.5) + 0.5) * (quality.BINS // 2))
+    centres, means = quality.isotonic(*(np.array([f(bins == b) for b in np.unique(bins)]) for f in (lambda m: (z @ weights)[m].mean(), lambda m: y[m].sum(), lambda m: float(m.sum()))))
+    assert np.allclose(means, model.means, atol=1e-6) and np.allclose(centres, model.centres, atol=1e-6)
+
+
 def test_isotonic_rises():
     x, y = quality.isotonic(np.arange(5.0), np.array([1.0, 0, 2, 1, 4]), np.array([2.0, 2, 2, 2, 4]))
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
@@ -220,6 +239,49 @@ def test_toxicity_held_out(spark):
     assert both.rejected[both.toxic == 1].mean() > 0.85 and both.rejected[both.toxic == 0].mean() < 0.02
 
 
+def test_ordinal_fit_is_the_optimum():
+    """Against plain numpy: the penalised likelihood has no slope left where the fit ends."""
+    rng = np.random.default_rng(0)
+    x, weights = rng.normal(size=(400, 3)), rng.integers(1, 4, 400).astype(float)
+    score = x @ [1.5, -1.0, 0.0] + rng.logistic(size=400)
+    for most in (1, 3):
+        grades = np.searchsorted([0.5, 1.5, 3.0][:most], score)
+        w, cuts = toxicity.fit_ordinal(x, grades, weights, most, ridge=2.0, steps=3000)
+
+        def loss(theta, most=most, grades=grades):
+            above = 1 / (1 + np.exp(-((x @ theta[:3])[:, None] - theta[3:])))
+            p = np.hstack([np.ones((400, 1)), above])[np.arange(400), grades] - np.hstack([above, np.zeros((400, 1))])[np.arange(400), grades]
+            return (-(weights * np.log(p)).sum() + theta[:3] @ theta[:3]) / weights.sum()
+
+        at = np.r_[w, cuts]
+        slopes = [(loss(at + step) - loss(at - step)) / 2e-5 for step in 1e-5 * np.eye(len(at))]
+        assert np.abs(slopes).max() < 2e-3 and (np.diff(cuts) > 0).all() and w[0] > 1 > -0.6 > w[1]
+
+
+def test_severity_follows_what_labels_never_said(spark):
+    """Labels are 0 and 1; texts with more insults get a higher severity, also where the fit saw no label."""
+    rng = np.random.default_rng(2)
+    calm, bad = [f"word{i}" for i in range(300)], [f"insult{chr(97 + i)}" for i in range(6)]
+    docs = [(i, " ".join(rng.permutation([*rng.choice(calm, 60), *rng.choice(bad, (0, 1, 4, 16)[i % 4])]).tolist())) for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in docs], "doc_id long, toxic int")
+    frame = make_docs(spark, docs)
+    got = toxicity.classify(frame, toxicity.fit(frame, labels)).toPandas().set_index("doc_id")
+    unseen = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 3 == 1]
+    mean = [got.severity[[i for i in unseen if i % 4 == k]].mean() for k in range(4)]
+    assert mean[0] < 0.3 and mean[0] < mean[1] - 0.3 and mean[1] < mean[2] - 0.3 and mean[2] < mean[3] - 0.3
+    assert got.rejected[[i for i in unseen if i % 4]].mean() > 0.97 and not got.rejected[[i for i in unseen if i % 4 == 0]].any()
+
+
+def test_opinions_never_see_the_row(spark):
+    """A row's grade doesn't move with its own fold's labels."""
+    rng = np.random.default_rng(3)
+    x, folds = rng.random((200, 4)), np.arange(200) % 2
+    toxic = x[:, 0] + 0.2 * rng.random(200) > 0.6
+    one = toxicity.second_opinion(x, toxic, folds, np.ones(200), [[0, 1], [0, 2, 3]])
+    other = toxicity.second_opinion(x, np.where(folds == 0, rng.random(200) < 0.5, toxic), folds, np.ones(200), [[0, 1], [0, 2, 3]])
+    assert (one[folds == 0] == other[folds == 0]).all() and (one[folds == 1] != other[folds == 1]).any()
+
+
 def test_toxicity_on_edges(spark, edges, nothing):
     bad = [(100 + i, f"some calm words {i} and then stupidword stupidword again {i}") for i in range(40)]
     docs = make_docs(spark, EDGES + bad)
