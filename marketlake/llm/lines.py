@@ -8,12 +8,13 @@ and only suffixes that still share their rank go on, until none does.  A suffix
 that is alone needs no further rank: the order of all is then known.
 
 Suffixes that share their first d lines are an interval of the suffix array, in
-which the longest common prefix is nowhere below d.  Intervals are found from
-``least_words`` words on, and from the highest power of two down each suffix goes
-on to the deepest interval in which it has an earlier copy that doesn't overlap
-its own lines.  Where the suffix one line before doesn't reach as far, this is a
-maximal repeated run.  Later copies are deleted; the earliest, by doc_id and
-line, stays, and so does a copy that overlaps it.
+which the longest common prefix is nowhere below d.  Intervals are named from
+``least_words`` words on; a member has a later copy of what stands at the
+interval's first position where the two don't overlap.  Neighbours that are
+copied from neighbours are one run, and the longest common prefix of the two
+suffixes, found from the highest power of two down, is its length: a maximal
+repeated run.  Later copies are deleted; the earliest, by doc_id and line,
+stays, and so does a copy that overlaps it.
 
 Defined cases: null and empty texts have no lines and come back as empty; blank
 lines never match, and stay; of repeated rows the later ones lose their runs; a
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -45,10 +46,11 @@ _PER_TASK = 1 << 38
 def line_table(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """pos, row, doc_id, line (index among all), left (lines to the end), id, id2, n; stored.
 
-    ``n`` is the number of lines of the shortest run of ``least_words`` words
-    from here on, 0 where there is none.
+    ``n`` has the numbers of lines from here on of the runs of ``least_words``
+    words that are the shortest to start or to end where they do.  Every line of
+    a longer run lies in such a run within it.
     """
-    kinds = {"pos": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "left": pa.int32(), "id": pa.int64(), "id2": pa.int64(), "n": pa.int32()}
+    kinds = {"pos": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "left": pa.int32(), "id": pa.int64(), "id2": pa.int64(), "n": pa.list_(pa.int32())}
     schema = pa.schema(list(kinds.items()))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +61,12 @@ def line_table(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 kept = [(i, bare) for i, line in enumerate(body.as_py().split(b"\n")) if (bare := line.strip())]
                 m = len(kept)
                 total = np.concatenate([[0], np.cumsum([len(line.split()) for _, line in kept], dtype=np.int64)])
-                stop = np.searchsorted(total, total[:-1] + least_words)
+                ends = np.searchsorted(total, total[:-1] + least_words)
+                starts = np.searchsorted(total, total[1:] - least_words, side="right") - 1
+                begin = np.r_[np.flatnonzero(ends <= m), starts[starts >= 0]]
+                size = np.r_[ends[ends <= m] - begin[: (ends <= m).sum()], np.flatnonzero(starts >= 0) + 1 - starts[starts >= 0]]
+                run = np.unique(np.stack([begin, size], 1), axis=0)
+                cuts = np.searchsorted(run[:, 0], np.arange(m + 1))
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(line) for _, line in kept), np.int64).reshape(-1, 2)
                 out["pos"].append(np.arange(pos, pos + m))
                 out["row"].append(np.full(m, row))
@@ -68,8 +75,8 @@ def line_table(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 out["left"].append(np.arange(m, 0, -1))
                 out["id"].append(digests[:, 0])
                 out["id2"].append(digests[:, 1])
-                out["n"].append(np.where(stop <= m, stop - np.arange(m), 0))
-                pos += m
+                out["n"] += np.split(run[:, 1], cuts[1:-1]) if m else []
+                pos += m + 1  # the place between two documents has no line, so no run reaches over it
                 if len(out["doc_id"]) > 100_000:
                     yield _batch(out)
                     out = {c: [] for c in kinds}
@@ -77,10 +84,10 @@ def line_table(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 yield _batch(out)
 
     def _batch(out: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x if c == "doc_id" else np.concatenate(x), kinds[c]) for c, x in out.items()], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x if c in ("doc_id", "n") else np.concatenate(x), kinds[c]) for c, x in out.items()], schema=schema)
 
     bodies = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().cast("binary").alias("body"))
-    return shared.stored(bodies.mapInArrow(scan, "pos long, row long, doc_id long, line int, left int, id long, id2 long, n int"), "lines")
+    return shared.stored(bodies.mapInArrow(scan, "pos long, row long, doc_id long, line int, left int, id long, id2 long, n array<int>"), "lines")
 
 
 def _numbered(keys: DataFrame, *columns: str) -> DataFrame:
@@ -90,80 +97,73 @@ def _numbered(keys: DataFrame, *columns: str) -> DataFrame:
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ...: (pos, left, rank) of the suffixes that share their first 2 ** k lines with another."""
-    ranked = shared.stored(lines.select("pos", "left", "id", "id2").join(_numbered(lines, "id", "id2"), ["id", "id2"]).select("pos", "left", "rank"), "suffixes")
+    """For k = 0, 1, ...: pos, doc_id, left, n and rank of the suffixes that share their first 2 ** k lines with another."""
+    columns = ["pos", "doc_id", "left", "n"]
+    # ranks grow with the corpus, so they are never broadcast
+    ranked = shared.stored(lines.select(*columns, "id", "id2").join(_numbered(lines, "id", "id2").hint("merge"), ["id", "id2"]).select(*columns, "rank"), "suffixes")
     levels, reach = [], 1
     while not ranked.isEmpty():
         levels.append(ranked)
         # a position meets the one ``reach`` lines on in its own block
         block = F.array_distinct(F.array(F.shiftright("pos", BLOCK), F.shiftright(F.col("pos") - reach, BLOCK)))
         here = Window.partitionBy("block").orderBy("pos").rangeBetween(reach, reach)
-        rows = ranked.select("pos", "left", F.col("rank").alias("first"), F.explode(block).alias("block")).withColumn("second", F.max("first").over(here))
+        rows = ranked.select(*columns, F.col("rank").alias("first"), F.explode(block).alias("block")).withColumn("second", F.max("first").over(here))
         pairs = rows.where((F.col("left") >= 2 * reach) & F.col("second").isNotNull() & (F.col("block") == F.shiftright("pos", BLOCK)))
-        pairs = shared.stored(pairs.select("pos", "left", "first", "second"), "suffix-pairs")
-        ranked = shared.stored(pairs.join(_numbered(pairs, "first", "second"), ["first", "second"]).select("pos", "left", "rank"), "suffixes")
+        pairs = shared.stored(pairs.select(*columns, "first", "second"), "suffix-pairs")
+        ranked = shared.stored(pairs.join(_numbered(pairs, "first", "second").hint("merge"), ["first", "second"]).select(*columns, "rank"), "suffixes")
         reach *= 2
     return levels
 
 
-def _earliest() -> Column:
-    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos"))
+def window_copies(levels: list[DataFrame]) -> DataFrame:
+    """pos, n, source: the runs of ``n`` that stand at ``source`` before, by doc_id and line, apart from theirs; stored.
 
-
-def _apart(length: Column) -> Column:
-    """Does the run of ``length`` lines at first.pos not overlap the one at pos?  (A position in between is of the same document.)"""
-    return (F.col("first.pos") > F.col("pos")) | (F.col("first.pos") + length <= F.col("pos"))
-
-
-def window_intervals(lines: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """pos, row, doc_id, left, source, depth, real: the intervals of the shortest runs, by their first position and depth.
-
-    Members with an earlier copy apart from theirs are real; the others stand for
-    what later members are compared with.
+    The ranks of the first and last 2 ** k lines name the interval of a run of n lines.
     """
     found = None
     for k, ranked in enumerate(levels):
-        own = lines.where(F.col("n").between(1 << k, (2 << k) - 1)).select("pos", "row", "doc_id", "left", "n")
-        ahead = own.join(ranked.select("pos", F.col("rank").alias("a")), "pos")
+        own = ranked.select("pos", "doc_id", F.col("rank").alias("a"), F.explode("n").alias("n")).where(F.col("n").between(1 << k, (2 << k) - 1)).withColumn("at", F.col("pos") + F.col("n") - (1 << k))
         behind = ranked.select(F.col("pos").alias("at"), F.col("rank").alias("b"))
-        both = ahead.withColumn("at", F.col("pos") + F.col("n") - (1 << k)).join(behind, "at").drop("at")
+        both = own.join(behind.hint("merge"), "at").select("pos", "doc_id", "n", "a", "b")
         found = both if found is None else found.unionByName(both)
     found = shared.stored(found, "windows")
     key = ["n", "a", "b"]
-    first = found.groupBy(*key).agg(_earliest().alias("first"), F.count("*").alias("copies")).where("copies > 1").select(*key, "first")
-    members = found.join(shared.stored(first, "windows-first"), key)
-    return shared.stored(members.select("pos", "row", "doc_id", "left", F.col("first.pos").alias("source"), F.col("n").alias("depth"), _apart(F.col("n")).alias("real")), "intervals")
-
-
-def deepest_intervals(state: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """The same columns, real rows only: each position in the deepest interval in which it is real."""
+    earliest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos")).alias("first")
+    first = found.groupBy(*key).agg(earliest, F.count("*").alias("copies")).where("copies > 1").select(*key, F.col("first.pos").alias("source"))
+    later = found.join(shared.stored(first, "windows-first").hint("merge"), key)
+    # a position within the earliest copy is of the same document
+    return shared.stored(later.where("source > pos OR source + n <= pos").select("pos", "n", "source"), "window-copies")
+
+
+def runs_of(copies: DataFrame) -> DataFrame:
+    """pos, source, depth: neighbours copied from neighbours as one run; a block's end cuts it."""
+    apart = (F.col("pos") - F.col("source")).alias("apart")
+    w = Window.partitionBy("block", "apart").orderBy("pos")
+    one = copies.groupBy("pos", "source").agg(F.max("n").alias("n")).select("pos", "source", "n", F.shiftright("pos", BLOCK).alias("block"), apart)
+    marked = one.withColumn("new", F.when(F.lag("pos").over(w) == F.col("pos") - 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    ends = marked.groupBy("block", "apart", "run").agg(F.min("pos").alias("pos"), F.min("source").alias("source"), F.max(F.col("pos") + F.col("n")).alias("end"))
+    return shared.stored(ends.select("pos", "source", (F.col("end") - F.col("pos")).cast("long").alias("depth")), "runs")
+
+
+def common_prefixes(runs: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The same runs, as long as the suffixes at pos and source share their lines without overlapping."""
+    shared_lines = runs.select("pos", "source", "depth", F.col("depth").alias("d"))
     for k in range(len(levels) - 1, -1, -1):
         ranked = levels[k].select(F.col("pos").alias("at"), "rank")
-        end = F.when(F.col("depth") < F.col("left"), F.col("pos") + F.col("depth"))
-        # what has no such rank gets a key of its own, so that it meets nothing
-        asked = state.withColumn("at", F.coalesce(end, -1 - F.col("pos"))).join(ranked, "at", "left").withColumn("rank", F.coalesce("rank", -1 - F.col("pos"))).drop("at")
-        asked = shared.stored(asked, "intervals-asked")
-        key = ["source", "depth", "rank"]
-        first = asked.where("rank >= 0").groupBy(*key).agg(_earliest().alias("first"), F.count("*").alias("n")).where("n > 1").select(*key, "first")
-        met = asked.join(shared.stored(first, "intervals-first"), key, "left")
-        deeper = F.col("depth") + (1 << k)
-        accepted = F.col("real") & _apart(deeper)
-        old = F.struct("source", "depth", "real")
-        new = F.struct(F.col("first.pos").alias("source"), deeper.alias("depth"), accepted.alias("real"))
-        both = F.when(F.col("first").isNull(), F.array(old)).when(accepted, F.array(new)).otherwise(F.array(old, new))
-        state = shared.stored(met.select("pos", "row", "doc_id", "left", F.explode(both).alias("in")).select("pos", "row", "doc_id", "left", "in.*"), "intervals")
-    return state.where("real")
+        ends = shared_lines.select("pos", "source", F.explode(F.array(F.col("pos") + F.col("d"), F.col("source") + F.col("d"))).alias("at"))
+        same = ends.join(ranked.hint("merge"), "at").groupBy("pos", "source").agg((F.count("*") == 2).alias("both"), (F.min("rank") == F.max("rank")).alias("same")).where("both AND same").select("pos", "source", F.lit(1 << k).alias("more"))
+        shared_lines = shared.stored(shared_lines.join(same, ["pos", "source"], "left").select("pos", "source", "depth", (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")), "runs")
+    apart = F.when(F.col("source") < F.col("pos"), F.least("d", F.col("pos") - F.col("source"))).otherwise(F.col("d"))
+    return shared_lines.select("pos", "source", F.greatest("depth", apart).alias("depth"))
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """row, doc_id, pos, depth (lines), source (position of the earliest copy) of every maximal later copy."""
     levels = suffix_ranks(lines)
     if not levels:
-        return lines.where("false").select("row", "doc_id", "pos", F.col("left").alias("depth"), F.col("pos").alias("source"))
-    found = shared.stored(deepest_intervals(window_intervals(lines, levels), levels), "runs")
-    before = found.select((F.col("pos") + 1).alias("pos"), F.col("depth").alias("before"))
-    starts = found.join(before, "pos", "left").where("before IS NULL OR before <> depth + 1")
-    return starts.select("row", "doc_id", "pos", "depth", "source")
+        return lines.where("false").select("row", "doc_id", "pos", F.col("pos").alias("depth"), F.col("pos").alias("source"))
+    found = common_prefixes(runs_of(window_copies(levels)), levels)
+    return lines.select("row", "doc_id", "pos").join(found, "pos").select("row", "doc_id", "pos", "depth", "source")
 
 
 def deletions(lines: DataFrame) -> DataFrame:
