@@ -1,101 +1,70 @@
-"""Exponential moving averages, exact and by blocks.
+"""Exponential moving averages over blocks of a series.
 
-A block turns the average it gets into ``a * carry + b``; blocks report (a, b),
-the carries are chained over those few rows, and each block is then averaged
-from its carry with a vectorised pandas helper.
+An average forgets: after REACH * (span + 1) rows the weight of what came before
+is below the last bit of a double.  A block that takes so many rows of the one
+before with it therefore has its averages without waiting for that block, and
+one pass computes averages of averages too.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import series
 
+#: (1 - 2 / (span + 1)) ** (REACH * (span + 1)) is below 2 ** -60.
+REACH = 21
 
-def _average(values: pd.Series, span: int, carry: float | None) -> np.ndarray:
-    """From ``carry``, or from the first value where there is none."""
-    if len(values) and carry is not None:
-        k = 2 / (span + 1)
-        values = values.copy()
-        values.iloc[0] = k * values.iloc[0] + (1 - k) * carry
-    return values.ewm(span=span, adjust=False).mean().to_numpy()
 
+def average(values: pd.Series, span: int, seed: str = "first") -> pd.Series:
+    """From the first value, or from the mean of the first ``span`` with nothing before."""
+    if seed == "sma":
+        rest = values.iloc[span - 1 :].copy()
+        if len(rest):
+            rest.iloc[0] = values.iloc[:span].mean()
+        return rest.ewm(span=span, adjust=False).mean().reindex(values.index)
+    return values.ewm(span=span, adjust=False).mean()
 
-def _start(values: pd.Series, span: int, seed: str) -> tuple[int, np.ndarray]:
-    """Rows to skip and the averages after them, for the first block."""
-    if seed == "first":
-        return 0, _average(values, span, None)
-    if len(values) < span:
-        return len(values), np.zeros(0)
-    rest = values.iloc[span - 1 :].copy()
-    rest.iloc[0] = values.iloc[:span].mean()
-    return span - 1, _average(rest, span, None)
 
+def with_block_columns(df: DataFrame, names: list[str], value: str, lookback: int, compute: Callable[[pd.Series, bool], dict[str, pd.Series]], by: str = "symbol", block_rows: int = series.BLOCK_ROWS) -> DataFrame:
+    """Add ``names``, doubles that ``compute(values, from_start)`` makes of a block's values and the ``lookback`` ones before.
 
-def last_block(df: DataFrame, by: str = "symbol", block_rows: int = series.BLOCK_ROWS) -> int:
-    """The last block's number of the longest series: a grouped count, best taken before costly columns are added."""
-    longest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    return max(0, longest - 1) // block_rows
+    ``df`` has ``_i`` and no null ``value``.
+    """
+    out = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in names)])
 
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", ignore_index=True)
+        pdf = pdf.assign(**compute(pdf[value], int(pdf["_i"].iloc[0]) == 0))
+        return pdf.loc[~pdf["_context"], [f.name for f in out.fields]]
 
-def with_ema(df: DataFrame, spans: dict[str, int], value: str = "price", seed: str = "first", by: str = "symbol", block_rows: int = series.BLOCK_ROWS, n_blocks: int | None = None) -> DataFrame:
-    """Add a column for each of ``spans`` (name -> span) over rows that have ``_i`` and no null ``value``.
+    own = F.floor(F.col("_i") / block_rows)
+    rows = df.withColumn("_block", F.explode(F.sequence(own, F.floor((F.col("_i") + lookback) / block_rows)))).withColumn("_context", F.col("_block") != own)
+    filled = rows.groupBy(by, "_block").applyInPandas(apply, out)
+    # pandas has no null doubles
+    return filled.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+
+
+def lookback(*spans: int) -> int:
+    """Rows that averages of these spans need, each of the one before's results."""
+    return sum(REACH * (span + 1) for span in spans)
 
-    ``n_blocks`` is the result of last_block, where the caller knows it.
+
+def with_ema(df: DataFrame, spans: dict[str, int], value: str = "price", seed: str = "first", by: str = "symbol", block_rows: int = series.BLOCK_ROWS) -> DataFrame:
+    """Add a column for each of ``spans`` (name -> span) over rows that have ``_i`` and no null ``value``.
 
     seed "first" starts at the first value; "sma" at the mean of the first span
     rows, with null before.
     """
     if seed not in ("first", "sma"):
         raise ValueError(f"no seed {seed!r}")
-    if max(spans.values()) > block_rows:
-        raise ValueError("a block must hold the span")
-    names = list(spans)
-    rows = df.withColumn("_block", F.floor(F.col("_i") / block_rows))
-    out = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in names)])
-    if n_blocks is None:
-        n_blocks = last_block(df, by, block_rows)
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        block, values = int(pdf["_block"].iloc[0]), pdf[value]
-        result = {by: [pdf[by].iloc[0]], "_block": [block]}
-        for name, span in spans.items():
-            if block == 0:
-                _, found = _start(values, span, seed)
-                a, b = 0.0, float(found[-1]) if len(found) else 0.0
-            else:
-                a, b = (1 - 2 / (span + 1)) ** len(values), float(_average(values, span, 0.0)[-1])
-            result |= {f"a_{name}": [a], f"b_{name}": [b]}
-        return pd.DataFrame(result)
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        block, values = int(pdf["_block"].iloc[0]), pdf[value]
-        for name, span in spans.items():
-            if block == 0:
-                skip, found = _start(values, span, seed)
-                pdf[name] = np.concatenate([np.full(skip, np.nan), found])
-            else:
-                pdf[name] = _average(values, span, float(pdf[f"c_{name}"].iloc[0]))
-        return pdf[[f.name for f in out.fields]]
-
-    if n_blocks == 0:
-        filled = rows.groupBy(by, "_block").applyInPandas(apply, out)
-    else:
-        kind = df.schema[by].dataType.simpleString()
-        schema = f"{by} {kind}, _block long, " + ", ".join(f"a_{n} double, b_{n} double" for n in names)
-        parts = rows.select(by, "_block", "_i", value).groupBy(by, "_block").applyInPandas(local, schema)
-        earlier = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        chain = lambda n: F.aggregate(F.collect_list(F.struct(F.col(f"a_{n}").alias("a"), F.col(f"b_{n}").alias("b"))).over(earlier), F.lit(0.0), lambda c, x: x.a * c + x.b)
-        carries = parts.select(F.col(by).alias("_of"), F.col("_block").alias("_at"), *(chain(n).alias(f"c_{n}") for n in names))
-        joined = rows.join(carries, F.col(by).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at"))).drop("_of", "_at")
-        filled = joined.groupBy(by, "_block").applyInPandas(apply, out)
-    # pandas has no null doubles
-    return reduce(lambda d, n: d.withColumn(n, F.when(~F.isnan(n), F.col(n))), names, filled)
+    def compute(values: pd.Series, from_start: bool) -> dict[str, pd.Series]:
+        return {name: average(values, span, seed if from_start else "first") for name, span in spans.items()}
+
+    return with_block_columns(df, list(spans), value, lookback(max(spans.values())), compute, by, block_rows)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_or_zero, ieee_div, percent
-
-from .ema import last_block, with_ema
-from .series import last, rolling
+from ..sources.shared import stored
+from . import ema
+from .series import indexed, last, rolling
 
 
 def priced(ticks: DataFrame) -> DataFrame:
@@ -38,6 +39,7 @@ def build_rsi(ticks: DataFrame, period: int = 14) -> DataFrame:
         return df.withColumn("rsi_momentum", F.col("rsi") - F.lag("rsi").over(w))
 
     rsi = F.col("rsi")
+    # fixed values: zones and their labels
     signal = F.when(rsi >= 70, "overbought").when(rsi <= 30, "oversold").otherwise("neutral")
     strength = F.when(rsi >= 80, "very_strong_buy").when(rsi >= 70, "strong_buy").when(rsi >= 50, "bullish").when(rsi >= 30, "bearish").when(rsi >= 20, "strong_sell").otherwise("very_strong_sell")
     out = rolling(priced(ticks), period + 2, compute)
@@ -60,7 +62,7 @@ def build_volatility(ticks: DataFrame, period: int = 14) -> DataFrame:
 
     out = rolling(priced(ticks), period + 1, compute)
     std = F.col("price_volatility_std")
-    out = out.withColumn("price_change_zscore", F.when(std > 0, (F.col("price_change_pct") - F.col("price_change_mean")) / std))
+    out = stored(out.withColumn("price_change_zscore", F.when(std > 0, (F.col("price_change_pct") - F.col("price_change_mean")) / std)), "volatility")
     limits = quartiles(out, "price_volatility_std")
     out = out.join(limits, "symbol", "left")
     category = F.when(std > F.col("q75"), "high").when(std > F.col("q25"), "medium").when(std.isNotNull(), "low")
@@ -68,24 +70,30 @@ def build_volatility(ticks: DataFrame, period: int = 14) -> DataFrame:
     return out.withColumns({"volatility_category": category, "extreme_movement": extreme, "period": F.lit(period)}).drop("q25", "q75")
 
 
+#: Approximate quantiles are this exact: ranks are off by a part in so many at most.
+ACCURACY = 10_000
+
+
 def quartiles(df: DataFrame, value: str, by: str = "symbol") -> DataFrame:
     """q25 and q75 per group: the element at floor((n - 1) q + 0.5) of the sorted values.
 
-    Values are counted first, and ranked by running counts within 256 ranges of
-    values that are counted beforehand, so a group of any size is spread out.
+    In groups of more than ACCURACY values, approximate quantiles on either side
+    enclose each of the two elements.  What lies outside is only counted, so a few
+    parts in ACCURACY of a group are ranked, and equal values once.  Two passes
+    over ``df``.
     """
     rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
-    ends = rows.groupBy(by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    place = F.when(F.col("high") > F.col("low"), F.least(F.lit(255), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 256))).otherwise(0).cast("int")
-    counted = rows.groupBy(by, "v").agg(F.count("*").alias("c")).join(ends, by).withColumn("cell", place)
-    cells = counted.groupBy(by, "cell").agg(F.sum("c").alias("c"))
-    before = Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cells.select(by, "cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(by, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(bases, [by, "cell"]).withColumn("upto", F.col("base") + F.sum("c").over(inside))
+    slack = 2 / ACCURACY
+    near = F.percentile_approx("v", [0.25 - slack, 0.25 + slack, 0.75 - slack, 0.75 + slack], ACCURACY)
+    ends = rows.groupBy(by).agg(near.alias("near"), F.count("*").alias("n"))
+    low, high, low3, high3 = (F.col("near")[i] for i in range(4))
+    v, inf = F.col("v"), F.lit(float("inf"))
+    cell = F.when(F.col("n") <= ACCURACY, v).when(v < low, -inf).when(v <= high, v).when(v < low3, high).when(v <= high3, v).otherwise(inf)
+    counted = rows.join(ends, by).select(by, "n", cell.alias("v")).groupBy(by, "v").agg(F.max("n").alias("n"), F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     index = lambda q: F.floor((F.col("n") - 1) * q + 0.5)
     pick = lambda q: F.min(F.when(F.col("upto") > index(q), F.col("v")))
-    return ranked.groupBy(by).agg(pick(0.25).alias("q25"), pick(0.75).alias("q75"))
+    return counted.withColumn("upto", upto).groupBy(by).agg(pick(0.25).alias("q25"), pick(0.75).alias("q75"))
 
 
 def _weighted(w: WindowSpec, value: str, n: int) -> Column:
@@ -108,10 +116,10 @@ def with_averages(df: DataFrame, window: int, types: Iterable[str] = ("sma", "wm
             rows = rows.withColumn("wma", _weighted(w, value, window))
         return rows
 
-    out = rolling(df.where(F.col(value).isNotNull()), window, compute, order=order)
-    if "ema" not in types:
-        return out
-    return with_ema(out, {"ema": window}, value, seed, n_blocks=last_block(df.where(F.col(value).isNotNull())))
+    rows = indexed(df.where(F.col(value).isNotNull()), order)
+    if "ema" in types:
+        rows = ema.with_ema(rows, {"ema": window}, value, seed)
+    return rolling(rows, window, compute)
 
 
 def moving_averages(bucketed: DataFrame, window: int, types: Iterable[str] = ("sma", "wma", "ema"), places: int = 4) -> DataFrame:
@@ -126,6 +134,7 @@ def build_moving_averages(ticks: DataFrame, window: int, types: Iterable[str] =
     return out.withColumns({"ma_window": F.lit(window), "ma_types": F.lit(",".join(types))}).drop("_i")
 
 
+#: The names of the model's columns.
 FEATURES = [
     "price", "volume_24h", "market_cap", "coin_circulating", "price_ma_5", "price_ma_10", "price_ma_20", "price_ma_50", "volume_ma_5", "volume_ma_20",
     "price_change_1", "price_change_5", "price_change_10", "volume_change", "rsi", "macd", "macd_signal", "macd_diff", "bb_position", "volatility",
@@ -147,10 +156,12 @@ def technical_features(ticks: DataFrame) -> DataFrame:
         df = df.withColumn("rsi", F.coalesce(100 - 100 / (1 + F.try_divide(gain, loss)), F.lit(50.0)))
         return df.withColumns({"bb_std": F.stddev_samp("price").over(last(w, 20)), "volatility": F.stddev_samp("price").over(last(w, 10))}).drop("_gain", "_loss")
 
-    n_blocks = last_block(priced(ticks))
-    out = with_ema(rolling(priced(ticks), 60, compute), {"ema_12": 12, "ema_26": 26}, n_blocks=n_blocks)
-    out = out.withColumn("macd", F.col("ema_12") - F.col("ema_26"))
-    out = with_ema(out, {"macd_signal": 9}, "macd", n_blocks=n_blocks).withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
+    def averages(price: pd.Series, first: bool) -> dict[str, pd.Series]:
+        fast, slow = ema.average(price, 12), ema.average(price, 26)
+        return {"ema_12": fast, "ema_26": slow, "macd": fast - slow, "macd_signal": ema.average(fast - slow, 9)}
+
+    rows = ema.with_block_columns(indexed(priced(ticks)), ["ema_12", "ema_26", "macd", "macd_signal"], "price", ema.lookback(26, 9), averages)
+    out = rolling(rows, 60, compute).withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
     lower, upper = F.col("price_ma_20") - 2 * F.col("bb_std"), F.col("price_ma_20") + 2 * F.col("bb_std")
     out = out.withColumns({
         "bb_middle": F.col("price_ma_20"), "bb_upper": upper, "bb_lower": lower, "bb_position": F.try_divide(F.col("price") - lower, upper - lower),
@@ -189,14 +200,11 @@ def ma_signals(ticks: DataFrame, rsi_period: int = 14) -> DataFrame:
         df = df.withColumn("rsi", 100 - 100 / (1 + rs))
         rsi, rsi_before = F.col("rsi"), F.lag("rsi").over(w)
         leaves = F.when((rsi_before <= 30) & (rsi > 30), "buy").when((rsi_before >= 70) & (rsi < 70), "sell").otherwise("none")
-        return df.withColumn("rsi_exit", leaves).drop("_gain", "_loss")
-
-    out = with_ema(rolling(priced(ticks), 202, compute), {"ema_10": 10, "ema_50": 50}, n_blocks=last_block(priced(ticks))).withColumn("signal", (F.col("ema_10") > F.col("ema_50")).cast("int"))
-
-    def crosses(df: DataFrame, w: WindowSpec) -> DataFrame:
-        return df.withColumn("crossover", F.coalesce(F.col("signal") != F.lag("signal").over(w), F.lit(False)))
+        df = df.withColumn("signal", (F.col("ema_10") > F.col("ema_50")).cast("int"))
+        crossover = F.coalesce(F.col("signal") != F.lag("signal").over(w), F.lit(False))
+        return df.withColumns({"rsi_exit": leaves, "crossover": crossover}).drop("_gain", "_loss")
 
-    return rolling(out, 1, crosses)
+    return rolling(ema.with_ema(indexed(priced(ticks)), {"ema_10": 10, "ema_50": 50}), 202, compute)
 
 
 def rsi_summary(rsi: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Rolling work on long series, cut into blocks so that no symbol is one task.
 
-A row's place in its symbol's series comes from counts by day, which are small,
-and its rank within the day.  Blocks of a fixed number of rows then take the
+A row's place in its symbol's series comes from counts by hour, which are small,
+and its rank within the hour.  Blocks of a fixed number of rows then take the
 last ``lookback`` rows of the block before with them as context.  A look-back is
 bounded, so results equal those over the whole series.
 """
@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 100_000
 
 
-def indexed(df: DataFrame, order: tuple[str, ...] = ("fetched_at", "id"), by: str = "symbol", day: str = "day") -> DataFrame:
+def indexed(df: DataFrame, order: tuple[str, ...] = ("fetched_at", "id"), by: str = "symbol", bucket: str = "hour") -> DataFrame:
     """Add ``_i``, the row's place from 0 in its series; times that are null come first."""
-    day_of = F.date_trunc(day, F.col(order[0]))
-    counts = df.groupBy(by, day_of.alias("_day")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(F.col(by).alias("_by"), F.col("_day").alias("_base_day"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy(by, "_day").orderBy(*order)) - 1
-    ranked = df.withColumn("_day", day_of).withColumn("_i", within)
-    joined = ranked.join(bases, F.col(by).eqNullSafe(F.col("_by")) & F.col("_day").eqNullSafe(F.col("_base_day")))
-    return joined.withColumn("_i", F.col("_i") + F.col("_base")).drop("_day", "_by", "_base_day", "_base")
+    bucket_of = F.date_trunc(bucket, F.col(order[0]))
+    counts = df.groupBy(by, bucket_of.alias("_bucket")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col(by).alias("_by"), F.col("_bucket").alias("_base_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order)) - 1
+    ranked = df.withColumn("_bucket", bucket_of).withColumn("_i", within)
+    joined = ranked.join(bases, F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_base_bucket")))
+    return joined.withColumn("_i", F.col("_i") + F.col("_base")).drop("_bucket", "_by", "_base_bucket", "_base")
 
 
 def blocked(df: DataFrame, lookback: int, lookahead: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -106,7 +106,7 @@ def test_cross_correlation_sign_and_limits(spark):
     price, volume = [0.0, 0, 1, 0, 0, 2, 0, 0, 1, 0, 0, 3], [0.0, 1, 0, 0, 2, 0, 0, 1, 0, 0, 3, 0]
     df = ticks(spark, price, volumes=volume)
     best = correlate.optimal_lag(correlate.cross_correlation(df, 3)).first()
-    assert best.lag == 1 and best.interpretation.endswith("volume leads price by 1 periods")
+    assert best.lag == 1 and best.interpretation.endswith("Le volume précède le prix de 1 période(s).")
     z = lambda x: (np.array(x) - np.mean(x)) / np.std(x, ddof=1)
     full = np.correlate(z(price), z(volume), "full")[11 - 3 : 11 + 4] / 12
     assert values(correlate.cross_correlation(df, 3), "corr", order="lag") == pytest.approx(full.round(4).tolist(), abs=1e-4)
@@ -150,3 +150,13 @@ def test_summaries_of_nothing(spark):
     assert indicators.rsi_summary(indicators.build_rsi(empty)).count() == 0
     assert indicators.technical_features(empty).count() == 0
     assert indicators.series_status(indicators.build_rsi(empty), 14).first().status == "insufficient data"
+
+
+def test_quartiles_of_large_groups_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    values_of = {"A": rng.normal(size=30_011).round(3), "B": np.r_[rng.normal(size=20_000), 1e9], "C": np.full(15_000, 2.0), "D": rng.normal(size=87)}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"symbol": s, "v": v}) for s, v in values_of.items()]))
+    got = {r.symbol: (r.q25, r.q75) for r in indicators.quartiles(df, "v").collect()}
+    for s, v in values_of.items():
+        ranked = np.sort(v)
+        assert got[s] == tuple(ranked[int(np.floor((len(v) - 1) * q + 0.5))] for q in (0.25, 0.75))
