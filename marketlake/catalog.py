@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import indicators, lake, market, marts
+from .plans import indicators, lake, market, marts, storage, streams
 
-_PLANS = [market, marts, indicators, lake]
+_PLANS = [market, marts, indicators, lake, storage, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -90,8 +90,8 @@ def partition_date() -> Column:
     return F.coalesce(long("fetched_at"), long("published_at"), F.lit("unknown"))
 
 
-#: What a URL contains, and the source that stands for.
-URL_SOURCES = {"coinmarketcap": "coinmarketcap", "coingecko": "coingecko", "binance": "binance", "coindesk": "coindesk", "cointelegraph": "cointelegraph"}
+#: What a URL contains, in order, and the source that stands for.
+URL_SOURCES = {"coinmarketcap": "coinmarketcap", "coingecko": "coingecko", "binance": "binance", "crypto": "crypto_news"}
 
 
 def source_of_url(c: Column | str) -> Column:
@@ -145,9 +145,16 @@ def correlation_strength(c: Column | str, scale: str = "coarse") -> Column:
     return out
 
 
+#: The words of an interpretation.
+STRENGTHS_FR = [(0.7, "très forte"), (0.5, "forte"), (0.3, "modérée"), (0.1, "faible"), (0.0, "négligeable")]
+VOLUME_FIRST, PRICE_FIRST, TOGETHER = "Le volume précède le prix de", "Le prix précède le volume de", "Volume et prix sont synchronisés"
+
+
 def correlation_text(c: Column | str, lag: Column | str) -> Column:
-    """Strength, direction and which of price and volume leads."""
-    lag = col(lag)
-    direction = F.when(col(c) > 0, "positive").otherwise("negative")
-    lead = F.when(lag > 0, F.concat(F.lit("volume leads price by "), lag, F.lit(" periods"))).when(lag < 0, F.concat(F.lit("price leads volume by "), -lag, F.lit(" periods"))).otherwise("volume and price move together")
-    return F.concat(correlation_strength(c, "fine"), F.lit(" ("), direction, F.lit("), "), lead)
+    """Strength, direction and which of price and volume leads, in the sentences that users of the results know."""
+    size, lag, strength = F.abs(col(c)), col(lag), None
+    for least, label in STRENGTHS_FR:
+        strength = F.when(size >= least, label) if strength is None else strength.when(size >= least, label)
+    direction = F.when(col(c) > 0, "positive").otherwise("négative")
+    lead = F.when(lag > 0, F.concat_ws(" ", F.lit(VOLUME_FIRST), lag, F.lit("période(s)"))).when(lag < 0, F.concat_ws(" ", F.lit(PRICE_FIRST), -lag, F.lit("période(s)"))).otherwise(TOGETHER)
+    return F.concat(F.lit("Corrélation "), strength, F.lit(" ("), direction, F.lit("). "), lead, F.lit("."))

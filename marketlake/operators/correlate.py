@@ -33,10 +33,16 @@ def pearson_pair(bucketed: DataFrame, a: str, b: str, least: int = 3, places: in
     return out.withColumn("strength", correlation_strength("correlation_pearson", "pearson"))
 
 
-def pearson_matrix(bucketed: DataFrame, least: int = 3, top: int = 300, places: int = 4) -> DataFrame:
-    """Every pair of the ``top`` symbols by points: the report's limit, so a bucket holds ``top`` rows at most."""
-    known = bucketed.groupBy("symbol").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol").limit(top).select("symbol")
-    rows = bucketed.join(F.broadcast(known), "symbol")
+def pearson_matrix(bucketed: DataFrame, least: int = 3, top: int | None = None, places: int = 4) -> DataFrame:
+    """Every pair of symbols that share ``least`` buckets; with ``top``, a report on the symbols of most points.
+
+    A bucket has one row for each symbol, so its pairs grow with the square of
+    the symbols, as the result does.
+    """
+    rows = bucketed
+    if top is not None:
+        known = bucketed.groupBy("symbol").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol").limit(top).select("symbol")
+        rows = bucketed.join(F.broadcast(known), "symbol")
     left = rows.select("t", F.col("symbol").alias("symbol_a"), F.col("price").alias("price_a"))
     right = rows.select("t", F.col("symbol").alias("symbol_b"), F.col("price").alias("price_b"))
     pairs = left.join(right, "t").where("symbol_a < symbol_b").groupBy("symbol_a", "symbol_b").agg(*_statistics(places))

@@ -68,9 +68,16 @@ def _one_per_id(batch: DataFrame) -> DataFrame:
 
 
 def merge_ticks(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """The batch's rows to append: with volume and supply, one for each id, of ids that aren't there yet."""
+    """The batch's rows to append: with volume and supply, one for each id, of ids that aren't there yet.
+
+    The table is reduced to the batch's ids first, for which Spark sends a small
+    batch to the table's files; so history is read, one column of it, but not
+    shuffled.  Where an id is bound to its date, pass the dates of ``existing``
+    that the batch has, and the others aren't read.
+    """
     usable = batch.dropna(subset=["volume_24h", "coin_circulating"])
-    return _one_per_id(usable).join(existing.select("id").distinct(), "id", "left_anti")
+    seen = existing.select("id").join(usable.select("id"), "id", "left_semi")
+    return _one_per_id(usable).join(seen, "id", "left_anti")
 
 
 def upsert_ticks(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -78,20 +85,30 @@ def upsert_ticks(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return _one_per_id(existing.unionByName(batch.dropna(subset=["volume_24h", "coin_circulating"])))
 
 
+DELTA_KEY = ["symbol", "window_start", "window_label"]
+
+
+def moved_deltas(batch: DataFrame, label: str = "1h") -> DataFrame:
+    """Rows whose price changed, with the label."""
+    return batch.where("delta IS NOT NULL AND delta_pct IS NOT NULL AND delta <> 0 AND delta_pct <> 0").withColumn("window_label", F.lit(label))
+
+
 def merge_deltas(existing: DataFrame, batch: DataFrame, label: str = "1h") -> DataFrame:
     """The delta table after the batch: changed rows only, the batch's row for a key that is there already."""
-    key = ["symbol", "window_start", "window_label"]
-    moved = batch.where("delta IS NOT NULL AND delta_pct IS NOT NULL AND delta <> 0 AND delta_pct <> 0").withColumn("window_label", F.lit(label))
-    both = existing.withColumn("_new", F.lit(0)).unionByName(moved.withColumn("_new", F.lit(1)))
-    rest = [c for c in both.columns if c not in (*key, "_new")]
-    out = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_new", F.struct(*rest))).alias("r"))
-    return out.select(*key, "r.*").select(existing.columns)
+    both = existing.withColumn("_new", F.lit(0)).unionByName(moved_deltas(batch, label).withColumn("_new", F.lit(1)))
+    rest = [c for c in both.columns if c not in (*DELTA_KEY, "_new")]
+    out = both.groupBy(*DELTA_KEY).agg(F.max_by(F.struct(*rest), F.struct("_new", F.struct(*rest))).alias("r"))
+    return out.select(*DELTA_KEY, "r.*").select(existing.columns)
+
+
+def new_symbols(batch: DataFrame) -> DataFrame:
+    """The keys of a batch's symbols, once each."""
+    return batch.select(exprs.symbol_key().alias("symbol")).where("symbol IS NOT NULL").distinct()
 
 
 def merge_symbols(dimension: DataFrame, batch: DataFrame) -> DataFrame:
     """The symbol column after the batch: what was there and every new key."""
-    new = batch.select(exprs.symbol_key().alias("symbol")).where("symbol IS NOT NULL").distinct()
-    return dimension.select("symbol").union(new.join(dimension.select("symbol"), "symbol", "left_anti"))
+    return dimension.select("symbol").union(new_symbols(batch).join(dimension.select("symbol"), "symbol", "left_anti"))
 
 
 def known_symbols(deltas: DataFrame, dimension: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def trending_symbols(ticks: DataFrame, as_of: str, hours: int = 24, limit: int =
 
 def trending_between(trending: DataFrame, label: str, start: str, end: str, k: int = 20) -> DataFrame:
     inside = (F.col("window_label") == label) & F.col("as_of").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
-    return trending.where(inside).orderBy(F.desc_nulls_last("delta_pct"), F.desc("value"), "source").limit(k)
+    return trending.where(inside).orderBy(F.desc_nulls_last("delta_pct"), F.desc("value"), "source", "as_of").limit(k)
 
 
 def latest_row(df: DataFrame, time: str = "fetched_at") -> DataFrame:

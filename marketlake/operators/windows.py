@@ -35,15 +35,18 @@ def compute_delta(windows: DataFrame, threshold: float = 50.0) -> DataFrame:
     ).withColumn("trending_up", F.coalesce(F.col("delta_pct") > threshold, F.lit(False)))
 
 
-def trending_rank(windows: DataFrame, limit: int = 100) -> DataFrame:
-    """Change of the row count from the symbol's previous window, ranked densely by percent.
-
-    The rank of the first ``limit`` rows needs those rows only, so the global
-    order is over them.
-    """
+def trending_changes(windows: DataFrame) -> DataFrame:
+    """Change of the row count from the symbol's previous window, where there is one with rows."""
     w = Window.partitionBy("symbol").orderBy("window_start")
     rows = windows.withColumn("previous", F.lag("count").over(w)).withColumn("delta", F.col("count") - F.col("previous"))
     rows = rows.withColumn("delta_pct", F.try_divide(F.col("delta"), F.when(F.col("previous") != 0, F.col("previous"))) * 100).where("delta_pct IS NOT NULL")
-    rows = rows.select(F.coalesce("symbol", F.lit("GLOBAL")).alias("source"), "window_start", "window_end", F.col("count").alias("value"), "delta", "delta_pct")
-    top = rows.orderBy(F.desc("delta_pct"), F.desc("value"), "source", "window_start").limit(limit)
+    return rows.select(F.coalesce("symbol", F.lit("GLOBAL")).alias("source"), "window_start", "window_end", F.col("count").alias("value"), "delta", "delta_pct")
+
+
+def trending_rank(windows: DataFrame, limit: int = 100) -> DataFrame:
+    """The first ``limit`` changes, ranked densely by percent.
+
+    Their rank needs those rows only, so the global order is over them.
+    """
+    top = trending_changes(windows).orderBy(F.desc("delta_pct"), F.desc("value"), "source", "window_start").limit(limit)
     return top.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("delta_pct"))))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import correlate, features, indicators, marts
+from ..operators import correlate, features, indicators, marts, models
+from ..sources.shared import new_path
 from ..sources.tables import ticks
 from .common import DELTAS_SQL, deltas, rounded, sql
 
@@ -96,6 +97,39 @@ def ml_features_view(spark, sf_dir):
     return rounded(features.ml_features_view(deltas(spark, sf_dir), ticks(spark, sf_dir)), 4)
 
 
+def symbol_volatility(spark, sf_dir):
+    return rounded(indicators.symbol_volatility_series(ticks(spark, sf_dir), "s3").select(*_KEY, "price_volatility_std", "volatility_category", "extreme_movement"), 4)
+
+
+def lag_map(spark, sf_dir):
+    """The map of every symbol, and its entries as rows."""
+    found = correlate.lag_map(correlate.cross_correlation(ticks(spark, sf_dir), 12))
+    return found.select("symbol", F.explode("correlations").alias("lag", "corr"))
+
+
+def clean_training_rows(spark, sf_dir):
+    """Rows of which some features are missing, all features missing, or the target is out of range."""
+    rows = features.window_features(deltas(spark, sf_dir).drop("date_end"), ticks(spark, sf_dir))
+    odd = F.hour("date_start") % 5 == 0
+    rows = rows.withColumns({"avg_price": F.when(~odd, F.col("avg_price")), "avg_volume_24h": F.when(F.hour("date_start") % 3 > 0, F.col("avg_volume_24h"))})
+    found = features.clean_training_rows(rows, ["avg_price", "avg_volume_24h"], "target_pct", 300.0)
+    return rounded(found.select("symbol", "date_start", "target_pct", "avg_price", "avg_volume_24h"), 4)
+
+
+def _training_rows(spark, sf_dir):
+    rows = features.window_features(deltas(spark, sf_dir).drop("date_end"), ticks(spark, sf_dir))
+    return features.clean_training_rows(rows, models.WINDOW_FEATURES, "target_pct").withColumn("id", F.xxhash64("symbol", "date_start"))
+
+
+def next_price(spark, sf_dir):
+    """Prices of each symbol's next window, from models that were fitted, saved and read back."""
+    rows, path = _training_rows(spark, sf_dir), new_path(spark, "models")
+    for name, fitted in (("percent", models.train_regression(rows)), ("up", models.train_classifier(rows))):
+        models.save_model(fitted, f"{path}/{name}", spark)
+    percent, up = (models.load_model(spark, f"{path}/{name}").model for name in ("percent", "up"))
+    return rounded(models.predict_next_price(percent, up, deltas(spark, sf_dir).drop("date_end"), ticks(spark, sf_dir)), 4)
+
+
 def stratified_split(spark, sf_dir):
     rows = indicators.next_up_target(ticks(spark, sf_dir))
     return features.split(rows, [0.7, 0.2, 0.1], stratify="target").groupBy("target", "part").agg(F.count("*").alias("n_rows"))
@@ -103,7 +137,7 @@ def stratified_split(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (rsi, rsi_summary, rsi_latest, symbol_rsi, volatility, volatility_summary, volatility_latest, moving_averages, build_moving_averages, technical_features, next_up_target, ma_signals, drop_repeated_values, pearson_pair, pearson_matrix, cross_correlation, optimal_lag, window_features, ml_features_view, stratified_split)
+    for f in (rsi, rsi_summary, rsi_latest, symbol_rsi, volatility, volatility_summary, volatility_latest, moving_averages, build_moving_averages, technical_features, next_up_target, ma_signals, drop_repeated_values, pearson_pair, pearson_matrix, cross_correlation, optimal_lag, window_features, ml_features_view, symbol_volatility, lag_map, clean_training_rows, next_price, stratified_split)
 }
 
 _RSI = """, r0 AS (SELECT *, price - lag(price) OVER (PARTITION BY symbol ORDER BY fetched_at, id) AS step, row_number() OVER (PARTITION BY symbol ORDER BY fetched_at, id) AS i FROM ticks WHERE price IS NOT NULL),
@@ -187,9 +221,19 @@ SELECT id, symbol, fetched_at, CAST(coalesce(m5 > m20, false) AS INTEGER) AS ma_
     "pearson_pair": sql(_HOURS + f", r AS (SELECT {_PEARSON} FROM h a JOIN h b USING (t) WHERE a.symbol = 'S1' AND b.symbol = 'S2') SELECT *, {_STRENGTH} FROM r"),
     "pearson_matrix": sql(_HOURS + f", r AS (SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, {_PEARSON} FROM h a JOIN h b USING (t) WHERE a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 3) SELECT *, {_STRENGTH} FROM r"),
     "cross_correlation": sql(_CCF + " SELECT * FROM ccf"),
+    "lag_map": sql(_CCF + " SELECT symbol, lag, corr FROM ccf"),
+    "symbol_volatility": sql(_VOL + " SELECT id, symbol, fetched_at, round(price_volatility_std, 4) AS price_volatility_std, volatility_category, extreme_movement FROM v WHERE symbol = 'S3' AND price_volatility_std IS NOT NULL"),
+    "clean_training_rows": sql(DELTAS_SQL + f"""
+, f AS (SELECT d.symbol, window_start AS date_start, delta_pct AS target_pct, CASE WHEN hour(window_start) % 5 <> 0 THEN avg(t.price) END AS a, CASE WHEN hour(window_start) % 3 > 0 THEN avg(t.volume_24h) END AS b
+  FROM d JOIN ticks t ON t.symbol = d.symbol AND t.fetched_at >= window_start AND t.fetched_at < window_end GROUP BY 1, 2, 3)
+SELECT symbol, date_start, round(target_pct, 4) AS target_pct, round(coalesce(a, 0), 4) AS avg_price, round(coalesce(b, 0), 4) AS avg_volume_24h FROM f WHERE target_pct IS NOT NULL AND abs(target_pct) <= 300 AND (a IS NOT NULL OR b IS NOT NULL)"""),
+    "stratified_split": sql("""
+, t AS (SELECT coalesce(CAST(lead(price) OVER (PARTITION BY symbol ORDER BY fetched_at, id) > price AS INTEGER), 0) AS target FROM ticks WHERE price IS NOT NULL),
+r AS (SELECT target, row_number() OVER (PARTITION BY target) AS r, count(*) OVER (PARTITION BY target) AS n FROM t)
+SELECT target, CASE WHEN (r - 0.5::DOUBLE) / n <= 1.0::DOUBLE - 0.1::DOUBLE - 0.2::DOUBLE THEN 0 WHEN (r - 0.5::DOUBLE) / n <= 1.0::DOUBLE - 0.1::DOUBLE THEN 1 ELSE 2 END AS part, count(*) AS n_rows FROM r GROUP BY 1, 2"""),
     "optimal_lag": sql(_CCF + """ SELECT symbol, lag, corr, n, CASE WHEN abs(corr) >= 0.5 THEN 'strong' WHEN abs(corr) >= 0.3 THEN 'moderate' WHEN abs(corr) >= 0.1 THEN 'weak' ELSE 'negligible' END AS strength,
-  CASE WHEN abs(corr) >= 0.7 THEN 'very strong' WHEN abs(corr) >= 0.5 THEN 'strong' WHEN abs(corr) >= 0.3 THEN 'moderate' WHEN abs(corr) >= 0.1 THEN 'weak' ELSE 'negligible' END || ' (' || CASE WHEN corr > 0 THEN 'positive' ELSE 'negative' END || '), '
-  || CASE WHEN lag > 0 THEN 'volume leads price by ' || lag || ' periods' WHEN lag < 0 THEN 'price leads volume by ' || -lag || ' periods' ELSE 'volume and price move together' END AS interpretation
+  'Corrélation ' || CASE WHEN abs(corr) < 0.1 THEN 'négligeable' WHEN abs(corr) < 0.3 THEN 'faible' WHEN abs(corr) < 0.5 THEN 'modérée' WHEN abs(corr) < 0.7 THEN 'forte' ELSE 'très forte' END || ' (' || CASE WHEN corr > 0 THEN 'positive' ELSE 'négative' END || '). '
+  || CASE WHEN lag > 0 THEN 'Le volume précède le prix de ' || lag || ' période(s)' WHEN lag < 0 THEN 'Le prix précède le volume de ' || -lag || ' période(s)' ELSE 'Volume et prix sont synchronisés' END || '.' AS interpretation
   FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(corr) DESC, lag) AS k FROM ccf) WHERE k = 1"""),
     "window_features": sql(DELTAS_SQL + f""" SELECT d.symbol, window_start AS date_start, '1h' AS window_label, round(delta_pct, 4) AS delta_pct, {_MEASURES}, round(delta_pct, 4) AS target_pct, CAST(delta_pct > 0 AS INTEGER) AS target_up
   FROM d JOIN ticks t ON t.symbol = d.symbol AND t.fetched_at >= window_start AND t.fetched_at < window_end GROUP BY d.symbol, window_start, delta_pct"""),

@@ -25,7 +25,7 @@ def url_sources(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", exprs.source_of_url("url").alias("source"))
 
 
-def _raw(spark, sf_dir):
+def raw_ticks(spark, sf_dir):
     """The ticks as raw records of two producers, numbers as text with signs."""
     t = ticks(spark, sf_dir)
     odd = F.col("id") % 2 == 1
@@ -39,13 +39,13 @@ def _raw(spark, sf_dir):
 
 
 def normalize_tick(spark, sf_dir):
-    lines = _raw(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    lines = raw_ticks(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
     out = ingest.require_market_fields(ingest.normalize_tick(raw.parse_lines(lines)))
     return rounded(out.select("id", "name", "symbol", "price", "volume_24h", "coin_circulating", "date"))
 
 
 def split_valid_counts(spark, sf_dir):
-    valid, rejects = ingest.split_valid(_raw(spark, sf_dir))
+    valid, rejects = ingest.split_valid(raw_ticks(spark, sf_dir))
     of = lambda df, name: df.groupBy("source").agg(F.count("*").alias("n_rows"), F.min("id").alias("first_id")).withColumn("side", F.lit(name))
     return of(valid, "valid").unionByName(of(rejects, "rejected"))
 
@@ -76,19 +76,19 @@ def filter_ticks(spark, sf_dir):
     return rounded(ingest.filter_ticks(ticks(spark, sf_dir), "s4", "2024-01-05", "2024-01-09").select("id", "symbol", "price", "fetched_at"))
 
 
-def _news(spark, sf_dir):
+def news_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return d.select(F.substring("text", 1, 40).alias("title"), F.concat(F.lit("https://news.example.com/"), F.col("doc_id")).alias("url"), F.upper("source").alias("source"), day.alias("published_at"), F.when(F.col("doc_id") % 7 != 0, day).alias("fetched_at"), F.col("text").alias("content"))
 
 
 def filter_news(spark, sf_dir):
-    feed = news.news_feed(_news(spark, sf_dir))
+    feed = news.news_feed(news_rows(spark, sf_dir))
     return news.filter_news(feed, search="IDIOT", date_from="2024-01-03", date_to="2024-01-20").select("link", "section", "timestamp", "scraped_at")
 
 
 def news_stats(spark, sf_dir):
-    return news.news_stats(news.news_feed(_news(spark, sf_dir)), AS_OF[:8] + "05")
+    return news.news_stats(news.news_feed(news_rows(spark, sf_dir)), AS_OF[:8] + "05")
 
 
 def article_links(spark, sf_dir):
@@ -117,7 +117,7 @@ ORACLE_SQL = {
 , x AS (SELECT id AS tick, url, name, symbol, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS stamp FROM ticks)
 SELECT tick, sha1(url || name) AS url_title, sha1('{"fetched_at": "' || stamp || '", "name": "' || name || '", "published_at": "' || stamp || '", "symbol": "' || symbol || '", "title": "' || name || '", "url": "' || url || '"}') AS json,
   sha256(url || '|' || symbol || '|' || name || '|' || stamp) AS listing, sha1(lower(trim(url)) || '|' || lower(trim(name))) AS folded FROM x"""),
-    "url_sources": r"SELECT page_id, CASE WHEN lower(url) LIKE '%coinmarketcap%' THEN 'coinmarketcap' WHEN lower(url) LIKE '%coingecko%' THEN 'coingecko' WHEN lower(url) LIKE '%binance%' THEN 'binance' WHEN lower(url) LIKE '%coindesk%' THEN 'coindesk' WHEN lower(url) LIKE '%cointelegraph%' THEN 'cointelegraph' ELSE regexp_extract(url, '^[^/]*/[^/]*/[^/]*') END AS source FROM pages",
+    "url_sources": r"SELECT page_id, CASE WHEN lower(url) LIKE '%coinmarketcap%' THEN 'coinmarketcap' WHEN lower(url) LIKE '%coingecko%' THEN 'coingecko' WHEN lower(url) LIKE '%binance%' THEN 'binance' WHEN lower(url) LIKE '%crypto%' THEN 'crypto_news' ELSE regexp_extract(url, '^[^/]*/[^/]*/[^/]*') END AS source FROM pages",
     "normalize_tick": sql("""SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 2 = 1 THEN name ELSE name || ' x' END AS name, symbol, round(price, 6) AS price, CAST(CAST(volume_24h AS INTEGER) AS DOUBLE) AS volume_24h, coin_circulating,
   strftime(fetched_at, '%Y-%m-%d') AS date FROM ticks WHERE id % 5 <> 0 AND price IS NOT NULL AND volume_24h IS NOT NULL"""),
     "split_valid_counts": sql("SELECT source, count(*) AS n_rows, min(CAST(id AS VARCHAR)) AS first_id, CASE WHEN id % 3 = 0 THEN 'rejected' ELSE 'valid' END AS side FROM ticks GROUP BY 1, 4"),

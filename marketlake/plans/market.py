@@ -65,7 +65,7 @@ def trending_symbols(spark, sf_dir):
 
 
 def trending_between(spark, sf_dir):
-    rows = windows.trending_rank(windows.compute_window(ticks(spark, sf_dir), "1 day"), 1000)
+    rows = windows.trending_changes(windows.compute_window(ticks(spark, sf_dir), "1 day"))
     rows = rows.select("source", "value", "delta_pct", F.lit("1d").alias("window_label"), F.col("window_start").cast("timestamp").alias("as_of"))
     return rounded(market.trending_between(rows, "1d", "2024-01-10 00:00:00", "2024-01-20 00:00:00", 20).withColumn("as_of", F.col("as_of").cast("timestamp_ntz")))
 
@@ -133,7 +133,7 @@ FROM newest LEFT JOIN change USING (symbol)"""),
     "total_market_cap": sql("SELECT round(sum(cap), 4) AS total_market_cap, count(*) AS symbols FROM (SELECT symbol, arg_max(market_cap, (fetched_at, id)) AS cap FROM ticks WHERE market_cap IS NOT NULL GROUP BY 1)"),
     "market_stats": sql(f"""
 , s AS (SELECT count(DISTINCT CASE WHEN lower(url) LIKE '%coinmarketcap%' THEN 'coinmarketcap' WHEN lower(url) LIKE '%coingecko%' THEN 'coingecko' WHEN lower(url) LIKE '%binance%' THEN 'binance'
-       ELSE regexp_extract(url, '^[^/]*//[^/]*') END) AS sources, count(DISTINCT nullif(upper(trim(symbol)), '')) AS symbols, count(*) AS total,
+       WHEN lower(url) LIKE '%crypto%' THEN 'crypto_news' ELSE regexp_extract(url, '^[^/]*//[^/]*') END) AS sources, count(DISTINCT nullif(upper(trim(symbol)), '')) AS symbols, count(*) AS total,
        count(*) FILTER (WHERE CAST(fetched_at AS DATE) = DATE '{AS_OF[:10]}') AS today, count(*) FILTER (WHERE CAST(fetched_at AS DATE) = DATE '{AS_OF[:10]}' - 1) AS yesterday,
        count(*) FILTER (WHERE date_trunc('month', fetched_at) = date_trunc('month', DATE '{AS_OF[:10]}')) AS this_month FROM ticks)
 SELECT *, round(CASE WHEN yesterday > 0 THEN (today - yesterday) * 100.0::DOUBLE / yesterday WHEN today > 0 THEN 100.0 ELSE 0.0 END, 6) AS change_pct FROM s"""),
@@ -144,9 +144,9 @@ SELECT *, round(CASE WHEN yesterday > 0 THEN (today - yesterday) * 100.0::DOUBLE
 p AS (SELECT *, value - previous AS delta, CASE WHEN previous = 0 THEN 100.0 ELSE (value - previous) * 100.0::DOUBLE / previous END AS pct FROM c)
 SELECT source, value, previous, delta, round(pct, 6) AS delta_pct FROM p ORDER BY abs(pct) DESC, value DESC, source LIMIT 20"""),
     "trending_between": sql(_DAYS + """
-, top AS (SELECT * FROM ranked WHERE delta_pct IS NOT NULL ORDER BY delta_pct DESC, value DESC, source, window_start LIMIT 1000)
+, top AS (SELECT * FROM ranked WHERE delta_pct IS NOT NULL)
 SELECT source, value, round(delta_pct, 6) AS delta_pct, '1d' AS window_label, CAST(window_start AS TIMESTAMP) AS as_of FROM top
-WHERE window_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' ORDER BY delta_pct DESC NULLS LAST, value DESC, source LIMIT 20"""),
+WHERE window_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' ORDER BY delta_pct DESC NULLS LAST, value DESC, source, window_start LIMIT 20"""),
     "latest_per_symbol": sql("SELECT symbol, max_by(id, (fetched_at, id)) AS id, round(max_by(price, (fetched_at, id)), 6) AS price, max(fetched_at) AS fetched_at FROM ticks GROUP BY 1"),
     "latest_row": sql("SELECT id, symbol, round(price, 6) AS price, fetched_at FROM ticks ORDER BY fetched_at DESC, id DESC LIMIT 1"),
     "last_n_per_symbol": sql("SELECT id, symbol, round(price, 6) AS price, fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fetched_at DESC, id DESC) AS r FROM ticks) WHERE r <= 25"),

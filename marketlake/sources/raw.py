@@ -16,13 +16,13 @@ def parse_lines(lines: DataFrame, schema: str = schemas.RAW) -> DataFrame:
     return parsed.select("r.*").where("_broken IS NULL").drop("_broken")
 
 
-def read_raw_ndjson(spark: SparkSession, path: str, schema: str = schemas.RAW) -> DataFrame:
-    """All ``*.ndjson`` below ``path``."""
-    return parse_lines(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ndjson").text(path), schema)
+def read_raw_ndjson(spark: SparkSession, path: str, schema: str = schemas.RAW, pattern: str = "*.ndjson") -> DataFrame:
+    """All files of the ``pattern`` below ``path``."""
+    return parse_lines(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path), schema)
 
 
-def read_news(spark: SparkSession, path: str) -> DataFrame:
-    return read_raw_ndjson(spark, path, schemas.NEWS)
+def read_news(spark: SparkSession, path: str, pattern: str = "*.ndjson") -> DataFrame:
+    return read_raw_ndjson(spark, path, schemas.NEWS, pattern)
 
 
 def write_lake(df: DataFrame, path: str, mode: str = "append", files_per_date: int = 1) -> None:

@@ -18,8 +18,8 @@ from ..operators import ingest
 from ..sources import raw
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ndjson").text(path)
+def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
 
 
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: str | None) -> StreamingQuery:
@@ -27,7 +27,7 @@ def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
-def stream_ingest(spark: SparkSession, source: str, lake: str, rejects: str, checkpoint: str, trigger: str | None = "5 seconds") -> StreamingQuery:
+def stream_ingest(spark: SparkSession, source: str, lake: str, rejects: str, checkpoint: str, trigger: str | None = "5 seconds", pattern: str = "*.ndjson") -> StreamingQuery:
     """News files to the lake and the rejects, each file once; all there is now if there is no trigger.
 
     A batch that is run again replaces its own folder, so that no row comes twice.
@@ -38,12 +38,12 @@ def stream_ingest(spark: SparkSession, source: str, lake: str, rejects: str, che
         valid.write.partitionBy("date").mode("overwrite").parquet(f"{lake}/batch={number}")
         refused.write.mode("overwrite").json(f"{rejects}/batch={number}")
 
-    return _run(raw.parse_lines(_lines(spark, source), schemas.NEWS), each, checkpoint, trigger)
+    return _run(raw.parse_lines(_lines(spark, source, pattern), schemas.NEWS), each, checkpoint, trigger)
 
 
-def stream_ticks(spark: SparkSession, source: str, lake: str, checkpoint: str, trigger: str | None = "60 seconds") -> StreamingQuery:
+def stream_ticks(spark: SparkSession, source: str, lake: str, checkpoint: str, trigger: str | None = "60 seconds", pattern: str = "*.ndjson") -> StreamingQuery:
     """Raw market records to the date-partitioned tick lake."""
-    ticks = ingest.require_market_fields(ingest.normalize_tick(raw.parse_lines(_lines(spark, source))))
+    ticks = ingest.require_market_fields(ingest.normalize_tick(raw.parse_lines(_lines(spark, source, pattern))))
     writer = ticks.writeStream.format("parquet").partitionBy("date").option("path", lake).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
@@ -78,13 +78,49 @@ def stream_merge(stream: DataFrame, table: str, checkpoint: str, trigger: str |
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            existing = spark.read.parquet(table)
-        except Exception as absent:
-            if "PATH_NOT_FOUND" not in str(absent):
-                raise
-            existing = batch.limit(0)
-        ingest.merge_ticks(existing, batch).write.mode("append").parquet(table)
+        existing = _table(batch, table)
+        ingest.merge_ticks(batch.limit(0) if existing is None else existing, batch).write.mode("append").parquet(table)
 
     return _run(stream, each, checkpoint, trigger)
+
+
+def _table(batch: DataFrame, path: str) -> DataFrame | None:
+    try:
+        return batch.sparkSession.read.parquet(path)
+    except Exception as absent:
+        if "PATH_NOT_FOUND" not in str(absent) and "UNABLE_TO_INFER_SCHEMA" not in str(absent):
+            raise
+        return None
+
+
+def stream_merge_symbols(stream: DataFrame, table: str, checkpoint: str, trigger: str | None = "60 seconds") -> StreamingQuery:
+    """Each batch's new symbols in a folder of its own, which a batch that is run again replaces."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        new = ingest.new_symbols(batch)
+        known = _table(batch, table)
+        if known is not None:
+            new = new.join(known.where(F.col("batch") != number).select("symbol"), "symbol", "left_anti")
+        new.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return _run(stream, each, checkpoint, trigger)
+
+
+def stream_merge_deltas(stream: DataFrame, table: str, checkpoint: str, trigger: str | None = "1 hour", label: str = "1h") -> StreamingQuery:
+    """Each batch's changed deltas in a folder of its own; ``merged_deltas`` reads the newest row of each key.
+
+    So a merge writes the batch and not the table.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        ingest.moved_deltas(batch, label).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return _run(stream, each, checkpoint, trigger)
+
+
+def merged_deltas(spark: SparkSession, table: str, symbols: DataFrame | None = None) -> DataFrame:
+    """The delta table: of each key the row of the newest batch; of known symbols only, if those are given."""
+    rows = spark.read.parquet(table)
+    rest = [c for c in rows.columns if c not in (*ingest.DELTA_KEY, "batch")]
+    found = rows.groupBy(*ingest.DELTA_KEY).agg(F.max_by(F.struct(*rest), F.struct("batch", F.struct(*rest))).alias("r")).select(*ingest.DELTA_KEY, "r.*")
+    return found if symbols is None else ingest.known_symbols(found, symbols)

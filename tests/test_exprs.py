@@ -50,7 +50,8 @@ def test_first_filled_treats_zero_and_empty_as_absent(spark):
 
 def test_window_labels_sources_and_symbols(spark):
     assert column(spark, ["10m", "1h", "7d", "x", None, "2H"], exprs.window_seconds("v")) == [600, 3600, 604800, 3600, 3600, 7200]
-    assert column(spark, ["https://WWW.CoinGecko.com/x", "https://a.b/c/d", None], exprs.source_of_url("v")) == ["coingecko", "https://a.b", None]
+    urls = ["https://WWW.CoinGecko.com/x", "https://a.b/c/d", None, "https://crypto-wire.com/a", "https://www.CryptoNews.net/b", "https://www.coindesk.com/c"]
+    assert column(spark, urls, exprs.source_of_url("v")) == ["coingecko", "https://a.b", None, "crypto_news", "crypto_news", "https://www.coindesk.com"]
     assert column(spark, [" btc ", "", None, "Eth"], exprs.symbol_key("v")) == ["BTC", None, None, "ETH"]
 
 
@@ -65,4 +66,5 @@ def test_division_and_correlation_labels(spark):
     assert got[:2] == [float("inf"), float("-inf")] and got[2] != got[2] and got[3] == 2 and got[4] is None
     assert column(spark, [0.95, -0.55, 0.05], exprs.correlation_strength("v"), "double") == ["strong", "strong", "negligible"]
     assert column(spark, [0.95, -0.55, 0.05], exprs.correlation_strength("v", "pearson"), "double") == ["very strong", "moderate", "very weak"]
-    assert column(spark, [-0.8], exprs.correlation_text("v", F.lit(-2)), "double") == ["very strong (negative), price leads volume by 2 periods"]
+    assert column(spark, [-0.8], exprs.correlation_text("v", F.lit(-2)), "double") == ["Corrélation très forte (négative). Le prix précède le volume de 2 période(s)."]
+    assert column(spark, [0.2], exprs.correlation_text("v", F.lit(0)), "double") == ["Corrélation faible (positive). Volume et prix sont synchronisés."]
