@@ -6,12 +6,20 @@ within ``distance // segments`` bits; the Hamming ball of that radius is
 enumerated half on the stored and half on the asking side, so one table of
 (segment, variant) rows meets itself.  What meets under a key is verified over
 all bits.  A key's many fingerprints are linked through pivots instead of in all
-pairs, which leaves the same components.
+pairs, which leaves the same components.  The fingerprints of a key that has more
+than HOT are dealt to ``distance + 1`` pieces of their other bits, one of which is
+equal in any two that link, so no key is one task.
 
 ``deduped`` also links texts whose shingle sets are similar, however far apart
-their fingerprints are.  Texts that share one of their KEYS smallest shingle
-hashes meet, signatures of SIGNATURE one-bit min-hashes sort out what cannot be
-similar, and what is left is compared exactly.
+their fingerprints are.  A text's SAMPLE smallest shingle hashes are a fair sample
+of its shingles; of these up to KEYS that few texts have are its keys.  Texts that
+share a key meet, signatures of SIGNATURE one-bit min-hashes sort out what cannot
+be similar, and what is left is compared exactly.  A passage that many texts share
+is thus no key of texts that have enough of their own.  Texts made of what many
+others hold, POOR ones, meet under such hashes among themselves: neighbours of a
+random order first, and then those that aren't in a key's largest component with
+all others of it, closest signatures first, until no pair that may be similar is
+left between components.
 
 Defined cases: a null or wordless text has fingerprint 0 and links like any
 other; a null doc_id takes part but never names a component that has another;
@@ -34,10 +42,17 @@ from . import graph, shared
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at once.
 _AT_ONCE = 1 << 16
-#: Up to so many fingerprints under a key are compared in all pairs.
+#: Up to so many rows under a key are compared in all pairs.
 FEW = 16
-#: Shingle hashes under which a text is found; two texts of similarity j share none of them in (1 - j) ** KEYS of all cases at most.
-KEYS = 12
+#: So many fingerprints under a key at most meet in one group before it is split.
+HOT = 20_000
+#: Smallest shingle hashes of a text that are looked at.
+SAMPLE = 80
+#: Of these so many that at most FEW texts have are its keys: half of them where most of the sample is such, all where less is.
+#: Where 3 in 10 of a text are its own, a third of that is in any text of similarity 0.8: all keys miss in (2 / 3) ** KEYS of all cases at most.
+KEYS = 24
+#: Texts with a smaller share of own shingles are poor, and meet under so many common hashes too.
+POOR, COMMON = 0.3, 12
 #: Bits of a signature; a bit differs in (1 - j) / 2 of all cases.
 SIGNATURE = 512
 #: Standard deviations that a signature may differ more than expected.
@@ -122,10 +137,10 @@ def local_components(fps: np.ndarray, distance: int) -> np.ndarray:
 
 
 def link_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
-    """Rows (a, b, in_pairs) of verified links among the fingerprints of equal, sorted keys.
+    """Rows (a, b) whose components are those of the verified links among the fingerprints of equal, sorted keys.
 
-    Up to FEW linked fingerprints give all their pairs; more are tied to one of
-    theirs (in_pairs 0), which may be further than ``distance`` away.
+    Up to FEW fingerprints give the pairs that link; of more, all of a component
+    are tied to one of theirs.
     """
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
@@ -138,7 +153,7 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
             if not len(at):
                 return
             linked = at[np.bitwise_count(values[at] ^ values[at + step]) <= distance]
-            found.append(np.stack([values[linked], values[linked + step], np.ones(len(linked), np.uint64)], 1))
+            found.append(np.stack([values[linked], values[linked + step]], 1))
 
     size_at = np.repeat(sizes, sizes)
     pairs(keys, fps, np.flatnonzero((size_at > 1) & (size_at <= FEW)))
@@ -147,13 +162,9 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
         order = np.argsort(label, kind="stable")
         own, values = label[order], fps[start : start + size][order]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        count = np.diff(np.r_[first, size])
-        count_at = np.repeat(count, count)
-        pairs(own, values, np.flatnonzero((count_at > 1) & (count_at <= FEW)))
-        head = np.repeat(values[first], count)
-        many = (count_at > FEW) & (head != values)
-        found.append(np.stack([head[many], values[many], np.zeros(int(many.sum()), np.uint64)], 1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.uint64)
+        head = np.repeat(values[first], np.diff(np.r_[first, size]))
+        found.append(np.stack([head, values], 1)[head != values])
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
 
 
 def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -170,8 +181,38 @@ def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield keys, fps
 
 
-def links(unique: DataFrame, distance: int = 4, segments: int = 2) -> DataFrame:
-    """Edges (a, b, in_pairs) over distinct fingerprints ``fp`` whose components are those of all links within ``distance``."""
+def pieces(key: np.ndarray, fp: np.ndarray, width: int, distance: int) -> list[np.ndarray]:
+    """For rows of hot keys, ``distance + 1`` finer keys each: a piece of the bits outside the key's segment."""
+    segment = (key >> np.int64(32)).astype(np.uint64)
+    low = segment * np.uint64(width)
+    above = np.where(low + np.uint64(width) < 64, fp >> np.minimum(low + np.uint64(width), np.uint64(63)), np.uint64(0))
+    other = above << low | fp & ((np.uint64(1) << low) - np.uint64(1))
+    out = []
+    for j in range(distance + 1):
+        start, stop = j * (64 - width) // (distance + 1), (j + 1) * (64 - width) // (distance + 1)
+        piece = other >> np.uint64(start) & np.uint64((1 << (stop - start)) - 1)
+        out.append(((piece << np.uint64(44)).view(np.int64) | np.int64(j << 38) | np.int64(1 << 37)) + key)
+    return out
+
+
+def hot_keys(unique: DataFrame, table: DataFrame, near: np.ndarray, width: int, segments: int, hot: int) -> DataFrame | None:
+    """The keys of ``table`` that more than ``hot`` fingerprints have, or None.
+
+    A key gathers the segment values within the radius, so one of these must be
+    frequent; only keys around frequent values are counted.
+    """
+    mask = (1 << width) - 1
+    value = F.explode(F.array(*(F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(s << 32)) for s in range(segments)))).alias("value")
+    often = shared.stored(unique.select(value).groupBy("value").count().where(F.col("count") > hot // len(near)), "segments-often")
+    if often.isEmpty():
+        return None
+    around = often.select(F.explode(F.array(*(F.col("value").bitwiseXOR(F.lit(x)) for x in near.tolist()))).alias("key")).distinct()
+    counted = shared.stored(table.select("key").join(around, "key", "left_semi").groupBy("key").count().where(F.col("count") > hot).select("key"), "segments-hot")
+    return None if counted.isEmpty() else counted
+
+
+def links(unique: DataFrame, distance: int = 4, segments: int = 2, hot: int = HOT) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints ``fp`` whose components are those of all links within ``distance``."""
     n = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width, radius = 64 // segments, distance // segments
     near = ball(width, (radius + 1) // 2)  # half the radius on either side
@@ -189,10 +230,20 @@ def links(unique: DataFrame, distance: int = 4, segments: int = 2) -> DataFrame:
         for keys, fps in whole_runs(batches):
             edges = link_runs(keys, fps, distance).view(np.int64)
             if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(edges[:, 2] == 1)], names=["a", "b", "in_pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp")
+            for key in pieces(batch.column("key").to_numpy(), fp.to_numpy().view(np.uint64), width, distance):
+                yield pa.RecordBatch.from_arrays([pa.array(key), fp], names=["key", "fp"])
 
     table = unique.select("fp").mapInArrow(spread, "key long, fp long")
-    return table.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, in_pairs boolean")
+    crowded = hot_keys(unique, table, near, width, segments, hot)
+    if crowded is not None:
+        fine = table.join(crowded, "key", "left_semi").mapInArrow(split, "key long, fp long")
+        table = table.join(crowded, "key", "left_anti").unionByName(fine)
+    return table.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
 def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float, words_each: int, text: str = "text", by_text: bool = False) -> DataFrame:
@@ -260,7 +311,7 @@ def sketches(docs: DataFrame, rows: DataFrame, words_each: int, text: str = "tex
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py(), words_each) for x in batch.column("body")]
-            keys = pa.array([x[:KEYS].view(np.int64) for x in sets], pa.list_(pa.int64()))
+            keys = pa.array([x[:SAMPLE].view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array([len(x) for x in sets], pa.int64()), keys, pa.array([signature(x) for x in sets], pa.binary())], names=["_h", "n", "keys", "sig"])
 
     whole = shared.text_or_empty(text)
@@ -283,84 +334,133 @@ def in_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def promising(found: pa.Table, least: float):
-    """A function of row numbers a, b of ``found``: which pairs may have a similarity of ``least``."""
+    """A function of row numbers a, b of ``found``: the bits in which signatures differ, -1 where no similarity of ``least`` is possible."""
     n, sig = found.column("n").to_numpy(), np.frombuffer(b"".join(found.column("sig").to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
     differs = (1 - least) / 2
     most = SIGNATURE * differs + SPREAD * (SIGNATURE * differs * (1 - differs)) ** 0.5
 
     def ask(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        of_size = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])
-        a, b = np.broadcast_arrays(a, b)
-        of_size[of_size] = np.bitwise_count(sig[a[of_size]] ^ sig[b[of_size]]).sum(1, dtype=np.int64) <= most
-        return of_size
+        of_size = np.flatnonzero(np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
+        bits = np.full(len(a), -1)
+        found = np.bitwise_count(sig[a[of_size]] ^ sig[b[of_size]]).sum(1, dtype=np.int64)
+        bits[of_size] = np.where(found <= most, found, -1)
+        return bits
 
     return ask
 
 
+def keyed_texts(sketched: DataFrame) -> DataFrame:
+    """_h, fp, n, sig, key, common: a row for each key of each text, and for each common hash of poor ones; stored."""
+    counts = sketched.select(F.explode("keys").alias("key")).groupBy("key").count()
+    crowded = shared.stored(counts.where(F.col("count") > FEW).select("key"), "keys-crowded")
+    bitmap = sketched.sparkSession.sparkContext.broadcast(shared.Bitmap.of(crowded, "key"))
+
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), sizes)
+            common = bitmap.value.has(values.view(np.uint64))
+
+            def place(which: np.ndarray) -> np.ndarray:
+                """Of the chosen elements, each one's place among its text's."""
+                total = np.cumsum(which) - which
+                first = np.r_[0, np.cumsum(sizes)[:-1]]
+                return total - total[np.minimum(first, max(0, len(total) - 1))][of] if len(total) else total
+
+            own = np.bincount(of[~common], minlength=batch.num_rows)
+            most = np.where(own >= SAMPLE // 2, KEYS // 2, KEYS)
+            poor = own < POOR * sizes
+            kept = np.where(common, poor[of] & (place(common) < COMMON), place(~common) < most[of])
+            at = pa.array(of[kept])
+            columns = [batch.column(c).take(at) for c in ("_h", "fp", "n", "sig")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(values[kept]), pa.array(common[kept])], names=["_h", "fp", "n", "sig", "key", "common"])
+
+    return shared.stored(sketched.select("_h", "fp", "n", "sig", "keys").mapInArrow(choose, "_h long, fp long, n long, sig binary, key long, common boolean"), "texts-keyed")
+
+
 def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, sure: int, least: float, words_each: int, text: str = "text") -> DataFrame:
     """Edges (a, b) of fingerprints whose components, with those of ``edges``, are those of all texts of similarity ``least``.
 
-    Up to FEW texts under a key are compared in all pairs.  Those of a fuller key
-    are dealt to blocks, and neighbours of a random order are compared first.
-    What then still lies in different components is compared in all pairs, block
-    by block, so that no key is one task.
+    Under a key, which few texts have, all pairs are compared.  Poor texts under a
+    common hash are dealt to blocks, so that none is one task.
     """
     n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = sketched.select("_h", "fp", "n", "sig", F.explode("keys").alias("key"))
-    full = shared.stored(each.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > FEW), "full-keys")
-    cuts = F.ceil(F.coalesce("size", F.lit(1)) / F.lit(BLOCK))
-    each = each.join(full, "key", "left").withColumn("cuts", cuts).withColumn("block", F.pmod(F.xxhash64("key", "_h"), "cuts"))
+    each = keyed_texts(sketched)
+    sizes = each.where("common").groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
+    common = shared.stored(each.where("common").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("key", "_h"), "cuts")), "texts-poor")
 
     def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in in_runs(batches, "group"):
-            h, group, fp, crowded = (found.column(c).to_numpy() for c in ("_h", "group", "fp", "crowded"))
+            h, group, fp, many = (found.column(c).to_numpy() for c in ("_h", "group", "fp", "common"))
             ask, at = promising(found, least), np.arange(len(h))
             for step in range(1, FEW):
                 at = at[at + step < len(h)]
-                at = at[(group[at] == group[at + step]) & ((step <= 4) | ~crowded[at])]
+                at = at[(group[at] == group[at + step]) & ((step <= 4) | ~many[at])]
                 if not len(at):
                     break
                 near = at[np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) > sure]
-                near = near[ask(near, near + step)]
+                near = near[ask(near, near + step) >= 0]
                 x, y = h[near], h[near + step]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    def crossing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in in_runs(batches, "group"):
-            h, group, root, block = (found.column(c).to_numpy() for c in ("_h", "group", "root", "block"))
-            same = found.column("same").to_numpy()
-            ask = promising(found, least)
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
-                for i in range(start, stop - 1):
-                    other = np.arange(i + 1, stop)
-                    other = other[(root[other] != root[i]) & (same[i] | (block[other] != block[i]))]
-                    if len(other):
-                        other = other[ask(np.full(len(other), i), other)]
-                        x, y = np.full(len(other), h[i]), h[other]
-                        if len(other):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    def crossing(most: int):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Of each text off its key's main component, the ``most`` closest promising pairs with each other component; and whether there were more."""
+            for found in in_runs(batches, "group"):
+                h, group, root, home = (found.column(c).to_numpy() for c in ("_h", "group", "root", "home"))
+                off = found.column("off").to_numpy()
+                ask = promising(found, least)
+                starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
+                    for i in (start + np.flatnonzero(off[start:stop])).tolist():
+                        # every text off the main component is in all blocks; a pair of such is compared where the first is at home
+                        other = np.arange(start, stop)
+                        other = other[(root[other] != root[i]) & np.where(off[other], home[i] & (h[i] < h[other]), home[other])]
+                        if not len(other):
+                            continue
+                        bits = ask(np.full(len(other), i), other)
+                        other, bits = other[bits >= 0], bits[bits >= 0]
+                        order = np.lexsort((bits, root[other]))
+                        other = other[order]
+                        first = np.flatnonzero(np.r_[True, root[other][1:] != root[other][:-1]]) if len(other) else np.zeros(0, np.int64)
+                        rank = np.arange(len(other)) - np.repeat(first, np.diff(np.r_[first, len(other)]))
+                        x, y = np.full(len(other), h[i])[rank < most], h[other[rank < most]]
+                        if len(x):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), (rank >= most).any()))], names=["a", "b", "more"])
+
+        return run
 
     texts = sketched.select(F.col("_h").alias("fp"), F.col("_h").alias("first_id"))
     of_a, of_b = sketched.select(F.col("_h").alias("a"), F.col("fp").alias("fp_a")), sketched.select(F.col("_h").alias("b"), F.col("fp").alias("fp_b"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = shared.stored(pairs.distinct(), "pairs-asked")
         known = similar(pairs, texts, docs, least, words_each, text, by_text=True)
         return shared.stored(known.join(of_a, "a").join(of_b, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "pairs-similar")
 
-    columns = ["_h", "fp", "n", "sig", "group"]
-    first = each.withColumn("group", F.xxhash64("key", "block", "block")).select(*columns, F.col("size").isNotNull().alias("crowded"))
-    found = checked(first.repartition(n, "group").sortWithinPartitions("group", F.xxhash64("group", "_h")).mapInArrow(neighbours, "a long, b long"))
-    if full.isEmpty():
-        return found
-    nodes = shared.stored(graph.components(edges.select("a", "b").union(found)), "components-before")
-    rest = each.where("size IS NOT NULL").join(nodes, each.fp == nodes.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    mixed = shared.stored(rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "mixed-keys")
-    rest = rest.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    rest = rest.withColumn("group", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    rest = rest.select(*columns, "root", "block", (F.col("block") == F.col("other")).alias("same"))
-    return found.union(checked(rest.repartition(n, "group").sortWithinPartitions("group").mapInArrow(crossing, "a long, b long")))
+    columns = ["_h", "fp", "n", "sig", "group", "common"]
+    first = each.where("NOT common").withColumn("group", F.col("key")).select(columns).unionByName(common.withColumn("group", F.xxhash64("key", "block")).select(columns))
+    asked = first.repartition(n, "group").sortWithinPartitions("group", F.xxhash64("group", "_h")).mapInArrow(neighbours, "a long, b long")
+    found = checked(shared.stored(asked.distinct(), "pairs-asked"))
+    most = 1
+    while not common.isEmpty():
+        nodes = shared.stored(graph.components(edges.select("a", "b").union(found)), "components-before")
+        rest = common.join(nodes, common.fp == nodes.node, "left").withColumn("root", F.coalesce("root", "fp")).select("_h", "n", "sig", "key", "block", "cuts", "root")
+        sizes = rest.groupBy("key", "root").count()
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+        rest = shared.stored(rest.join(shared.stored(main, "keys-mixed"), "key").withColumn("off", F.col("root") != F.col("main")), "texts-mixed")
+        blocks = F.when(F.col("off"), F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).otherwise(F.array("block"))
+        rest = rest.withColumn("other", F.explode(blocks)).select("_h", "n", "sig", "root", "off", (F.col("other") == F.col("block")).alias("home"), F.xxhash64("key", "other").alias("group"))
+        pairs = rest.repartition(n, "group").sortWithinPartitions("group").mapInArrow(crossing(most), "a long, b long, more boolean")
+        pairs = shared.stored(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs-asked")
+        if pairs.isEmpty():
+            break
+        found = shared.stored(found.union(checked(pairs.select("a", "b"))).distinct(), "pairs-similar")
+        if pairs.where("more").isEmpty():
+            break
+        most *= 8
+    return found
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, least: float | None = None, least_words: int = 5, text: str = "text") -> DataFrame:
