@@ -7,7 +7,7 @@ document that contains it, the rarest one is a sufficient prefix.  A scan of the
 documents keeps the positions of prefix tokens (a bitmap of bounded size lets
 nearly nothing else pass), a join on the token finds the windows, the token's
 offset in the window bounds where the window must begin and end, and the words
-there are compared exactly.
+that stand there are joined with the windows exactly.
 
 Defined cases: null or wordless texts have no words and no hits; wordless items
 have no windows; repeated rows, also of one doc_id, each get their own result;
@@ -178,9 +178,12 @@ def hits(found: DataFrame, prefix: DataFrame) -> DataFrame:
     """_row, start, stop, window: every exact occurrence of a window, in word positions."""
     each = found.select("_row", "n_words", F.explode("found").alias("f")).select("_row", F.col("n_words").alias("doc_words"), "f.*")
     start = F.col("pos") - F.col("at")
-    near = each.join(prefix, "token").withColumn("start", start).withColumn("stop", start + F.col("n_words")).where("start >= 0 AND stop <= doc_words")
+    # a token stands at a few offsets of windows, however many windows there are; the words at an offset are the key
+    offsets = prefix.select("token", "at", "n_words").distinct()
+    near = each.join(offsets, "token").withColumn("start", start).withColumn("stop", start + F.col("n_words")).where("start >= 0 AND stop <= doc_words AND start >= first")
     here = F.array_join(F.slice(F.split("around", " "), F.col("start") - F.col("first") + 1, F.col("n_words")), " ")
-    return near.where("start >= first").where(here == F.col("window")).select("_row", "start", "stop", "window")
+    found = near.withColumn("window", here).select("_row", "start", "stop", "token", "at", "n_words", "window")
+    return found.join(prefix, ["token", "at", "n_words", "window"], "left_semi").select("_row", "start", "stop", "window")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, text: str = "text") -> DataFrame:

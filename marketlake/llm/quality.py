@@ -142,7 +142,7 @@ def fit(stats: DataFrame, labels: DataFrame, column: str = "quality", sample: in
     moments = stats.select([F.expr(f"avg(x[{i}])").alias(f"m{i}") for i in range(width)] + [F.expr(f"stddev_pop(x[{i}])").alias(f"s{i}") for i in range(width)]).first()
     found = np.array([0.0 if v is None else v for v in moments])
     kernel = Kernel(found[:width], found[width:])
-    chosen = F.broadcast(training_labels(labels, column, sample))  # ``sample`` rows of 16 bytes at most
+    chosen = F.broadcast(training_labels(labels, column, sample))  # two numbers for each of ``sample`` rows at most: some 30 bytes each in a broadcast, 6 MB in all
     rows = shared.stored(stats.join(chosen, "doc_id").select("x", "y"), "quality-training")
     size = COMPONENTS + 2
     upper = np.triu_indices(size)

@@ -1,53 +1,19 @@
-"""What the operators share: tables in the shared folder, and bounded batches of text.
-
-Executors may be lost at any time, so nothing here lives in one executor's
-memory or local disk: an intermediate result is a parquet table below
-``spark.checkpoint.dir``.  Only where that setting is absent (tests on one
-machine) a local folder is made and set.
-"""
+"""What the operators share: tables in the shared folder, row identities, and filters of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Small rows for one task and file.
-ROWS_EACH = 100_000
-#: Text bytes that a Python task works on at once.
-TEXT_BLOCK = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="marketlake-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
+from ..sources.shared import new_path, shared_dir, stored
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marketlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["Bitmap", "blocks", "free_name", "identity", "maybe_in", "new_path", "shared_dir", "stored", "text_or_empty", "with_row_id", "without"]
 
-
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage.
-
-    Where ``rows`` says about how many there are, the last stage has a task for
-    each ROWS_EACH of them instead of one for each shuffle partition.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    if rows is not None:
-        df = df.coalesce(rows // ROWS_EACH + 1)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Text bytes that a Python task works on at once.
+TEXT_BLOCK = 4 << 20
 
 
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:

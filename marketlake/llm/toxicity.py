@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import quality, shared
+from .simhash import shingle_set
 
 SAMPLE = 20_000
 FEATURES = 384
@@ -68,7 +69,7 @@ class Counts:
         return found
 
     def __call__(self, text: bytes) -> dict[int, float]:
-        """{feature: log(1 + its percent of words)}"""
+        """{feature: 1 + log(1 + its percent of words)}: that it stands there counts most, also in a long text"""
         words = words_of(text)
         found = list(map(self.known.get, words))
         if None in found:
@@ -77,7 +78,7 @@ class Counts:
         if not marked:
             return {}
         counts = Counter(i for x in marked for i in x)
-        return {i: float(np.log1p(100 * n / len(words))) for i, n in counts.items()}
+        return {i: 1 + float(np.log1p(100 * n / len(words))) for i, n in counts.items()}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -198,11 +199,25 @@ def grades_of(opinion: np.ndarray, toxic: np.ndarray, known: np.ndarray, folds:
     return grades
 
 
+def one_of_kin(rows: DataFrame) -> DataFrame:
+    """body, y and fold: of copies and most near copies one row, so that a text that was copied often doesn't make the rules.
+
+    Texts whose least shingle of five words is the same are kin; kin are of one fold.
+    """
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [int(found[0]) if len(found := shingle_set(x.as_py(), 5)) else 0 for x in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([batch.column("body"), batch.column("y"), pa.array(np.array(least, np.uint64).view(np.int64))], names=["body", "y", "kin"])
+
+    each = rows.mapInArrow(scan, "body binary, y double, kin long").groupBy("kin", "y").agg(F.min("body").alias("body"))
+    return each.select("body", "y", F.pmod(F.xxhash64("kin"), F.lit(2)).alias("fold"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE, text: str = "text") -> Model:
     chosen = F.broadcast(quality.training_labels(labels, column, sample))  # two numbers for each of ``sample`` rows at most
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty(text).cast("binary").alias("body"))
-    rows = shared.stored(rows.join(chosen, "doc_id").select("body", "y", fold), "toxicity-training")
+    rows = shared.stored(one_of_kin(rows.join(chosen, "doc_id").select("body", "y")), "toxicity-training")
     chosen_names = select_features(rows)
     wanted = {x: i for i, x in enumerate(chosen_names[2])}
     every = wanted | {x: len(wanted) + i for i, x in enumerate(sorted({*chosen_names[0], *chosen_names[1]} - wanted.keys()))}

@@ -18,7 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,6 +31,8 @@ from . import shared
 RECORD_FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 18
+#: Bytes that a step of decompression gives at most, and a record has at most: a binary value's limit.
+STEP, MOST = 4 << 20, (1 << 31) - 1
 
 
 class WarcError(ValueError):
@@ -53,7 +55,10 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe='!#$&()*+,/:;=?@[]~%' + chr(39))}")
+        uri = quote(url, safe="!#$&()*+,/:;=?@[]~%'")
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != url and url.isprintable():
+            head.append(f"X-Original-URL: {quote(url, safe='')}")
     if kind == "revisit":
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -66,14 +71,17 @@ def members(stream: BinaryIO) -> Iterator[bytes]:
         left = left or stream.read(CHUNK)
         if not left:
             return
-        unzip, parts = zlib.decompressobj(wbits=31), []
+        unzip, parts, size = zlib.decompressobj(wbits=31), [], 0
         while not unzip.eof:
             if not left:
                 left = stream.read(CHUNK)
                 if not left:
                     raise WarcError("the archive ends inside a record")
-            parts.append(unzip.decompress(left))
-            left = unzip.unused_data
+            parts.append(unzip.decompress(left, STEP))
+            size += len(parts[-1])
+            if size > MOST:
+                raise WarcError("a record that no row can hold")
+            left = unzip.unused_data if unzip.eof else unzip.unconsumed_tail
         yield b"".join(parts)
 
 
@@ -100,7 +108,7 @@ def parse_record(raw: bytes) -> dict:
     ident = lambda text: int(text[10:-1]) if text and text[10:-1] else None
     return {
         "page_id": ident(fields["WARC-Record-ID"]),
-        "url": fields.get("WARC-Target-URI"),
+        "url": unquote(fields["X-Original-URL"]) if "X-Original-URL" in fields else fields.get("WARC-Target-URI"),
         "payload_bytes": length,
         "payload_digest": digest,
         "record_type": kind,

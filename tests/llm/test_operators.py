@@ -89,6 +89,17 @@ def test_decontamination_on_edges(spark, edges, nothing):
     assert clean.columns == edges.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, _, n, _ in contaminated(EDGES, items) if not n)
 
 
+def test_windows_that_share_their_rarest_token(spark):
+    """Many windows have one rare token at each of its offsets, and the token stands in many documents."""
+    w = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join([f"a{i}" if k % 2 else w[k] for k in range(5)] + w[10:15] + [f"b{i % 3}"])) for i in range(12)]
+    items += [(50 + i, " ".join([*(f"c{i}x{k}" for k in range(i % 5 + 1)), *w[10:15], *w[20 : 24 - i % 5]])) for i in range(10)]
+    docs = [(i, f"own{i} " + items[i % len(items)][1] + f" end{i}") for i in range(66)] + [(100 + i, " ".join(w[8:18])) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.decontaminate(make_docs(spark, docs), bench).collect()]
+    assert sorted(got) == sorted(contaminated(docs, items))
+
+
 def test_words_equal_the_pattern():
     texts = ["Ab9_c-é漢 x\x7fy", "", "ONE", "a  b", LONG]
     found = decontaminate.Words([t.encode() for t in texts])
@@ -272,6 +283,21 @@ def test_severity_follows_what_labels_never_said(spark):
     assert got.rejected[[i for i in unseen if i % 4]].mean() > 0.97 and not got.rejected[[i for i in unseen if i % 4 == 0]].any()
 
 
+def test_copies_make_no_rules(spark):
+    """A toxic text that was copied sixty times counts once, and near copies nearly so."""
+    rng = np.random.default_rng(7)
+    calm, own = [f"word{i}" for i in range(400)], [f"rare{i}" for i in range(80)]
+    line = " ".join(own) + " insulta"
+    bad = [line if i % 2 else line + f" x{i}" for i in range(120)]
+    bad += [" ".join(rng.permutation([*rng.choice(calm, 80), f"insult{'abc'[i % 3]}"]).tolist()) for i in range(90)]
+    good = [" ".join(rng.choice(calm, 80)) for _ in range(600)]
+    labels = spark.createDataFrame([(i, int(i < len(bad))) for i in range(len(bad + good))], "doc_id long, toxic int")
+    more = [" ".join([*rng.choice(calm, 100), "insultb"]), " ".join([*rng.choice(own, 40), *rng.choice(calm, 40)]), " ".join(rng.choice(calm, 1500))]
+    model = toxicity.fit(make_docs(spark, list(enumerate(bad + good))), labels)
+    assert {x for x in model.wanted if x.startswith("rare")} == set() and "insulta$" in model.wanted
+    assert [r.rejected for r in toxicity.classify(make_docs(spark, list(enumerate(more))), model).orderBy("doc_id").collect()] == [True, False, False]
+
+
 def test_opinions_never_see_the_row(spark):
     """A row's grade doesn't move with its own fold's labels."""
     rng = np.random.default_rng(3)
@@ -338,8 +364,8 @@ def test_simhash_on_edges(spark, edges, nothing):
     assert 1 in ids and 2 not in ids and 8 in ids and 9 not in ids and ids.count(3) == 1 and 4 not in ids
 
 
-@pytest.mark.parametrize(("distance", "segments"), [(4, 2), (5, 2), (8, 3)])
-def test_links_lose_nothing(spark, distance, segments):
+@pytest.mark.parametrize(("distance", "segments", "hot"), [(4, 2, 20_000), (4, 2, 20), (5, 2, 20), (8, 3, 20_000), (8, 3, 40)])
+def test_links_lose_nothing(spark, distance, segments, hot):
     rng = np.random.default_rng(distance)
     values = set()
     for centre in rng.integers(0, 2**63, 25).tolist():
@@ -357,13 +383,40 @@ def test_links_lose_nothing(spark, distance, segments):
             x = parent[x]
         return x
 
-    for r in simhash.links(unique, distance, segments).distinct().collect():
+    for r in simhash.links(unique, distance, segments, hot).distinct().collect():
         parent[root(r.a)] = root(r.b)
     label = brute_components(fps, distance).tolist()
     pairs = {(root(x), c) for x, c in zip(fps.view(np.int64).tolist(), label, strict=True)}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+@pytest.mark.parametrize(("distance", "segments", "segment"), [(4, 2, 0), (4, 2, 1), (8, 3, 1)])
+def test_pieces_of_a_hot_key_meet(distance, segments, segment):
+    """Two fingerprints that link have one of their finer keys in common, whatever bits differ outside the segment."""
+    rng, width = np.random.default_rng(1), 64 // segments
+    a = rng.integers(0, 2**63, 2000, np.uint64) * np.uint64(2)
+    outside = [b for b in range(64) if not segment * width <= b < (segment + 1) * width]
+    b = a ^ np.array([sum(1 << int(x) for x in rng.choice(outside, distance, False)) for _ in a], np.uint64)
+    key = (a >> np.uint64(segment * width) & np.uint64((1 << width) - 1) | np.uint64(segment << 32)).view(np.int64)
+    one, other = (np.stack(simhash.pieces(key, x, width, distance)) for x in (a, b))
+    assert (one == other).any(0).all() and len(np.unique(one)) > len(np.unique(key)) and (one > 0).all()
+
+
+def test_fingerprints_of_one_segment_are_split(spark):
+    """100,000 fingerprints that share their upper half: chains of four, and no group of more than a few hundred."""
+    rng = np.random.default_rng(6)
+    heads = np.unique(rng.integers(0, 2**32, 25_000, np.uint64))
+    far = heads[np.r_[True, np.bitwise_count(heads[1:] ^ heads[:-1]) > 0]]
+    steps = [np.uint64(0), np.uint64(0b1), np.uint64(0b111), np.uint64(0b1_0000_0000_0111)]
+    fps = np.unique(np.concatenate([(far ^ s) | np.uint64(0xABCDEF12 << 32) for s in steps]))
+    unique = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)})).repartition(4)
+    edges = simhash.links(unique, hot=500).toPandas()
+    a, b = edges.a.to_numpy().view(np.uint64), edges.b.to_numpy().view(np.uint64)
+    touched = np.unique(np.r_[a, b])
+    for s in steps[1:]:
+        assert np.isin((far ^ s) | np.uint64(0xABCDEF12 << 32), touched).all()
+
+
 def test_distant_links_need_similar_texts(spark):
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in rng.integers(0, 10**6, 400)]
@@ -543,7 +596,7 @@ def test_line_runs_are_maximal(spark):
 
 def test_warc_round_trip(spark):
     page = "<p>é漢" + "x" * 120
-    rows = [(3, "http://a/\r\nX: y", page), (1, None, page), (2, "http://b", page), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (1, None, page), (None, "n", page), (8, "u", "\r\n\r\nWARC/1.1" + "y" * 100)]
+    rows = [(3, "http://a/\r\nX: y", page), (1, None, page), (2, "http://b", page), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (1, None, page), (None, "n", page), (8, "u", "\r\n\r\nWARC/1.1" + "y" * 100), (9, "http://é.漢/a%20b%C3%A9 c", "long " * 2_000_000)]
     df = spark.createDataFrame([(*r, "k", "k") for r in rows], "page_id long, url string, html string, digest string, refers_to string")
     got = warc.round_trip(df).collect()
     assert len(got) == len(rows)
@@ -554,7 +607,8 @@ def test_warc_round_trip(spark):
     assert [(r.record_type, r.refers_to, r.payload) for r in by_id[3] + by_id[2]] == [("revisit", 1, None)] * 2
     assert by_id[3][0].payload_bytes == len(page.encode()) and by_id[3][0].payload_digest == hashlib.sha256(page.encode()).hexdigest()
     assert "\n" not in by_id[3][0].url and by_id[1][0].url is None and {r.record_type for r in by_id[7]} == {"response"}
-    assert bytes(by_id[8][0].payload).decode() == rows[-1][2] and by_id[None][0].record_type == "response"
+    assert bytes(by_id[8][0].payload).decode() == rows[9][2] and by_id[None][0].record_type == "response"
+    assert bytes(by_id[9][0].payload).decode() == rows[10][2] and by_id[9][0].url == "http://é.漢/a%20b%C3%A9 c"
     assert warc.round_trip(df.where("false")).count() == 0
 
 

@@ -63,6 +63,26 @@ def test_stretches_change_no_id():
     assert np.frombuffer(encode.encode(text), np.uint32).tolist() == whole([text])[0][:-1]
 
 
+def test_nulls_repeats_and_whole_sequences(spark):
+    """Null and repeated doc_ids are packed each for themselves, and the sequences hold every id once."""
+    rows = [(None, "a b c"), (None, None), (1, "one two"), (1, "one two"), (1, "three " * 1500), (2, "x" * 50)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, ids string").repartition(3)
+    tokens = packing.tokenized(docs, 64, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    pieces = packing.pack(tokens, 64)
+    want = sorted(zip((str(d) for d, _ in rows), whole([t or "" for _, t in rows]), strict=True))
+    got = {}
+    for r in sorted(pieces.collect(), key=lambda r: r.start):
+        own = got.setdefault((r.part, r.row), [r.doc_id, 0, r.doc_tokens])
+        assert own[0] == r.doc_id and own[1] == r.start
+        own[1] += r.length
+    assert sorted((str(d), n) for d, n, _ in got.values()) == [(d, len(ids)) for d, ids in want] and all(n == m for _, n, m in got.values())
+    made = {r.sequence_id: np.frombuffer(r.ids, np.uint32).tolist() for r in packing.sequences(pieces, tokens).collect()}
+    held = {(r.part, r.row): np.frombuffer(r.ids, np.uint32).tolist() for r in tokens.collect()}
+    for r in pieces.collect():
+        assert made[r.sequence_id][r.offset : r.offset + r.length] == held[r.part, r.row][r.start : r.start + r.length]
+    assert sum(map(len, made.values())) == sum(len(ids) for _, ids in want) and max(map(len, made.values())) == 64
+
+
 @pytest.mark.parametrize("histogram", [{600: 1000}, {1: 7}, {1023: 5, 1: 5}, {341: 100, 342: 50}, {512: 3}, {700: 11, 300: 4, 25: 9, 3: 2}])
 def test_plan_places_every_token_once(histogram):
     window = 1024
