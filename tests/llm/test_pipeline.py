@@ -2,9 +2,9 @@
 
 import re
 
-import numpy as np
 import pandas as pd
-from test_operators import brute_components, brute_fingerprint, contaminated
+from conftest_edges import EDGES, make_docs
+from test_operators import brute_kept, contaminated
 from test_packing import check
 
 import corpus_pipeline
@@ -34,11 +34,9 @@ def test_stages_one_after_another(spark, tmp_path):
     groups = calm.assign(key=calm.text.map(bare), size=-calm.text.str.len()).sort_values(["key", "size", "doc_id"])
     assert sorted(unlike.doc_id) == sorted(groups.drop_duplicates("key").doc_id)
 
-    fps = np.array([brute_fingerprint(t) for t in unlike.text], np.uint64)
-    near, far = brute_components(fps, 4), brute_components(fps, 8)
-    ids = unlike.doc_id.to_numpy()
-    assert set(apart.doc_id) <= {ids[near == c].min() for c in near}  # nothing within 4 bits stays twice
-    assert {ids[far == c].min() for c in far} <= set(apart.doc_id)  # nothing goes that has no link
+    # of every chain of links within 4 bits, or of five-word similarity 0.8 at any distance, the smallest doc_id stays
+    want, _ = brute_kept(list(zip(unlike.doc_id, unlike.text, strict=True)))
+    assert sorted(apart.doc_id) == want
 
     items = [tuple(r) for r in pd.read_parquet(f"{SF}/benchmark.parquet")[["item_id", "text"]].itertuples(index=False)]
     found = contaminated(list(zip(apart.doc_id, apart.text, strict=True)), items)
@@ -51,3 +49,21 @@ def test_stages_one_after_another(spark, tmp_path):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id"} <= set(out.columns) and out.count() > 0
+
+
+def test_run_on_edge_rows_and_on_nothing(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns through all stages; and empty tables."""
+    docs = make_docs(spark, EDGES + [(30, "one two three four five six seven eight nine ten eleven")])
+    labels = spark.createDataFrame([(1, 0, 1), (8, 1, None), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    items = spark.createDataFrame([(1, "One two three four five six seven eight nine ten"), (2, None), (None, "q")], "item_id long, text string")
+    for name, keep in (("some", "true"), ("none", "false")):
+        folder = str(tmp_path / name)
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            df.where(keep).write.parquet(f"{folder}/{table}.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        if name == "none":
+            assert rows == []
+            continue
+        ids = {r.doc_id for r in rows}
+        # the longest of the empty texts and of those alike but for white space, the first x, one of the two long ones, the text without an id
+        assert ids == {2, 5, 6, 8, 10, 11, None}
