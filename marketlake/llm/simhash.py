@@ -267,16 +267,9 @@ def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float,
     sets = shared.stored(ends.join(sets, ends.first_id == sets.text_key).select("fp", "set").dropDuplicates(["fp"]), "fingerprints-shingles")
     left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b"))
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return edges.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    joined = edges.select("a", "b").join(left, "a").join(right, "b")
+    return joined.where(both >= F.lit(least) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
 def shingle_set(text: bytes, words_each: int) -> np.ndarray:
