@@ -61,12 +61,12 @@ def line_table(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 kept = [(i, bare) for i, line in enumerate(body.as_py().split(b"\n")) if (bare := line.strip())]
                 m = len(kept)
                 total = np.concatenate([[0], np.cumsum([len(line.split()) for _, line in kept], dtype=np.int64)])
-                ends = np.searchsorted(total, total[:-1] + least_words)
-                starts = np.searchsorted(total, total[1:] - least_words, side="right") - 1
-                begin = np.r_[np.flatnonzero(ends <= m), starts[starts >= 0]]
-                size = np.r_[ends[ends <= m] - begin[: (ends <= m).sum()], np.flatnonzero(starts >= 0) + 1 - starts[starts >= 0]]
-                run = np.unique(np.stack([begin, size], 1), axis=0)
-                cuts = np.searchsorted(run[:, 0], np.arange(m + 1))
+                ends = np.searchsorted(total, total[:-1] + least_words).tolist()
+                starts = (np.searchsorted(total, total[1:] - least_words, side="right") - 1).tolist()
+                runs = [[end - i] if end <= m else [] for i, end in enumerate(ends)]
+                for i, start in enumerate(starts):
+                    if start >= 0 and ends[start] != i + 1:
+                        runs[start].append(i + 1 - start)
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(line) for _, line in kept), np.int64).reshape(-1, 2)
                 out["pos"].append(np.arange(pos, pos + m))
                 out["row"].append(np.full(m, row))
@@ -75,7 +75,7 @@ def line_table(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 out["left"].append(np.arange(m, 0, -1))
                 out["id"].append(digests[:, 0])
                 out["id2"].append(digests[:, 1])
-                out["n"] += np.split(run[:, 1], cuts[1:-1]) if m else []
+                out["n"] += runs
                 pos += m + 1  # the place between two documents has no line, so no run reaches over it
                 if len(out["doc_id"]) > 100_000:
                     yield _batch(out)
