@@ -390,7 +390,7 @@ def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, sure: i
             ask, at = promising(found, least), np.arange(len(h))
             for step in range(1, FEW):
                 at = at[at + step < len(h)]
-                at = at[(group[at] == group[at + step]) & ((step <= 4) | ~many[at])]
+                at = at[(group[at] == group[at + step]) & ((step == 1) | ~many[at])]
                 if not len(at):
                     break
                 near = at[np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) > sure]
