@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Words are runs of digits, letters a-z (after lower-casing A-Z) and non-ASCII characters.
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BASE, _STEP, _MIX = 0x100000001B3, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD
 _M64 = (1 << 64) - 1
 BLOCK = 1 << 20
@@ -38,7 +36,7 @@ class Words:
     _powers = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
     def __init__(self, texts: list[bytes]) -> None:
-        self.buffer = b" ".join([x.translate(_TABLE) for x in texts]) + b" "
+        self.buffer = b" ".join([x.translate(shared.WORD_BYTES) for x in texts]) + b" "
         raw = np.frombuffer(self.buffer, np.uint8)
         inside = raw != 32
         edges = np.flatnonzero(np.diff(inside, prepend=False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, lines, packing, quality, secrets, shared, simhash, toxicity, warc
+from . import chat, decontaminate, exact, lines, packing, quality, resample, secrets, shared, simhash, toxicity, warc
 
 
 def _table(spark, sf_dir, name):
@@ -74,6 +74,11 @@ def op7_secrets(spark, sf_dir):
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "blob")
 
 
+def op12_importance_resampling(spark, sf_dir):
+    found = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"

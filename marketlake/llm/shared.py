@@ -14,6 +14,8 @@ __all__ = ["Bitmap", "blocks", "free_name", "identity", "maybe_in", "new_path",
 
 #: Text bytes that a Python task works on at once.
 TEXT_BLOCK = 4 << 20
+#: For bytes.translate: lower-cases A-Z and blanks all ASCII but digits and letters, so that split() gives words of digits, letters and non-ASCII characters.
+WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
