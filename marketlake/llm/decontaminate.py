@@ -35,8 +35,8 @@ class Words:
 
     _powers = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
-    def __init__(self, texts: list[bytes]) -> None:
-        self.buffer = b" ".join([x.translate(shared.WORD_BYTES) for x in texts]) + b" "
+    def __init__(self, texts: list[bytes], table: bytes = shared.WORD_BYTES) -> None:
+        self.buffer = b" ".join([x.translate(table) for x in texts]) + b" "
         raw = np.frombuffer(self.buffer, np.uint8)
         inside = raw != 32
         edges = np.flatnonzero(np.diff(inside, prepend=False))
@@ -64,16 +64,31 @@ class Words:
             cls._powers = (made[0], made[1])
         return cls._powers[0][:n], cls._powers[1][:n]
 
+    def grams(self, size: int) -> np.ndarray:
+        """A hash of the ``size`` words from each position on, whichever texts they belong to."""
+        n = len(self.hashes) - size + 1
+        total = np.full(max(n, 0), (size * _MIX) & _M64, np.uint64)
+        for i in range(size if n > 0 else 0):
+            total = total * np.uint64(_STEP) + self.hashes[i : n + i]
+        return total
+
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Word positions at which ``size`` words of one text follow, and their hash."""
-        n = len(self.hashes) - size + 1
+        total = self.grams(size)
+        at = np.flatnonzero(np.arange(size, len(total) + size) <= self.stops[: len(total)])
+        return at, _mixed(total[at])
+
+    def minimizers(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word positions at which ``window`` words of one text follow, and the least hash of ``gram`` words among these."""
+        each = _mixed(self.grams(gram))
+        n = len(self.hashes) - window + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.full(n, (size * _MIX) & _M64, np.uint64)
-        for i in range(size):
-            total = total * np.uint64(_STEP) + self.hashes[i : n + i]
-        at = np.flatnonzero(np.arange(size, n + size) <= self.stops[:n])
-        return at, _mixed(total[at])
+        least = each[:n]
+        for i in range(1, window - gram + 1):
+            least = np.minimum(least, each[i : n + i])
+        at = np.flatnonzero(np.arange(window, n + window) <= self.stops[:n])
+        return at, least[at]
 
     def text(self, first: int, stop: int) -> str:
         return b" ".join(self.buffer[self.starts[first] : self.ends[stop - 1]].split()).decode()
@@ -84,11 +99,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _pieces(batch: pa.RecordBatch, column: str = "body") -> Iterator[tuple[int, int, Words]]:
+def pieces(batch: pa.RecordBatch, column: str = "body", table: bytes = shared.WORD_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """Row ranges of a batch of texts with their words, some texts at a time."""
     body = batch.column(column)
     lengths = np.array([len(x.as_buffer()) for x in body], np.int64) if batch.num_rows else np.zeros(0, np.int64)
     for start, stop in shared.blocks(lengths, BLOCK):
-        yield start, stop, Words(body.slice(start, stop - start).to_pylist())
+        yield start, stop, Words(body.slice(start, stop - start).to_pylist(), table)
 
 
 def windows(items: DataFrame, window: int = 10, shingle: int = 5, text: str = "text") -> DataFrame:
@@ -96,7 +112,7 @@ def windows(items: DataFrame, window: int = 10, shingle: int = 5, text: str = "t
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, words in _pieces(batch):
+            for start, stop, words in pieces(batch):
                 ids = batch.column("item_id").slice(start, stop - start).to_pylist()
                 hashed = {k: dict(zip(*(x.tolist() for x in words.shingles(k)), strict=True)) for k in range(1, shingle + 1)}
                 out: dict[str, list] = {"item_id": [], "window": [], "n_words": [], "tokens": []}
@@ -126,7 +142,7 @@ def token_counts(docs: DataFrame, tokens: DataFrame, sizes: list[int], text: str
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, _, words in _pieces(batch):
+            for _, _, words in pieces(batch):
                 for size in sizes:
                     _, hashes = words.shingles(size)
                     found.append(hashes[bitmap.value.has(hashes)])
@@ -153,7 +169,7 @@ def candidates(docs: DataFrame, prefix: DataFrame, sizes: list[int], window: int
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, words in _pieces(batch):
+            for start, stop, words in pieces(batch):
                 found: list[list] = [[] for _ in range(stop - start)]
                 for size in sizes:
                     at, hashes = words.shingles(size)

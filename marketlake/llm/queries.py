@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, lines, packing, quality, resample, secrets, shared, simhash, toxicity, warc
+from . import chat, decontaminate, exact, lines, packing, quality, resample, secrets, shared, simhash, substrings, toxicity, trie, warc
 
 
 def _table(spark, sf_dir, name):
@@ -74,11 +74,21 @@ def op7_secrets(spark, sf_dir):
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "blob")
 
 
+def op11_substring_dedup(spark, sf_dir):
+    found = substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_importance_resampling(spark, sf_dir):
     found = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_conversation_trie(spark, sf_dir):
+    """The trie of the rebuilt conversations: each begins with some turns of the one whose id is the multiple of 20 before."""
+    return trie.prefix_trie(*trie.spliced(trie.numbered(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
@@ -90,7 +100,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -152,4 +164,14 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to, url
 FROM g""",
+    "op11_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT win.doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN f USING (k) WHERE first < win.doc_id)),
+each AS (SELECT doc_id, w[j] AS word, j FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d))
+SELECT d.doc_id, len(w) AS n_words, count(gone.p) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN each USING (doc_id) LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.p = each.j
+GROUP BY d.doc_id, len(w)""",
 }
