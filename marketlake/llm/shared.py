@@ -40,6 +40,8 @@ def blocks(lengths: np.ndarray, size: int = TEXT_BLOCK) -> Iterator[tuple[int, i
 
 #: A bitmap never takes more bits than this (16 MB).
 BITMAP_BITS = 1 << 27
+#: Words of a bitmap that come to the driver as one row.
+CHUNK = 1 << 13
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -47,8 +49,8 @@ class Bitmap:
     """A one-hash filter over 64-bit keys, of a size that doesn't grow beyond BITMAP_BITS.
 
     It may let foreign keys pass, never holds a key back; what passes is checked
-    by a join afterwards.  Each task sets bits, Spark ORs the words, and at most
-    BITMAP_BITS / 64 words reach the driver.
+    by a join afterwards.  Each task sets bits, Spark ORs the words and lays them
+    end to end in chunks, and at most BITMAP_BITS / 8 bytes reach the driver.
     """
 
     def __init__(self, words: np.ndarray) -> None:
@@ -77,10 +79,24 @@ class Bitmap:
                 yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(ored)], names=["word", "bits"])
 
         rows = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(place, "word long, bits long")
-        found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-        words = np.zeros(bits // 64, np.uint64)
-        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-        return cls(words)
+
+        def chunks(batches):
+            import pyarrow as pa
+
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                word, ored = batch.column("word").to_numpy(), batch.column("bits").to_numpy()
+                for chunk in np.unique(word // CHUNK).tolist():
+                    here = word // CHUNK == chunk
+                    held.setdefault(chunk, np.zeros(CHUNK, np.int64))[word[here] % CHUNK] = ored[here]
+            for chunk, content in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([content.tobytes()], pa.binary())], names=["chunk", "content"])
+
+        ored = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).repartition(F.floor(F.col("word") / CHUNK))
+        words = np.zeros(max(bits // 64, CHUNK), np.uint64)
+        for chunk, content in ored.mapInArrow(chunks, "chunk long, content binary").collect():
+            words[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(content, np.uint64)
+        return cls(words[: bits // 64])
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = (keys.astype(np.uint64, copy=False) * np.uint64(_MIX)) >> self.shift

@@ -85,7 +85,7 @@ def shared_minimizers(docs: DataFrame, window: int, gram: int, text: str = "text
 
 def segments(docs: DataFrame, keys: DataFrame, window: int, gram: int, text: str = "text") -> DataFrame:
     """doc, _h, start (word), key, s1, s2 (digest of the words) and words of every segment whose minimizer may be shared; stored."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(shared.Bitmap.of(keys, "key"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(shared.Bitmap.of(keys, "key", 16))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
