@@ -11,15 +11,13 @@ than HOT are dealt to ``distance + 1`` pieces of their other bits, one of which
 equal in any two that link, so no key is one task.
 
 ``deduped`` also links texts whose shingle sets are similar, however far apart
-their fingerprints are.  A text's SAMPLE smallest shingle hashes are a fair sample
-of its shingles; of these up to KEYS that few texts have are its keys.  Texts that
-share a key meet, signatures of SIGNATURE one-bit min-hashes sort out what cannot
-be similar, and what is left is compared exactly.  A passage that many texts share
-is thus no key of texts that have enough of their own.  Texts made of what many
-others hold, POOR ones, meet under such hashes among themselves: neighbours of a
-random order first, and then those that aren't in a key's largest component with
-all others of it, closest signatures first, until no pair that may be similar is
-left between components.
+their fingerprints are.  A text has SIGNATURE min-hashes in bands of BAND; texts
+that share a band meet, signatures of a bit of each min-hash sort out what cannot
+be similar, and what is left is compared exactly.  Texts that share a passage
+rarely share a band, those that are similar share many.  Rounds look at a few
+bands first and at all in the end; in each, only texts of different components
+are asked for, those outside a band's largest component for their closest ones,
+until no pair that may be similar is left between components.
 
 Defined cases: a null or wordless text has fingerprint 0 and links like any
 other; a null doc_id takes part but never names a component that has another;
@@ -46,19 +44,16 @@ _AT_ONCE = 1 << 16
 FEW = 16
 #: So many fingerprints under a key at most meet in one group before it is split.
 HOT = 20_000
-#: Smallest shingle hashes of a text that are looked at.
-SAMPLE = 80
-#: Of these so many that at most FEW texts have are its keys: half of them where most of the sample is such, all where less is.
-#: Where 3 in 10 of a text are its own, a third of that is in any text of similarity 0.8: all keys miss in (2 / 3) ** KEYS of all cases at most.
-KEYS = 24
-#: Texts with a smaller share of own shingles are poor, and meet under so many common hashes too.
-POOR, COMMON = 0.3, 12
-#: Bits of a signature; a bit differs in (1 - j) / 2 of all cases.
+#: Bits of a signature, one of each min-hash; a bit differs in (1 - j) / 2 of all cases.
 SIGNATURE = 512
 #: Standard deviations that a signature may differ more than expected.
-SPREAD = 6
-#: Rows under a key that are compared in one group.
-BLOCK = 512
+SPREAD = 4.5
+#: Min-hashes of a band.  Texts of similarity 0.8 have none of 64 bands in common with a chance of (1 - 0.8 ** 8) ** 64, 8 in a million.
+BAND = 8
+#: Bands that are looked at in the first rounds, so that what a few bands link needn't be asked for under the others; then all.
+STEPS = (4, 16, SIGNATURE // BAND)
+#: Texts under a band's key at most that are compared in one group.
+BLOCK = 4096
 _FACTORS = np.random.default_rng(42).integers(0, 2**63, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -287,28 +282,30 @@ def shingle_set(text: bytes, words_each: int) -> np.ndarray:
     return np.unique(found ^ found >> np.uint64(32))
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """A bit of each of SIGNATURE min-hashes."""
-    bits = np.zeros(SIGNATURE, bool)
+def signature(shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A bit of each of SIGNATURE min-hashes, and a hash of each band of them."""
+    least = np.full(SIGNATURE, np.iinfo(np.uint64).max)
     for at in range(0, SIGNATURE, 64):
-        least = np.full(64, np.iinfo(np.uint64).max)
         for start in range(0, len(shingles), _AT_ONCE):
-            least = np.minimum(least, (shingles[start : start + _AT_ONCE, None] * _FACTORS[None, at : at + 64]).min(0))
-        bits[at : at + 64] = (least >> np.uint64(31) & np.uint64(1)).astype(bool)
-    return np.packbits(bits).tobytes()
+            least[at : at + 64] = np.minimum(least[at : at + 64], (shingles[start : start + _AT_ONCE, None] * _FACTORS[None, at : at + 64]).min(0))
+    bands = np.arange(1, SIGNATURE // BAND + 1, dtype=np.uint64)
+    for column in least.reshape(-1, BAND).T:
+        bands = (bands ^ column ^ column >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+        bands ^= bands >> np.uint64(32)
+    return np.packbits((least >> np.uint64(31) & np.uint64(1)).astype(bool)).tobytes(), bands.view(np.int64)
 
 
 def sketches(docs: DataFrame, rows: DataFrame, words_each: int, text: str = "text") -> DataFrame:
-    """_h, fp, number n of shingles, keys and signature ``sig`` of each distinct text, stored."""
+    """_h, fp, number n of shingles, signature ``sig`` and ``bands`` of each distinct text, stored."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py(), words_each) for x in batch.column("body")]
-            keys = pa.array([x[:SAMPLE].view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array([len(x) for x in sets], pa.int64()), keys, pa.array([signature(x) for x in sets], pa.binary())], names=["_h", "n", "keys", "sig"])
+            made = [signature(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.list_(pa.int64()))], names=["_h", "n", "sig", "bands"])
 
     whole = shared.text_or_empty(text)
-    found = docs.select(F.xxhash64(whole).alias("_h"), whole.cast("binary").alias("body")).mapInArrow(scan, "_h long, n long, keys array<long>, sig binary")
+    found = docs.select(F.xxhash64(whole).alias("_h"), whole.cast("binary").alias("body")).mapInArrow(scan, "_h long, n long, sig binary, bands array<long>")
     return shared.stored(found.dropDuplicates(["_h"]).join(rows.select("_h", "fp").distinct(), "_h"), "sketches")
 
 
@@ -342,118 +339,105 @@ def promising(found: pa.Table, least: float):
     return ask
 
 
-def keyed_texts(sketched: DataFrame) -> DataFrame:
-    """_h, fp, n, sig, key, common: a row for each key of each text, and for each common hash of poor ones; stored."""
-    counts = sketched.select(F.explode("keys").alias("key")).groupBy("key").count()
-    crowded = shared.stored(counts.where(F.col("count") > FEW).select("key"), "keys-crowded")
-    bitmap = sketched.sparkSession.sparkContext.broadcast(shared.Bitmap.of(crowded, "key"))
+def crossing(texts: DataFrame, mixed: DataFrame, least: float, most: int, block: int = BLOCK) -> DataFrame:
+    """a, b, more: pairs of different roots that share a band of ``mixed`` (key, n) and may be similar.
+
+    Of up to FEW texts under a key all such pairs; of more, each text outside the
+    key's largest component gives its ``most`` closest ones and says whether there
+    are ``more``.  Keys of more than ``block`` texts are dealt to blocks, those
+    outside the largest component to each of them.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bitmap = texts.sparkSession.sparkContext.broadcast(shared.Bitmap.of(mixed, "key"))
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("keys")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            lists = batch.column("bands")
             values = lists.flatten().to_numpy()
-            of = np.repeat(np.arange(batch.num_rows), sizes)
-            common = bitmap.value.has(values.view(np.uint64))
-
-            def place(which: np.ndarray) -> np.ndarray:
-                """Of the chosen elements, each one's place among its text's."""
-                total = np.cumsum(which) - which
-                first = np.r_[0, np.cumsum(sizes)[:-1]]
-                return total - total[np.minimum(first, max(0, len(total) - 1))][of] if len(total) else total
-
-            own = np.bincount(of[~common], minlength=batch.num_rows)
-            most = np.where(own >= SAMPLE // 2, KEYS // 2, KEYS)
-            poor = own < POOR * sizes
-            kept = np.where(common, poor[of] & (place(common) < COMMON), place(~common) < most[of])
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            kept = bitmap.value.has(values.view(np.uint64))
             at = pa.array(of[kept])
-            columns = [batch.column(c).take(at) for c in ("_h", "fp", "n", "sig")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values[kept]), pa.array(common[kept])], names=["_h", "fp", "n", "sig", "key", "common"])
-
-    return shared.stored(sketched.select("_h", "fp", "n", "sig", "keys").mapInArrow(choose, "_h long, fp long, n long, sig binary, key long, common boolean"), "texts-keyed")
-
-
-def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, sure: int, least: float, words_each: int, text: str = "text") -> DataFrame:
-    """Edges (a, b) of fingerprints whose components, with those of ``edges``, are those of all texts of similarity ``least``.
-
-    Under a key, which few texts have, all pairs are compared.  Poor texts under a
-    common hash are dealt to blocks, so that none is one task.
-    """
-    n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = keyed_texts(sketched)
-    sizes = each.where("common").groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
-    common = shared.stored(each.where("common").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("key", "_h"), "cuts")), "texts-poor")
-
-    def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in in_runs(batches, "group"):
-            h, group, fp, many = (found.column(c).to_numpy() for c in ("_h", "group", "fp", "common"))
-            ask, at = promising(found, least), np.arange(len(h))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_h", "n", "sig", "root")), pa.array(values[kept])], names=["_h", "n", "sig", "root", "key"])
+
+    def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in in_runs(batches, "key"):
+            h, key, root, home = (found.column(c).to_numpy() for c in ("_h", "key", "root", "home"))
+            ask, out = promising(found, least), []
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            small = np.repeat(sizes <= FEW, sizes)
+            at = np.flatnonzero(small)
             for step in range(1, FEW):
                 at = at[at + step < len(h)]
-                at = at[(group[at] == group[at + step]) & ((step == 1) | ~many[at])]
+                at = at[key[at] == key[at + step]]
                 if not len(at):
                     break
-                near = at[np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) > sure]
+                near = at[root[at] != root[at + step]]
                 near = near[ask(near, near + step) >= 0]
-                x, y = h[near], h[near + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    def crossing(most: int):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Of each text off its key's main component, the ``most`` closest promising pairs with each other component; and whether there were more."""
-            for found in in_runs(batches, "group"):
-                h, group, root, home = (found.column(c).to_numpy() for c in ("_h", "group", "root", "home"))
-                off = found.column("off").to_numpy()
-                ask = promising(found, least)
-                starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
-                    for i in (start + np.flatnonzero(off[start:stop])).tolist():
-                        # every text off the main component is in all blocks; a pair of such is compared where the first is at home
-                        other = np.arange(start, stop)
-                        other = other[(root[other] != root[i]) & np.where(off[other], home[i] & (h[i] < h[other]), home[other])]
-                        if not len(other):
-                            continue
-                        bits = ask(np.full(len(other), i), other)
-                        other, bits = other[bits >= 0], bits[bits >= 0]
-                        order = np.lexsort((bits, root[other]))
-                        other = other[order]
-                        first = np.flatnonzero(np.r_[True, root[other][1:] != root[other][:-1]]) if len(other) else np.zeros(0, np.int64)
-                        rank = np.arange(len(other)) - np.repeat(first, np.diff(np.r_[first, len(other)]))
-                        x, y = np.full(len(other), h[i])[rank < most], h[other[rank < most]]
-                        if len(x):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), (rank >= most).any()))], names=["a", "b", "more"])
-
-        return run
+                out.append((h[near], h[near + step], np.zeros(len(near), bool)))
+            for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+                values, counts = np.unique(root[start : start + size], return_counts=True)
+                main = values[counts.argmax()] if found.column("main")[start].as_py() is None else found.column("main")[start].as_py()
+                every = np.arange(start, start + size)
+                for i in every[root[start : start + size] != main].tolist():
+                    # in a block of several, those outside the main component meet where the first is at home
+                    other = every[(root[every] != root[i]) & (home[every] | home[i])]
+                    bits = ask(np.full(len(other), i), other)
+                    other, bits = other[bits >= 0], bits[bits >= 0]
+                    if len(other):
+                        chosen = other[np.lexsort((h[other], bits))[:most]]
+                        out.append((np.full(len(chosen), h[i]), h[chosen], np.full(len(chosen), len(other) > most)))
+            if out:
+                x, y, more = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more)], names=["a", "b", "more"])
+
+    rows = texts.select("_h", "n", "sig", "root", "bands").mapInArrow(choose, "_h long, n long, sig binary, root long, key long")
+    alone = lambda df: df.select("_h", "n", "sig", "root", "key", F.lit(True).alias("home"), F.lit(None).cast("long").alias("main"))
+    crowded = shared.stored(mixed.where(F.col("n_texts") > block), "bands-hot")
+    if crowded.isEmpty():
+        rows = alone(rows)
+    else:
+        hot = rows.join(crowded.hint("merge"), "key")
+        sizes = hot.groupBy("key", "root").count()
+        main = shared.stored(sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "bands-main")
+        hot = hot.join(main.hint("merge"), "key").withColumn("cuts", F.ceil(F.col("n_texts") / block)).withColumn("own", F.pmod(F.xxhash64("_h"), "cuts"))
+        dealt = F.explode(F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+        hot = hot.withColumn("cut", dealt).select("_h", "n", "sig", "root", F.xxhash64("key", "cut").alias("key"), (F.col("cut") == F.col("own")).alias("home"), "main")
+        rows = alone(rows.join(crowded.hint("merge"), "key", "left_anti")).unionByName(hot)
+    pairs = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(cross, "a long, b long, more boolean")
+    return shared.stored(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs-crossing")
+
+
+def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, least: float, words_each: int, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) of fingerprints whose components, with those of ``edges``, are those of all texts of similarity ``least``.
 
+    In each round only texts of different components are asked for, so what is
+    linked already, however large, asks nothing more; a pair is compared once.
+    """
     texts = sketched.select(F.col("_h").alias("fp"), F.col("_h").alias("first_id"))
     of_a, of_b = sketched.select(F.col("_h").alias("a"), F.col("fp").alias("fp_a")), sketched.select(F.col("_h").alias("b"), F.col("fp").alias("fp_b"))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        known = similar(pairs, texts, docs, least, words_each, text, by_text=True)
-        return shared.stored(known.join(of_a, "a").join(of_b, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "pairs-similar")
-
-    columns = ["_h", "fp", "n", "sig", "group", "common"]
-    first = each.where("NOT common").withColumn("group", F.col("key")).select(columns).unionByName(common.withColumn("group", F.xxhash64("key", "block")).select(columns))
-    asked = first.repartition(n, "group").sortWithinPartitions("group", F.xxhash64("group", "_h")).mapInArrow(neighbours, "a long, b long")
-    found = checked(shared.stored(asked.distinct(), "pairs-asked"))
-    most = 1
-    while not common.isEmpty():
+    found, asked, most, level = edges.select("a", "b").where("false"), None, 1, 0
+    while True:
         nodes = shared.stored(graph.components(edges.select("a", "b").union(found)), "components-before")
-        rest = common.join(nodes, common.fp == nodes.node, "left").withColumn("root", F.coalesce("root", "fp")).select("_h", "n", "sig", "key", "block", "cuts", "root")
-        sizes = rest.groupBy("key", "root").count()
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-        rest = shared.stored(rest.join(shared.stored(main, "keys-mixed"), "key").withColumn("off", F.col("root") != F.col("main")), "texts-mixed")
-        blocks = F.when(F.col("off"), F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).otherwise(F.array("block"))
-        rest = rest.withColumn("other", F.explode(blocks)).select("_h", "n", "sig", "root", "off", (F.col("other") == F.col("block")).alias("home"), F.xxhash64("key", "other").alias("group"))
-        pairs = rest.repartition(n, "group").sortWithinPartitions("group").mapInArrow(crossing(most), "a long, b long, more boolean")
-        pairs = shared.stored(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs-asked")
-        if pairs.isEmpty():
-            break
-        found = shared.stored(found.union(checked(pairs.select("a", "b"))).distinct(), "pairs-similar")
-        if pairs.where("more").isEmpty():
-            break
-        most *= 8
-    return found
+        rooted = sketched.join(nodes, sketched.fp == nodes.node, "left").select("_h", "n", "sig", F.slice("bands", 1, STEPS[level]).alias("bands"), F.coalesce("root", "fp").alias("root"))
+        rooted = shared.stored(rooted, "texts-rooted")
+        keys = rooted.select("root", F.explode("bands").alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_texts"))
+        mixed = shared.stored(keys.where("low < high").select("key", "n_texts"), "bands-mixed")
+        more = False
+        if not mixed.isEmpty():
+            pairs = crossing(rooted, mixed, least, most, block)
+            new = pairs.select("a", "b") if asked is None else shared.stored(pairs.select("a", "b").join(asked.hint("merge"), ["a", "b"], "left_anti"), "pairs-asked")
+            asked = new if asked is None else asked.union(new)
+            known = similar(new, texts, docs, least, words_each, text, by_text=True)
+            linked = known.join(of_a, "a").join(of_b, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+            found = shared.stored(found.union(linked).distinct(), "pairs-similar")
+            more = not pairs.where("more").isEmpty()
+        if level + 1 < len(STEPS):
+            level += 1
+        elif more:
+            most *= 8
+        else:
+            return found
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, segments: int = 2, least: float | None = None, least_words: int = 5, text: str = "text") -> DataFrame:
@@ -467,7 +451,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words_each: int = 4, seg
     edges = links(unique, distance, segments)
     if least is not None:
         edges = shared.stored(edges.select("a", "b").distinct(), "links")
-        edges = edges.union(linked_texts(sketches(docs, rows, least_words, text), docs, edges, distance, least, least_words, text))
+        edges = edges.union(linked_texts(sketches(docs, rows, least_words, text), docs, edges, least, least_words, text))
     nodes = graph.components(edges)
     linked = unique.join(nodes, unique.fp == nodes.node).select("fp", "root", "first_id")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
