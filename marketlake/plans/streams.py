@@ -96,9 +96,49 @@ def streamed_deltas(spark, sf_dir):
     return rounded(merged.select("symbol", "window_start", "window_label", "delta", "delta_pct"), 4)
 
 
-QUERIES = {f.__name__: f for f in (streamed_articles, streamed_ticks, streamed_dedupe, streamed_windows, streamed_merge, streamed_symbols, streamed_deltas)}
+def _parts(spark, sf_dir, path: str, parts: int) -> DataFrame:
+    """The ticks in ``parts`` files by time, one for each micro-batch."""
+    rows = ticks(spark, sf_dir)
+    rows = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("fetched_at", "published_at")})
+    ends = rows.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b")).first()
+    part = F.floor((F.unix_micros("fetched_at") - F.unix_micros(F.lit(ends.a))) * parts / (F.unix_micros(F.lit(ends.b)) - F.unix_micros(F.lit(ends.a)) + 1))
+    for i in range(parts):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def streamed_delta_table(spark, sf_dir):
+    """Ticks in three micro-batches through keyed state; a restart goes on with the state."""
+    source, out, state = _paths(spark, "in", "out", "state")
+    stream = _parts(spark, sf_dir, source, 3)
+    for _ in range(2):
+        jobs.stream_delta_table(stream, out, state, None).awaitTermination()
+    found = jobs.merged_deltas(spark, out)
+    plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]
+    return rounded(found.select("symbol", *plain, "price", "prev_price", "delta", "delta_pct", "trending_up"), 4)
+
+
+def streamed_upserts(spark, sf_dir):
+    """Ticks come as they are, then a third of them again, a minute later and a price higher."""
+    source, out, state = _paths(spark, "in", "out", "state")
+    jobs.stream_merge(_ticks(spark, sf_dir, source), out, state, None, update=True, bound=False).awaitTermination()
+    t = ticks(spark, sf_dir).where("id % 3 = 0").withColumn("price", F.col("price") + 1)
+    later = t.withColumns({"fetched_at": (F.col("fetched_at") + F.expr("INTERVAL 1 MINUTE")).cast("timestamp"), "published_at": F.col("published_at").cast("timestamp"), "url": F.lit("another")})
+    later.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(later.schema).parquet(source)
+    for _ in range(2):
+        jobs.stream_merge(stream, out, state, None, update=True, bound=False).awaitTermination()
+    found = spark.read.parquet(out)
+    return rounded(found.select("id", "symbol", "price", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), F.col("date").cast("string").alias("date"), "url"))
+
+
+QUERIES = {f.__name__: f for f in (streamed_delta_table, streamed_upserts, streamed_articles, streamed_ticks, streamed_dedupe, streamed_windows, streamed_merge, streamed_symbols, streamed_deltas)}
 
 ORACLE_SQL = {
+    "streamed_delta_table": sql(DELTAS_SQL + """ SELECT symbol, window_start, window_end, round(price, 4) AS price, round(prev_price, 4) AS prev_price, round(delta, 4) AS delta, round(delta_pct, 4) AS delta_pct, coalesce(delta_pct > 50, false) AS trending_up FROM d"""),
+    "streamed_upserts": sql("""
+, m AS (SELECT id, symbol, CASE WHEN id % 3 = 0 THEN price + 1 ELSE price END AS price, CASE WHEN id % 3 = 0 THEN fetched_at + INTERVAL 1 MINUTE ELSE fetched_at END AS fetched_at, fetched_at AS first_at, url FROM ticks WHERE volume_24h IS NOT NULL AND coin_circulating IS NOT NULL)
+SELECT id, symbol, round(price, 6) AS price, fetched_at, strftime(first_at, '%Y-%m-%d') AS date, url FROM m"""),
     "streamed_articles": sql("SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 3 = 0 THEN strftime(published_at, '%d-%m-%Y %H:%M') END AS refused FROM ticks"),
     "streamed_ticks": sql("SELECT CAST(id AS VARCHAR) AS id, symbol, CAST(CAST(volume_24h AS INTEGER) AS DOUBLE) AS volume_24h, strftime(fetched_at, '%Y-%m-%d') AS date FROM ticks WHERE id % 5 <> 0 AND price IS NOT NULL AND volume_24h IS NOT NULL"),
     "streamed_dedupe": sql("SELECT symbol, count(*) AS n_rows, count(*) AS n_ids FROM ticks GROUP BY 1"),
