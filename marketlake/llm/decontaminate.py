@@ -99,11 +99,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def pieces(batch: pa.RecordBatch, column: str = "body", table: bytes = shared.WORD_BYTES) -> Iterator[tuple[int, int, Words]]:
+def pieces(batch: pa.RecordBatch, column: str = "body", table: bytes = shared.WORD_BYTES, size: int = BLOCK) -> Iterator[tuple[int, int, Words]]:
     """Row ranges of a batch of texts with their words, some texts at a time."""
     body = batch.column(column)
     lengths = np.array([len(x.as_buffer()) for x in body], np.int64) if batch.num_rows else np.zeros(0, np.int64)
-    for start, stop in shared.blocks(lengths, BLOCK):
+    for start, stop in shared.blocks(lengths, size):
         yield start, stop, Words(body.slice(start, stop - start).to_pylist(), table)
 
 
