@@ -1,58 +1,63 @@
-"""Exponential moving averages over blocks of a series.
+"""Exponential moving averages over blocks of a series, with window functions only.
 
 An average forgets: after REACH * (span + 1) rows the weight of what came before
-is below the last bit of a double.  A block that takes so many rows of the one
-before with it therefore has its averages without waiting for that block, and
-one pass computes averages of averages too.
+is below the last bit of a double.  A series is cut into stretches of so many
+rows.  Within one, an average is a running sum of values weighted by powers of
+1 / (1 - alpha), which stay below 2 ** 1000; what comes from before is the
+average at the end of the stretch before, faded.  A block that takes a stretch of
+the block before with it therefore has its averages without waiting for it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import series
 
 #: (1 - 2 / (span + 1)) ** (REACH * (span + 1)) is below 2 ** -60.
 REACH = 21
+#: Spans of one stretch differ by this factor at most, so that weights stay within a double.
+RATIO = 16
 
 
-def average(values: pd.Series, span: int, seed: str = "first") -> pd.Series:
-    """From the first value, or from the mean of the first ``span`` with nothing before."""
-    if seed == "sma":
-        rest = values.iloc[span - 1 :].copy()
-        if len(rest):
-            rest.iloc[0] = values.iloc[:span].mean()
-        return rest.ewm(span=span, adjust=False).mean().reindex(values.index)
-    return values.ewm(span=span, adjust=False).mean()
-
-
-def with_block_columns(df: DataFrame, names: list[str], value: str, lookback: int, compute: Callable[[pd.Series, bool], dict[str, pd.Series]], by: str = "symbol", block_rows: int = series.BLOCK_ROWS) -> DataFrame:
-    """Add ``names``, doubles that ``compute(values, from_start)`` makes of a block's values and the ``lookback`` ones before.
+def lookback(*spans: int) -> int:
+    """Rows that averages of these spans need, each of the one before's results."""
+    return sum(REACH * (span + 1) for span in spans)
 
-    ``df`` has ``_i`` and no null ``value``.
-    """
-    out = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in names)])
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i", ignore_index=True)
-        pdf = pdf.assign(**compute(pdf[value], int(pdf["_i"].iloc[0]) == 0))
-        return pdf.loc[~pdf["_context"], [f.name for f in out.fields]]
+def _seeded(value: str, span: int, seed: str, w: WindowSpec) -> Column:
+    """Each row's share of the average: the first one counts in full."""
+    alpha = 2 / (span + 1)
+    if seed == "first":
+        return F.when(F.col("_i") == 0, F.col(value)).otherwise(F.col(value) * alpha)
+    mean = F.avg(value).over(w.rowsBetween(-(span - 1), 0))
+    return F.when(F.col("_i") < span - 1, 0.0).when(F.col("_i") == span - 1, mean).otherwise(F.col(value) * alpha)
 
-    own = F.floor(F.col("_i") / block_rows)
-    rows = df.withColumn("_block", F.explode(F.sequence(own, F.floor((F.col("_i") + lookback) / block_rows)))).withColumn("_context", F.col("_block") != own)
-    filled = rows.groupBy(by, "_block").applyInPandas(apply, out)
-    # pandas has no null doubles
-    return filled.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
+def in_block(df: DataFrame, spans: dict[str, int], value: str, seed: str = "first", by: str = "symbol") -> DataFrame:
+    """Add a column for each of ``spans`` (name -> span) to rows with ``_block`` and ``_i``.
 
-def lookback(*spans: int) -> int:
-    """Rows that averages of these spans need, each of the one before's results."""
-    return sum(REACH * (span + 1) for span in spans)
+    Right for rows that have ``lookback`` rows of ``value`` before them in the block, or all there are.
+    """
+    if max(spans.values()) + 1 >= RATIO * (min(spans.values()) + 1):
+        for name, span in spans.items():
+            df = in_block(df, {name: span}, value, seed, by)
+        return df
+    length = lookback(max(spans.values()))
+    df = df.withColumn("_stretch", F.floor(F.col("_i") / length)).withColumn("_at", F.col("_i") % length)
+    block = Window.partitionBy(by, "_block")
+    within = Window.partitionBy(by, "_block", "_stretch").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    before = block.orderBy("_stretch").rangeBetween(-1, -1)
+    fade = {name: 1 - 2 / (span + 1) for name, span in spans.items()}
+    own = {name: _seeded(value, span, seed, block.orderBy("_i")) for name, span in spans.items()}
+    df = df.withColumns({f"_own_{name}": own[name] / F.pow(F.lit(fade[name]), "_at") for name in spans})
+    df = df.withColumns({f"_own_{name}": F.sum(f"_own_{name}").over(within) * F.pow(F.lit(fade[name]), "_at") for name in spans})
+    df = df.withColumns({f"_end_{name}": F.max_by(f"_own_{name}", "_i").over(before) for name in spans})
+    for name, span in spans.items():
+        both = F.col(f"_own_{name}") + F.coalesce(f"_end_{name}", F.lit(0.0)) * F.pow(F.lit(fade[name]), F.col("_at") + 1)
+        df = df.withColumn(name, both if seed == "first" else F.when(F.col("_i") >= span - 1, both))
+    return df.drop("_stretch", "_at", *(f"_{k}_{name}" for k in ("own", "end") for name in spans))
 
 
 def with_ema(df: DataFrame, spans: dict[str, int], value: str = "price", seed: str = "first", by: str = "symbol", block_rows: int = series.BLOCK_ROWS) -> DataFrame:
@@ -63,8 +68,5 @@ def with_ema(df: DataFrame, spans: dict[str, int], value: str = "price", seed: s
     """
     if seed not in ("first", "sma"):
         raise ValueError(f"no seed {seed!r}")
-
-    def compute(values: pd.Series, from_start: bool) -> dict[str, pd.Series]:
-        return {name: average(values, span, seed if from_start else "first") for name, span in spans.items()}
-
-    return with_block_columns(df, list(spans), value, lookback(max(spans.values())), compute, by, block_rows)
+    reach = lookback(max(spans.values()))
+    return series.rolling(df, reach, lambda rows, w: in_block(rows, spans, value, seed, by), block_rows=max(block_rows, reach), by=by)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_or_zero, ieee_div, percent
 from ..sources.shared import stored
 from . import ema
-from .series import indexed, last, rolling
+from .series import BLOCK_ROWS, indexed, last, rolling
 
 
 def priced(ticks: DataFrame) -> DataFrame:
@@ -114,12 +113,12 @@ def with_averages(df: DataFrame, window: int, types: Iterable[str] = ("sma", "wm
             rows = rows.withColumn("sma", _full(F.col(value), w, window))
         if "wma" in types:
             rows = rows.withColumn("wma", _weighted(w, value, window))
-        return rows
+        return ema.in_block(rows, {"ema": window}, value, seed) if "ema" in types else rows
 
-    rows = indexed(df.where(F.col(value).isNotNull()), order)
-    if "ema" in types:
-        rows = ema.with_ema(rows, {"ema": window}, value, seed)
-    return rolling(rows, window, compute)
+    if seed not in ("first", "sma"):
+        raise ValueError(f"no seed {seed!r}")
+    reach = max(window, ema.lookback(window) if "ema" in types else 0)
+    return rolling(indexed(df.where(F.col(value).isNotNull()), order), reach, compute, block_rows=max(BLOCK_ROWS, reach))
 
 
 def moving_averages(bucketed: DataFrame, window: int, types: Iterable[str] = ("sma", "wma", "ema"), places: int = 4) -> DataFrame:
@@ -153,15 +152,12 @@ def technical_features(ticks: DataFrame) -> DataFrame:
         step = F.col("price") - F.lag("price").over(w)
         df = df.withColumns({"_gain": F.when(step > 0, step).otherwise(0.0), "_loss": F.when(step < 0, -step).otherwise(0.0)})
         gain, loss = F.avg("_gain").over(last(w, 14)), F.avg("_loss").over(last(w, 14))
+        df = ema.in_block(df, {"ema_12": 12, "ema_26": 26}, "price").withColumn("macd", F.col("ema_12") - F.col("ema_26"))
+        df = ema.in_block(df, {"macd_signal": 9}, "macd")
         df = df.withColumn("rsi", F.coalesce(100 - 100 / (1 + F.try_divide(gain, loss)), F.lit(50.0)))
         return df.withColumns({"bb_std": F.stddev_samp("price").over(last(w, 20)), "volatility": F.stddev_samp("price").over(last(w, 10))}).drop("_gain", "_loss")
 
-    def averages(price: pd.Series, first: bool) -> dict[str, pd.Series]:
-        fast, slow = ema.average(price, 12), ema.average(price, 26)
-        return {"ema_12": fast, "ema_26": slow, "macd": fast - slow, "macd_signal": ema.average(fast - slow, 9)}
-
-    rows = ema.with_block_columns(indexed(priced(ticks)), ["ema_12", "ema_26", "macd", "macd_signal"], "price", ema.lookback(26, 9), averages)
-    out = rolling(rows, 60, compute).withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
+    out = rolling(indexed(priced(ticks)), ema.lookback(26, 9), compute).withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
     lower, upper = F.col("price_ma_20") - 2 * F.col("bb_std"), F.col("price_ma_20") + 2 * F.col("bb_std")
     out = out.withColumns({
         "bb_middle": F.col("price_ma_20"), "bb_upper": upper, "bb_lower": lower, "bb_position": F.try_divide(F.col("price") - lower, upper - lower),
@@ -200,11 +196,12 @@ def ma_signals(ticks: DataFrame, rsi_period: int = 14) -> DataFrame:
         df = df.withColumn("rsi", 100 - 100 / (1 + rs))
         rsi, rsi_before = F.col("rsi"), F.lag("rsi").over(w)
         leaves = F.when((rsi_before <= 30) & (rsi > 30), "buy").when((rsi_before >= 70) & (rsi < 70), "sell").otherwise("none")
+        df = ema.in_block(df, {"ema_10": 10, "ema_50": 50}, "price")
         df = df.withColumn("signal", (F.col("ema_10") > F.col("ema_50")).cast("int"))
         crossover = F.coalesce(F.col("signal") != F.lag("signal").over(w), F.lit(False))
         return df.withColumns({"rsi_exit": leaves, "crossover": crossover}).drop("_gain", "_loss")
 
-    return rolling(ema.with_ema(indexed(priced(ticks)), {"ema_10": 10, "ema_50": 50}), 202, compute)
+    return rolling(indexed(priced(ticks)), ema.lookback(50), compute)
 
 
 def rsi_summary(rsi: DataFrame) -> DataFrame:
