@@ -130,6 +130,13 @@ SELECT tick, sha1(url || name) AS url_title, sha1('{"fetched_at": "' || stamp ||
     "filter_news": r"""SELECT 'https://news.example.com/' || doc_id AS link, lower(source) AS section, stamp AS timestamp, CASE WHEN doc_id % 7 <> 0 THEN stamp ELSE '' END AS scraped_at
   FROM (SELECT *, strftime(DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM documents) WHERE trim(text) <> '' AND lower(text) LIKE '%idiot%' AND stamp >= '2024-01-03' AND stamp < '2024-01-21'""",
     "news_stats": "SELECT count(*) AS total, count(*) FILTER (WHERE doc_id % 28 = 4) AS today, count(DISTINCT lower(source)) AS sections FROM documents WHERE trim(text) <> ''",
+    "news_pages": r"""
+WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) AS title, regexp_extract_all(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) AS articles, html FROM pages),
+b AS (SELECT *, regexp_extract_all(CASE WHEN len(articles) > 0 THEN array_to_string(articles, '<end>') ELSE html END, '(?i)<(?:p|h2|h3|blockquote)(?: [^>]*)?>([^<]+)', 1) AS texts FROM p),
+t AS (SELECT page_id, i, regexp_replace(replace(replace(texts[i], '&quot;', '"'), '&amp;', '&'), '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g') AS text FROM b, unnest(range(1, len(texts) + 1)) AS u(i)),
+c AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS content FROM t WHERE text <> '' GROUP BY 1),
+n AS (SELECT page_id, trim(regexp_replace(regexp_replace(h1, '(?s)<[^>]+>', ' ', 'g'), '[\t-\r \x{85}\p{Z}]+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(title, '(?s)<[^>]+>', ' ', 'g'), '[\t-\r \x{85}\p{Z}]+', ' ', 'g')) AS title FROM p)
+SELECT page_id, coalesce(nullif(h1, ''), nullif(title, '')) AS title, length(coalesce(content, '')) AS n_chars, sha256(coalesce(content, '')) AS content_sha256 FROM n LEFT JOIN c USING (page_id)""",
     "article_links": r"""
 WITH h AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?href=["'']([^"''#]+)', 1)) AS href FROM pages),
 l AS (SELECT url, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN href LIKE '//%' THEN split_part(url, ':', 1) || ':' || href WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href END AS link FROM h)

@@ -12,39 +12,74 @@ from pyspark.sql import functions as F
 from ..functions.exprs import blank_to_null, clean_text, parse_flexible_utc
 
 
+#: What the body is made of, and where it is looked for first.
+_TEXT = frozenset({"p", "h2", "h3", "blockquote"})
+_CLASSES = frozenset({"article-content", "article-body"})
+#: Fixed values of HTML: elements without an end, and those that end an open paragraph when they begin.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_BLOCK = frozenset("address article aside blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
+
 
 class _Body(HTMLParser):
-    """Text of paragraphs and headings, outside scripts and styles."""
+    """The text right within paragraphs, headings and quotes; of each article container, and of the whole page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[str] = []
-        self.open, self.skip = False, 0
+        self.open: list[str] = []
+        #: for each open container, how deep it is and the texts found in it
+        self.containers: list[tuple[int, list[str]]] = []
+        self.found: list[list[str]] = []
+        self.all: list[str] = []
+        self.goes_on = False
+
+    def _close(self, depth: int) -> None:
+        del self.open[depth:]
+        while self.containers and self.containers[-1][0] >= depth:
+            self.containers.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif tag in ("p", "h1", "h2", "h3", "h4"):
-            self.blocks.append("")
-            self.open = True
+        self.goes_on = False
+        if tag in _BLOCK and "p" in self.open:
+            self._close(len(self.open) - 1 - self.open[::-1].index("p"))
+        if tag in _VOID:
+            return
+        if tag == "article" or tag == "div" and _CLASSES & set((dict(attrs).get("class") or "").split()):
+            self.found.append([])
+            self.containers.append((len(self.open), self.found[-1]))
+        self.open.append(tag)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif tag in ("p", "h1", "h2", "h3", "h4"):
-            self.open = False
+        self.goes_on = False
+        if tag in self.open:
+            self._close(len(self.open) - 1 - self.open[::-1].index(tag))
+
+    def handle_comment(self, data: str) -> None:
+        self.goes_on = False
 
     def handle_data(self, data: str) -> None:
-        if self.open and not self.skip:
-            self.blocks[-1] += data
+        if self.open and self.open[-1] in _TEXT:
+            for texts in (self.all, *(x for _, x in self.containers)):
+                if self.goes_on:
+                    texts[-1] += data
+                else:
+                    texts.append(data)
+            self.goes_on = True
 
 
 def body_text(html: str | None) -> str:
-    """Paragraphs and headings, white space collapsed, joined by line breaks."""
+    """The texts right within paragraphs, headings and quotes, trimmed, joined by line breaks.
+
+    Those of the article containers, container by container, so what stands in two
+    comes twice; of the whole page where no container has any.
+    """
     parser = _Body()
     parser.feed(html or "")
     parser.close()
-    return "\n".join(t for t in (" ".join(b.split()) for b in parser.blocks) if t)
+    texts = [x for found in parser.found for x in found] or parser.all
+    return "\n".join(t for t in (x.strip() for x in texts) if t)
 
 
 def _body_pages(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

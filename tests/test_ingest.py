@@ -118,12 +118,28 @@ def test_pages(spark):
     <body><script>var p="<p>no</p>";</script><h1>Head <b>line</b></h1><p>One &amp; two</p><p> </p><h2>Sub</h2><a href="/markets/x">1</a><a href='https://other.org/y'>2</a><a href="/tag/z">3</a><a href="/markets/x#a">4</a></body></html>"""
     df = spark.createDataFrame([(1, "https://www.site.com/2025/09/11/a", html), (2, "https://www.site.com/2025/09/11/b", None)], "page_id long, url string, html string")
     rows = {r.page_id: r for r in pages.extract_news_page(df).collect()}
-    assert rows[1].title == "Head line" and rows[1].author == "Ann" and rows[1].content == "Head line\nOne & two\nSub"
+    assert rows[1].title == "Head line" and rows[1].author == "Ann" and rows[1].content == "One & two\nSub"
     assert rows[1].published == datetime.datetime(2025, 9, 12, 1, 2, 3) and rows[2].published == datetime.datetime(2025, 9, 11) and rows[2].content == ""
     assert {r.link for r in pages.extract_article_links(df).collect()} == {"https://www.site.com/markets/x", "https://other.org/y"}
     assert [r.link for r in pages.extract_article_links(df, ["site.com"], ["markets"], 1).collect()] == ["https://www.site.com/markets/x"]
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<body><p>teaser</p><article><h1>no</h1><p>one <b>bold</b> two</p><h4>no</h4><blockquote>said</blockquote><h3> sub </h3></article><footer><p>foot</p></footer>", "one\ntwo\nsaid\nsub"),
+        ("<p>a</p><div class='x article-body'><p>b<p>c<div>no</div><p>d</div><p>e", "b\nc\nd"),
+        ("<article><div class=article-content><p>twice</p></div><p>once</p></article>", "twice\nonce\ntwice"),
+        ("<article><h1>empty</h1></article><p>all &lt;1&gt;</p><h2>of it<br>here</h2>", "all <1>\nof it\nhere"),
+        ("<article><p><b>in bold<br><p>after</p></article>", "after"),
+        ("<p>one<!-- c -->two</p><script>'<p>no</p>'</script><style>p{}</style><p>  </p>", "one\ntwo"),
+        ("", ""), ("no tags", ""), ("<p", ""),
+    ],
+)
+def test_body_texts(html, want):
+    assert pages.body_text(html) == want
+
+
 def test_news(spark):
     df = raw.parse_lines(spark.createDataFrame([(record(1, content="Bit coin"),), (record(2, content=" "),), (record(3, fetched_at=None, published_at=None, content="COIN"),), (record(4, "2025-10-01T00:00:00Z", content="coin"),)], "value string"), schemas.NEWS)
     feed = news.news_feed(df)
