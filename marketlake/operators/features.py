@@ -1,4 +1,4 @@
-"""Interval joins of windows and ticks, and rows for training."""
+"""Measures of the ticks within windows, and rows for training."""
 
 from __future__ import annotations
 
@@ -6,29 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import window_seconds
+from . import ranges
 
 MEASURES = ("price", "market_cap", "volume_24h", "coin_circulating")
 KEY = ("symbol", "date_start", "date_end", "delta_pct")
 
 
-def in_interval(deltas: DataFrame, ticks: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """Ticks joined to the windows [date_start, date_end) of their symbol.
-
-    A window is dealt to the time buckets that it covers and meets only the
-    ticks of those; the bucket is part of the key, so no symbol is one task.
-    """
-    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
-    start, stop = seconds(F.col("date_start")), seconds(F.col("date_end"))
-    first, last = F.floor(start / bucket_seconds), F.ceil(stop / bucket_seconds) - 1
-    covered = deltas.where(stop > start).withColumn("_bucket", F.explode(F.sequence(first, last)))
-    at = ticks.select(F.col("symbol").alias("_symbol"), F.col("fetched_at").alias("_at"), F.col("id").alias("_tick"), *(F.col(c).alias(f"_{c}") for c in MEASURES))
-    at = at.withColumn("_of", F.floor(seconds(F.col("_at")) / bucket_seconds))
-    same = (covered["symbol"] == at["_symbol"]) & (covered["_bucket"] == at["_of"])
-    return covered.join(at, same & (F.col("_at") >= F.col("date_start")) & (F.col("_at") < F.col("date_end"))).drop("_bucket", "_of", "_symbol")
+def _ranges(deltas: DataFrame) -> DataFrame:
+    """The windows with their ends as numbers."""
+    return deltas.withColumns({"start": ranges.micros("date_start"), "stop": ranges.micros("date_end")})
 
 
-def _measured():
-    return [F.count("*").alias("n_ticks"), *(F.avg(f"_{c}").alias(f"avg_{c}") for c in MEASURES)]
+def window_means(deltas: DataFrame, ticks: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """symbol, start, stop, n_ticks and four means of the windows [date_start, date_end) with ticks."""
+    rows = ticks.select("symbol", ranges.micros("fetched_at").alias("at"), *(F.col(c).cast("double").alias(c) for c in MEASURES))
+    return ranges.range_means(_ranges(deltas), rows, MEASURES, bucket_seconds)
 
 
 def with_end(deltas: DataFrame) -> DataFrame:
@@ -38,16 +30,17 @@ def with_end(deltas: DataFrame) -> DataFrame:
 
 def window_features(deltas: DataFrame, ticks: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """For each delta (symbol, date_start, window_label, delta_pct) with ticks: their count, four means and the targets."""
-    joined = in_interval(with_end(deltas), ticks, bucket_seconds)
-    out = joined.groupBy("symbol", "date_start", "window_label", "delta_pct").agg(*_measured())
+    keys = deltas.select("symbol", "date_start", "window_label", "delta_pct").distinct()
+    windows = _ranges(with_end(keys))
+    out = windows.join(window_means(with_end(keys), ticks, bucket_seconds), ranges.KEY).drop("start", "stop", "date_end")
     return out.withColumns({"target_pct": F.col("delta_pct"), "target_up": (F.col("delta_pct") > 0).cast("int")})
 
 
 def ml_features_view(deltas: DataFrame, ticks: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """As window_features on [date_start, date_end), with a row of count 0 for deltas without ticks."""
     keys = deltas.select(*KEY).distinct()
-    found = in_interval(keys, ticks, bucket_seconds).groupBy("symbol", "date_start", "date_end").agg(*_measured())
-    return keys.join(found, ["symbol", "date_start", "date_end"], "left").withColumn("n_ticks", F.coalesce("n_ticks", F.lit(0)))
+    found = _ranges(keys).join(window_means(keys, ticks, bucket_seconds), ranges.KEY, "left").drop("start", "stop")
+    return found.withColumn("n_ticks", F.coalesce("n_ticks", F.lit(0)))
 
 
 def clean_training_rows(features: DataFrame, columns: list[str], target: str, most: float = 1000.0, least_rows: int = 10) -> DataFrame:

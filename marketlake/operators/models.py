@@ -10,11 +10,11 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import features as tick_features
-from . import indicators, market
+from . import indicators, market, ranges
 
 #: What the window models learn from.
 WINDOW_FEATURES = ["n_ticks", "avg_price", "avg_market_cap", "avg_volume_24h", "avg_coin_circulating"]
@@ -98,13 +98,17 @@ def prediction_verdict(predictions: DataFrame) -> DataFrame:
 
 def predict_next_price(regression: PipelineModel, classifier: PipelineModel, deltas: DataFrame, ticks: DataFrame, date_start: str | None = None) -> DataFrame:
     """From each symbol's newest window that has priced ticks, or the one given: percent, up probability and price."""
-    joined = tick_features.in_interval(tick_features.with_end(deltas), ticks).where("_price IS NOT NULL")
+    windows = tick_features.with_end(deltas).select("symbol", "date_start", "date_end").distinct()
     if date_start is not None:
-        joined = joined.where(F.col("date_start") == F.lit(date_start).cast("timestamp"))
-    means = [F.avg(f"_{c}").alias(f"avg_{c}") for c in tick_features.MEASURES]
-    now = F.max_by("_price", F.struct("_at", "_tick")).alias("price_now")
-    windows = joined.groupBy("symbol", "date_start").agg(F.count("*").alias("n_ticks"), *means, now)
-    newest = windows.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date_start")))).where("_r = 1").drop("_r").fillna(0, subset=WINDOW_FEATURES)
+        windows = windows.where(F.col("date_start") == F.lit(date_start).cast("timestamp"))
+    windows = windows.withColumns({"start": ranges.micros("date_start"), "at": ranges.micros("date_end")})
+    priced = ticks.where("price IS NOT NULL").withColumn("at", ranges.micros("fetched_at"))
+    # the last priced tick before a window's end is within the window, or none is
+    last = ranges.as_of(windows, priced, F.struct("at", "id", "price")).where("last IS NOT NULL")
+    held = windows.join(last, ["symbol", "at"]).where(F.col("last.at") >= F.col("start"))
+    newest = held.groupBy("symbol").agg(F.max_by(F.struct("date_start", "date_end", F.col("last.price").alias("price_now")), F.struct("date_start", "date_end")).alias("w")).select("symbol", "w.*")
+    means = tick_features.window_means(newest, priced)
+    newest = newest.withColumns({"start": ranges.micros("date_start"), "stop": ranges.micros("date_end")}).join(means, ranges.KEY).fillna(0, subset=WINDOW_FEATURES)
     keep = ["symbol", "date_start", "price_now"]
     pct = regression.transform(newest).select(*keep, *WINDOW_FEATURES, F.col("prediction").alias("predicted_pct"))
     both = classifier.transform(pct).withColumn("probability_up", vector_to_array("probability")[1])
