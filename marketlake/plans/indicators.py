@@ -85,6 +85,10 @@ def cross_correlation(spark, sf_dir):
     return correlate.cross_correlation(ticks(spark, sf_dir), 12)
 
 
+def full_correlation(spark, sf_dir):
+    return correlate.full_correlation(ticks(spark, sf_dir))
+
+
 def optimal_lag(spark, sf_dir):
     return correlate.optimal_lag(correlate.cross_correlation(ticks(spark, sf_dir), 12))
 
@@ -137,7 +141,7 @@ def stratified_split(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (rsi, rsi_summary, rsi_latest, symbol_rsi, volatility, volatility_summary, volatility_latest, moving_averages, build_moving_averages, technical_features, next_up_target, ma_signals, drop_repeated_values, pearson_pair, pearson_matrix, cross_correlation, optimal_lag, window_features, ml_features_view, symbol_volatility, lag_map, clean_training_rows, next_price, stratified_split)
+    for f in (rsi, rsi_summary, rsi_latest, symbol_rsi, volatility, volatility_summary, volatility_latest, moving_averages, build_moving_averages, technical_features, next_up_target, ma_signals, drop_repeated_values, pearson_pair, pearson_matrix, cross_correlation, full_correlation, optimal_lag, window_features, ml_features_view, symbol_volatility, lag_map, clean_training_rows, next_price, stratified_split)
 }
 
 _RSI = """, r0 AS (SELECT *, price - lag(price) OVER (PARTITION BY symbol ORDER BY fetched_at, id) AS step, row_number() OVER (PARTITION BY symbol ORDER BY fetched_at, id) AS i FROM ticks WHERE price IS NOT NULL),
@@ -221,6 +225,7 @@ SELECT id, symbol, fetched_at, CAST(coalesce(m5 > m20, false) AS INTEGER) AS ma_
     "pearson_pair": sql(_HOURS + f", r AS (SELECT {_PEARSON} FROM h a JOIN h b USING (t) WHERE a.symbol = 'S1' AND b.symbol = 'S2') SELECT *, {_STRENGTH} FROM r"),
     "pearson_matrix": sql(_HOURS + f", r AS (SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, {_PEARSON} FROM h a JOIN h b USING (t) WHERE a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 3) SELECT *, {_STRENGTH} FROM r"),
     "cross_correlation": sql(_CCF + " SELECT * FROM ccf"),
+    "full_correlation": sql(_CCF + " SELECT p.symbol, p.i - v.i AS lag, round(sum(p.pz * v.vz) / p.n, 4) + 0.0 AS corr, p.n FROM z p JOIN z v USING (symbol) GROUP BY p.symbol, p.i - v.i, p.n"),
     "lag_map": sql(_CCF + " SELECT symbol, lag, corr FROM ccf"),
     "symbol_volatility": sql(_VOL + " SELECT id, symbol, fetched_at, round(price_volatility_std, 4) AS price_volatility_std, volatility_category, extreme_movement FROM v WHERE symbol = 'S3' AND price_volatility_std IS NOT NULL"),
     "clean_training_rows": sql(DELTAS_SQL + f"""
