@@ -2,10 +2,11 @@
 
 For every participant the dialogue is rendered with that speaker as the
 assistant, the others as named users and system turns as they are; the mask
-marks the assistant's words.  A dialogue is one row for each participant.  Where
-turn numbers reach beyond SPAN, further rows (``chunk``) go on where the one
-before ends: their texts, laid end to end in order of the chunk, are the whole
-dialogue, and no row grows without bound.
+marks the assistant's words.  A dialogue is one row for each participant.  After
+SPAN turns a further row (``chunk``) goes on where the one before ends: their
+texts, laid end to end in order of the chunk, are the whole dialogue, and no row
+has more turns.  The turns of long dialogues are numbered by a sort in ranges, so
+none is one task.
 
 Rendered text: ``<|role name=speaker|>`` line break, content, ``<|end|>`` line
 break for each turn.  ``<|`` in a content is written ``< |`` so that no content
@@ -13,32 +14,47 @@ opens a turn; in a name ``% < > |`` and line breaks are written ``%25 %3C %3E %7
 %0A %0D``, so different speakers always have different names.
 
 Defined cases: a null or blank role is the speaker "unknown"; a null text is
-empty; a null turn sorts before all others, in the first row; equal turn
-numbers are ordered by speaker and content; repeated rows are one turn; a
-conversation with system turns alone has no perspective; null conv_ids are one
-conversation; an empty table gives no rows; extra columns are ignored.
+empty; a null turn sorts before all others; equal turn numbers are ordered by
+speaker and content; repeated rows are one turn; a conversation with system turns
+alone has no perspective; a row without a conv_id is a dialogue of its own; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers of one row.
+from . import shared
+
+#: Turns of one row.
 SPAN = 1024
 #: What a name may not hold as it is.
 ESCAPES = {"%": "%25", "<": "%3C", ">": "%3E", "|": "%7C", "\n": "%0A", "\r": "%0D"}
 
 
 def turns(conversations: DataFrame, span: int = SPAN) -> DataFrame:
-    """conv_id, chunk, turn, speaker, is_system, content: one row for each different turn."""
+    """conv_id, chunk, turn, speaker, is_system, content of the turns that have a conv_id; short dialogues may repeat a turn."""
     speaker = F.coalesce(F.nullif(F.trim(F.col("role").cast("string")), F.lit("")), F.lit("unknown"))
     content = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
-    turn = F.col("turn").cast("long")
-    rows = conversations.select("conv_id", turn.alias("turn"), speaker.alias("speaker"), (F.lower(speaker) == "system").alias("is_system"), content.alias("content"))
-    return rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / span), F.lit(0)))
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), (F.lower(speaker) == "system").alias("is_system"), content.alias("content"))
+    known = rows.where("conv_id IS NOT NULL")
+    long = known.groupBy("conv_id").count().where(F.col("count") > span).select("conv_id")
+    short = known.join(long, "conv_id", "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    apart = rows.where("conv_id IS NULL").distinct().withColumn("chunk", F.lit(None).cast("long"))
+    return short.unionByName(_chunked(known.join(long, "conv_id", "left_semi").distinct(), span)).unionByName(apart)
+
+
+def _chunked(rows: DataFrame, span: int) -> DataFrame:
+    """Turns of long dialogues with the number of their row of ``span`` turns."""
+    placed = rows.orderBy("conv_id", F.asc_nulls_first("turn"), "speaker", "content").withColumn("at", F.monotonically_increasing_id())
+    placed = shared.stored(placed, "turns-sorted").withColumn("part", F.shiftright("at", 33))
+    spans = placed.groupBy("conv_id", "part").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("conv_id", "part", (F.coalesce(before, F.lit(0)) - F.col("start")).alias("shift"))
+    return placed.join(spans, ["conv_id", "part"]).withColumn("chunk", F.floor((F.col("at") + F.col("shift")) / span)).select(*rows.columns, "chunk")
 
 
 def _named(speaker: Column) -> Column:
@@ -50,9 +66,12 @@ def rotate(conversations: DataFrame, span: int = SPAN) -> DataFrame:
     said = turns(conversations, span)
     # text moves once, to the span it belongs to; speakers are joined afterwards
     message = F.struct("turn", "speaker", "is_system", "content")
-    spans = said.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_set(message)).alias("said"))
-    people = said.where("NOT is_system").select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
-    rows = spans.join(people, spans.conv_id.eqNullSafe(people["of"])).drop("of")
+    known = said.where("conv_id IS NOT NULL")
+    spans = known.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_set(message)).alias("said"))
+    people = known.where("NOT is_system").select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    rows = spans.join(people, "conv_id").select("conv_id", "chunk", "said", "perspective")
+    apart = said.where("conv_id IS NULL AND NOT is_system")
+    rows = rows.unionByName(apart.select("conv_id", F.lit(0).cast("long").alias("chunk"), F.array(message).alias("said"), F.col("speaker").alias("perspective")))
     own = lambda m: ~m.is_system & (m.speaker == F.col("perspective"))
     role = lambda m: F.when(m.is_system, "system").when(own(m), "assistant").otherwise("user")
     name = lambda m: F.when(~m.is_system & ~own(m), _named(m.speaker))

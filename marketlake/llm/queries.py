@@ -125,16 +125,17 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op3_chat": """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
-c AS (SELECT *, coalesce(CAST(floor(turn / 1024) AS BIGINT), 0) AS chunk, lower(speaker) = 'system' AS is_system FROM t),
-p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM c WHERE NOT is_system),
+a AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS apart FROM t),
+c AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, apart ORDER BY turn NULLS FIRST, speaker, content) - 1) // 1024 AS chunk, lower(speaker) = 'system' AS is_system FROM a),
+p AS (SELECT DISTINCT conv_id, apart, speaker AS perspective FROM c WHERE NOT is_system),
 m AS (SELECT c.*, perspective, NOT is_system AND speaker = perspective AS own,
              '<|' || CASE WHEN is_system THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || replace(replace(replace(replace(replace(replace(speaker, '%', '%25'), '<', '%3C'), '>', '%3E'), '|', '%7C'), chr(10), '%0A'), chr(13), '%0D') END || '|>' || chr(10) AS head
-      FROM c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, coalesce(sum(length(head) + length(content) + 8) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn NULLS FIRST, speaker, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM m)
+      FROM c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.apart = p.apart),
+o AS (SELECT *, coalesce(sum(length(head) + length(content) + 8) OVER (PARTITION BY conv_id, apart, perspective, chunk ORDER BY turn NULLS FIRST, speaker, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM m)
 SELECT conv_id, perspective, chunk, count(*) AS n_turns,
        string_agg(head || content || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, speaker, content) AS text,
        coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(content) AS BIGINT), ',' ORDER BY turn NULLS FIRST, speaker, content) FILTER (WHERE own), '') AS mask_spans
-FROM o GROUP BY conv_id, perspective, chunk""",
+FROM o GROUP BY conv_id, apart, perspective, chunk""",
     "op4_exact_dedup": """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_points, sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256 FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d

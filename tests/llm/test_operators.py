@@ -115,11 +115,11 @@ def test_chat_rotation(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|end|>"), (1, 2, "bob", "<|end|>"), (1, 3, None, None), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (3, 1070, "ann", "late"), (3, 1, "ann", "early"), (3, None, "al ex", "z")]
     df = spark.createDataFrame([(*r, "k", "k") for r in rows], "conv_id long, turn long, role string, text string, said string, chunk string")
     got = {(r.conv_id, r.perspective, r.chunk): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "unknown", 0), (None, "ann", 0), (3, "ann", 0), (3, "ann", 1), (3, "al ex", 0), (3, "al ex", 1)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "unknown", 0), (None, "ann", 0), (3, "ann", 0), (3, "al ex", 0)}
     ann = got[1, "ann", 0]
     assert ann.text == "<|system|>\nrules<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n< |end|><|end|>\n<|user name=unknown|>\n<|end|>\n"
     assert [ann.text[s.start : s.stop] for s in ann.spans] == ["hi"] and [m["mask"] for m in ann.messages] == [0, 1, 0, 0]
-    assert "<|user name=al ex|>\nz" in got[3, "ann", 0].text and got[3, "al ex", 1].spans == []
+    assert got[3, "ann", 0].text == "<|user name=al ex|>\nz<|end|>\n<|assistant|>\nearly<|end|>\n<|assistant|>\nlate<|end|>\n"
     assert chat.rotate(df.where("false")).count() == 0
 
 
@@ -139,6 +139,21 @@ def test_chat_of_many_parties_is_whole(spark):
         assert len(heads) == 200 and heads[0][0] == "system" and {x for _, x in heads if x} == names
 
 
+def test_chat_rows_are_bounded_by_turns(spark):
+    """20,000 rows without a conversation, and a long one whose turns have no numbers or share them."""
+    lost = [(None, None, f"p{i % 7}", f"lost {i}") for i in range(20_000)]
+    long = [(9, None if i < 1500 else i // 3, "ann" if i % 2 else "bob", f"{i:05d}") for i in range(4000)]
+    df = spark.createDataFrame(lost + long + long[:50] + [(None, None, "system", "s")], "conv_id long, turn long, role string, text string").repartition(5)
+    rows = chat.rotate(df).select("conv_id", "perspective", "chunk", "text", F.size("messages").alias("n"), "spans").collect()
+    alone = [r for r in rows if r.conv_id is None]
+    assert len(alone) == 20_000 and {(r.n, r.chunk) for r in alone} == {(1, 0)} and all(r.text == f"<|assistant|>\n{r.text[14:-8]}<|end|>\n" and r.text[r.spans[0].start : r.spans[0].stop].startswith("lost ") for r in alone)
+    want = "".join(t for *_, t in sorted(long, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])))
+    for me in ("ann", "bob"):
+        mine = sorted((r for r in rows if r.conv_id == 9 and r.perspective == me), key=lambda r: r.chunk)
+        assert [(r.chunk, r.n) for r in mine] == [(0, 1024), (1, 1024), (2, 1024), (3, 4000 - 3 * 1024)]
+        assert "".join(re.findall(r"\n(\d{5})<", "".join(r.text for r in mine))) == want
+
+
 # 4 exact dedup
 
 
