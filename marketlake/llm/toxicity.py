@@ -25,7 +25,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -122,59 +123,62 @@ class Model:
         return _sigmoid(totals[:, None] - self.cuts)
 
 
-def best_features(names: list[str], in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: int, n_clean: int) -> list[str]:
-    """The names that stand in toxic rows beyond chance, most telling first."""
-    a, b = in_toxic + 0.5, in_clean + 0.5
-    odds = np.log(a / (n_toxic + 1 - a + 0.5)) - np.log(b / (n_clean + 1 - b + 0.5))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    good = np.flatnonzero((in_toxic >= LEAST_ROWS) & (z >= LEAST_Z) & (odds >= LEAST_ODDS)).tolist()
-    return [names[i] for i in sorted(good, key=lambda i: (-z[i], names[i]))[:FEATURES]]
+def _telling(n_toxic: int, n_clean: int, f: str) -> Column:
+    """How many deviations beyond chance a name stands in toxic rows (t and c count toxic and clean ones), null where too few or too little."""
+    a, b = F.col(f"t{f}") + 0.5, F.col(f"c{f}") + 0.5
+    odds = F.log(a / (n_toxic + 1.5 - a)) - F.log(b / (n_clean + 1.5 - b))
+    z = odds / F.sqrt(1 / a + 1 / b)
+    return F.when((F.col(f"t{f}") >= LEAST_ROWS) & (z >= LEAST_Z) & (odds >= LEAST_ODDS), z)
 
 
 def select_features(rows: DataFrame) -> list[list[str]]:
     """The features that toxic rows (y = 1) favour most: in fold 0, in fold 1 and in both.
 
-    What reaches the driver are names that stand in LEAST_ROWS toxic rows of the
-    sample at least: no more than the sample's toxic text has words, times five.
+    Counted and ranked in Spark: FEATURES names of each list reach the driver, and
+    a bitmap of bounded size of the names that enough toxic rows have, by which
+    tasks leave most names of clean rows out.
     """
 
-    def toxic_names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[Counter[str]] = [Counter(), Counter()]
-
-        def held() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"name": [x for c in counts for x in c], "fold": [f for f, c in enumerate(counts) for _ in c], "n": [n for c in counts for n in c.values()]}, pa.schema([("name", pa.string()), ("fold", pa.int64()), ("n", pa.int64())]))
-
-        for batch in batches:
-            for body, fold in zip(batch.column("body"), batch.column("fold").to_pylist(), strict=True):
-                counts[fold].update({x for w in set(words_of(body.as_py())) for x in names_of(w)})
-                if sum(map(len, counts)) > HELD:
-                    yield held()
-                    counts = [Counter(), Counter()]
-        yield held()
-
-    of = lambda f: F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0))
-    hits = rows.where("y > 0").select("body", "fold").mapInArrow(toxic_names, "name string, fold long, n long").groupBy("name").agg(of(0).alias("n0"), of(1).alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_ROWS)
-    in_toxic = {r[0]: (r[1], r[2]) for r in hits.toLocalIterator()}
-    names = sorted(in_toxic)
-    number = rows.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
-
-    def clean_names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter[tuple[int, int]] = Counter()
-            for body, fold in zip(batch.column("body"), batch.column("fold").to_pylist(), strict=True):
-                counts.update({(number.value[x], fold) for w in set(words_of(body.as_py())) for x in names_of(w) if x in number.value})
-            if counts:
-                yield pa.RecordBatch.from_pydict({"i": [i for i, _ in counts], "fold": [f for _, f in counts], "n": list(counts.values())})
-
-    seen = rows.where("y = 0").select("body", "fold").mapInArrow(clean_names, "i long, fold long, n long").groupBy("i").agg(of(0).alias("n0"), of(1).alias("n1"))
-    clean = np.zeros((len(names), 2))
-    for i, n0, n1 in seen.toLocalIterator():
-        clean[i] = n0, n1
-    toxic = np.array([in_toxic[x] for x in names], float).reshape(-1, 2)
+    def counted(bitmap):
+        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: list[Counter[str]] = [Counter(), Counter()]
+
+            def held() -> pa.RecordBatch:
+                names = [x for c in counts for x in c]
+                if bitmap is not None and names:
+                    # the hash that Spark's xxhash64 gives
+                    kept = bitmap.value.has(np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in names), np.uint64, len(names))).tolist()
+                else:
+                    kept = [True] * len(names)
+                found = [(x, f, n) for (x, f, n), k in zip(((x, f, n) for f, c in enumerate(counts) for x, n in c.items()), kept, strict=True) if k]
+                return pa.RecordBatch.from_pydict({"name": [x for x, _, _ in found], "fold": [f for _, f, _ in found], "n": [n for _, _, n in found]}, pa.schema([("name", pa.string()), ("fold", pa.int64()), ("n", pa.int64())]))
+
+            for batch in batches:
+                for body, fold in zip(batch.column("body"), batch.column("fold").to_pylist(), strict=True):
+                    counts[fold].update({x for w in set(words_of(body.as_py())) for x in names_of(w)})
+                    if sum(map(len, counts)) > HELD:
+                        yield held()
+                        counts = [Counter(), Counter()]
+            yield held()
+
+        return count
+
+    def names_in(part: DataFrame, kind: str, bitmap=None) -> DataFrame:
+        of = lambda f: F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"{kind}{f}")
+        return part.select("body", "fold").mapInArrow(counted(bitmap), "name string, fold long, n long").groupBy("name").agg(of(0), of(1))
+
+    toxic = shared.stored(names_in(rows.where("y > 0"), "t").where(F.col("t0") + F.col("t1") >= LEAST_ROWS), "toxicity-names")
+    bitmap = rows.sparkSession.sparkContext.broadcast(shared.Bitmap.of(toxic.select(F.xxhash64("name").alias("key")), "key"))
+    clean = names_in(rows.where("y = 0"), "c", bitmap)
+    both = toxic.join(clean, "name", "left").fillna(0, subset=["c0", "c1"]).withColumns({"t": F.col("t0") + F.col("t1"), "c": F.col("c0") + F.col("c1")})
+    both = shared.stored(both, "toxicity-names")
     sizes = {(y > 0, fold): n for y, fold, n in rows.groupBy("y", "fold").count().collect()}  # four rows
-    n = {y: np.array([sizes.get((y, f), 0) for f in (0, 1)]) for y in (True, False)}
-    folds = [best_features(names, toxic[:, f], clean[:, f], int(n[True][f]), int(n[False][f])) for f in (0, 1)]
-    return [*folds, best_features(names, toxic.sum(1), clean.sum(1), int(n[True].sum()), int(n[False].sum()))]
+    n = {y: [sizes.get((y, 0), 0), sizes.get((y, 1), 0)] for y in (True, False)}
+    chosen = []
+    for f, n_toxic, n_clean in (("0", n[True][0], n[False][0]), ("1", n[True][1], n[False][1]), ("", sum(n[True]), sum(n[False]))):
+        best = both.select("name", _telling(n_toxic, n_clean, f).alias("z")).where("z IS NOT NULL").orderBy(F.desc("z"), "name").limit(FEATURES)
+        chosen.append([r.name for r in best.collect()])
+    return chosen
 
 
 def second_opinion(x: np.ndarray, toxic: np.ndarray, folds: np.ndarray, weights: np.ndarray, columns: list[list[int]]) -> np.ndarray:
