@@ -65,12 +65,13 @@ def op6_simhash(spark, sf_dir):
 
 
 def op7_secrets(spark, sf_dir):
-    """Documents come to one ledger in two increments, then all of them under a second rule version, which skips what it has."""
+    """Half of the documents come to the ledger under the base rules, then all of them under both rule versions, of which each blob lacks one or two."""
     docs, ledger = _table(spark, sf_dir, "documents"), shared.new_path(spark, "secret-ledger")
-    half = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2, F.lit(0))
-    for increment, rule_version in ((half == 0, "base-1"), (half == 1, "base-1"), (half == 0, "more-1"), (half == 1, "more-1")):
-        secrets.update(docs.where(increment), ledger, rule_version)
-    found = secrets.findings(docs, ledger, "more-1")
+    first = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 2, F.lit(0)) == 0
+    addressed = secrets.versions(docs)
+    secrets.update(docs.where(first("doc_id")), ledger, ["base-1"], addressed=addressed.where(first("path")))
+    secrets.update(docs, ledger, ["base-1", "more-1"], addressed=addressed)
+    found = secrets.findings(addressed, ledger, "more-1")
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "blob")
 
 

@@ -1,10 +1,11 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
-A version of a path is addressed by the SHA-256 of its text.  The ledger is a
+A version of a path is addressed by the SHA-256 of its text, once.  The ledger is a
 table of (blob, rule_version, findings).  An update picks one path for each blob
-that has no entry for the rule version, scans those texts where they are read,
-and appends the findings; a join on the address gives them to all paths that
-ever held the blob.  Texts never move: addresses and findings do.
+that lacks an entry for some of the rule versions, scans those texts where they
+are read, once for all versions, and appends what was lacking; a join on the
+address gives the findings to all paths that ever held the blob.  Texts never
+move: addresses and findings do.
 
 A bitmap of bounded size tells a scan task which texts are picked.  Where so many
 are that it lets others pass, these are scanned for nothing; the findings are
@@ -22,7 +23,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -69,24 +70,38 @@ def _address(text: str) -> Column:
     return F.sha2(shared.text_or_empty(text), 256)
 
 
+def _row(path: str, text: str) -> Column:
+    """What tells the rows of two reads apart; rows alike in path and text may share it."""
+    return F.xxhash64(F.col(path), shared.text_or_empty(text))
+
+
 def versions(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """path and blob of each version; no text moves."""
-    return docs.select(F.col(path).alias("path"), _address(text).alias("blob"))
+    """path, row and blob of each version, stored; no text moves."""
+    return shared.stored(docs.select(F.col(path).alias("path"), _row(path, text).alias("row"), _address(text).alias("blob")), "secret-versions")
 
 
-def _read(docs: DataFrame, ledger_path: str, rule_version: str) -> DataFrame | None:
+def _read(spark: SparkSession, ledger_path: str, rule_versions: Iterable[str]) -> DataFrame | None:
     try:
-        ledger = docs.sparkSession.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
+        ledger = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
     except Exception as absent:
         if "PATH_NOT_FOUND" not in str(absent):
             raise
         return None
-    return ledger.where(F.col("rule_version") == rule_version)
+    return ledger.where(F.col("rule_version").isin(list(rule_versions)))
 
 
-def scan_unseen(docs: DataFrame, old: DataFrame | None, rule_version: str = RULE_VERSION, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """New ledger rows: every blob that ``old`` hasn't, scanned at one of its paths."""
-    kinds = RULE_VERSIONS.get(rule_version, ())
+def lacking(addressed: DataFrame, old: DataFrame | None, rule_versions: Iterable[str]) -> DataFrame:
+    """blob, row (of one version) and rule_version of every pair that ``old`` hasn't, stored."""
+    blobs = addressed.groupBy("blob").agg(F.min("row").alias("row"))
+    pairs = blobs.withColumn("rule_version", F.explode(F.array(*(F.lit(v) for v in rule_versions))))
+    if old is not None:
+        pairs = pairs.join(old.select("blob", "rule_version"), ["blob", "rule_version"], "left_anti")
+    return shared.stored(pairs.select("blob", "row", "rule_version"), "secret-lacking")
+
+
+def scan_unseen(docs: DataFrame, pairs: DataFrame, rule_versions: Iterable[str], path: str = "doc_id", text: str = "text") -> DataFrame:
+    """New ledger rows: every one of ``pairs`` (blob, row, rule_version), scanned in one pass over one version of the blob."""
+    rule_versions = list(rule_versions)
     rank = {kind: i for i, kind in enumerate(KINDS + MORE_KINDS)}
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,34 +113,36 @@ def scan_unseen(docs: DataFrame, old: DataFrame | None, rule_version: str = RULE
                 raw = body.as_py()
                 base = find(raw)
                 count = [sum(kind == x for _, kind, _ in base) for x in KINDS]
-                more = find_more(raw, kinds)
-                rows.append((blob, rule_version, *count, shown(base), shown(sorted(base + more, key=lambda x: (x[0], rank[x[1]], x[2])))))
+                for version in rule_versions:
+                    more = find_more(raw, RULE_VERSIONS.get(version, ()))
+                    rows.append((blob, version, *count, shown(base), shown(sorted(base + more, key=lambda x: (x[0], rank[x[1]], x[2])))))
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    one = F.xxhash64(F.col(path))
-    unseen = docs.select(one.alias("one"), _address(text).alias("blob")).groupBy("blob").agg(F.min("one").alias("one"))
-    if old is not None:
-        unseen = unseen.join(old.select("blob"), "blob", "left_anti")
-    unseen = shared.stored(unseen, "secret-unseen")
-    bodies = docs.select(one.alias("one"), _address(text).alias("blob"), shared.text_or_empty(text).alias("body"))
-    marked, picked = shared.maybe_in(bodies, F.xxhash64("one", "blob"), unseen.select(F.xxhash64("one", "blob").alias("key")))
-    found = marked.where(picked).select("blob", "body").mapInArrow(scan, LEDGER_SCHEMA)
-    return found.dropDuplicates(["blob"]).join(unseen.select("blob"), "blob", "left_semi")
+    bodies = docs.select(_row(path, text).alias("row"), shared.text_or_empty(text).alias("body"))
+    marked, picked = shared.maybe_in(bodies, F.col("row"), pairs.select(F.col("row").alias("key")).distinct())
+    found = marked.where(picked).select(F.sha2("body", 256).alias("blob"), "body").mapInArrow(scan, LEDGER_SCHEMA)
+    return found.dropDuplicates(["blob", "rule_version"]).join(pairs.select("blob", "rule_version"), ["blob", "rule_version"], "left_semi").select(*(c.split()[0] for c in LEDGER_SCHEMA.split(", ")))
+
 
+def update(docs: DataFrame, ledger_path: str, rule_versions: Iterable[str] = (RULE_VERSION,), path: str = "doc_id", text: str = "text", addressed: DataFrame | None = None) -> None:
+    """Bring the ledger up to date with these versions of paths: scan the blobs that it lacks for any of the rule versions.
 
-def update(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, path: str = "doc_id", text: str = "text") -> None:
-    """Bring the ledger up to date with these versions of paths: scan the blobs that it hasn't for this rule version."""
-    new = scan_unseen(docs, _read(docs, ledger_path, rule_version), rule_version, path, text)
-    new.write.mode("append").option("compression", "zstd").parquet(ledger_path)
+    ``addressed`` are their ``versions``, where they are there already.
+    """
+    rule_versions = list(rule_versions)
+    addressed = versions(docs, path, text) if addressed is None else addressed
+    pairs = lacking(addressed, _read(docs.sparkSession, ledger_path, rule_versions), rule_versions)
+    scan_unseen(docs, pairs, rule_versions, path, text).write.mode("append").option("compression", "zstd").parquet(ledger_path)
 
 
-def findings(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """path, blob and what the ledger has for it, for every version in ``docs``."""
-    return versions(docs, path, text).join(_read(docs, ledger_path, rule_version), "blob")
+def findings(addressed: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """path, blob and what the ledger has for it, for every one of the ``versions``."""
+    return addressed.drop("row").join(_read(addressed.sparkSession, ledger_path, [rule_version]), "blob")
 
 
 def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, path: str = "doc_id", text: str = "text") -> DataFrame:
     """Update the ledger, then the findings for every version."""
-    update(docs, ledger_path, rule_version, path, text)
-    return findings(docs, ledger_path, rule_version, path, text)
+    addressed = versions(docs, path, text)
+    update(docs, ledger_path, [rule_version], path, text, addressed)
+    return findings(addressed, ledger_path, rule_version)

@@ -532,7 +532,7 @@ def test_ledger_scans_only_unseen_pairs(spark, edges, nothing):
 
 
 def test_ledger_query_scans_each_pair_once(spark, monkeypatch):
-    """Two increments and two rule versions on one ledger: four updates, and one row for each blob and rule version."""
+    """Two increments and two rule versions on one ledger: two scans, and one row for each blob and rule version."""
     made, scanned, whole = [], [], secrets.scan_unseen
     monkeypatch.setattr(queries.shared, "new_path", lambda spark, name, f=shared.new_path: made.append(f(spark, name)) or made[-1])
 
@@ -542,11 +542,32 @@ def test_ledger_query_scans_each_pair_once(spark, monkeypatch):
 
     monkeypatch.setattr(secrets, "scan_unseen", counted)
     found = queries.op7_secrets(spark, SF)
-    n_blobs = documents().text.fillna("").nunique()
+    d = documents()
+    first = {t or "" for i, t in zip(d.doc_id, d.text, strict=True) if zlib.crc32(str(i).encode()) % 2 == 0}
+    n_blobs = d.text.fillna("").nunique()
     ledger = spark.read.parquet(next(x for x in made if "secret-ledger" in x))
-    assert found.count() == len(documents()) and ledger.count() == ledger.select("blob", "rule_version").distinct().count() == 2 * n_blobs
-    sizes = [x.count() for x in scanned]
-    assert sizes[0] + sizes[1] == sizes[2] + sizes[3] == n_blobs and sizes[1] < len(documents()[[zlib.crc32(str(i).encode()) % 2 == 1 for i in documents().doc_id]].text.unique()) + 1
+    assert found.count() == len(d) and ledger.count() == ledger.select("blob", "rule_version").distinct().count() == 2 * n_blobs
+    assert [x.count() for x in scanned] == [len(first), 2 * n_blobs - len(first)]
+
+
+def test_planted_secrets_of_the_later_rules(spark, tmp_path):
+    """Private keys, signed tokens and personal access tokens among base ones, in copies and in both increments."""
+    planted = [
+        "-----BEGIN RSA PRIVATE KEY----- token: abcdefgh", "x eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK y", "ghp_" + "A1" * 18 + " password=hunter22", "-----BEGIN PRIVATE KEY-----" * 2,
+        "secret='eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK'", "nothing", "", None, "é🙂 gho_" + "b" * 40,
+    ]
+    docs = [(i, planted[i % len(planted)]) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_secrets(spark, str(tmp_path)).collect()}
+    assert got.keys() == {i for i, _ in docs}
+    later = [("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), ("pat", r"gh[pousr]_[A-Za-z0-9]{36,}")]
+    order = ["assign", "access", "hex", "pem", "jwt", "pat"]
+    for i, text in docs:
+        base = [x.split(":") for x in brute_secrets(text or "").split(",") if x]
+        more = [(kind, str(m.start()), str(m.end())) for kind, pattern in later for m in re.finditer(pattern, text or "")]
+        want = ",".join(":".join(x) for x in sorted([tuple(x) for x in base] + more, key=lambda x: (int(x[1]), order.index(x[0]), int(x[2]))))
+        assert got[i].spans == want and got[i].base_sha256 == hashlib.sha256(brute_secrets(text or "").encode()).hexdigest()
+    assert sum(r.spans.count("pem:") for r in got.values()) > 5 and sum("jwt:" in r.spans for r in got.values()) > 5 and sum("pat:" in r.spans for r in got.values()) > 5
 
 
 # 9 line dedup
