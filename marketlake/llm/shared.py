@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, shared_dir, stored
@@ -38,6 +39,18 @@ def blocks(lengths: np.ndarray, size: int = TEXT_BLOCK) -> Iterator[tuple[int, i
         start = stop
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that run within send texts to Python in batches of so many rows: less memory for a task's buffers on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: A bitmap never takes more bits than this (16 MB).
 BITMAP_BITS = 1 << 27
 #: Words of a bitmap that come to the driver as one row.

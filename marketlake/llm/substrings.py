@@ -200,7 +200,8 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     """
     again = copies(docs, text)
     docs = shared.without(docs.select("doc_id", text), again, text)
-    found = segments(docs, shared_minimizers(docs, window, gram, text), window, gram, text)
+    with shared.small_batches(docs.sparkSession):
+        found = segments(docs, shared_minimizers(docs, window, gram, text), window, gram, text)
     owners = window_owners(found, window, hot)
 
     def starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
