@@ -8,7 +8,7 @@ enumerated half on the stored and half on the asking side, so one table of
 all bits.  A key's many fingerprints are linked through pivots instead of in all
 pairs, which leaves the same components.  The fingerprints of a key that has more
 than HOT are dealt to ``distance + 1`` pieces of their other bits, one of which is
-equal in any two that link, so no key is one task.
+equal in any two that link, and again until no key has more, so none is one task.
 
 ``deduped`` also links texts whose shingle sets are similar, however far apart
 their fingerprints are.  A text has SIGNATURE min-hashes in bands of BAND; texts
@@ -164,30 +164,23 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
 
 def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, fps) of batches sorted by key, cut so that no key is split."""
-    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for batch in batches:
-        keys = np.concatenate([keys, batch.column("key").to_numpy()])
-        fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if cut:
-            yield keys[:cut], fps[:cut]
-            keys, fps = keys[cut:], fps[cut:]
-    if len(keys):
-        yield keys, fps
-
-
-def pieces(key: np.ndarray, fp: np.ndarray, width: int, distance: int) -> list[np.ndarray]:
-    """For rows of hot keys, ``distance + 1`` finer keys each: a piece of the bits outside the key's segment."""
-    segment = (key >> np.int64(32)).astype(np.uint64)
-    low = segment * np.uint64(width)
-    above = np.where(low + np.uint64(width) < 64, fp >> np.minimum(low + np.uint64(width), np.uint64(63)), np.uint64(0))
-    other = above << low | fp & ((np.uint64(1) << low) - np.uint64(1))
-    out = []
-    for j in range(distance + 1):
-        start, stop = j * (64 - width) // (distance + 1), (j + 1) * (64 - width) // (distance + 1)
-        piece = other >> np.uint64(start) & np.uint64((1 << (stop - start)) - 1)
-        out.append(((piece << np.uint64(44)).view(np.int64) | np.int64(j << 38) | np.int64(1 << 37)) + key)
-    return out
+    for found in in_runs(batches, "key"):
+        yield found.column("key").to_numpy(), found.column("fp").to_numpy().view(np.uint64)
+
+
+def finer_keys(key: np.ndarray, fp: np.ndarray, mask: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, fp, mask) of finer keys for rows of hot ones, ``distance + 1`` each: a piece of the bits outside ``mask``, which then has it too.
+
+    Two fingerprints that differ in ``distance`` bits are alike in one of these pieces.
+    """
+    for used in np.unique(mask).tolist():
+        own, alike = mask == used, fp[mask == used]
+        free = [b for b in range(64) if not used >> b & 1]
+        for j in range(distance + 1):
+            bits = sum(1 << b for b in free[j * len(free) // (distance + 1) : (j + 1) * len(free) // (distance + 1)])
+            mixed = (key[own].view(np.uint64) ^ np.uint64(bits)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ mixed >> np.uint64(29) ^ (alike & np.uint64(bits))) * np.uint64(0xD6E8FEB86659FD93)
+            yield (mixed ^ mixed >> np.uint64(32)).view(np.int64), alike, np.full(len(alike), used | bits, np.uint64)
 
 
 def hot_keys(unique: DataFrame, table: DataFrame, near: np.ndarray, width: int, segments: int, hot: int) -> DataFrame | None:
@@ -229,15 +222,22 @@ def links(unique: DataFrame, distance: int = 4, segments: int = 2, hot: int = HO
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp")
-            for key in pieces(batch.column("key").to_numpy(), fp.to_numpy().view(np.uint64), width, distance):
-                yield pa.RecordBatch.from_arrays([pa.array(key), fp], names=["key", "fp"])
+            for key, fp, mask in finer_keys(batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("mask").to_numpy().view(np.uint64), distance):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)), pa.array(mask.view(np.int64))], names=["key", "fp", "mask"])
 
     table = unique.select("fp").mapInArrow(spread, "key long, fp long")
     crowded = hot_keys(unique, table, near, width, segments, hot)
     if crowded is not None:
-        fine = table.join(crowded, "key", "left_semi").mapInArrow(split, "key long, fp long")
-        table = table.join(crowded, "key", "left_anti").unionByName(fine)
+        segment = F.element_at(F.array(*(F.lit(np.uint64(((1 << width) - 1) << s * width).astype(np.int64).item()) for s in range(segments))), F.shiftrightunsigned("key", 32).cast("int") + 1)
+        fine = table.join(crowded, "key", "left_semi").withColumn("mask", segment)
+        table = table.join(crowded, "key", "left_anti")
+        while not fine.isEmpty():
+            # what is still hot is split again, by other bits, while a piece has four; what is hot then lies close together
+            fine = shared.stored(fine.select("key", "fp", "mask").mapInArrow(split, "key long, fp long, mask long"), "segments-split")
+            crowded = shared.stored(fine.groupBy("key").count().where(F.col("count") > hot).select("key"), "segments-hot")
+            last = F.bit_count("mask") > 64 - 4 * (distance + 1)
+            table = table.unionByName(fine.where(last).unionByName(fine.where(~last).join(crowded, "key", "left_anti")).select("key", "fp"))
+            fine = fine.where(~last).join(crowded, "key", "left_semi")
     return table.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
@@ -310,17 +310,21 @@ def sketches(docs: DataFrame, rows: DataFrame, words_each: int, text: str = "tex
 
 
 def in_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of batches sorted by ``key``, cut so that no key is split."""
-    held = None
+    """Tables of batches sorted by ``key``, cut so that no key is split; a batch is copied once, however long a key's run is."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        keys = held.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if cut:
-            yield held.slice(0, cut)
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or held[-1].column(key)[-1].as_py() != keys[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def promising(found: pa.Table, least: float):

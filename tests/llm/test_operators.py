@@ -413,8 +413,15 @@ def test_pieces_of_a_hot_key_meet(distance, segments, segment):
     outside = [b for b in range(64) if not segment * width <= b < (segment + 1) * width]
     b = a ^ np.array([sum(1 << int(x) for x in rng.choice(outside, distance, False)) for _ in a], np.uint64)
     key = (a >> np.uint64(segment * width) & np.uint64((1 << width) - 1) | np.uint64(segment << 32)).view(np.int64)
-    one, other = (np.stack(simhash.pieces(key, x, width, distance)) for x in (a, b))
-    assert (one == other).any(0).all() and len(np.unique(one)) > len(np.unique(key)) and (one > 0).all()
+    mask = np.full(len(a), ((1 << width) - 1) << segment * width, np.uint64)
+    for _ in range(2):  # and what these keys are split into again, for the piece that they share
+        one, other = ([list(x) for x in zip(*simhash.finer_keys(key, x, mask, distance), strict=True)] for x in (a, b))
+        same = np.stack(one[0]) == np.stack(other[0])
+        assert same.any(0).all() and len(np.unique(one[0])) > len(np.unique(key))
+        chosen = same.argmax(0), np.arange(len(a))
+        # rows of one mask at a time
+        first = chosen[0] == chosen[0][0]
+        a, b, key, mask = a[first], b[first], np.stack(one[0])[chosen][first], np.stack(one[2])[chosen][first]
 
 
 def test_fingerprints_of_one_segment_are_split(spark):
@@ -469,11 +476,25 @@ def test_documents_that_share_a_passage_stay(spark):
         for at in rng.integers(0, 450, int(rng.integers(1, 4))).tolist():
             own[at] = f"e{i}"
         docs.append((i, " ".join(own)))
-    want, _ = brute_kept(docs, most=8)
+    want, _ = brute_kept(docs)
     assert 280 < len(want) < 310
     assert sorted(r.doc_id for r in simhash.deduped(make_docs(spark, docs)).select("doc_id").collect()) == want
 
 
+def test_poor_texts_ask_for_few_pairs(spark, monkeypatch):
+    """Texts of 20 of 60 shared paragraphs, none alike: what meets grows with the texts, not with their square."""
+    asked = []
+    crossing = simhash.crossing
+    monkeypatch.setattr(simhash, "crossing", lambda *args: asked.append(crossing(*args)) or asked[-1])
+    for n in (200, 400, 800):
+        rng = np.random.default_rng(7)
+        shared_text = [" ".join(f"p{k}w{i}" for i in rng.integers(0, 10**6, 12)) for k in range(60)]
+        docs = [(i, " ".join(shared_text[k] for k in rng.choice(60, 20, False))) for i in range(n)]
+        assert simhash.deduped(make_docs(spark, docs)).count() == n
+        assert sum(p.count() for p in asked) <= n // 20
+        asked.clear()
+
+
 def test_similar_texts_of_distant_fingerprints_go(spark):
     rng = np.random.default_rng(3)
     docs = []
