@@ -63,16 +63,18 @@ def train_classifier(rows: DataFrame, target: str = "target_up", columns: list[s
 def train_forest(rows: DataFrame, columns: list[str] | None = None, trees: int = 200, depth: int = 15, seed: int = 42, key: str = "id", least_rows: int = 100) -> tuple[Fitted, DataFrame]:
     """Forest on 80/20 stratified rows (column target) with balanced weights; (fitted, importances)."""
     columns = columns or indicators.FEATURES
-    parts = tick_features.split(rows.withColumn("label", F.col("target").cast("double")), [0.8, 0.2], seed, key, stratify="label").persist()
-    counts = {int(r[0]): r[1] for r in parts.groupBy("label").count().collect()}
-    n = sum(counts.values())
-    if n < least_rows:
-        raise ValueError(f"{n} rows; a forest needs {least_rows}")
-    weight = F.when(F.col("label") == 1, n / (2 * max(1, counts.get(1, 0)))).otherwise(n / (2 * max(1, counts.get(0, 0))))
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
-    model = _stages(columns, forest).fit(parts.where("part = 0").withColumn("weight", weight))
-    metrics = {f"{name}_{k}": v for name, part in (("train", 0), ("test", 1)) for k, v in classification_metrics(model.transform(parts.where(F.col("part") == part))).items()}
-    parts.unpersist()
+    parts = tick_features.split(rows.withColumn("label", F.col("target").cast("double")), [0.8, 0.2], seed, key, stratify="label").select(*columns, "label", "part").persist()
+    try:
+        counts = {int(r[0]): r[1] for r in parts.groupBy("label").count().collect()}
+        n = sum(counts.values())
+        if n < least_rows:
+            raise ValueError(f"{n} rows; a forest needs {least_rows}")
+        weight = F.when(F.col("label") == 1, n / (2 * max(1, counts.get(1, 0)))).otherwise(n / (2 * max(1, counts.get(0, 0))))
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
+        model = _stages(columns, forest).fit(parts.where("part = 0").withColumn("weight", weight))
+        metrics = {f"{name}_{k}": v for name, part in (("train", 0), ("test", 1)) for k, v in classification_metrics(model.transform(parts.where(F.col("part") == part))).items()}
+    finally:
+        parts.unpersist()
     found = list(zip(columns, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
     return Fitted(model, metrics), rows.sparkSession.createDataFrame(found, "feature string, importance double")
 

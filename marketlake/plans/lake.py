@@ -102,7 +102,7 @@ def news_pages(spark, sf_dir):
 
 def forest_verdict(spark, sf_dir):
     rows = indicators.technical_features(indicators.next_up_target(ticks(spark, sf_dir)))
-    fitted, _ = models.train_forest(rows, trees=10, depth=5)
+    fitted, _ = models.train_forest(rows)
     return rounded(models.prediction_verdict(models.predict_direction(fitted.model, ticks(spark, sf_dir), 20)))
 
 
