@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import dated
+
 
 def compute_window(ticks: DataFrame, every: str, period: str | None = None) -> DataFrame:
     """Rows and last price by time of each symbol's windows ``[start, start + period)``.
@@ -23,6 +25,33 @@ def compute_window(ticks: DataFrame, every: str, period: str | None = None) -> D
     return out.drop("first_ts")
 
 
+def window_parts(ticks: DataFrame, every: str, batch: str) -> DataFrame:
+    """What one batch of ticks adds to each window: rows, and the last row's time, id and price; with the batch's name and the window's date."""
+    rows = ticks.where("fetched_at IS NOT NULL AND symbol IS NOT NULL")
+    last = F.max(F.struct("fetched_at", "id", "price")).alias("last")
+    found = rows.groupBy("symbol", F.window("fetched_at", every).alias("w")).agg(F.count("*").alias("count"), last)
+    return found.select("symbol", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count", "last", F.lit(batch).alias("batch"), dated.date_of("w.start").alias("date"))
+
+
+def merge_window_parts(ticks: DataFrame, path: str, batch: str, every: str = "1 hour") -> list[str]:
+    """Bring a batch, however late its rows, to the stored windows at ``path``; returns the dates written.
+
+    A window is stored in parts, one for each batch that had rows of it, so a batch
+    that comes again replaces its own part.  Only the dates of the batch's windows
+    are read and written.
+    """
+    def merge(existing: DataFrame, new: DataFrame) -> DataFrame:
+        return existing.where(F.col("batch") != batch).unionByName(new)
+
+    return dated.merge_dated(window_parts(ticks, every, batch), path, merge)
+
+
+def merged_windows(parts: DataFrame) -> DataFrame:
+    """The windows of stored parts: rows and last price of each, as ``compute_window`` has them."""
+    found = parts.groupBy("symbol", "window_start", "window_end").agg(F.sum("count").alias("count"), F.max("last").alias("last"))
+    return found.select("symbol", "window_start", "window_end", "count", F.col("last.price").alias("price"))
+
+
 def compute_delta(windows: DataFrame, threshold: float = 50.0) -> DataFrame:
     """Change from the symbol's previous present window; no percent where that price is null or 0."""
     w = Window.partitionBy("symbol").orderBy("window_start")

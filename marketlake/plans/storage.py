@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import indicators, ingest, market, marts, models, news, windows
-from ..sources import payloads, raw
+from ..sources import dated, payloads, raw
 from ..sources.shared import new_path
 from ..sources.tables import articles, ticks
 from . import indicators as indicator_plans
@@ -61,6 +61,24 @@ def stored_windows(spark, sf_dir):
     return found.groupBy(F.col("granularity").cast("string").alias("granularity"), "symbol").agg(F.count("*").alias("n_windows"), F.sum("count").alias("n_ticks"))
 
 
+def patched_windows(spark, sf_dir):
+    """Hourly windows from three batches, the second late and come twice."""
+    path, t = new_path(spark, "windows"), ticks(spark, sf_dir)
+    for batch, remainders in (("first", [0, 1, 2, 3]), ("late", [4, 5]), ("late", [4, 5]), ("last", [6])):
+        windows.merge_window_parts(t.where((F.col("id") % 7).isin(remainders)), path, batch)
+    return rounded(windows.merged_windows(spark.read.parquet(path)))
+
+
+def totals_by_days(spark, sf_dir):
+    """Partials of the first weeks, then of the last days again with what came since; the estimate is within 5 % of the ids counted."""
+    path, a = new_path(spark, "partials"), articles(spark, sf_dir)
+    marts.refresh_partials(a.where("date < '2024-01-20' OR id % 3 = 0"), path)
+    marts.refresh_partials(a.where("date >= '2024-01-20'"), path)
+    found = marts.totals_of_days(dated.table_at(spark, path), "2024-01-03", "2024-01-28")
+    ids = a.where("date BETWEEN '2024-01-03' AND '2024-01-28'").groupBy("source").agg(F.countDistinct("id").alias("n_ids"))
+    return found.join(ids, "source").select("source", "n_articles", "first_ts", "last_ts", (F.abs(F.col("about_ids") - F.col("n_ids")) <= 0.05 * F.col("n_ids")).alias("near"))
+
+
 def loaded_ticks(spark, sf_dir):
     path = new_path(spark, "ticks")
     ticks(spark, sf_dir).write.parquet(path)
@@ -198,7 +216,7 @@ def verdict_of_moves(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (raw_records, lake_rows, reject_lines, stored_windows, loaded_ticks, stored_rsi, published_records, news_lines, raw_partitions, refreshed_marts, coin_listing, exchange_products, coin_markets, rss_items, flexible_times,
+    for f in (patched_windows, totals_by_days, raw_records, lake_rows, reject_lines, stored_windows, loaded_ticks, stored_rsi, published_records, news_lines, raw_partitions, refreshed_marts, coin_listing, exchange_products, coin_markets, rss_items, flexible_times,
               valid_articles, news_section_names, known_symbols, symbol_files, market_home, top_features, verdict_of_moves)
 }
 
@@ -210,6 +228,8 @@ _NEWS = r"""(SELECT doc_id, substr(text, 1, 40) AS title, upper(source) AS sourc
 _ZULU = "strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ')"
 
 ORACLE_SQL = {
+    "patched_windows": sql("SELECT symbol, date_trunc('hour', fetched_at) AS window_start, date_trunc('hour', fetched_at) + INTERVAL 1 HOUR AS window_end, count(*) AS count, round(arg_max(price, (fetched_at, id)), 6) AS price FROM ticks GROUP BY 1, 2, 3"),
+    "totals_by_days": sql("SELECT source, count(*) AS n_articles, min(ts) AS first_ts, max(ts) AS last_ts, true AS near FROM articles WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-28' GROUP BY 1", articles=True),
     "raw_records": sql("SELECT CAST(id AS VARCHAR) AS id, symbol, url FROM ticks WHERE id % 11 <> 0 AND id % 13 <> 0"),
     "lake_rows": sql("SELECT id, symbol, round(price, 6) AS price, CASE WHEN id % 2 = 1 THEN coin_circulating END AS coin_circulating, strftime(fetched_at, '%Y-%m-%d') AS date FROM ticks WHERE CAST(fetched_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'"),
     "reject_lines": sql("SELECT CAST(id AS VARCHAR) AS id, strftime(published_at, '%d-%m-%Y %H:%M') AS _corrupt_record FROM ticks WHERE id % 3 = 0"),

@@ -126,7 +126,7 @@ def stream_deltas(ticks: DataFrame, every: str = "1 hour", keep: int = 48, thres
     rows for each task.  Keyed state then holds a symbol's ``keep`` newest windows
     with their last row; every batch gives the windows that it changed, and the
     one that follows each of them, anew.  Rows of windows that the state has
-    dropped are left out: ``merge_window_states`` takes those.
+    dropped are left out: ``windows.merge_window_parts`` takes those.
     """
     micros = int(ticks.sparkSession.sql(f"SELECT unix_micros(timestamp'1970-01-01' + INTERVAL {every})").first()[0])
     rows = ticks.where("fetched_at IS NOT NULL AND symbol IS NOT NULL").select("symbol", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("at"), F.col("id").cast("string").alias("id"), "price")

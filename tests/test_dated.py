@@ -83,3 +83,27 @@ def test_two_runs_into_one_lake_keep_each_others_rows(spark, tmp_path):
 @pytest.mark.parametrize("name", ["streamed_delta_table", "streamed_upserts", "streamed_merge", "streamed_deltas", "streamed_symbols", "streamed_articles"])
 def test_streams_give_the_same_rows_as_sql(spark, name):
     assert compare(spark, streams.QUERIES[name], streams.ORACLE_SQL[name], SF) is None
+
+
+def test_late_rows_write_their_own_dates(spark, tmp_path):
+    from marketlake.operators import windows
+
+    path = str(tmp_path / "w")
+    first = rows(spark, *((f"x{d}-{h}", d, h, float(h), "u", 1.0) for d in range(1, 5) for h in range(6)))
+    windows.merge_window_parts(first, path, "first")
+    before = files(path)
+    late = rows(spark, ("late", 2, 3, 99.0, "u", 1.0), ("later", 2, 20, 5.0, "u", 1.0))
+    for _ in range(2):
+        assert windows.merge_window_parts(late, path, "late") == ["2024-01-02"]
+    assert {f for f in before if files(path).get(f) == before[f]} == {f for f in before if "date=2024-01-02" not in f}
+    key = ["symbol", "window_start", "window_end", "count", "price"]
+    got = windows.merged_windows(spark.read.parquet(path)).select(key)
+    want = windows.compute_window(first.unionByName(late), "1 hour").select(key)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["patched_windows", "totals_by_days"])
+def test_stored_parts_give_the_same_rows_as_sql(spark, name):
+    from marketlake.plans import storage
+
+    assert compare(spark, storage.QUERIES[name], storage.ORACLE_SQL[name], SF) is None
