@@ -8,7 +8,7 @@ enumerated half on the stored and half on the asking side, so one table of
 all bits.  A key's many fingerprints are linked through pivots instead of in all
 pairs, which leaves the same components.  The fingerprints of a key that has more
 than HOT are dealt to ``distance + 1`` pieces of their other bits, one of which is
-equal in any two that link, and again until no key has more, so none is one task.
+equal in any two that link, and again where a finer key still has eight times as many.
 
 ``deduped`` also links texts whose shingle sets are similar, however far apart
 their fingerprints are.  A text has SIGNATURE min-hashes in bands of BAND; texts
@@ -232,9 +232,9 @@ def links(unique: DataFrame, distance: int = 4, segments: int = 2, hot: int = HO
         fine = table.join(crowded, "key", "left_semi").withColumn("mask", segment)
         table = table.join(crowded, "key", "left_anti")
         while not fine.isEmpty():
-            # what is still hot is split again, by other bits, while a piece has four; what is hot then lies close together
+            # what is still far too hot is split again, by other bits, while a piece has four; what is hot then lies close together
             fine = shared.stored(fine.select("key", "fp", "mask").mapInArrow(split, "key long, fp long, mask long"), "segments-split")
-            crowded = shared.stored(fine.groupBy("key").count().where(F.col("count") > hot).select("key"), "segments-hot")
+            crowded = shared.stored(fine.groupBy("key").count().where(F.col("count") > 8 * hot).select("key"), "segments-hot")
             last = F.bit_count("mask") > 64 - 4 * (distance + 1)
             table = table.unionByName(fine.where(last).unionByName(fine.where(~last).join(crowded, "key", "left_anti")).select("key", "fp"))
             fine = fine.where(~last).join(crowded, "key", "left_semi")
