@@ -230,10 +230,11 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     ended = member.where(ends).select("conv", *key)
     digests = ends_digests(ended.unionByName(conversations.where("len = 0").select("conv", none.alias("p1"), none.alias("p2"))))
     digests = shared.stored(digests, "node-ends")
+    # the sketch may pass a node that one conversation has though its parent is a singleton: the parent is that conversation's too
     parents = nodes.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("first").alias("parent"))
     found = nodes.join(sums, key, "left").join(digests, key, "left").join(parents.hint("merge"), ["q1", "q2"], "left")
     count = lambda c: F.coalesce(c, F.lit(0)).alias
-    inner = found.select(F.col("first").alias("conv_id"), "depth", F.coalesce("parent", F.lit(root.first)).alias("parent_conv_id"), F.col("n").alias("n_convs"), count("children")("n_children"), count("leaves")("n_leaves"), count("saved")("saved_tokens"), F.coalesce("ends_sha256", F.lit(nothing)).alias("ends_sha256"))
+    inner = found.select(F.col("first").alias("conv_id"), "depth", F.when(F.col("depth") == 1, root.first).otherwise(F.coalesce("parent", "first")).alias("parent_conv_id"), F.col("n").alias("n_convs"), count("children")("n_children"), count("leaves")("n_leaves"), count("saved")("saved_tokens"), F.coalesce("ends_sha256", F.lit(nothing)).alias("ends_sha256"))
 
     # the root
     n_children = nodes.where("depth = 1").count() + tail.where("depth = 1").count()

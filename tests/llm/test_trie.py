@@ -113,6 +113,21 @@ def test_a_full_sketch_changes_nothing(spark, monkeypatch):
     assert ordered(trie_of(spark, rows).collect()) == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_sketch_that_passes_some_singletons_changes_nothing(spark, monkeypatch, seed):
+    """Nodes of one conversation that are grouped though their parents are singletons, and the other way round."""
+    rows = [(c, t, "user", f"{t} {c // (t + 1)}" if t < 3 else f"{c} {t}") for c in range(40) for t in range(7)]
+    import numpy as np
+
+    exact, rng = trie.count_min, np.random.default_rng(seed)
+
+    def crowded(keys, columns):
+        return [row | rng.integers(0, 2**63, len(row), np.uint64) for row in exact(keys, columns)]
+
+    monkeypatch.setattr(trie, "count_min", crowded)
+    assert ordered(trie_of(spark, rows).collect()) == ordered(brute(rebuilt(rows)))
+
+
 def test_sketch_names_no_shared_prefix_single(spark):
     rows = trie.prefixes(trie.whole(trie.numbered(spark.createDataFrame([(c, t, "u", f"{min(c, 3)}") for c in range(30) for t in range(4)], "conv_id long, turn long, role string, text string")))[0])
     marked = trie.screened(rows)
