@@ -216,9 +216,10 @@ def links(unique: DataFrame, distance: int = 4, segments: int = 2, hot: int = HO
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, fps in whole_runs(batches):
-            edges = link_runs(keys, fps, distance).view(np.int64)
-            if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+            # a text meets another under many keys; what the batch's keys link already isn't said again
+            edges = graph.stars(*link_runs(keys, fps, distance).view(np.int64).T)
+            if len(edges[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in edges], names=["a", "b"])
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
