@@ -114,8 +114,10 @@ def _standardised(ticks: DataFrame, least: int) -> DataFrame:
     return rows.join(moments, "symbol").select("symbol", "fetched_at", "id", "n", ((F.col("price") - F.col("m_price")) / F.col("s_price")).alias("pz"), ((F.col("volume_24h") - F.col("m_volume_24h")) / F.col("s_volume_24h")).alias("vz"))
 
 
-#: Rows of a series whose products over all lags come from one transform.
-STRETCH = 1 << 15
+#: Rows of a series whose products over all lags come from one transform: at least, and at most.
+STRETCH, LONGEST = 1 << 15, 1 << 21
+#: Stretches of a series, until they are of LONGEST rows.
+STRETCHES = 16
 
 
 def full_correlation(ticks: DataFrame, least: int = 10, stretch: int = STRETCH) -> DataFrame:
@@ -123,19 +125,23 @@ def full_correlation(ticks: DataFrame, least: int = 10, stretch: int = STRETCH)
 
     The series is cut into stretches.  Each stretch of prices meets each of volumes
     and gives, by fast Fourier transforms of twice the length, its part of the lags
-    that the two have between them; parts of a lag are added up.
+    that the two have between them; parts of a lag are added up.  Stretches get
+    longer with the series, so that what moves grows with its rows and not with
+    their square; pairs that are equally far apart, whose lags are the same, go to
+    one task.
     """
-    placed = indexed(_standardised(ticks, least)).select("symbol", "n", F.floor(F.col("_i") / stretch).alias("own"), (F.col("_i") % stretch).cast("int").alias("at"), "pz", "vz")
-    cut = placed.groupBy("symbol", "n", "own").agg(F.sort_array(F.collect_list(F.struct("at", "pz", "vz"))).alias("found"))
-    prices = cut.select("symbol", "n", F.col("own").alias("p"), F.col("found.pz").alias("prices"))
+    long = F.least(F.lit(max(stretch, LONGEST)), F.greatest(F.lit(stretch), F.ceil(F.col("n") / STRETCHES))).cast("long")
+    placed = indexed(_standardised(ticks, least)).withColumn("stretch", long)
+    placed = placed.select("symbol", "n", "stretch", F.floor(F.col("_i") / F.col("stretch")).alias("own"), (F.col("_i") % F.col("stretch")).cast("int").alias("at"), "pz", "vz")
+    cut = placed.groupBy("symbol", "n", "stretch", "own").agg(F.sort_array(F.collect_list(F.struct("at", "pz", "vz"))).alias("found"))
+    prices = cut.select("symbol", "n", "stretch", F.col("own").alias("p"), F.col("found.pz").alias("prices"))
     volumes = cut.select("symbol", F.col("own").alias("v"), F.col("found.vz").alias("volumes"))
-    # a symbol's stretches are few; the pairs go to tasks of their own
-    pairs = prices.join(volumes, "symbol").repartition("symbol", "p", "v")
+    pairs = prices.join(volumes, "symbol").repartition("symbol", F.col("p") - F.col("v"))
     schema = "symbol string, n long, lag long, total double"
 
     def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for symbol, n, p, prices, v, volumes in zip(*(pdf[c] for c in ("symbol", "n", "p", "prices", "v", "volumes")), strict=True):
+            for symbol, n, stretch, p, prices, v, volumes in zip(*(pdf[c] for c in ("symbol", "n", "stretch", "p", "prices", "v", "volumes")), strict=True):
                 size = 1 << (len(prices) + len(volumes) - 1).bit_length()
                 both = np.fft.irfft(np.fft.rfft(prices, size) * np.conj(np.fft.rfft(volumes, size)), size)
                 lags = np.arange(1 - len(volumes), len(prices))

@@ -54,3 +54,14 @@ def test_all_lags_against_numpy(spark, stretch):
         want |= {(s, k - len(price) + 1): c for k, c in enumerate(full)}
     assert got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 1e-4
+
+
+def test_stretches_get_longer_with_the_series(spark, monkeypatch):
+    """A long series has STRETCHES stretches, until they are of LONGEST rows; its lags are the same."""
+    monkeypatch.setattr(correlate, "STRETCHES", 3)
+    monkeypatch.setattr(correlate, "LONGEST", 64)
+    rows = spark.range(300).selectExpr("id", "if(id < 40, 'A', 'B') AS symbol", "timestamp_seconds(id) AS fetched_at", "CAST(id * id % 17 AS double) AS price", "CAST(id * 7 % 23 AS double) AS volume_24h")
+    of = lambda n: {(r.symbol, r.lag): r.corr for r in correlate.full_correlation(rows, stretch=n).collect()}
+    got, want = of(8), of(1000)
+    assert len(got) == 79 + 519 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-4 for k in want)
