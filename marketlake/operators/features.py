@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import window_seconds
+from ..sources.shared import stored
 from . import ranges
 
 MEASURES = ("price", "market_cap", "volume_24h", "coin_circulating")
@@ -44,9 +45,9 @@ def ml_features_view(deltas: DataFrame, ticks: DataFrame, bucket_seconds: int =
 
 
 def clean_training_rows(features: DataFrame, columns: list[str], target: str, most: float = 1000.0, least_rows: int = 10) -> DataFrame:
-    """Rows with a target within +-most and any feature, nulls as 0; ValueError below ``least_rows`` rows."""
+    """Rows with a target within +-most and any feature, nulls as 0, stored once; ValueError below ``least_rows`` rows."""
     some = F.coalesce(*(F.col(c).cast("double") for c in columns)).isNotNull()
-    out = features.where(F.col(target).isNotNull() & some & (F.abs(target) <= most)).fillna(0, subset=columns)
+    out = stored(features.where(F.col(target).isNotNull() & some & (F.abs(target) <= most)).fillna(0, subset=columns), "training-rows")
     if len(out.select(target).head(least_rows)) < least_rows:
         raise ValueError(f"fewer than {least_rows} usable rows")
     return out

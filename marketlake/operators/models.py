@@ -13,6 +13,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from . import features as tick_features
 from . import indicators, market, ranges
 
@@ -99,16 +100,20 @@ def prediction_verdict(predictions: DataFrame) -> DataFrame:
 
 
 def predict_next_price(regression: PipelineModel, classifier: PipelineModel, deltas: DataFrame, ticks: DataFrame, date_start: str | None = None) -> DataFrame:
-    """From each symbol's newest window that has priced ticks, or the one given: percent, up probability and price."""
+    """From each symbol's newest window that has priced ticks, or the one given: percent, up probability and price.
+
+    The windows and the newest ones are stored first, as they are read several times.
+    """
     windows = tick_features.with_end(deltas).select("symbol", "date_start", "date_end").distinct()
     if date_start is not None:
         windows = windows.where(F.col("date_start") == F.lit(date_start).cast("timestamp"))
-    windows = windows.withColumns({"start": ranges.micros("date_start"), "at": ranges.micros("date_end")})
+    windows = stored(windows.withColumns({"start": ranges.micros("date_start"), "at": ranges.micros("date_end")}), "windows")
     priced = ticks.where("price IS NOT NULL").withColumn("at", ranges.micros("fetched_at"))
     # the last priced tick before a window's end is within the window, or none is
     last = ranges.as_of(windows, priced, F.struct("at", "id", "price")).where("last IS NOT NULL")
     held = windows.join(last, ["symbol", "at"]).where(F.col("last.at") >= F.col("start"))
     newest = held.groupBy("symbol").agg(F.max_by(F.struct("date_start", "date_end", F.col("last.price").alias("price_now")), F.struct("date_start", "date_end")).alias("w")).select("symbol", "w.*")
+    newest = stored(newest, "windows-newest")
     means = tick_features.window_means(newest, priced)
     newest = newest.withColumns({"start": ranges.micros("date_start"), "stop": ranges.micros("date_end")}).join(means, ranges.KEY).fillna(0, subset=WINDOW_FEATURES)
     keep = ["symbol", "date_start", "price_now"]

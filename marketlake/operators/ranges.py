@@ -84,16 +84,21 @@ def range_means(ranges: DataFrame, rows: DataFrame, measures: Iterable[str], buc
 def as_of(times: DataFrame, rows: DataFrame, value: Column, bucket_seconds: int = 3600) -> DataFrame:
     """symbol, at and ``last``, the value of the last of ``rows`` (symbol, at) before each of ``times`` (symbol, at), if there is any.
 
-    Both sides are laid together in blocks of time, where the last value is
-    carried on; blocks pass their last value to those that follow.
+    Blocks of time pass their last value to those that follow, which answers a
+    time at a block's start.  Only where a time is within a block, the block's rows
+    are laid together with its times and carry the last value on.
     """
-    block = F.floor(F.col("at") / (bucket_seconds * 1_000_000)).alias("block")
+    size = bucket_seconds * 1_000_000
+    block = F.floor(F.col("at") / size).alias("block")
     asked = times.select("symbol", "at").where("symbol IS NOT NULL AND at IS NOT NULL").distinct()
     known = rows.where("symbol IS NOT NULL AND at IS NOT NULL").select("symbol", "at", value.alias("value"))
-    both = known.unionByName(asked, allowMissingColumns=True).select("symbol", "at", "value", block)
+    known, asked = (df.withColumn("block", block) for df in (known, asked))
+    cut = asked.where(F.col("at") % size != 0).select("symbol", "block").distinct()
+    both = known.join(cut, ["symbol", "block"], "left_semi").unionByName(asked, allowMissingColumns=True)
     within = Window.partitionBy("symbol", "block").orderBy("at", F.col("value").isNotNull(), "value").rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("last", F.last("value", True).over(within)).where("value IS NULL").select("symbol", "at", "block", "last")
     newest = F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("at", "value")))
     chain = Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = both.groupBy("symbol", "block").agg(newest.alias("value")).select("symbol", "block", F.last("value", True).over(chain).alias("carry"))
+    every = known.unionByName(asked, allowMissingColumns=True)
+    carried = every.groupBy("symbol", "block").agg(newest.alias("value")).select("symbol", "block", F.last("value", True).over(chain).alias("carry"))
     return found.join(carried, ["symbol", "block"]).select("symbol", "at", F.coalesce("last", "carry").alias("last"))

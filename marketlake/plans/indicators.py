@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import correlate, features, indicators, marts, models
-from ..sources.shared import new_path
+from ..sources.shared import new_path, stored
 from ..sources.tables import ticks
 from .common import DELTAS_SQL, deltas, rounded, sql
 
@@ -120,18 +120,19 @@ def clean_training_rows(spark, sf_dir):
     return rounded(found.select("symbol", "date_start", "target_pct", "avg_price", "avg_volume_24h"), 4)
 
 
-def _training_rows(spark, sf_dir):
-    rows = features.window_features(deltas(spark, sf_dir).drop("date_end"), ticks(spark, sf_dir))
+def _training_rows(found, ticks):
+    rows = features.window_features(found, ticks)
     return features.clean_training_rows(rows, models.WINDOW_FEATURES, "target_pct").withColumn("id", F.xxhash64("symbol", "date_start"))
 
 
 def next_price(spark, sf_dir):
     """Prices of each symbol's next window, from models that were fitted, saved and read back."""
-    rows, path = _training_rows(spark, sf_dir), new_path(spark, "models")
+    found = stored(deltas(spark, sf_dir).drop("date_end"), "deltas")
+    rows, path = _training_rows(found, ticks(spark, sf_dir)), new_path(spark, "models")
     for name, fitted in (("percent", models.train_regression(rows)), ("up", models.train_classifier(rows))):
         models.save_model(fitted, f"{path}/{name}", spark)
     percent, up = (models.load_model(spark, f"{path}/{name}").model for name in ("percent", "up"))
-    return rounded(models.predict_next_price(percent, up, deltas(spark, sf_dir).drop("date_end"), ticks(spark, sf_dir)), 4)
+    return rounded(models.predict_next_price(percent, up, found, ticks(spark, sf_dir)), 4)
 
 
 def stratified_split(spark, sf_dir):

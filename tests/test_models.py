@@ -98,3 +98,17 @@ def test_forest_at_its_defaults(spark):
     assert m["test_accuracy"] == pytest.approx((m["test_tp"] + m["test_tn"]) / sum(m[f"test_{k}"] for k in ("tp", "fp", "fn", "tn")))
     assert m["test_accuracy"] > 0.65 and m["test_f1"] == pytest.approx(2 * m["test_tp"] / (2 * m["test_tp"] + m["test_fp"] + m["test_fn"]))
     assert sum(r.importance for r in importances.collect()) == pytest.approx(1)
+
+
+def test_training_rows_are_computed_once(spark):
+    """However often they are read: here by two counts, and before them to see whether there are enough."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def price(x):
+        seen.add(1)
+        return float(x)
+
+    rows = features.clean_training_rows(spark.range(0, 40, 1, 4).select("id", price.asNondeterministic()("id").alias("avg_price"), F.lit(1.0).alias("target")), ["avg_price"], "target")
+    assert rows.where("avg_price > 5").count() == 34 and rows.where("avg_price > 7").count() == 32
+    assert seen.value == 40
