@@ -16,8 +16,9 @@ that share a band meet, signatures of a bit of each min-hash sort out what canno
 be similar, and what is left is compared exactly.  Texts that share a passage
 rarely share a band, those that are similar share many.  Rounds look at a few
 bands first and at all in the end; in each, only texts of different components
-are asked for, those outside a band's largest component for their closest ones,
-until no pair that may be similar is left between components.
+are asked for, those outside a band's largest component for their closest one.
+Where one has more that may be similar, a last round takes the shingles of what
+still meets to the bands and compares all of it there, so that only links leave.
 
 Defined cases: a null or wordless text has fingerprint 0 and links like any
 other; a null doc_id takes part but never names a component that has another;
@@ -250,6 +251,16 @@ def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float,
     only their shingles' hashes move.
     """
     ends = shared.stored(edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(unique, "fp").select("fp", "first_id"), "fingerprints-asked")
+    sets = shingle_sets(ends, docs, words_each, text, by_text)
+    left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b"))
+
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    joined = edges.select("a", "b").join(left, "a").join(right, "b")
+    return joined.where(both >= F.lit(least) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+
+
+def shingle_sets(ends: DataFrame, docs: DataFrame, words_each: int, text: str = "text", by_text: bool = False) -> DataFrame:
+    """fp and the ``set`` of its text's shingles for each of ``ends`` (fp, first_id), stored."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,12 +271,7 @@ def similar(edges: DataFrame, unique: DataFrame, docs: DataFrame, least: float,
     rows = docs.select((F.xxhash64(whole) if by_text else F.col("doc_id").cast("long")).alias("text_key"), whole.cast("binary").alias("body")).where("text_key IS NOT NULL")
     marked, asked = shared.maybe_in(rows, F.col("text_key"), ends.select(F.col("first_id").alias("key")).where("key IS NOT NULL"), 64)
     sets = marked.where(asked).select("text_key", "body").mapInArrow(scan, "text_key long, set array<long>")
-    sets = shared.stored(ends.join(sets, ends.first_id == sets.text_key).select("fp", "set").dropDuplicates(["fp"]), "fingerprints-shingles")
-    left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b"))
-
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    joined = edges.select("a", "b").join(left, "a").join(right, "b")
-    return joined.where(both >= F.lit(least) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    return shared.stored(ends.join(sets, ends.first_id == sets.text_key).select("fp", "set").dropDuplicates(["fp"]), "fingerprints-shingles")
 
 
 def shingle_set(text: bytes, words_each: int) -> np.ndarray:
@@ -344,15 +350,12 @@ def promising(found: pa.Table, least: float):
     return ask
 
 
-def crossing(texts: DataFrame, mixed: DataFrame, least: float, most: int, block: int = BLOCK) -> DataFrame:
-    """a, b, more: pairs of different roots that share a band of ``mixed`` (key, n) and may be similar.
+def meeting(texts: DataFrame, mixed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """_h, n, sig, root, key, home, main: the texts under each band of ``mixed`` (key, n_texts).
 
-    Of up to FEW texts under a key all such pairs; of more, each text outside the
-    key's largest component gives its ``most`` closest ones and says whether there
-    are ``more``.  Keys of more than ``block`` texts are dealt to blocks, those
-    outside the largest component to each of them.
+    Keys of more than ``block`` texts are dealt to blocks, those outside the
+    largest component, ``main``, to each of them; one block is a text's home.
     """
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bitmap = texts.sparkSession.sparkContext.broadcast(shared.Bitmap.of(mixed, "key"))
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,9 +367,44 @@ def crossing(texts: DataFrame, mixed: DataFrame, least: float, most: int, block:
             at = pa.array(of[kept])
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_h", "n", "sig", "root")), pa.array(values[kept])], names=["_h", "n", "sig", "root", "key"])
 
+    rows = texts.select("_h", "n", "sig", "root", "bands").mapInArrow(choose, "_h long, n long, sig binary, root long, key long")
+    alone = lambda df: df.select("_h", "n", "sig", "root", "key", F.lit(True).alias("home"), F.lit(None).cast("long").alias("main"))
+    crowded = shared.stored(mixed.where(F.col("n_texts") > block), "bands-hot")
+    if crowded.isEmpty():
+        rows = alone(rows)
+    else:
+        hot = rows.join(crowded.hint("merge"), "key")
+        sizes = hot.groupBy("key", "root").count()
+        main = shared.stored(sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "bands-main")
+        hot = hot.join(main.hint("merge"), "key").withColumn("cuts", F.ceil(F.col("n_texts") / block)).withColumn("own", F.pmod(F.xxhash64("_h"), "cuts"))
+        dealt = F.explode(F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+        hot = hot.withColumn("cut", dealt).select("_h", "n", "sig", "root", F.xxhash64("key", "cut").alias("key"), (F.col("cut") == F.col("own")).alias("home"), "main")
+        rows = alone(rows.join(crowded.hint("merge"), "key", "left_anti")).unionByName(hot)
+    return rows
+
+
+def outside(found: pa.Table, start: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row outside the main component of the key at ``start``, and those of other components that it meets there."""
+    root, home = (found.column(c).to_numpy()[start : start + size] for c in ("root", "home"))
+    first = found.column("main")[start].as_py()
+    values, counts = np.unique(root, return_counts=True)
+    main = values[counts.argmax()] if first is None else first
+    for i in np.flatnonzero(root != main).tolist():
+        # in a block of several, those outside the main component meet where the first is at home
+        yield start + i, start + np.flatnonzero((root != root[i]) & (home | home[i]))
+
+
+def crossing(texts: DataFrame, mixed: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """a, b, more: pairs of different roots that share a band of ``mixed`` (key, n_texts) and may be similar.
+
+    Of up to FEW texts under a key all such pairs; of more, each text outside the
+    key's largest component gives its closest one and says whether there are ``more``.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in in_runs(batches, "key"):
-            h, key, root, home = (found.column(c).to_numpy() for c in ("_h", "key", "root", "home"))
+            h, key, root = (found.column(c).to_numpy() for c in ("_h", "key", "root"))
             ask, out = promising(found, least), []
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
@@ -381,56 +419,93 @@ def crossing(texts: DataFrame, mixed: DataFrame, least: float, most: int, block:
                 near = near[ask(near, near + step) >= 0]
                 out.append((h[near], h[near + step], np.zeros(len(near), bool)))
             for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-                values, counts = np.unique(root[start : start + size], return_counts=True)
-                main = values[counts.argmax()] if found.column("main")[start].as_py() is None else found.column("main")[start].as_py()
-                every = np.arange(start, start + size)
-                for i in every[root[start : start + size] != main].tolist():
-                    # in a block of several, those outside the main component meet where the first is at home
-                    other = every[(root[every] != root[i]) & (home[every] | home[i])]
+                for i, other in outside(found, start, size):
                     bits = ask(np.full(len(other), i), other)
                     other, bits = other[bits >= 0], bits[bits >= 0]
                     if len(other):
-                        chosen = other[np.lexsort((h[other], bits))[:most]]
-                        out.append((np.full(len(chosen), h[i]), h[chosen], np.full(len(chosen), len(other) > most)))
+                        chosen = other[np.lexsort((h[other], bits))[:1]]
+                        out.append((np.full(len(chosen), h[i]), h[chosen], np.full(len(chosen), len(other) > 1)))
             if out:
                 x, y, more = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more)], names=["a", "b", "more"])
 
-    rows = texts.select("_h", "n", "sig", "root", "bands").mapInArrow(choose, "_h long, n long, sig binary, root long, key long")
-    alone = lambda df: df.select("_h", "n", "sig", "root", "key", F.lit(True).alias("home"), F.lit(None).cast("long").alias("main"))
-    crowded = shared.stored(mixed.where(F.col("n_texts") > block), "bands-hot")
-    if crowded.isEmpty():
-        rows = alone(rows)
-    else:
-        hot = rows.join(crowded.hint("merge"), "key")
-        sizes = hot.groupBy("key", "root").count()
-        main = shared.stored(sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "bands-main")
-        hot = hot.join(main.hint("merge"), "key").withColumn("cuts", F.ceil(F.col("n_texts") / block)).withColumn("own", F.pmod(F.xxhash64("_h"), "cuts"))
-        dealt = F.explode(F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-        hot = hot.withColumn("cut", dealt).select("_h", "n", "sig", "root", F.xxhash64("key", "cut").alias("key"), (F.col("cut") == F.col("own")).alias("home"), "main")
-        rows = alone(rows.join(crowded.hint("merge"), "key", "left_anti")).unionByName(hot)
-    pairs = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(cross, "a long, b long, more boolean")
+    pairs = meeting(texts, mixed, block).repartition(n, "key").sortWithinPartitions("key").mapInArrow(cross, "a long, b long, more boolean")
     return shared.stored(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs-crossing")
 
 
+def settled(texts: DataFrame, mixed: DataFrame, docs: DataFrame, least: float, words_each: int, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the roots of all similar texts that share a band of ``mixed``, compared there by their shingles.
+
+    As many rows move as texts meet under keys, and what leaves a batch is stars:
+    texts that may all be similar and aren't make no pairs.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in in_runs(batches, "key"):
+            key, root = found.column("key").to_numpy(), found.column("root").to_numpy()
+            ask, pairs = promising(found, least), []
+            sets = found.column("set").combine_chunks()
+            starts, lengths = sets.offsets.to_numpy()[:-1], sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values = sets.values.to_numpy().view(np.uint64)
+            firsts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for first, size in zip(firsts.tolist(), np.diff(np.r_[firsts, len(key)]).tolist(), strict=True):
+                for i, other in outside(found, first, size):
+                    other = other[ask(np.full(len(other), i), other) >= 0]
+                    if len(other):
+                        common = shared_with(values, starts, lengths, i, other)
+                        near = other[common >= least * (lengths[i] + lengths[other] - common)]
+                        pairs.append((np.full(len(near), root[i]), root[near]))
+            if pairs:
+                a, b = graph.stars(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = shared.stored(meeting(texts, mixed, block), "texts-left")
+    ends = rows.select(F.col("_h").alias("fp"), F.col("_h").alias("first_id")).distinct()
+    sets = shingle_sets(shared.stored(ends, "texts-asked"), docs, words_each, text, by_text=True).withColumnRenamed("fp", "_h")
+    whole = rows.join(sets.hint("merge"), "_h")
+    return shared.stored(whole.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct(), "links-settled")
+
+
+def shared_with(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, i: int, other: np.ndarray) -> np.ndarray:
+    """How many values of sorted list i each of the lists ``other`` has, AT_ONCE values at a time."""
+    own, out = values[starts[i] : starts[i] + lengths[i]], np.zeros(len(other), np.int64)
+    upto = np.cumsum(lengths[other])
+    cuts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(_AT_ONCE, upto[-1], _AT_ONCE)) + 1, len(other)])
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        part = other[low:high]
+        ends = np.cumsum(lengths[part])
+        at = np.repeat(starts[part] - (ends - lengths[part]), lengths[part]) + np.arange(ends[-1])
+        of = np.repeat(np.arange(len(part)), lengths[part])
+        place = np.minimum(np.searchsorted(own, values[at]), max(len(own) - 1, 0))
+        same = own[place] == values[at] if len(own) else np.zeros(len(at), bool)
+        out[low:high] = np.bincount(of[same], minlength=len(part))
+    return out
+
+
 def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, least: float, words_each: int, text: str = "text", block: int = BLOCK) -> DataFrame:
     """Edges (a, b) of fingerprints whose components, with those of ``edges``, are those of all texts of similarity ``least``.
 
     In each round only texts of different components are asked for, so what is
     linked already, however large, asks nothing more; a pair is compared once.
+    What is left where texts have more than they asked for is settled in one go.
     """
     texts = sketched.select(F.col("_h").alias("fp"), F.col("_h").alias("first_id"))
     of_a, of_b = sketched.select(F.col("_h").alias("a"), F.col("fp").alias("fp_a")), sketched.select(F.col("_h").alias("b"), F.col("fp").alias("fp_b"))
-    found, asked, most, level = edges.select("a", "b").where("false"), None, 1, 0
+    found, asked, level, settle = edges.select("a", "b").where("false"), None, 0, False
     while True:
         nodes = shared.stored(graph.components(edges.select("a", "b").union(found)), "components-before")
         rooted = sketched.join(nodes, sketched.fp == nodes.node, "left").select("_h", "n", "sig", F.slice("bands", 1, STEPS[level]).alias("bands"), F.coalesce("root", "fp").alias("root"))
         rooted = shared.stored(rooted, "texts-rooted")
         keys = rooted.select("root", F.explode("bands").alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_texts"))
         mixed = shared.stored(keys.where("low < high").select("key", "n_texts"), "bands-mixed")
+        if settle:
+            # of FEW texts all pairs were asked for in the round before
+            mixed = mixed.where(F.col("n_texts") > FEW)
+            return found if mixed.isEmpty() else found.union(settled(rooted, mixed, docs, least, words_each, text, block))
         more = False
         if not mixed.isEmpty():
-            pairs = crossing(rooted, mixed, least, most, block)
+            pairs = crossing(rooted, mixed, least, block)
             new = pairs.select("a", "b") if asked is None else shared.stored(pairs.select("a", "b").join(asked.hint("merge"), ["a", "b"], "left_anti"), "pairs-asked")
             asked = new if asked is None else asked.union(new)
             known = similar(new, texts, docs, least, words_each, text, by_text=True)
@@ -440,7 +515,7 @@ def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, least:
         if level + 1 < len(STEPS):
             level += 1
         elif more:
-            most *= 8
+            settle = True
         else:
             return found
 

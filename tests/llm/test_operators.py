@@ -495,6 +495,37 @@ def test_poor_texts_ask_for_few_pairs(spark, monkeypatch):
         asked.clear()
 
 
+def test_near_texts_that_never_link_make_no_pairs(spark, monkeypatch):
+    """A grid of texts of similarity 0.71 or 0.78 that share bands, and one pair of 0.8 or more among them."""
+    asked = []
+    crossing = simhash.crossing
+    monkeypatch.setattr(simhash, "crossing", lambda *args: asked.append(crossing(*args)) or asked[-1])
+    docs = []
+    for i in range(144):
+        words = [f"w{k}" for k in range(124)]
+        words[4 + i // 12 * 5], words[64 + i % 12 * 5] = f"x{i}", f"y{i}"
+        docs.append((i, " ".join(words)))
+    docs.append((144, " ".join([*docs[17][1].split()[:-5], *"abcde"])))
+    table = make_docs(spark, docs)
+    rows = simhash.fingerprints(table, 4)
+    none = spark.createDataFrame([], "a long, b long")
+    found = simhash.linked_texts(simhash.sketches(table, rows, 5), table, none, 0.8, 5)
+    of = {r.fp: r.doc_id for r in rows.collect()}
+    assert len(of) == 145 and {frozenset((of[r.a], of[r.b])) for r in found.collect()} == {frozenset((17, 144))}
+    assert sum(p.count() for p in asked) <= 20 * len(docs), [p.count() for p in asked]
+
+
+def test_lists_are_met_in_parts(monkeypatch):
+    monkeypatch.setattr(simhash, "_AT_ONCE", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64) << np.uint64(58)) for n in (0, 5, 30, 1, 12, 25, 0)]
+    lengths = np.array([len(x) for x in sets])
+    starts, values = np.cumsum(lengths) - lengths, np.concatenate(sets)
+    for i in range(len(sets)):
+        other = np.array([k for k in range(len(sets)) if k != i])
+        assert simhash.shared_with(values, starts, lengths, i, other).tolist() == [len(np.intersect1d(sets[i], sets[k])) for k in other]
+
+
 def test_similar_texts_of_distant_fingerprints_go(spark):
     rng = np.random.default_rng(3)
     docs = []
