@@ -19,6 +19,8 @@ from . import indicators, market, ranges
 
 #: What the window models learn from.
 WINDOW_FEATURES = ["n_ticks", "avg_price", "avg_market_cap", "avg_volume_24h", "avg_coin_circulating"]
+#: Megabytes of a task for the counts of the nodes that a forest grows at once.
+FOREST_MB = 512
 
 
 @dataclass
@@ -71,7 +73,8 @@ def train_forest(rows: DataFrame, columns: list[str] | None = None, trees: int =
         if n < least_rows:
             raise ValueError(f"{n} rows; a forest needs {least_rows}")
         weight = F.when(F.col("label") == 1, n / (2 * max(1, counts.get(1, 0)))).otherwise(n / (2 * max(1, counts.get(0, 0))))
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
+        # a pass over the rows grows as many nodes as fit into FOREST_MB, and each row knows its nodes
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, maxMemoryInMB=FOREST_MB, cacheNodeIds=True)
         model = _stages(columns, forest).fit(parts.where("part = 0").withColumn("weight", weight))
         metrics = {f"{name}_{k}": v for name, part in (("train", 0), ("test", 1)) for k, v in classification_metrics(model.transform(parts.where(F.col("part") == part))).items()}
     finally:

@@ -112,3 +112,14 @@ def test_training_rows_are_computed_once(spark):
     rows = features.clean_training_rows(spark.range(0, 40, 1, 4).select("id", price.asNondeterministic()("id").alias("avg_price"), F.lit(1.0).alias("target")), ["avg_price"], "target")
     assert rows.where("avg_price > 5").count() == 34 and rows.where("avg_price > 7").count() == 32
     assert seen.value == 40
+
+
+def test_forest_grows_many_nodes_in_a_pass(spark, monkeypatch):
+    """Rows know their nodes and a pass has room for more than Spark's default; the trees don't depend on the room."""
+    rows = spark.range(0, 300, 1, 2).select("id", *((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(97)) * 1.0).alias(f"x{k}") for k in range(4)), F.pmod(F.xxhash64("id"), F.lit(2)).alias("target"))
+    grown = lambda: models.train_forest(rows, [f"x{k}" for k in range(4)], trees=3)[0].model.stages[-1]
+    forest = grown()
+    assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() == models.FOREST_MB > 256
+    monkeypatch.setattr(models, "FOREST_MB", 256)
+    trees = lambda model: model.toDebugString.split("\n", 1)[1]
+    assert forest.totalNumNodes > 50 and trees(grown()) == trees(forest)
