@@ -350,13 +350,12 @@ def promising(found: pa.Table, least: float):
     return ask
 
 
-def meeting(texts: DataFrame, mixed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """_h, n, sig, root, key, home, main: the texts under each band of ``mixed`` (key, n_texts).
+def under(sketched: DataFrame, nodes: DataFrame, mixed: DataFrame) -> DataFrame:
+    """_h, n, sig, root, key: the texts under each band of ``mixed`` (column key), and few others, with their roots by ``nodes`` (node, root).
 
-    Keys of more than ``block`` texts are dealt to blocks, those outside the
-    largest component, ``main``, to each of them; one block is a text's home.
+    Only what stands there moves, and its bands stay behind.
     """
-    bitmap = texts.sparkSession.sparkContext.broadcast(shared.Bitmap.of(mixed, "key"))
+    bitmap = sketched.sparkSession.sparkContext.broadcast(shared.Bitmap.of(mixed, "key"))
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,9 +364,30 @@ def meeting(texts: DataFrame, mixed: DataFrame, block: int = BLOCK) -> DataFrame
             of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             kept = bitmap.value.has(values.view(np.uint64))
             at = pa.array(of[kept])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_h", "n", "sig", "root")), pa.array(values[kept])], names=["_h", "n", "sig", "root", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_h", "n", "sig", "fp")), pa.array(values[kept])], names=["_h", "n", "sig", "fp", "key"])
+
+    rows = sketched.select("_h", "n", "sig", "fp", "bands").mapInArrow(choose, "_h long, n long, sig binary, fp long, key long")
+    return with_root(rows, nodes).select("_h", "n", "sig", "root", "key")
+
+
+def with_root(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of their fingerprint, which is its own where ``nodes`` (node, root) doesn't have it."""
+    moved = nodes.where("node <> root")
+    return rows.join(moved, rows.fp == moved.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
-    rows = texts.select("_h", "n", "sig", "root", "bands").mapInArrow(choose, "_h long, n long, sig binary, root long, key long")
+
+def mixed_keys(rows: DataFrame) -> DataFrame:
+    """key and n_texts of the keys under which ``rows`` (key, root) of several roots stand."""
+    keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_texts"))
+    return keys.where("low < high").select("key", "n_texts")
+
+
+def meeting(rows: DataFrame, mixed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """_h, n, sig, root, key, home, main: ``rows`` as under() gives them, those of large keys of ``mixed`` (key, n_texts) dealt.
+
+    Keys of more than ``block`` texts are dealt to blocks, those outside the
+    largest component, ``main``, to each of them; one block is a text's home.
+    """
     alone = lambda df: df.select("_h", "n", "sig", "root", "key", F.lit(True).alias("home"), F.lit(None).cast("long").alias("main"))
     crowded = shared.stored(mixed.where(F.col("n_texts") > block), "bands-hot")
     if crowded.isEmpty():
@@ -394,13 +414,13 @@ def outside(found: pa.Table, start: int, size: int) -> Iterator[tuple[int, np.nd
         yield start + i, start + np.flatnonzero((root != root[i]) & (home | home[i]))
 
 
-def crossing(texts: DataFrame, mixed: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """a, b, more: pairs of different roots that share a band of ``mixed`` (key, n_texts) and may be similar.
+def crossing(rows: DataFrame, mixed: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """a, b, more: pairs of different roots among ``rows`` that share a band of ``mixed`` (key, n_texts) and may be similar.
 
     Of up to FEW texts under a key all such pairs; of more, each text outside the
     key's largest component gives its closest one and says whether there are ``more``.
     """
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in in_runs(batches, "key"):
@@ -429,17 +449,37 @@ def crossing(texts: DataFrame, mixed: DataFrame, least: float, block: int = BLOC
                 x, y, more = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more)], names=["a", "b", "more"])
 
-    pairs = meeting(texts, mixed, block).repartition(n, "key").sortWithinPartitions("key").mapInArrow(cross, "a long, b long, more boolean")
+    pairs = meeting(rows, mixed, block).repartition(n, "key").sortWithinPartitions("key").mapInArrow(cross, "a long, b long, more boolean")
     return shared.stored(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs-crossing")
 
 
-def settled(texts: DataFrame, mixed: DataFrame, docs: DataFrame, least: float, words_each: int, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the roots of all similar texts that share a band of ``mixed``, compared there by their shingles.
+def asking(met: DataFrame, least: float) -> DataFrame:
+    """The rows of meeting() that may be similar to one of another root under their key, by their signatures."""
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in in_runs(batches, "key"):
+            ask, key, asks = promising(found, least), found.column("key").to_numpy(), np.zeros(found.num_rows, bool)
+            firsts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[firsts, len(key)])
+            for first, size in zip(firsts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                for i, other in outside(found, first, size):
+                    near = other[ask(np.full(len(other), i), other) >= 0]
+                    asks[near] = True
+                    asks[i] |= len(near) > 0
+            yield from found.filter(pa.array(asks)).to_batches()
+
+    return met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(mark, met.schema)
+
+
+def settled(rows: DataFrame, mixed: DataFrame, docs: DataFrame, least: float, words_each: int, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the roots of all similar texts among ``rows`` that share a band of ``mixed``, compared there by their shingles.
 
-    As many rows move as texts meet under keys, and what leaves a batch is stars:
-    texts that may all be similar and aren't make no pairs.
+    Signatures say first who may be similar to another under a key; the shingles
+    of those alone move, once for each such key, and what leaves a batch is
+    stars: texts that may all be similar and aren't make no pairs.
     """
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in in_runs(batches, "key"):
@@ -460,10 +500,10 @@ def settled(texts: DataFrame, mixed: DataFrame, docs: DataFrame, least: float, w
                 a, b = graph.stars(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    rows = shared.stored(meeting(texts, mixed, block), "texts-left")
-    ends = rows.select(F.col("_h").alias("fp"), F.col("_h").alias("first_id")).distinct()
+    left = shared.stored(asking(meeting(rows, mixed, block), least), "texts-left")
+    ends = left.select(F.col("_h").alias("fp"), F.col("_h").alias("first_id")).distinct()
     sets = shingle_sets(shared.stored(ends, "texts-asked"), docs, words_each, text, by_text=True).withColumnRenamed("fp", "_h")
-    whole = rows.join(sets.hint("merge"), "_h")
+    whole = left.join(sets.hint("merge"), "_h")
     return shared.stored(whole.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct(), "links-settled")
 
 
@@ -492,20 +532,19 @@ def linked_texts(sketched: DataFrame, docs: DataFrame, edges: DataFrame, least:
     """
     texts = sketched.select(F.col("_h").alias("fp"), F.col("_h").alias("first_id"))
     of_a, of_b = sketched.select(F.col("_h").alias("a"), F.col("fp").alias("fp_a")), sketched.select(F.col("_h").alias("b"), F.col("fp").alias("fp_b"))
-    found, asked, level, settle = edges.select("a", "b").where("false"), None, 0, False
+    found, asked, level, settle, mixed = edges.select("a", "b").where("false"), None, 0, False, None
     while True:
         nodes = shared.stored(graph.components(edges.select("a", "b").union(found)), "components-before")
-        rooted = sketched.join(nodes, sketched.fp == nodes.node, "left").select("_h", "n", "sig", F.slice("bands", 1, STEPS[level]).alias("bands"), F.coalesce("root", "fp").alias("root"))
-        rooted = shared.stored(rooted, "texts-rooted")
-        keys = rooted.select("root", F.explode("bands").alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_texts"))
-        mixed = shared.stored(keys.where("low < high").select("key", "n_texts"), "bands-mixed")
         if settle:
-            # of FEW texts all pairs were asked for in the round before
-            mixed = mixed.where(F.col("n_texts") > FEW)
-            return found if mixed.isEmpty() else found.union(settled(rooted, mixed, docs, least, words_each, text, block))
+            # what isn't mixed stays so, and of FEW texts all pairs were asked for in the round before
+            rows = under(sketched, nodes, mixed)
+            mixed = shared.stored(mixed_keys(rows).where(F.col("n_texts") > FEW), "bands-left")
+            return found if mixed.isEmpty() else found.union(settled(under(sketched, nodes, mixed), mixed, docs, least, words_each, text, block))
+        looked = sketched.withColumn("bands", F.slice("bands", 1, STEPS[level]))
+        mixed = shared.stored(mixed_keys(with_root(looked.select("fp", "bands"), nodes).select("root", F.explode("bands").alias("key"))), "bands-mixed")
         more = False
         if not mixed.isEmpty():
-            pairs = crossing(rooted, mixed, least, block)
+            pairs = crossing(under(looked, nodes, mixed), mixed, least, block)
             new = pairs.select("a", "b") if asked is None else shared.stored(pairs.select("a", "b").join(asked.hint("merge"), ["a", "b"], "left_anti"), "pairs-asked")
             asked = new if asked is None else asked.union(new)
             known = similar(new, texts, docs, least, words_each, text, by_text=True)

@@ -515,6 +515,35 @@ def test_near_texts_that_never_link_make_no_pairs(spark, monkeypatch):
     assert sum(p.count() for p in asked) <= 20 * len(docs), [p.count() for p in asked]
 
 
+def test_shingles_of_texts_that_cannot_be_similar_stay_where_they_are(spark, monkeypatch):
+    """The last round takes the shingles of the grid's texts, not those of 800 that share a passage, and so bands, with similarity 0.5."""
+    asked, stored = [], simhash.shared.stored
+
+    def recorded(df, name, *args):
+        out = stored(df, name, *args)
+        if name == "texts-asked":
+            asked.append({r.first_id for r in out.select("first_id").collect()})
+        return out
+
+    monkeypatch.setattr(simhash.shared, "stored", recorded)
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 10**6, n)]
+    passage = word(100)
+    docs = [(i, " ".join(passage + word(50))) for i in range(800)]
+    for i in range(144):
+        words = [f"w{k}" for k in range(124)]
+        words[4 + i // 12 * 5], words[64 + i % 12 * 5] = f"x{i}", f"y{i}"
+        docs.append((800 + i, " ".join(words)))
+    docs.append((944, " ".join([*docs[817][1].split()[:-5], *"abcde"])))
+    table = make_docs(spark, docs)
+    rows = simhash.fingerprints(table, 4)
+    found = simhash.linked_texts(simhash.sketches(table, rows, 5), table, spark.createDataFrame([], "a long, b long"), 0.8, 5)
+    of = {r.fp: r.doc_id for r in rows.collect()}
+    assert {frozenset((of[r.a], of[r.b])) for r in found.collect()} == {frozenset((817, 944))}
+    doc_of = {r._h: r.doc_id for r in rows.collect()}
+    assert len(asked) == 1 and asked[0] and all(doc_of[h] >= 800 for h in asked[0])
+
+
 def test_lists_are_met_in_parts(monkeypatch):
     monkeypatch.setattr(simhash, "_AT_ONCE", 7)
     rng = np.random.default_rng(5)
