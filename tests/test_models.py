@@ -2,10 +2,10 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from marketlake.operators import features, indicators, models
+from marketlake.operators import features, forest, indicators, models
 from marketlake.plans.common import deltas
 from marketlake.sources.tables import ticks
 
@@ -123,3 +123,78 @@ def test_forest_grows_many_nodes_in_a_pass(spark, monkeypatch):
     monkeypatch.setattr(models, "FOREST_MB", 256)
     trees = lambda model: model.toDebugString.split("\n", 1)[1]
     assert forest.totalNumNodes > 50 and trees(grown()) == trees(forest)
+
+
+def noise(spark, n, parts=4):
+    """Rows of four values, 97 different ones each, and a target that has little to do with them."""
+    values = (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(97)).cast("double").alias(f"x{k}") for k in range(4))
+    return spark.range(0, n, 1, parts).select("id", *values, F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("target"))
+
+
+def written(spark):
+    """Bytes that the tasks of all stages wrote for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_forest_moves_rows_not_counts_of_nodes(spark):
+    """A task sends each tree's rows once, not the counts of every node."""
+    rows, before = noise(spark, 2000).localCheckpoint(), written(spark)
+    model = models.train_forest(rows, [f"x{k}" for k in range(4)], trees=20)[0].model.stages[-1]
+    assert model.totalNumNodes > 5000
+    assert written(spark) - before < 2000 * 20 * 30
+
+
+def test_forest_against_plain_growth(spark, monkeypatch):
+    """Every node is the best split of its sample's rows, whether counts of all tasks or one task find it."""
+    plan = forest.Plan(5, 6, 2, 2, 4, (0.9, 1.2), 7)
+    rows = noise(spark, 400).withColumns({"features": array_to_vector(F.array(*(f"x{k}" for k in range(4)))), "label": F.col("target"), "part": F.lit(0), "_key": F.xxhash64("id")})
+    bins, cuts = forest.binned(rows, 4, "_key")
+    got = bins.toPandas()
+    x, y, times = np.stack([np.frombuffer(b, np.uint8) for b in got.bins]), got.label.to_numpy(), forest.draws(got.key.to_numpy(), plan.trees)
+    values = rows.select("_key", *(f"x{k}" for k in range(4))).toPandas().set_index("_key").loc[got.key].to_numpy()
+    for k in range(4):
+        assert ((x[:, [k]] > np.arange(len(cuts[k]))) == (values[:, [k]] > cuts[k])).all()
+    want = {}
+
+    def counts(some, tree):
+        return tuple(int(times[some & (y == c), tree].sum()) for c in (0, 1))
+
+    def mass(c):
+        a, b = c[0] * plan.weights[0], c[1] * plan.weights[1]
+        return 2 * a * b / max(a + b, 1e-300)
+
+    def grow(tree, node, some):
+        own, best = counts(some, tree), (0, -1, 0)
+        if min(own) and node < 1 << plan.depth:
+            for f in forest.choices(plan, tree, np.array([node]))[0]:
+                for cut in range(forest.BINS - 1):
+                    left, right = counts(some & (x[:, f] <= cut), tree), counts(some & (x[:, f] > cut), tree)
+                    gain = mass(own) - mass(left) - mass(right)
+                    if min(sum(left), sum(right)) >= plan.least and gain > max(best[0], 1e-9):
+                        best = (gain, int(f), cut)
+        want[tree, node] = (*best[1:], *own)
+        if best[1] >= 0:
+            grow(tree, 2 * node, some & (x[:, best[1]] <= best[2]))
+            grow(tree, 2 * node + 1, some & (x[:, best[1]] > best[2]))
+
+    for tree in range(plan.trees):
+        grow(tree, 1, np.ones(len(x), bool))
+    for most, megabytes in ((1 << 16, 512), (60, 512), (60, 0)):
+        monkeypatch.setattr(forest, "SUBTREE_ROWS", most)
+        nodes = forest.grow(bins, 400, plan, megabytes).collect()
+        assert {(r.tree, r.node): (r.feature, r.cut if r.feature >= 0 else 0, r.c0, r.c1) for r in nodes} == want and len(nodes) == len(want) > 100
+
+
+def test_forest_metrics_are_the_models(spark):
+    """Bins say what the model says; samples without rows are leaves without a vote."""
+    rows = noise(spark, 200)
+    fitted, _ = models.train_forest(rows, [f"x{k}" for k in range(4)], trees=7)
+    said = {(r.target, int(r.prediction)): r["count"] for r in fitted.model.transform(rows).groupBy("target", "prediction").count().collect()}
+    for name, cell in (("tp", (1, 1)), ("fp", (0, 1)), ("fn", (1, 0)), ("tn", (0, 0))):
+        assert fitted.metrics[f"train_{name}"] + fitted.metrics[f"test_{name}"] == said.get(cell, 0)
+    alike = spark.range(120).select(F.lit(1).alias("id"), F.lit(2.0).alias("x0"), F.lit(1).alias("target"))
+    fitted, _ = models.train_forest(alike, ["x0"], trees=20)
+    assert fitted.model.stages[-1].totalNumNodes == 20 and fitted.metrics["train_accuracy"] == 1
+    assert fitted.model.transform(alike).where("prediction = 1").count() == 120
