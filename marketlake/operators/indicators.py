@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import finite_or_zero, ieee_div, percent
 from ..sources.shared import stored
 from . import ema
-from .series import BLOCK_ROWS, indexed, last, rolling
+from .series import BLOCK_ROWS, indexed, last, rolling, run_sums
 
 
 def priced(ticks: DataFrame) -> DataFrame:
@@ -181,7 +181,9 @@ def ma_signals(ticks: DataFrame, rsi_period: int = 14) -> DataFrame:
     """Flags of averages that cross, support and resistance at the 20-row mean, alignment, and RSI leaving its zones."""
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
-        df = df.withColumns({f"ma_{n}": _full(F.col("price"), w, n) for n in (5, 20, 50, 200)})
+        # means that are equal but for the last bit decide flags: the order of the additions is part of the result
+        df = run_sums(df, w, "price", {f"ma_{n}": n for n in (5, 20, 50, 200)})
+        df = df.withColumns({f"ma_{n}": F.when(F.col("_i") >= n - 1, F.col(f"ma_{n}") / n) for n in (5, 20, 50, 200)})
         before, mean_before = F.lag("price").over(w), F.lag("ma_20").over(w)
         price, m20, m50, m200 = (F.col(c) for c in ("price", "ma_20", "ma_50", "ma_200"))
         flag = lambda c: F.coalesce(c, F.lit(False))

@@ -1,12 +1,18 @@
 import datetime
+import functools
+import operator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from marketlake.operators import correlate, features, indicators, market, series, windows
 from marketlake.operators.ema import with_ema
+from marketlake.plans import indicators as indicators_plan
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -160,3 +166,30 @@ def test_quartiles_of_large_groups_are_exact(spark, monkeypatch):
     for s, v in values_of.items():
         ranked = np.sort(v)
         assert got[s] == tuple(ranked[int(np.floor((len(v) - 1) * q + 0.5))] for q in (0.25, 0.75))
+
+
+def test_sums_of_frames_by_runs(spark):
+    """Rows before the first whole run, whole runs, rows after, to the last bit and whatever the blocks."""
+    rng = np.random.default_rng(5)
+    values = np.round(rng.uniform(1, 500, 700), 2).tolist()
+    df = spark.createDataFrame([("A", i, v) for i, v in enumerate(values)], "symbol string, _i long, v double").repartition(3)
+    frames = {f"s{n}": n for n in (1, 5, 15, 16, 17, 20, 31, 32, 33, 50, 200)}
+    for block_rows in (1000, 256):
+        got = series.rolling(df, 250, lambda rows, w: series.run_sums(rows, w, "v", frames), block_rows=block_rows).orderBy("_i").collect()
+        assert [r._i for r in got] == list(range(700)) and set(got[0].asDict()) == {"symbol", "_i", "v", *frames}
+        for name, n in frames.items():
+            for i in range(n - 1, 700):
+                first, stop = -(-(i - n + 1) // 16) * 16, (i + 1) // 16 * 16
+                rows = values[i - n + 1 : i + 1] if first >= stop else [*values[i - n + 1 : first], *(functools.reduce(operator.add, values[k : k + 16]) for k in range(first, stop, 16)), *values[stop : i + 1]]
+                assert got[i][name] == functools.reduce(operator.add, rows), (name, i)
+
+
+def test_signals_of_means_that_are_equal(spark, tmp_path):
+    """Prices of a few cents, so that many means are equal but for the last bit of their sums."""
+    rng, n = np.random.default_rng(3), 4000
+    columns = {
+        "event_id": np.arange(n), "ts": (np.datetime64("2024-01-01", "us") + rng.integers(0, 10**12, n)), "user_id": rng.integers(0, 20, n),
+        "event_type": ["click"] * n, "value": rng.integers(1, 5, n) / 10, "props": ['{"k": 7}'] * n,
+    }
+    pq.write_table(pa.table(columns), tmp_path / "events.parquet")
+    assert compare(spark, indicators_plan.ma_signals, indicators_plan.ORACLE_SQL["ma_signals"], str(tmp_path)) is None
