@@ -16,10 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +167,11 @@ def _nodes_table(tree: int, parts: list[tuple]) -> pa.Table:
     return pa.table([pa.array(a) for a in arrays], ["tree", "node", "feature", "cut", "gain", "c0", "c1"])
 
 
+def to_bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """The number of thresholds below each value."""
+    return np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)], 1).astype(np.uint8)
+
+
 def binned(rows: DataFrame, columns: int, key: str) -> tuple[DataFrame, list[np.ndarray]]:
     """part, label, key and the bins of ``features`` as bytes; and each feature's thresholds."""
     rows = rows.withColumn("_x", vector_to_array("features"))
@@ -171,14 +179,13 @@ def binned(rows: DataFrame, columns: int, key: str) -> tuple[DataFrame, list[np.
     found = rows.where("part = 0").agg(*(F.percentile_approx(F.col("_x")[i], shares, 10_000).alias(f"q{i}") for i in range(columns))).first()
     cuts = [np.unique(found[i]) for i in range(columns)]
 
-    def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch["_x"].flatten().to_numpy().reshape(-1, columns)
-            bins = np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)], 1).astype(np.uint8)
+            bins = to_bins(batch["_x"].flatten().to_numpy().reshape(-1, columns), cuts)
             yield pa.RecordBatch.from_arrays([batch["part"], batch["label"], batch[key], pa.array([r.tobytes() for r in bins], pa.binary())], ["part", "label", "key", "bins"])
 
     rows = rows.select("part", F.col("label").cast("int").alias("label"), key, "_x")
-    return stored(rows.mapInArrow(to_bins, "part int, label int, key long, bins binary"), "forest-rows"), cuts
+    return stored(rows.mapInArrow(convert, "part int, label int, key long, bins binary"), "forest-rows"), cuts
 
 
 def _split_level(rows: DataFrame, plan: Plan, feature: np.ndarray, cut: np.ndarray, levels: int, open_: dict[int, np.ndarray]):
@@ -297,8 +304,90 @@ def numbered(nodes: DataFrame, plan: Plan, cuts: list[np.ndarray]) -> DataFrame:
     return stored(nodes.groupBy("tree").applyInArrow(tree_rows, "tree int, id int, left int, feature int, cut int, threshold double, a double, b double, n long, gain double"), "forest-trees")
 
 
-def as_model(trees: DataFrame, plan: Plan, estimator: RandomForestClassifier) -> RandomForestClassificationModel:
-    """The trees as Spark's own model: the saved form of the estimator's stumps, with these nodes in their place."""
+def importances(trees: DataFrame, features: int) -> list[float]:
+    """Each feature's share of the gains: shares within a tree, and the trees' mean."""
+    found = trees.where("feature >= 0").groupBy("tree", "feature").agg(F.sum(F.col("gain") * (F.col("a") + F.col("b"))).alias("gain")).collect()
+    gains = np.zeros((max((r.tree for r in found), default=0) + 1, features))
+    for r in found:
+        gains[r.tree, r.feature] = r.gain
+    shares = (gains / np.maximum(gains.sum(1, keepdims=True), 1e-300)).sum(0)
+    return (shares / max(shares.sum(), 1e-300)).tolist()
+
+
+class GrownForest(Model, MLWritable):
+    """The trees as a stage that predicts; Spark's own model of them is loaded when something else is asked for.
+
+    The driver holds some 15 bytes for a node, as arrays, until then.
+    """
+
+    def __init__(self, trees: DataFrame, plan: Plan, cuts: list[np.ndarray], estimator: RandomForestClassifier):
+        super().__init__()
+        self._held = {"trees": trees, "plan": plan, "cuts": cuts, "estimator": estimator}
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self.as_spark(), name)
+
+    def write(self):
+        return self.as_spark().write()
+
+    def as_spark(self) -> RandomForestClassificationModel:
+        held = self._held
+        if "model" not in held:
+            held["model"] = RandomForestClassificationModel.load(saved(held["trees"], held["plan"], held["estimator"]))
+        return held["model"]
+
+    def _arrays(self):
+        """feature, cut, child to the left and lead of class 1 (-1 to 1) by node, of each tree."""
+        held = self._held
+        if "arrays" not in held:
+            lead = (F.col("b") - F.col("a")) / F.greatest(F.col("a") + F.col("b"), F.lit(1e-300))
+            table = held["trees"].select("tree", "id", "left", F.col("feature").cast("short").alias("feature"), F.col("cut").cast("byte").alias("cut"), lead.alias("lead")).toArrow()
+            order = np.lexsort((table["id"].to_numpy(), table["tree"].to_numpy()))
+            ends = np.cumsum(np.bincount(table["tree"].to_numpy()))
+            columns = [np.split(table[c].to_numpy()[order], ends[:-1]) for c in ("feature", "cut", "left", "lead")]
+            held["arrays"] = held["trees"].sparkSession.sparkContext.broadcast(list(zip(*columns, strict=True)))
+        return held["arrays"]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        plan, cuts, arrays = self._held["plan"], self._held["cuts"], self._arrays()
+
+        @F.pandas_udf("double")
+        def lead(x: pd.Series) -> pd.Series:
+            return pd.Series(leads(plan, to_bins(np.stack(x.to_numpy()), cuts), arrays.value) if len(x) else [], dtype=float)
+
+        rows = dataset.withColumn("_lead", lead(vector_to_array("features")))
+        share = (1 + F.col("_lead") / plan.trees) / 2
+        both = lambda c, total: array_to_vector(F.array(total - c, c))
+        return rows.withColumns({"rawPrediction": both(share * plan.trees, F.lit(float(plan.trees))), "probability": both(share, F.lit(1.0)), "prediction": (F.col("_lead") > 0).cast("double")}).drop("_lead")
+
+    def verdicts(self, rows: DataFrame) -> DataFrame:
+        """Of rows of ``binned``: part, label, prediction and how many rows."""
+        plan, arrays = self._held["plan"], self._arrays()
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                up = leads(plan, _matrix(batch["bins"], plan.features), arrays.value) > 0
+                yield pa.RecordBatch.from_arrays([batch["part"], batch["label"], pa.array(up.astype(np.int32))], ["part", "label", "prediction"])
+
+        return rows.mapInArrow(count, "part int, label int, prediction int").groupBy("part", "label", "prediction").agg(F.count("*").alias("n"))
+
+
+def leads(plan: Plan, x: np.ndarray, arrays: list[tuple]) -> np.ndarray:
+    """Summed over the trees, by how much class 1 leads in the leaf of each row of bins."""
+    total, flat, start = np.zeros(len(x)), x.reshape(-1), np.arange(len(x)) * plan.features
+    for feature, cut, left, lead in arrays:
+        at = np.zeros(len(x), np.int64)
+        for _ in range(plan.depth):
+            f = feature.take(at)
+            at = np.where(f >= 0, left.take(at) + (flat.take(start + np.maximum(f, 0)) > cut.take(at)), at)
+        total += lead.take(at)
+    return total
+
+
+def saved(trees: DataFrame, plan: Plan, estimator: RandomForestClassifier) -> str:
+    """Where the trees are saved as Spark's own model: the form of the estimator's stumps, with these nodes in their place."""
     spark, path = trees.sparkSession, new_path(trees.sparkSession, "forest-model")
     two = spark.createDataFrame([(Vectors.dense([0.0] * plan.features), label, 1.0) for label in (0.0, 1.0)], ["features", "label", estimator.getWeightCol()])
     estimator.fit(two, {estimator.maxDepth: 0}).save(f"{path}/stumps")
@@ -311,27 +400,4 @@ def as_model(trees: DataFrame, plan: Plan, estimator: RandomForestClassifier) ->
     about = spark.read.parquet(f"{path}/stumps/treesMetadata")
     about.withColumn(about.columns[1], deep(about.columns[1])).coalesce(1).write.parquet(f"{path}/trees/treesMetadata")
     spark.read.text(f"{path}/stumps/metadata").select(deep("value")).coalesce(1).write.text(f"{path}/trees/metadata")
-    return RandomForestClassificationModel.load(f"{path}/trees")
-
-
-def verdicts(rows: DataFrame, trees: DataFrame, plan: Plan) -> DataFrame:
-    """part, label, prediction and how many rows: what the model says, asked by the bins."""
-    table = trees.select("tree", "id", "left", F.col("feature").cast("short").alias("feature"), F.col("cut").cast("byte").alias("cut"), ((F.col("b") - F.col("a")) / F.greatest(F.col("a") + F.col("b"), F.lit(1e-300))).alias("vote")).toArrow()
-    order = np.lexsort((table["id"].to_numpy(), table["tree"].to_numpy()))
-    ends = np.cumsum(np.bincount(table["tree"].to_numpy()))
-    columns = [np.split(table[c].to_numpy()[order], ends[:-1]) for c in ("feature", "cut", "left", "vote")]
-    held = rows.sparkSession.sparkContext.broadcast(list(zip(*columns, strict=True)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch["bins"], plan.features)
-            votes, flat, start = np.zeros(len(x)), x.reshape(-1), np.arange(len(x)) * plan.features
-            for feature, cut, left, vote in held.value:
-                at = np.zeros(len(x), np.int64)
-                for _ in range(plan.depth):
-                    f = feature.take(at)
-                    at = np.where(f >= 0, left.take(at) + (flat.take(start + np.maximum(f, 0)) > cut.take(at)), at)
-                votes += vote.take(at)
-            yield pa.RecordBatch.from_arrays([batch["part"], batch["label"], pa.array((votes > 0).astype(np.int32))], ["part", "label", "prediction"])
-
-    return rows.mapInArrow(count, "part int, label int, prediction int").groupBy("part", "label", "prediction").agg(F.count("*").alias("n"))
+    return f"{path}/trees"

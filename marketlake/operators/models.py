@@ -91,11 +91,11 @@ def train_forest(rows: DataFrame, columns: list[str] | None = None, trees: int =
     plan = forest.Plan(trees, depth, estimator.getMinInstancesPerNode(), math.ceil(math.sqrt(len(columns))), len(columns), weights, seed)
     nodes = forest.grow(bins.where("part = 0"), sum(c for (_, part), c in cells.items() if part == 0), plan, FOREST_MB)
     grown = forest.numbered(nodes, plan, cuts)
-    model = PipelineModel([*prepared.stages, forest.as_model(grown, plan, estimator)])
-    said = forest.verdicts(bins, grown, plan).collect()
+    last = forest.GrownForest(grown, plan, cuts, estimator)
+    said = last.verdicts(bins).collect()
     metrics = {f"{name}_{k}": v for name, part in (("train", 0), ("test", 1)) for k, v in _metrics({(r.label, r.prediction): r.n for r in said if r.part == part}).items()}
-    found = list(zip(columns, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
-    return Fitted(model, metrics), rows.sparkSession.createDataFrame(found, "feature string, importance double")
+    found = list(zip(columns, forest.importances(grown, len(columns)), strict=True))
+    return Fitted(PipelineModel([*prepared.stages, last]), metrics), rows.sparkSession.createDataFrame(found, "feature string, importance double")
 
 
 def top_features(importances: DataFrame, k: int = 10) -> DataFrame:

@@ -187,10 +187,16 @@ def test_forest_against_plain_growth(spark, monkeypatch):
         assert {(r.tree, r.node): (r.feature, r.cut if r.feature >= 0 else 0, r.c0, r.c1) for r in nodes} == want and len(nodes) == len(want) > 100
 
 
-def test_forest_metrics_are_the_models(spark):
-    """Bins say what the model says; samples without rows are leaves without a vote."""
+def test_forest_metrics_are_the_models(spark, tmp_path):
+    """Bins, the stage and Spark's own model say the same; samples without rows are leaves without a vote."""
     rows = noise(spark, 200)
-    fitted, _ = models.train_forest(rows, [f"x{k}" for k in range(4)], trees=7)
+    fitted, importances = models.train_forest(rows, [f"x{k}" for k in range(4)], trees=7)
+    assert "model" not in fitted.model.stages[-1]._held  # nothing has loaded it into the driver
+    models.save_model(fitted, str(tmp_path), spark)
+    again = models.load_model(spark, str(tmp_path))
+    read = lambda model: [(r.id, r.prediction, *np.round([*r.probability, *r.rawPrediction], 9)) for r in model.transform(rows).orderBy("id").collect()]
+    assert read(again.model) == read(fitted.model) and again.metrics == fitted.metrics
+    assert [r.importance for r in importances.collect()] == pytest.approx(again.model.stages[-1].featureImportances.toArray().tolist())
     said = {(r.target, int(r.prediction)): r["count"] for r in fitted.model.transform(rows).groupBy("target", "prediction").count().collect()}
     for name, cell in (("tp", (1, 1)), ("fp", (0, 1)), ("fn", (1, 0)), ("tn", (0, 0))):
         assert fitted.metrics[f"train_{name}"] + fitted.metrics[f"test_{name}"] == said.get(cell, 0)
